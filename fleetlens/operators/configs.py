@@ -20,9 +20,11 @@ from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
 
 
 def first_by(value: Column | str, ord: Column | str) -> Column:
-    """Value of the row with the smallest ``ord`` (ties: smallest value).
-    As ``min(struct(ord, value))`` it is a plain partial aggregate."""
-    return F.min(F.struct(as_col(ord).alias("o"), as_col(value).alias("v"))).getField("v")
+    """Value of the row with the smallest ``ord``; rows with NULL ``ord`` are
+    skipped. ``ord`` is a list position, i.e. unique within the group; ties
+    would pick any of the tied rows. ``min_by`` combines map-side and, for a
+    fixed-width value, runs as a hash aggregate."""
+    return F.min_by(as_col(value), as_col(ord))
 
 
 def resolve_current(desired: DataFrame, versions: DataFrame, on: str | Sequence[str],

@@ -20,15 +20,6 @@ from fleetlens.functions.columns import as_col, cols
 BOTH, MISSING, UNEXPECTED = "both", "missing", "unexpected"
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, names: Sequence[str],
-                  rsuffix: str) -> Column:
-    cond = None
-    for n in names:
-        c = left[n].eqNullSafe(right[n + rsuffix])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def reconcile(expected: DataFrame, observed: DataFrame, cluster: str | Sequence[str],
               key: str, status: str = "status") -> DataFrame:
     """W03. Compare two sets of keys per cluster.
@@ -38,21 +29,21 @@ def reconcile(expected: DataFrame, observed: DataFrame, cluster: str | Sequence[
     Sets, not bags: duplicates on either side have no effect. NULL keys match
     each other, as Python sets do.
 
-    Plan: each side is de-duplicated (partial + final aggregate hashed on
-    (cluster, key)), then a full outer join on the same keys reuses that
-    partitioning. Keying on (cluster, key), not cluster alone, keeps a large
-    cluster spread over many partitions.
+    Plan: no join. Both sides are tagged and unioned, then one aggregate on
+    (cluster, key) tells which sides hold each key. It combines map-side
+    (duplicates collapse before the shuffle) and needs a single exchange.
+    Keying on (cluster, key), not cluster alone, keeps a large cluster spread
+    over many partitions.
     """
     keys = cols(cluster) + [key]
-    e = expected.select(*keys).distinct().withColumn("_fl_e", F.lit(True))
-    o = observed.select(*keys).distinct()
-    o = o.select(*[F.col(k).alias(k + "_o") for k in keys]).withColumn("_fl_o", F.lit(True))
-    j = e.join(o, _null_safe_on(e, o, keys, "_o"), "full_outer")
+    e = expected.select(*keys, F.lit(True).alias("_fl_e"), F.lit(False).alias("_fl_o"))
+    o = observed.select(*keys, F.lit(False).alias("_fl_e"), F.lit(True).alias("_fl_o"))
+    g = e.unionByName(o).groupBy(*keys).agg(
+        F.bool_or("_fl_e").alias("_fl_e"), F.bool_or("_fl_o").alias("_fl_o"))
     st = (F.when(F.col("_fl_e") & F.col("_fl_o"), F.lit(BOTH))
           .when(F.col("_fl_e"), F.lit(MISSING))
           .otherwise(F.lit(UNEXPECTED)))
-    return j.select(*[F.coalesce(e[k], F.col(k + "_o")).alias(k) for k in keys],
-                    st.alias(status))
+    return g.select(*keys, st.alias(status))
 
 
 def reconcile_summary(rows: DataFrame, cluster: str | Sequence[str],
@@ -124,8 +115,8 @@ def blockers(clusters: DataFrame, items: DataFrame, on: str | Sequence[str],
     aggs = [F.count(F.lit(1)).alias("n_items"), F.count_if(bad).alias("n_blockers")]
     if item is not None:
         order = as_col(ord) if ord is not None else F.col(item)
-        aggs.append(F.min(F.when(bad, F.struct(order.alias("o"), F.col(item).alias("i"))))
-                    .getField("i").alias("first_blocker"))
+        aggs.append(F.min_by(F.when(bad, F.col(item)), F.when(bad, order))
+                    .alias("first_blocker"))
     per = items.groupBy(*on).agg(*aggs)
     out = clusters.select(*on).distinct().join(per, on, "left")
     zero = F.lit(0).cast("long")
@@ -164,8 +155,8 @@ def time_to_ready(polls: DataFrame, cluster: str | Sequence[str], poll: str | Co
     A poll of a cluster is the set of rows sharing (cluster, poll); the gate
     holds when ``ok`` is true on all of them. Returns per cluster: number of
     polls taken (``polls``; capped at ``max_polls`` when it times out),
-    ``ready_at`` (poll value, NULL if never ready within ``max_polls``) and
-    ``timed_out``.
+    ``ready_at`` (poll value, NULL if never ready within ``max_polls``),
+    ``timed_out`` and ``ok_polls`` (polls at which the gate held).
 
     No window: the poll index of the first good poll is the number of polls
     at or before it, computed by aggregates that combine map-side, so a
@@ -178,9 +169,12 @@ def time_to_ready(polls: DataFrame, cluster: str | Sequence[str], poll: str | Co
     first = gates.groupBy(*cl).agg(
         F.min(F.when(F.col("_fl_ok"), F.col(poll_name))).alias("_fl_first"),
         F.count(F.lit(1)).alias("_fl_total"))
+    # Both branches read the same (cluster, poll, ok) gates, so the gate
+    # aggregate and its exchange are computed once and reused.
     upto = (gates.join(first, cl, "inner")
             .groupBy(*cl, "_fl_first", "_fl_total")
-            .agg(F.count_if(F.col(poll_name) <= F.col("_fl_first")).alias("_fl_upto")))
+            .agg(F.count_if(F.col(poll_name) <= F.col("_fl_first")).alias("_fl_upto"),
+                 F.count_if(F.col("_fl_ok")).alias("ok_polls")))
     ready = F.col("_fl_first").isNotNull()
     if max_polls is not None:
         ready = ready & (F.col("_fl_upto") <= F.lit(max_polls))
@@ -192,4 +186,5 @@ def time_to_ready(polls: DataFrame, cluster: str | Sequence[str], poll: str | Co
         taken.cast("long").alias("polls"),
         F.when(ready, F.col("_fl_first")).alias("ready_at"),
         (~ready).alias("timed_out"),
+        F.col("ok_polls"),
     )

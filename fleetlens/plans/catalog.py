@@ -416,13 +416,14 @@ WITH g AS (SELECT user_id, date_trunc('day', ts) AS poll,
      f AS (SELECT user_id, min(CASE WHEN ok THEN poll END) AS first, count(*) AS total
            FROM g GROUP BY 1),
      u AS (SELECT f.user_id, f.first, f.total,
-                  count(*) FILTER (WHERE g.poll <= f.first) AS upto
+                  count(*) FILTER (WHERE g.poll <= f.first) AS upto,
+                  count(*) FILTER (WHERE g.ok) AS ok_polls
            FROM f JOIN g ON g.user_id = f.user_id GROUP BY 1, 2, 3),
      v AS (SELECT *, first IS NOT NULL AND upto <= 2 AS ok FROM u)
 SELECT user_id,
        CAST(least(CASE WHEN ok THEN upto ELSE total END, 2) AS BIGINT) AS polls,
        CASE WHEN ok THEN first END AS ready_at,
-       NOT ok AS timed_out
+       NOT ok AS timed_out, ok_polls
 FROM v""",
 }
 ORACLE_SQL["w08_overlay_bags"] = ORACLE_SQL["w08_overlay"]
