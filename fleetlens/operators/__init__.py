@@ -3,11 +3,13 @@ action, except where a parameter table is size-checked before a broadcast."""
 
 from fleetlens.operators.configs import (
     Rule, append_missing, carry_property, first_by, json_prop, overlay, overlay_bags,
+    overlay_tagged,
     resolve_current, select_rules,
 )
 from fleetlens.operators.filters import having_member, keep_listed
 from fleetlens.operators.gates import (
-    all_healthy, blocker_rows, blockers, reconcile, reconcile_summary, state_is,
+    all_healthy, blocker_rows, blockers, reconcile, reconcile_summary, reconcile_tagged,
+    state_is,
     state_summary, time_to_ready,
 )
 from fleetlens.operators.rosters import (
@@ -20,7 +22,9 @@ __all__ = [
     "Rule", "all_healthy", "append_missing", "assemble_roster", "assign_ids",
     "blocker_rows", "blockers", "bracket_lookup", "carry_property", "check_cardinality",
     "expand_bundles", "extract_first", "first_by", "having_member", "json_prop",
-    "keep_listed", "overlay", "overlay_bags", "reconcile", "reconcile_summary",
+    "keep_listed", "overlay", "overlay_bags", "overlay_tagged", "reconcile",
+    "reconcile_summary",
+    "reconcile_tagged",
     "rename_keys", "replicate_template", "resolve_current", "rewrite_text", "select_rules",
     "state_is", "state_summary", "time_to_ready",
 ]

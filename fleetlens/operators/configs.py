@@ -74,6 +74,19 @@ def overlay(base: DataFrame, updates: DataFrame, on: str | Sequence[str],
     return j.select(*out)
 
 
+def overlay_tagged(rows: DataFrame, on: str | Sequence[str], is_update: Column,
+                   key: str = "key", value: str = "value") -> DataFrame:
+    """W08 when base and update rows come as one long table: per
+    (cluster..., key) the update row wins, else the base row. One aggregate,
+    one exchange; repeated identical rows collapse map-side. Several
+    different values on one side of a key resolve to the greatest, so the
+    result does not depend on row order."""
+    keys = cols(on) + [key]
+    up = F.coalesce(is_update, F.lit(False))
+    return rows.groupBy(*keys).agg(
+        F.max(F.struct(up.alias("u"), F.col(value).alias("v"))).getField("v").alias(value))
+
+
 def overlay_bags(base: DataFrame, updates: DataFrame, on: str | Sequence[str],
                  bag: str = "properties") -> DataFrame:
     """W08, map form: one bag per (cluster..., type) on each side.

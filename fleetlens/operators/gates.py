@@ -38,7 +38,24 @@ def reconcile(expected: DataFrame, observed: DataFrame, cluster: str | Sequence[
     keys = cols(cluster) + [key]
     e = expected.select(*keys, F.lit(True).alias("_fl_e"), F.lit(False).alias("_fl_o"))
     o = observed.select(*keys, F.lit(False).alias("_fl_e"), F.lit(True).alias("_fl_o"))
-    g = e.unionByName(o).groupBy(*keys).agg(
+    return _sides_to_status(e.unionByName(o), keys, status)
+
+
+def reconcile_tagged(rows: DataFrame, cluster: str | Sequence[str], key: str,
+                     expected: Column, observed: Column, status: str = "status") -> DataFrame:
+    """W03 when both sides live in one table: a row belongs to the expected
+    set where ``expected`` holds and to the observed set where ``observed``
+    holds (possibly both). Same result as :func:`reconcile` on the two
+    filtered copies, but the table is scanned once."""
+    keys = cols(cluster) + [key]
+    e = F.coalesce(expected, F.lit(False))
+    o = F.coalesce(observed, F.lit(False))
+    tagged = rows.filter(e | o).select(*keys, e.alias("_fl_e"), o.alias("_fl_o"))
+    return _sides_to_status(tagged, keys, status)
+
+
+def _sides_to_status(tagged: DataFrame, keys: list[str], status: str) -> DataFrame:
+    g = tagged.groupBy(*keys).agg(
         F.bool_or("_fl_e").alias("_fl_e"), F.bool_or("_fl_o").alias("_fl_o"))
     st = (F.when(F.col("_fl_e") & F.col("_fl_o"), F.lit(BOTH))
           .when(F.col("_fl_e"), F.lit(MISSING))

@@ -58,10 +58,10 @@ def w02_having_member(spark, sf_dir):
 
 
 def _w03_rows(t: Tables) -> DataFrame:
-    o = t.orders
-    exp = o.filter(F.col("o_orderstatus") == "F")
-    obs = o.filter(F.col("o_orderstatus") == "O")
-    return op.reconcile(exp, obs, "o_custkey", "o_orderpriority")
+    # Both sides come from orders: one scan, tagged per side.
+    st = F.col("o_orderstatus")
+    return op.reconcile_tagged(t.orders, "o_custkey", "o_orderpriority",
+                               expected=st == "F", observed=st == "O")
 
 
 def w03_reconcile(spark, sf_dir):
@@ -111,21 +111,41 @@ def w07_resolve_current(spark, sf_dir):
                               default=0.0, name="price", version_on="o_custkey")
 
 
-def _w08_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _w08_counts(t: Tables) -> DataFrame:
     ev = t.events
     split = F.lit(W08_SPLIT_DAY).cast("timestamp_ntz")
-    base = (ev.filter(F.col("ts") < split)
-            .groupBy("user_id", F.col("event_type").alias("key"))
-            .agg(F.count(F.lit(1)).cast("string").alias("value")))
-    upd = (ev.filter((F.col("ts") >= split) & F.col("event_type").isin(W08_UPDATE_TYPES))
-           .groupBy("user_id", F.col("event_type").alias("key"))
-           .agg(F.count(F.lit(1)).cast("string").alias("value")))
-    checked = ev.select("user_id").distinct().select(
+    return ev.groupBy("user_id", F.col("event_type").alias("key")).agg(
+        F.count_if(F.col("ts") < split).alias("n_base"),
+        F.count_if((F.col("ts") >= split) & F.col("event_type").isin(W08_UPDATE_TYPES))
+        .alias("n_upd"))
+
+
+def _w08_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    per = _w08_counts(t)
+    base = per.filter(F.col("n_base") > 0).select(
+        "user_id", "key", F.col("n_base").cast("string").alias("value"))
+    upd = per.filter(F.col("n_upd") > 0).select(
+        "user_id", "key", F.col("n_upd").cast("string").alias("value"))
+    checked = per.select("user_id").distinct().select(
         "user_id", F.lit("checked").alias("key"), F.lit("1").alias("value"))
     return base, upd.unionByName(checked)
 
 
 def w08_overlay(spark, sf_dir):
+    # One scan and one count per (user, type); each count row yields its base
+    # row, its update row and the constant update, tagged, then one overlay
+    # aggregate.
+    per = _w08_counts(_t(spark, sf_dir))
+    entry = lambda k, v, u: F.struct(k.alias("key"), v.alias("value"), F.lit(u).alias("upd"))
+    rows = per.select("user_id", F.explode(F.filter(F.array(
+        entry(F.col("key"), F.when(F.col("n_base") > 0, F.col("n_base").cast("string")), False),
+        entry(F.col("key"), F.when(F.col("n_upd") > 0, F.col("n_upd").cast("string")), True),
+        entry(F.lit("checked"), F.lit("1"), True),
+    ), lambda e: e["value"].isNotNull())).alias("e")).select("user_id", "e.*")
+    return op.overlay_tagged(rows, "user_id", F.col("upd"))
+
+
+def w08_overlay_join(spark, sf_dir):
     base, upd = _w08_sides(_t(spark, sf_dir))
     return op.overlay(base, upd, "user_id")
 
@@ -233,7 +253,7 @@ def w20_time_to_ready(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in [
     w01_exclude, w01_include, w02_having_member, w03_reconcile, w03_summary,
     w04_all_healthy, w05_blockers_labels, w05_blockers_returns, w06_state_summary,
-    w07_resolve_current, w08_overlay, w08_overlay_bags, w09_select_rules,
+    w07_resolve_current, w08_overlay, w08_overlay_join, w08_overlay_bags, w09_select_rules,
     w09_select_rules_join, w10_bracket_lookup, w11_expand_bundles,
     w12_replicate_template, w13_assign_ids, w14_rename_keys, w15_carry_property,
     w16_rewrite_text, w17_extract_first, w18_append_missing, w19_roster,
@@ -427,3 +447,4 @@ SELECT user_id,
 FROM v""",
 }
 ORACLE_SQL["w08_overlay_bags"] = ORACLE_SQL["w08_overlay"]
+ORACLE_SQL["w08_overlay_join"] = ORACLE_SQL["w08_overlay"]
