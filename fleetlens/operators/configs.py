@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols, regex_quote
-from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
+from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS
 
 
 def first_by(value: Column | str, ord: Column | str) -> Column:
@@ -176,19 +176,27 @@ def _select_rules_join(df, v, rules, type_col, rule_type, rule_lo, rule_hi, max_
     r = rules.select(*[F.col(c).alias(f"_fl_r_{c}") for c in rules.columns])
     lo, hi, rt = F.col(f"_fl_r_{rule_lo}"), F.col(f"_fl_r_{rule_hi}"), F.col(f"_fl_r_{rule_type}")
     out_cols = [*[df[c] for c in df.columns], *[F.col(f"_fl_r_{c}").alias(c) for c in payload]]
+    # One small job sizes both kinds of rule.
+    n_typed, n_untyped = r.select(F.count_if(rt.isNotNull()), F.count_if(rt.isNull())).first()
     if type_col is None:
-        if not within_rows(r, max_rules):
-            raise ValueError(f"more than {max_rules} untyped rules")
-        return df.join(F.broadcast(r), _range_ok(v, lo, hi), "inner").select(*out_cols)
-    typed = r.filter(rt.isNotNull())
-    untyped = r.filter(rt.isNull())
-    if within_rows(typed, max_rules):
-        typed = F.broadcast(typed)
-    a = df.join(typed, (df[type_col] == rt) & _range_ok(v, lo, hi), "inner").select(*out_cols)
-    if not within_rows(untyped, max_rules):
-        raise ValueError(f"more than {max_rules} untyped rules")
-    b = df.join(F.broadcast(untyped), _range_ok(v, lo, hi), "inner").select(*out_cols)
-    return a.unionByName(b)
+        n_untyped, n_typed = n_typed + n_untyped, 0
+    if n_untyped > max_rules:
+        raise ValueError(f"more than {max_rules} untyped rules; give them a type key")
+    parts = []
+    if n_typed:
+        typed = r.filter(rt.isNotNull())
+        typed = F.broadcast(typed) if n_typed <= max_rules else typed
+        parts.append(df.join(typed, (df[type_col] == rt) & _range_ok(v, lo, hi), "inner")
+                     .select(*out_cols))
+    if n_untyped:
+        untyped = r if type_col is None else r.filter(rt.isNull())
+        parts.append(df.join(F.broadcast(untyped), _range_ok(v, lo, hi), "inner").select(*out_cols))
+    if not parts:
+        return df.join(r, F.lit(False), "inner").select(*out_cols)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def json_prop(bag: str | Column, key: str) -> Column:
