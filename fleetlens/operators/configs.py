@@ -173,6 +173,10 @@ def _lit_of(x: Any, dtype: T.DataType) -> Column:
 
 def _select_rules_join(df, v, rules, type_col, rule_type, rule_lo, rule_hi, max_rules):
     payload = [c for c in rules.columns if c not in (rule_type, rule_lo, rule_hi)]
+    if rule_type not in rules.columns:
+        if type_col is not None:
+            raise ValueError(f"rules have no {rule_type!r} column to match {type_col!r}")
+        rules = rules.withColumn(rule_type, F.lit(None).cast("string"))
     r = rules.select(*[F.col(c).alias(f"_fl_r_{c}") for c in rules.columns])
     lo, hi, rt = F.col(f"_fl_r_{rule_lo}"), F.col(f"_fl_r_{rule_hi}"), F.col(f"_fl_r_{rule_type}")
     out_cols = [*[df[c] for c in df.columns], *[F.col(f"_fl_r_{c}").alias(c) for c in payload]]

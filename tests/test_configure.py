@@ -1,0 +1,154 @@
+"""The configuration chain against a plain-Python model of one cluster at a
+time, on a generated fleet."""
+
+from fleetlens.plans.configure import as_bags, configure_fleet
+
+VERSIONS = ["2.6.4.0", "3.1.0.0", "2.5.0.0", "3.0.1.0"]
+TYPES = ["hdfs-site", "yarn-env", "mapred-site", "hive-site", "kafka-broker"]
+
+
+def fleet(n=60):
+    spec, services, desired, versions = [], [], [], []
+    for i in range(n):
+        c = f"c{i:02d}"
+        spec.append((c, VERSIONS[i % 4]))
+        services += [(c, "HDFS"), (c, "yarn")]
+        if i % 3:
+            services.append((c, "lineage"))
+        if i % 2 == 0:
+            services.append((c, "HBASE"))
+        for t in TYPES:
+            if (i + len(t)) % 7 == 0:
+                continue  # no pointer for this type
+            desired.append((c, t, f"v{i % 3}" if i % 5 else "missing"))
+            for o, tag in enumerate(["v0", "v1", "v2", "v1"]):
+                props = {"k": f"{t}-{tag}-{o}", "port": str(9000 + i)}
+                if t == "hdfs-site" and o != 2:
+                    props["data.dir"] = "/a,/b" if o else ""
+                if t == "mapred-site" and o == 1:
+                    props["local.dir"] = "/x,/hadoop/mapred"
+                if t == "hive-site":
+                    props["metastore.uris"] = f"thrift://{c}:{o}"
+                versions.append((c, t, tag, o, props))
+    return spec, services, desired, versions
+
+
+CONFIG_RULES = [
+    ("yarn-env", None, None, [3, 0], {"min_user_id": "500"}),
+    ("yarn-env", None, [3, 0], None, {"min_user_id": "1000"}),
+    ("hbase-site", "hbase", [3, 0], None, {"handler.count": "70"}),
+    ("hdfs-site", None, None, None, {"k": "forced", "threads": "16384"}),
+    ("core-site", None, None, None, {"proxy.hosts": "*"}),
+]
+LIST_RULES = [
+    ("hdfs-site", "data.dir", 1, "/run/data", [3, 0], None),
+    ("mapred-site", "local.dir", 2, "/run/hadoop/mapred", None, None),
+    ("mapred-site", "local.dir", 1, "/hadoop/mapred", None, None),
+]
+CARRY_RULES = [
+    ("hive-interactive-site", "metastore.uris", "hive-site", "metastore.uris", None),
+    ("application-properties", "kafka.servers", "kafka-broker", "port", "broker:{}"),
+]
+
+
+def _vkey(v):
+    return tuple(int(p) for p in v.split("."))[:2]
+
+
+def _inside(stack, lo, hi):
+    return (lo is None or stack >= tuple(lo)) and (hi is None or stack < tuple(hi))
+
+
+def model(spec, services, desired, versions, gate):
+    """One cluster at a time, the way the launcher does it."""
+    out = {}
+    svc = {}
+    for c, s in services:
+        svc.setdefault(c, set()).add(s.upper())
+    for c, v in spec:
+        if gate.upper() not in svc.get(c, set()):
+            continue
+        stack = _vkey(v)
+        current = {}
+        for cc, t, tag in desired:
+            if cc != c:
+                continue
+            cands = sorted((o, p) for (vc, vt, vtag, o, p) in versions
+                           if vc == c and vt == t and vtag == tag)
+            current[t] = dict(cands[0][1]) if cands else {}
+        updates = {}
+        for t, needs, lo, hi, props in CONFIG_RULES:
+            if _inside(stack, lo, hi) and (needs is None or needs.upper() in svc[c]):
+                for k, val in props.items():
+                    updates.setdefault(t, {})[k] = (3, val)
+        for t, k in {(r[0], r[1]) for r in LIST_RULES}:
+            rules = sorted(r for r in LIST_RULES if r[0] == t and r[1] == k)
+            items = [r[3] for r in rules if _inside(stack, r[4], r[5])]
+            if not items:
+                continue
+            cur = current.get(t, {}).get(k, "")
+            parts = cur.split(",") if cur else []
+            for it in items:
+                if it not in parts:
+                    parts.append(it)
+            updates.setdefault(t, {})[k] = min(updates.get(t, {}).get(k, (9, None)), (2, ",".join(parts)))
+        for t, k, st, sk, tpl in CARRY_RULES:
+            if sk in current.get(st, {}):
+                val = current[st][sk]
+                val = val if tpl is None else tpl.replace("{}", val)
+                updates.setdefault(t, {})[k] = (1, val)
+        for t in set(current) | set(updates):
+            bag = dict(current.get(t, {}))
+            for k, (_, val) in updates.get(t, {}).items():
+                bag[k] = val
+            if bag:  # an empty bag has no long rows and nothing to write
+                out[(c, t)] = bag
+    return out
+
+
+def test_configure_fleet_matches_model(spark):
+    spec, services, desired, versions = fleet()
+    s = spark.createDataFrame(spec, "cluster_id string, version string")
+    sv = spark.createDataFrame(services, "cluster_id string, service_name string")
+    d = spark.createDataFrame(desired, "cluster_id string, config_type string, tag string")
+    v = spark.createDataFrame(versions, "cluster_id string, config_type string, tag string, "
+                                        "ord int, properties map<string,string>")
+    cr = spark.createDataFrame(CONFIG_RULES, "config_type string, needs_service string, "
+                                             "lo array<int>, hi array<int>, properties map<string,string>")
+    lr = spark.createDataFrame(LIST_RULES, "config_type string, key string, ord int, item string, "
+                                           "lo array<int>, hi array<int>")
+    car = spark.createDataFrame(CARRY_RULES, "config_type string, key string, src_type string, "
+                                             "src_key string, template string")
+    long = configure_fleet(s, sv, d, v, cr, lr, car, gate_service="LINEAGE")
+    got = {(r.cluster_id, r.config_type): r.properties for r in as_bags(long).collect()}
+    want = model(spec, services, desired, versions, "LINEAGE")
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == want[k], (k, got[k], want[k])
+    # sources: unchanged keys are "base"
+    src = {(r.cluster_id, r.config_type, r.key): r.source for r in long.collect()}
+    assert src[("c01", "core-site", "proxy.hosts")] == "update"
+    assert any(v == "base" for v in src.values())
+
+
+def test_configure_fleet_is_idempotent(spark):
+    """Applying the resulting bags as the new current version changes nothing."""
+    spec, services, desired, versions = fleet(24)
+    s = spark.createDataFrame(spec, "cluster_id string, version string")
+    sv = spark.createDataFrame(services, "cluster_id string, service_name string")
+    d = spark.createDataFrame(desired, "cluster_id string, config_type string, tag string")
+    v = spark.createDataFrame(versions, "cluster_id string, config_type string, tag string, "
+                                        "ord int, properties map<string,string>")
+    cr = spark.createDataFrame(CONFIG_RULES, "config_type string, needs_service string, "
+                                             "lo array<int>, hi array<int>, properties map<string,string>")
+    lr = spark.createDataFrame(LIST_RULES, "config_type string, key string, ord int, item string, "
+                                           "lo array<int>, hi array<int>")
+    first = as_bags(configure_fleet(s, sv, d, v, cr, lr, None, gate_service="lineage"))
+    from pyspark.sql import functions as F
+    d2 = first.select("cluster_id", "config_type", F.lit("next").alias("tag"))
+    v2 = first.select("cluster_id", "config_type", F.lit("next").alias("tag"),
+                      F.lit(0).alias("ord"), "properties")
+    second = as_bags(configure_fleet(s, sv, d2, v2, cr, lr, None, gate_service="lineage"))
+    a = {(r.cluster_id, r.config_type): r.properties for r in first.collect()}
+    b = {(r.cluster_id, r.config_type): r.properties for r in second.collect()}
+    assert a == b

@@ -47,8 +47,8 @@ def test_w01_list_as_table(spark):
 def test_w02_having_member(spark):
     clusters = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "cluster_id string")
     services = spark.createDataFrame(
-        [("c1", "ATLAS"), ("c1", "ATLAS"), ("c2", "HIVE")], "cluster_id string, service_name string")
-    out = op.having_member(clusters, services, "cluster_id", F.col("service_name") == "ATLAS")
+        [("c1", "LINEAGE"), ("c1", "LINEAGE"), ("c2", "HIVE")], "cluster_id string, service_name string")
+    out = op.having_member(clusters, services, "cluster_id", F.col("service_name") == "LINEAGE")
     assert rows(out, "cluster_id") == [("c1",)]
 
 
