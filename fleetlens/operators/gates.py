@@ -50,7 +50,8 @@ def reconcile_tagged(rows: DataFrame, cluster: str | Sequence[str], key: str,
     keys = cols(cluster) + [key]
     e = F.coalesce(expected, F.lit(False))
     o = F.coalesce(observed, F.lit(False))
-    tagged = rows.filter(e | o).select(*keys, e.alias("_fl_e"), o.alias("_fl_o"))
+    # The raw predicates (NULL drops the row, as false would) reach the scan.
+    tagged = rows.filter(expected | observed).select(*keys, e.alias("_fl_e"), o.alias("_fl_o"))
     return _sides_to_status(tagged, keys, status)
 
 
