@@ -55,11 +55,14 @@ def having_member(clusters: DataFrame, members: DataFrame, on: str | Sequence[st
     """W02. Clusters that own at least one member row passing
     ``member_filter`` ("has service X"). Left-semi join: each cluster row is
     kept once however many members match; the filter is pushed into the
-    member scan. ``member_on`` names the key in ``members`` when it differs."""
+    member scan. ``member_on`` names the key in ``members`` when it differs.
+
+    Member keys are made distinct first: duplicates collapse map-side, so a
+    cluster with millions of matching members ships one key per task."""
     on = cols(on)
     mon = cols(member_on) if member_on is not None else on
     m = members.filter(member_filter).select(
-        *[F.col(a).alias(f"_fl_k{i}") for i, a in enumerate(mon)])
+        *[F.col(a).alias(f"_fl_k{i}") for i, a in enumerate(mon)]).distinct()
     cond = None
     for i, c in enumerate(on):
         e = clusters[c] == F.col(f"_fl_k{i}")

@@ -16,7 +16,7 @@ def read_text_files(spark: SparkSession, path: str, path_col: str = "path",
                     content_col: str = "content") -> DataFrame:
     """``path`` may be a folder or a glob; returns (path, content)."""
     return (
-        spark.read.option("wholetext", True).text(path)
+        spark.read.text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias(path_col),
                 F.col("value").alias(content_col))
     )
@@ -25,7 +25,7 @@ def read_text_files(spark: SparkSession, path: str, path_col: str = "path",
 def write_text_files(df: DataFrame, path: str, content_col: str = "content",
                      partition_by: str | None = None) -> None:
     """Write one text value per row; ``partition_by`` folders by a key column."""
-    writer = df.select(*( [partition_by] if partition_by else []), content_col).write.mode("overwrite")
+    writer = df.select(*([partition_by] if partition_by else []), content_col).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.text(path)
