@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols, regex_quote
+from fleetlens.plans.ordinal import position_within
 from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS
 
 
@@ -130,8 +131,10 @@ def select_rules(df: DataFrame, value: str | Column, rules: Sequence[Rule] | Dat
     exploded: map-only, no join. Rules as a DataFrame (payload = all other
     columns) are joined: typed rules by a hash join on type with the interval
     as residual; untyped rules only after their count is checked, as a
-    broadcast nested-loop join against that bounded side. A typed rule table
-    above the bound is shuffle-joined on type.
+    broadcast nested-loop join against bounded pieces (more untyped rules
+    than the bound are split into several such pieces, each row checked
+    against each piece). A typed rule table above the bound is
+    shuffle-joined on type.
     """
     v = as_col(value)
     if isinstance(rules, DataFrame):
@@ -184,8 +187,6 @@ def _select_rules_join(df, v, rules, type_col, rule_type, rule_lo, rule_hi, max_
     n_typed, n_untyped = r.select(F.count_if(rt.isNotNull()), F.count_if(rt.isNull())).first()
     if type_col is None:
         n_untyped, n_typed = n_typed + n_untyped, 0
-    if n_untyped > max_rules:
-        raise ValueError(f"more than {max_rules} untyped rules; give them a type key")
     parts = []
     if n_typed:
         typed = r.filter(rt.isNotNull())
@@ -194,7 +195,9 @@ def _select_rules_join(df, v, rules, type_col, rule_type, rule_lo, rule_hi, max_
                      .select(*out_cols))
     if n_untyped:
         untyped = r if type_col is None else r.filter(rt.isNull())
-        parts.append(df.join(F.broadcast(untyped), _range_ok(v, lo, hi), "inner").select(*out_cols))
+        for chunk in _chunks(untyped, n_untyped, max_rules):
+            parts.append(df.join(F.broadcast(chunk), _range_ok(v, lo, hi), "inner")
+                         .select(*out_cols))
     if not parts:
         return df.join(r, F.lit(False), "inner").select(*out_cols)
     out = parts[0]
@@ -203,6 +206,24 @@ def _select_rules_join(df, v, rules, type_col, rule_type, rule_lo, rule_hi, max_
     return out
 
 
+def _chunks(rules: DataFrame, n: int, max_rules: int) -> list[DataFrame]:
+    """Split a rule table into pieces of at most ``max_rules`` rows, each
+    safe to broadcast. Rules are numbered by the skew-safe position plan over
+    a total order of all their columns (maps as sorted entries), so only
+    identical rules can trade places between recomputations."""
+    if n <= max_rules:
+        return [rules]
+    order = []
+    for f in rules.schema.fields:
+        col = F.col(f.name)
+        order.append(F.array_sort(F.map_entries(col)) if isinstance(f.dataType, T.MapType) else col)
+    ranked = position_within(rules.withColumn("_fl_g", F.lit(0)), "_fl_g", order,
+                             name="_fl_rank", start=0)
+    k = -(-n // max_rules)
+    return [ranked.filter(F.floor(F.col("_fl_rank") / max_rules) == i).drop("_fl_g", "_fl_rank")
+            for i in range(k)]
+
+
 def json_prop(bag: str | Column, key: str) -> Column:
     """One property of a JSON-text bag, as text."""
     return F.get_json_object(as_col(bag), "$['" + key.replace("'", "\\'") + "']")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import as_col, cols
-from fleetlens.plans.sizing import DEFAULT_LITERAL_ROWS, collect_bounded
+from fleetlens.plans.ordinal import position_within
+from fleetlens.plans.sizing import DEFAULT_LITERAL_ROWS
 
 
 def bracket_lookup(df: DataFrame, value: str | Column,
@@ -24,15 +25,22 @@ def bracket_lookup(df: DataFrame, value: str | Column,
 
     The ladder becomes one sorted literal array; each row filters it and
     takes the first hit, a single Project with no join or shuffle. A ladder
-    given as a DataFrame is size-checked and turned into that literal.
+    given as a DataFrame is counted: up to ``max_bounds`` bounds it becomes
+    that literal; above, the exact bucketed plan of :func:`_bracket_bucketed`
+    runs (bounds should be unique; a repeated bound keeps its least label).
     """
+    v = as_col(value)
+    vtype = df.select(v).schema.fields[0].dataType
     if isinstance(ladder, DataFrame):
-        rows = collect_bounded(ladder.select(bound, label), max_bounds)
+        lad = ladder.select(F.col(bound).cast(vtype).alias("_fl_b"), F.col(label).alias("_fl_l"))
+        lad = lad.filter(F.col("_fl_b").isNotNull()).groupBy("_fl_b").agg(
+            F.min("_fl_l").alias("_fl_l"))
+        rows = lad.limit(max_bounds + 1).collect()
+        if len(rows) > max_bounds:
+            return _bracket_bucketed(df, v, vtype, lad, default, name, max_bounds)
         ladder = [(r[0], r[1]) for r in rows]
     if not ladder:
         raise ValueError("empty ladder")
-    v = as_col(value)
-    vtype = df.select(v).schema.fields[0].dataType
     steps = sorted(ladder, key=lambda p: _sort_key(p[0]))
     arr = F.array(*[
         F.struct(_as_lit(b, vtype).alias("b"), F.lit(lab).alias("l")) for b, lab in steps])
@@ -41,6 +49,41 @@ def bracket_lookup(df: DataFrame, value: str | Column,
     return df.withColumn(name, res)
 
 
+def _bracket_bucketed(df, v, vtype, lad, default, name, max_bounds):
+    """Exact ceiling lookup against a ladder too large for one literal.
+
+    Every ``c``-th bound (by rank, from the skew-safe position plan) is a
+    pivot, with at most ``max_bounds`` pivots collected. A bound or a value
+    falls in bucket ``j`` when it lies in (pivot[j-1], pivot[j]]; the answer
+    for a value is then the smallest bound >= value inside its own bucket
+    (pivot[j] itself qualifies), and bucket ``j`` holds fewer than ``c``
+    bounds besides. So the bounds are gathered per bucket into short sorted
+    arrays, joined to the values on the bucket id (one row per bucket, so a
+    hot bucket only repeats that row), and looked up as in the literal path.
+    """
+    n = lad.count()
+    c = -(-n // max_bounds)
+    ranked = position_within(lad.withColumn("_fl_g", F.lit(0)), "_fl_g", "_fl_b",
+                             name="_fl_r", start=1)
+    pivots = [r[0] for r in ranked.filter(F.col("_fl_r") % c == 0)
+              .select("_fl_b").orderBy("_fl_b").collect()]
+    parr = F.array(*[F.struct(_as_lit(p, vtype).alias("b"), F.lit(i).alias("i"))
+                     for i, p in enumerate(pivots)])
+
+    def bucket(x):
+        return F.coalesce(F.get(F.filter(parr, lambda p: p["b"] >= x), 0)["i"],
+                          F.lit(len(pivots)))
+
+    per_bucket = lad.groupBy(bucket(F.col("_fl_b")).alias("_fl_j")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_fl_b").alias("b"),
+                                             F.col("_fl_l").alias("l")))).alias("_fl_arr"))
+    vals = df.withColumn("_fl_j", bucket(v))
+    j = vals.join(per_bucket, "_fl_j", "left")
+    hit = F.get(F.filter(F.col("_fl_arr"), lambda s: s["b"] >= v), 0)["l"]
+    res = F.when(v.isNull(), F.lit(None)).otherwise(F.coalesce(hit, F.lit(default)))
+    return j.select(*[df[c_] for c_ in df.columns], res.alias(name))
+
+
 def _sort_key(b):
     return tuple(b) if isinstance(b, (list, tuple)) else (b,)
 

@@ -168,3 +168,35 @@ def test_templates(spark):
                   principal(F.lit("admin/admin"), realm("net")).alias("p")).first()
     assert (r.e, r.u, r.q, r.p) == ("n1.net:9092", "http://n1.net:21000", "a:2181,b:2181",
                                     "admin/admin@NET")
+
+
+def test_bracket_large_ladder_model(spark):
+    """A DataFrame ladder above ``max_bounds`` takes the exact bucketed plan."""
+    rnd = random.Random(8)
+    bounds = sorted(rnd.sample(range(0, 5000), 300))
+    lad = spark.createDataFrame([(b, f"L{b}") for b in bounds], "bound int, label string")
+    vals = [rnd.randint(-50, 5100) for _ in range(3000)] + [bounds[-1], bounds[0], None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id int, v int")
+    out = op.bracket_lookup(df, "v", lad, "none", max_bounds=7)
+    got = {r.id: r.bracket for r in out.collect()}
+    assert len(got) == len(vals)
+    for i, v in enumerate(vals):
+        if v is None:
+            assert got[i] is None
+            continue
+        j = bisect.bisect_left(bounds, v)
+        assert got[i] == (f"L{bounds[j]}" if j < len(bounds) else "none"), (v, got[i])
+
+
+def test_select_rules_many_untyped_model(spark):
+    """More untyped rules than the broadcast bound: several bounded pieces."""
+    rnd = random.Random(9)
+    rules = [(None, rnd.choice([None, rnd.randint(0, 50)]), rnd.choice([None, rnd.randint(25, 100)]),
+              {"rid": str(i)}) for i in range(40)]
+    vals = [(i, rnd.randint(-5, 105)) for i in range(500)]
+    df = spark.createDataFrame(vals, "id int, v int")
+    rdf = spark.createDataFrame(rules, "type string, lo int, hi int, props map<string,string>")
+    got = sorted((r.id, r.props["rid"]) for r in op.select_rules(df, "v", rdf, max_rules=5).collect())
+    model = sorted((i, p["rid"]) for i, v in vals for _, lo, hi, p in rules
+                   if (lo is None or v >= lo) and (hi is None or v < hi))
+    assert got == model
