@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import as_col, cols
+from fleetlens.functions.columns import cols
 from fleetlens.operators.configs import first_by
 from fleetlens.plans.ordinal import position_within
 from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
@@ -18,23 +18,25 @@ from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
 def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequence[str],
                        host: str, ord: str | Column, item: str,
                        items_host: str | None = None, items_cluster: bool = False,
-                       distinct_items: bool = True, spread: int = 16) -> DataFrame:
+                       distinct_items: bool = True, spread: int = 64) -> DataFrame:
     """W12. Per cluster, the first host by ``ord`` is the template; its items
     are planned for every later host. Returns (cluster..., host, item).
     A cluster with a single host yields no rows. Pass only the hosts that
     take part (e.g. secondaries); the caller filters roles.
 
     The output is hosts x template items per cluster by design. To keep a hot
-    cluster from landing in one task, targets are salted into ``spread``
-    buckets by host hash and the template items (one host's worth per
-    cluster) are replicated to every bucket; the join key is (cluster, salt).
+    cluster from landing in one task, each target host is hashed into one of
+    ``spread`` salts and the template's items are copied to exactly the salts
+    that cluster uses (found by a map-side-combined distinct), so a cluster
+    with two targets copies its items at most twice while a huge cluster is
+    joined by up to ``spread`` tasks on (cluster, salt).
     """
     cl = cols(cluster)
     ih = items_host or host
     tmpl = hosts.groupBy(*cl).agg(first_by(host, ord).alias("_fl_t"))
     targets = (hosts.join(tmpl, cl, "inner")
                .filter(~F.col(host).eqNullSafe(F.col("_fl_t")))
-               .select(*cl, host))
+               .select(*cl, host, F.pmod(F.xxhash64(F.col(host)), F.lit(spread)).alias("_fl_s")))
     icond = items[ih] == tmpl["_fl_t"]
     if items_cluster:
         for c in cl:
@@ -42,10 +44,9 @@ def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequen
     titems = items.join(tmpl, icond, "inner").select(*[tmpl[c] for c in cl], items[item])
     if distinct_items:
         titems = titems.distinct()
-    salted_targets = targets.withColumn("_fl_s", F.pmod(F.xxhash64(F.col(host)), F.lit(spread)))
-    salted_items = titems.withColumn("_fl_s", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                                   F.lit(spread - 1).cast("long"))))
-    return salted_targets.join(salted_items, cl + ["_fl_s"], "inner").select(*cl, host, item)
+    used = targets.select(*cl, "_fl_s").distinct()
+    salted_items = titems.join(used, cl, "inner")
+    return targets.join(salted_items, cl + ["_fl_s"], "inner").select(*cl, host, item)
 
 
 def assign_ids(df: DataFrame, cluster: str | Sequence[str], ord: str | Sequence[str],

@@ -200,3 +200,23 @@ def test_select_rules_many_untyped_model(spark):
     model = sorted((i, p["rid"]) for i, v in vals for _, lo, hi, p in rules
                    if (lo is None or v >= lo) and (hi is None or v < hi))
     assert got == model
+
+
+def test_replicate_template_hot_cluster_model(spark):
+    rnd = random.Random(10)
+    hosts, items, model = [], [], set()
+    sizes = {"hot": 3000, **{f"c{i}": rnd.randint(1, 6) for i in range(50)}}
+    for c, n in sizes.items():
+        hs = [(c, f"{c}-h{k}", rnd.random()) for k in range(n)]
+        hosts += hs
+        for _, h, _ in hs:
+            items += [(h, f"comp{rnd.randint(0, 9)}") for _ in range(rnd.randint(0, 4))]
+        tmpl = min(hs, key=lambda t: t[2])[1]
+        comps = {it for hh, it in items if hh == tmpl}
+        model |= {(c, h, it) for _, h, _ in hs if h != tmpl for it in comps}
+    hdf = spark.createDataFrame(hosts, "cluster string, host string, o double")
+    idf = spark.createDataFrame(items, "h string, comp string")
+    out = op.replicate_template(hdf, idf, "cluster", "host", "o", "comp", items_host="h", spread=8)
+    got = [(r.cluster, r.host, r.comp) for r in out.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == model
