@@ -246,7 +246,10 @@ def w19_check_cardinality(spark, sf_dir):
 
 def w20_time_to_ready(spark, sf_dir):
     ev = _t(spark, sf_dir).events
-    return op.time_to_ready(ev, "user_id", F.date_trunc("DAY", "ts"),
+    # Day of a zone-less timestamp, kept zone-less (independent of the
+    # session time zone).
+    day = F.to_date("ts").cast("timestamp_ntz")
+    return op.time_to_ready(ev, "user_id", day,
                             F.col("event_type") != "error", max_polls=W20_MAX_POLLS)
 
 
