@@ -152,3 +152,26 @@ def test_configure_fleet_is_idempotent(spark):
     a = {(r.cluster_id, r.config_type): r.properties for r in first.collect()}
     b = {(r.cluster_id, r.config_type): r.properties for r in second.collect()}
     assert a == b
+
+
+def test_configure_fleet_plan(spark):
+    spec, services, desired, versions = fleet(12)
+    s = spark.createDataFrame(spec, "cluster_id string, version string")
+    sv = spark.createDataFrame(services, "cluster_id string, service_name string")
+    d = spark.createDataFrame(desired, "cluster_id string, config_type string, tag string")
+    v = spark.createDataFrame(versions, "cluster_id string, config_type string, tag string, "
+                                        "ord int, properties map<string,string>")
+    cr = spark.createDataFrame(CONFIG_RULES, "config_type string, needs_service string, "
+                                             "lo array<int>, hi array<int>, properties map<string,string>")
+    lr = spark.createDataFrame(LIST_RULES, "config_type string, key string, ord int, item string, "
+                                           "lo array<int>, hi array<int>")
+    car = spark.createDataFrame(CARRY_RULES, "config_type string, key string, src_type string, "
+                                             "src_key string, template string")
+    p = configure_fleet(s, sv, d, v, cr, lr, car, gate_service="lineage") \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in p and "SinglePartition" not in p
+    assert "PythonUDF" not in p and "BatchEvalPython" not in p
+    # rule tables meet the clusters only as bounded broadcasts
+    for line in p.splitlines():
+        if "NestedLoopJoin" in line:
+            assert "BroadcastNestedLoopJoin" in line

@@ -220,3 +220,13 @@ def test_replicate_template_hot_cluster_model(spark):
     got = [(r.cluster, r.host, r.comp) for r in out.collect()]
     assert len(got) == len(set(got))
     assert set(got) == model
+
+
+def test_fleet_table_reader(spark):
+    from fleetlens.sources import FLEET_SCHEMAS, fleet_table
+    d = tempfile.mkdtemp(prefix="fleetlens-fleet-")
+    rows = [("c1", "h1", "primary", 0), ("c1", "h2", "secondary", 1)]
+    spark.createDataFrame(rows, FLEET_SCHEMAS["nodes"]).write.mode("overwrite").parquet(d + "/nodes")
+    back = fleet_table(spark, d + "/nodes", "nodes")
+    assert back.schema == FLEET_SCHEMAS["nodes"]
+    assert sorted(tuple(r) for r in back.collect()) == rows
