@@ -9,8 +9,7 @@ from fleetlens.operators.configs import (
 from fleetlens.operators.filters import having_member, keep_listed
 from fleetlens.operators.gates import (
     all_healthy, blocker_rows, blockers, reconcile, reconcile_summary, reconcile_tagged,
-    state_is,
-    state_summary, time_to_ready,
+    state_is, state_rows, state_summary, time_to_ready,
 )
 from fleetlens.operators.rosters import (
     assemble_roster, assign_ids, check_cardinality, rename_keys, replicate_template,
@@ -26,5 +25,5 @@ __all__ = [
     "reconcile_summary",
     "reconcile_tagged",
     "rename_keys", "replicate_template", "resolve_current", "rewrite_text", "select_rules",
-    "state_is", "state_summary", "time_to_ready",
+    "state_is", "state_rows", "state_summary", "time_to_ready",
 ]

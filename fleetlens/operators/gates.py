@@ -156,7 +156,8 @@ def state_summary(items: DataFrame, cluster: str | Sequence[str], state: str,
                   hit: str = "any_hit") -> DataFrame:
     """W06. Distinct states per cluster (sorted array) and whether any of
     ``any_of`` occurs. The set per cluster is bounded by the state domain and
-    is built map-side (collect_set is partially aggregated)."""
+    is built map-side (collect_set is partially aggregated); for a state
+    column with an open domain use :func:`state_rows`."""
     cl = cols(cluster)
     s = F.col(state)
     return items.groupBy(*cl).agg(
@@ -165,6 +166,16 @@ def state_summary(items: DataFrame, cluster: str | Sequence[str], state: str,
     )
 
 
+def state_rows(items: DataFrame, cluster: str | Sequence[str], state: str,
+               any_of: Sequence[str], hit: str = "any_hit") -> DataFrame:
+    """W06 long form, for a state column whose domain is not small: one row
+    per distinct (cluster, state) with ``hit`` telling whether the state is
+    one of ``any_of``. ``max(hit)`` per cluster is the summary's flag."""
+    cl = cols(cluster)
+    return items.select(*cl, state).distinct().withColumn(
+        hit, F.coalesce(F.col(state).isin(list(any_of)), F.lit(False)))
+
+
 def time_to_ready(polls: DataFrame, cluster: str | Sequence[str], poll: str | Column,
                   ok: Column, max_polls: int | None = None,
                   poll_name: str = "poll") -> DataFrame:

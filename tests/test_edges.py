@@ -113,6 +113,9 @@ def test_w06_state_summary(spark):
     out = op.state_summary(svc, "cluster_id", "state", ["STARTED", "STARTING"])
     assert rows(out, "cluster_id", "states", "any_hit") == [
         ("c1", ["INSTALLED", "STARTED"], True), ("c2", ["INSTALLED"], False)]
+    long = op.state_rows(svc, "cluster_id", "state", ["STARTED", "STARTING"])
+    assert rows(long, "cluster_id", "state", "any_hit") == [
+        ("c1", "INSTALLED", False), ("c1", "STARTED", True), ("c2", "INSTALLED", False)]
 
 
 # W07 ---------------------------------------------------------------------

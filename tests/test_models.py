@@ -230,3 +230,36 @@ def test_fleet_table_reader(spark):
     back = fleet_table(spark, d + "/nodes", "nodes")
     assert back.schema == FLEET_SCHEMAS["nodes"]
     assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_version_order_model(spark):
+    """E1: parsed keys order like Python tuples of ints (shorter prefix first)."""
+    from fleetlens.functions import version_key
+    rnd = random.Random(11)
+    vs = [".".join(str(rnd.randint(0, 12)) for _ in range(rnd.randint(1, 4))) for _ in range(400)]
+    pairs = [(a, b) for a, b in zip(vs, reversed(vs))]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    out = df.select("a", "b", (version_key("a") < version_key("b")).alias("lt"),
+                    (version_key("a") == version_key("b")).alias("eq")).collect()
+    tup = lambda s: tuple(int(p) for p in s.split("."))
+    for r in out:
+        assert r.lt == (tup(r.a) < tup(r.b)) and r.eq == (tup(r.a) == tup(r.b)), (r.a, r.b)
+
+
+def test_rewrite_matches_python_re(spark):
+    """W16: Spark's regex replacement with converted back-references equals
+    Python's ``re.sub`` on random text, rule by rule in order."""
+    import re
+    from fleetlens.functions import java_replacement
+    rnd = random.Random(12)
+    alphabet = "ab.X$=\n 12"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    rules = [(r"a(b+)", r"<\1>"), (r"X.", r"[\g<0>]"), (r"(\d)=(\d)", r"\2=\1$"), (r"^ +", "")]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    out = op.rewrite_text(df, "t", [(p, java_replacement(r)) for p, r in rules])
+    got = {r.id: r.t for r in out.collect()}
+    for i, t in enumerate(texts):
+        want = t
+        for p, r in rules:
+            want = re.sub(p, r, want)  # both dialects: ^ is the start of the text
+        assert got[i] == want, (t, got[i], want)
