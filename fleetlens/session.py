@@ -57,3 +57,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+# Settings for a large cluster (many executors, tens to hundreds of TB). The
+# library never sets these itself; a job launcher passes them at submit time.
+# Partition counts follow the data, not the cores: shuffles start with many
+# partitions and adaptive execution coalesces them to the advisory size, so
+# a 100 TB input read in 256 MB splits (about 400,000 tasks) aggregates into
+# partitions that fit executor memory and spill rarely.
+CLUSTER_SETTINGS: dict[str, str] = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "100000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # split a partition that is 4x the median and above 512 MB (hot clusters)
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    # broadcast only sides measured below this at run time
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # lost executors: move shuffle and cached blocks off decommissioned
+    # nodes, and retry tasks and stages rather than failing the job
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+}
