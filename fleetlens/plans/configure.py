@@ -28,6 +28,8 @@ Update precedence on one key: carried, then list, then rule constants.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +94,15 @@ def _carried(cur, carry_rules, max_rules):
 def configure_fleet(spec: DataFrame, services: DataFrame, desired: DataFrame,
                     versions: DataFrame, config_rules: DataFrame,
                     list_rules: DataFrame | None = None, carry_rules: DataFrame | None = None,
-                    gate_service: str | None = None,
+                    gate_service: str | None = None, fill: Mapping[str, str] | None = None,
                     max_rules: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Resulting bags in long rows: cluster_id, config_type, key, value,
-    source (``base`` = unchanged, ``update`` = written by a rule)."""
+    source (``base`` = unchanged, ``update`` = written by a rule).
+
+    ``fill`` maps a placeholder name to a column of ``spec``: ``{name}`` in
+    any update value is replaced by that cluster's value (e.g. the server
+    host). Substitution is literal text replacement."""
+    fill = dict(fill or {})
     targets = spec.select("cluster_id", version_prefix(version_key("version")).alias("stack"))
     if gate_service is not None:
         targets = op.having_member(targets, services, "cluster_id",
@@ -110,6 +117,13 @@ def configure_fleet(spec: DataFrame, services: DataFrame, desired: DataFrame,
     for p in parts[1:]:
         upd = upd.unionByName(p)
     upd = upd.groupBy(*KEYS).agg(op.first_by("value", "prio").alias("value"))
+    if fill:
+        vals = spec.select("cluster_id", *[F.col(c).alias(f"_fl_f_{n}") for n, c in fill.items()])
+        upd = upd.join(vals, "cluster_id", "left")
+        v = F.col("value")
+        for n in fill:
+            v = F.replace(v, F.lit("{" + n + "}"), F.coalesce(F.col(f"_fl_f_{n}"), F.lit("")))
+        upd = upd.select(*KEYS, v.alias("value"))
     return op.overlay(cur, upd, ["cluster_id", "config_type"], source="source")
 
 

@@ -175,3 +175,54 @@ def test_configure_fleet_plan(spark):
     for line in p.splitlines():
         if "NestedLoopJoin" in line:
             assert "BroadcastNestedLoopJoin" in line
+
+
+def test_lineage_rules_end_to_end(spark):
+    from fleetlens.plans.lineage_rules import GATE_SERVICE, rule_tables
+    spec = spark.createDataFrame(
+        [("old", "2.6.4.0", "srv-old"), ("new", "3.1.0.0", "srv-new"), ("off", "3.1.0.0", "x")],
+        "cluster_id string, version string, server string")
+    services = spark.createDataFrame(
+        [("old", "ATLAS"), ("new", "atlas"), ("off", "HIVE")], "cluster_id string, service_name string")
+    cur = {
+        "hdfs-site": {"dfs.datanode.data.dir": "/hadoop/hdfs/data", "dfs.namenode.name.dir": ""},
+        "yarn-site": {"yarn.nodemanager.local-dirs": "/hadoop/yarn/local",
+                      "yarn.nodemanager.log-dirs": "/hadoop/yarn/log"},
+        "mapred-site": {"mapred.local.dir": "/hadoop/mapred"},
+        "hive-site": {"hive.metastore.uris": "thrift://m:9083"},
+        "zoo.cfg": {"clientPort": "2181"},
+        "kafka-broker": {"port": "6667"},
+    }
+    desired, versions = [], []
+    for c in ["old", "new", "off"]:
+        for t, props in cur.items():
+            desired.append((c, t, "v1"))
+            versions.append((c, t, "v0", 0, {"stale": "yes"}))
+            versions.append((c, t, "v1", 1, props))
+    d = spark.createDataFrame(desired, "cluster_id string, config_type string, tag string")
+    v = spark.createDataFrame(versions, "cluster_id string, config_type string, tag string, "
+                                        "ord int, properties map<string,string>")
+    cr, lr, car = rule_tables(spark)
+    out = configure_fleet(spec, services, d, v, cr, lr, car, gate_service=GATE_SERVICE,
+                          fill={"server": "server"})
+    bags = {(r.cluster_id, r.config_type): r.properties for r in as_bags(out).collect()}
+    assert not any(c == "off" for c, _ in bags)
+    assert bags[("old", "yarn-env")] == {"min_user_id": "500"}
+    assert bags[("new", "yarn-env")] == {"min_user_id": "1000"}
+    assert bags[("old", "hdfs-site")]["dfs.datanode.data.dir"] == \
+        "/hadoop/hdfs/data,/run/hadoop/hdfs/data,/run/lock/hadoop/hdfs/data"
+    assert bags[("new", "hdfs-site")]["dfs.datanode.data.dir"] == "/hadoop/hdfs/data,/run/hadoop/hdfs/data"
+    assert bags[("new", "hdfs-site")]["dfs.namenode.name.dir"] == "/run/hadoop/hdfs/namenode"
+    assert bags[("new", "yarn-site")]["yarn.nodemanager.log-dirs"] == "/hadoop/yarn/log,/run/hadoop/yarn/log"
+    assert bags[("old", "mapred-site")]["mapred.local.dir"] == "/hadoop/mapred,/run/hadoop/mapred"
+    assert bags[("new", "core-site")]["hadoop.proxyuser.root.hosts"] == "srv-new"
+    assert bags[("old", "hive-interactive-site")] == {"hive.metastore.uris": "thrift://m:9083"}
+    app = bags[("new", "application-properties")]
+    assert app["atlas.kafka.bootstrap.servers"] == "srv-new:6667"
+    assert app["atlas.graph.index.search.solr.zookeeper-url"] == "srv-new:2181/infra-solr"
+    assert app["atlas.rest.address"] == "http://srv-new:21000"
+    assert ("old", "hbase-site") not in bags and ("new", "hbase-site") in bags
+    assert ("old", "webhcat-site") in bags and ("new", "webhcat-site") not in bags
+    assert bags[("old", "yarn-site")]["yarn.timeline-service.entity-group-fs-store."
+                                      "group-id-plugin-classpath"].startswith("/usr/")
+    assert bags[("new", "zoo.cfg")] == {"clientPort": "2181"}
