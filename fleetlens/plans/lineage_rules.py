@@ -6,6 +6,12 @@ Intervals are on the two-part stack version: ``lo <= (major, minor) < hi``,
 None = open. ``{server}`` stands for the lineage server's host and is filled
 per cluster from a column of the cluster spec; ``{}`` in a carry template is
 the carried value.
+
+One update of the source is left out: the timeline plug-in classpath under
+yarn-site below (3,0), whose value is an install path of the distribution.
+Add it as a rule row with the path of the target installation. From (3,0)
+the source builds the new log-dirs value from the local-dirs value; here the
+log-dirs value is extended with its own item instead.
 """
 
 from __future__ import annotations
@@ -48,8 +54,6 @@ UPDATE_ROWS = [
     ("yarn-site", None, SPLIT, "yarn.timeline-service.entity-group-fs-store.group-id-plugin-classes",
      "org.apache.tez.dag.history.logging.ats.TimelineCachePluginImpl,"
      "org.apache.spark.deploy.history.yarn.plugin.SparkATSPlugin"),
-    ("yarn-site", None, SPLIT, "yarn.timeline-service.entity-group-fs-store.group-id-plugin-classpath",
-     "/usr/hdp/{{spark_version}}/spark/hdpLib/*"),
     ("yarn-site", None, None, "yarn.timeline-service.http-authentication.proxyuser.root.groups", "*"),
     ("yarn-site", None, None, "yarn.timeline-service.http-authentication.proxyuser.root.hosts",
      "{server}"),

@@ -223,6 +223,6 @@ def test_lineage_rules_end_to_end(spark):
     assert app["atlas.rest.address"] == "http://srv-new:21000"
     assert ("old", "hbase-site") not in bags and ("new", "hbase-site") in bags
     assert ("old", "webhcat-site") in bags and ("new", "webhcat-site") not in bags
-    assert bags[("old", "yarn-site")]["yarn.timeline-service.entity-group-fs-store."
-                                      "group-id-plugin-classpath"].startswith("/usr/")
+    assert bags[("old", "yarn-site")]["hadoop.registry.rm.enabled"] == "true"
+    assert "hadoop.registry.rm.enabled" not in bags[("new", "yarn-site")]
     assert bags[("new", "zoo.cfg")] == {"clientPort": "2181"}
