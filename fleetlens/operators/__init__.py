@@ -14,16 +14,19 @@ from fleetlens.operators.gates import (
 from fleetlens.operators.rosters import (
     assemble_roster, assign_ids, check_cardinality, rename_keys, replicate_template,
 )
-from fleetlens.operators.text import extract_first, rewrite_text
+from fleetlens.operators.text import (
+    extract_first, literal_replacement, rewrite_expr, rewrite_text,
+)
 from fleetlens.operators.versions import bracket_lookup, expand_bundles
 
 __all__ = [
     "Rule", "all_healthy", "append_missing", "assemble_roster", "assign_ids",
     "blocker_rows", "blockers", "bracket_lookup", "carry_property", "check_cardinality",
     "expand_bundles", "extract_first", "first_by", "having_member", "json_prop",
-    "keep_listed", "overlay", "overlay_bags", "overlay_tagged", "reconcile",
+    "keep_listed", "literal_replacement", "overlay", "overlay_bags", "overlay_tagged", "reconcile",
     "reconcile_summary",
     "reconcile_tagged",
-    "rename_keys", "replicate_template", "resolve_current", "rewrite_text", "select_rules",
+    "rename_keys", "replicate_template", "resolve_current", "rewrite_expr", "rewrite_text",
+    "select_rules",
     "state_is", "state_rows", "state_summary", "time_to_ready",
 ]

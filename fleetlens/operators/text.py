@@ -19,11 +19,22 @@ def rewrite_text(df: DataFrame, text: str,
     replacements use ``$1`` for groups (see
     :func:`fleetlens.functions.java_replacement` for Python-style text) and
     may be columns, e.g. a per-cluster value joined in beforehand."""
-    out = F.col(text)
+    return df.withColumn(name or text, rewrite_expr(F.col(text), rules))
+
+
+def rewrite_expr(text: Column, rules: Sequence[tuple[str, str | Column]]) -> Column:
+    """The fold of :func:`rewrite_text` as a column expression."""
+    out = text
     for pattern, repl in rules:
         r = repl if isinstance(repl, Column) else F.lit(repl)
         out = F.regexp_replace(out, F.lit(pattern), r)
-    return df.withColumn(name or text, out)
+    return out
+
+
+def literal_replacement(value: Column) -> Column:
+    """Escape ``\\`` and ``$`` in a column so it is inserted verbatim as a
+    regex replacement (host names, realms and lifetimes come from data)."""
+    return F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), r"\$", r"\\\$")
 
 
 def extract_first(df: DataFrame, text: str | Column, sep: str, token: str,
