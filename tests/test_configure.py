@@ -1,6 +1,8 @@
 """The configuration chain against a plain-Python model of one cluster at a
 time, on a generated fleet."""
 
+from pyspark.sql import functions as F
+
 from fleetlens.plans.configure import as_bags, configure_fleet
 
 VERSIONS = ["2.6.4.0", "3.1.0.0", "2.5.0.0", "3.0.1.0"]
@@ -226,3 +228,30 @@ def test_lineage_rules_end_to_end(spark):
     assert bags[("old", "yarn-site")]["hadoop.registry.rm.enabled"] == "true"
     assert "hadoop.registry.rm.enabled" not in bags[("new", "yarn-site")]
     assert bags[("new", "zoo.cfg")] == {"clientPort": "2181"}
+
+
+def test_kerberos_bags(spark):
+    from fleetlens.plans.kerberos_rules import kerberos_bags, replace_bags
+    clusters = spark.createDataFrame(
+        [("c1", "net1", "kdc.net1", None, True), ("c2", "lab", "kdc.lab", "3600", True),
+         ("c3", "x", "kdc.x", None, False)],
+        "cluster_id string, network string, kdc_host string, ticket_lifetime string, kerb boolean")
+    new = kerberos_bags(clusters, enabled=F.col("kerb"))
+    bags = {(r.cluster_id, r.config_type): r.properties for r in as_bags(new).collect()}
+    assert set(bags) == {("c1", "krb5-conf"), ("c1", "kerberos-env"),
+                         ("c2", "krb5-conf"), ("c2", "kerberos-env")}
+    env = bags[("c1", "kerberos-env")]
+    assert (env["realm"], env["kdc_hosts"], env["admin_server_host"]) == ("NET1", "kdc.net1", "kdc.net1")
+    assert env["service_check_principal_name"] == "${cluster}-${short_date}"
+    assert len(env) == 13 and len(bags[("c1", "krb5-conf")]) == 4
+    c1, c2 = bags[("c1", "krb5-conf")]["content"], bags[("c2", "krb5-conf")]["content"]
+    assert "ticket_lifetime = 24h\n" in c1 and "ticket_lifetime = 3600\n" in c2
+    assert "default_realm = {{realm}}" in c1 and "%{uid}" in c1
+    cur = spark.createDataFrame(
+        [("c1", "kerberos-env", "old_key", "x"), ("c1", "hdfs-site", "a", "1"),
+         ("c3", "kerberos-env", "old_key", "y")],
+        "cluster_id string, config_type string, key string, value string")
+    out = {(r.cluster_id, r.config_type, r.key) for r in replace_bags(cur, new).collect()}
+    assert ("c1", "kerberos-env", "old_key") not in out
+    assert ("c1", "hdfs-site", "a") in out and ("c3", "kerberos-env", "old_key") in out
+    assert ("c1", "kerberos-env", "realm") in out
