@@ -119,17 +119,20 @@ def check_cardinality(roster: DataFrame, clusters: DataFrame, cluster: str,
     cardinality (``1``, ``1+``, ``N-M``). Every listed cluster gets one row
     per rule, so a group with no member shows up as a violation.
 
-    The (cluster, group) frame is a union of one projection of the cluster
-    list per rule -- no cross join -- and member counts are aggregated
-    map-side before the join."""
+    The (cluster, group) frame comes from one scan of the cluster list: each
+    cluster row explodes a literal array with one entry per rule -- no cross
+    join -- and member counts are aggregated map-side before the join."""
     ck = clusters_key or cluster
-    frame = None
+    entries = []
     for g, spec in rules.items():
         lo, hi = _card_bounds(spec)
-        p = clusters.select(F.col(ck).alias(cluster)).distinct().select(
-            cluster, F.lit(g).alias(group), F.lit(spec).alias("cardinality"),
-            F.lit(lo).alias("_fl_lo"), F.lit(hi).cast("int").alias("_fl_hi"))
-        frame = p if frame is None else frame.unionByName(p)
+        entries.append(F.struct(F.lit(g).alias("g"), F.lit(spec).alias("spec"),
+                                F.lit(lo).alias("lo"), F.lit(hi).cast("int").alias("hi")))
+    frame = (clusters.select(F.col(ck).alias(cluster)).distinct()
+             .select(cluster, F.explode(F.array(*entries)).alias("_fl_r"))
+             .select(cluster, F.col("_fl_r.g").alias(group),
+                     F.col("_fl_r.spec").alias("cardinality"),
+                     F.col("_fl_r.lo").alias("_fl_lo"), F.col("_fl_r.hi").alias("_fl_hi")))
     counts = roster.groupBy(cluster, group).agg(F.count(F.lit(1)).alias("n_members"))
     j = frame.join(counts, [cluster, group], "left")
     n = F.coalesce("n_members", F.lit(0).cast("long"))

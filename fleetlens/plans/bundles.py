@@ -90,21 +90,24 @@ def plan_components(spec: DataFrame, cluster: str = "cluster_id", version: str =
     chosen by a ceiling lookup of the release key. A component listed in both
     stays twice (bag union).
 
-    The (cluster, group) rows are a union of one projection of ``spec`` per
-    group -- no cross join; bundle choice and expansion are map-only."""
+    Each cluster row explodes one literal entry per host group (one scan,
+    no join); bundle choice and expansion are map-only."""
     keyed = spec.select(F.col(cluster).alias(cluster), version_key(version).alias("_fl_key"))
     ladder = [(list(bound), i) for i, (bound, _) in enumerate(BUNDLES)]
     keyed = op.bracket_lookup(keyed, "_fl_key", ladder, len(BUNDLES), name="_fl_bundle")
-    rows = None
+    groups = []
     for g in BASE_COMPONENTS:
         extras = F.array(*[_lit_list(b[g]) for _, b in BUNDLES], _lit_list(DEFAULT_EXTRAS[g]))
-        extra = F.element_at(extras, F.col("_fl_bundle").cast("int") + 1)
-        p = keyed.select(
-            cluster, "_fl_key", F.lit(g).alias("host_group"),
-            F.lit(GROUP_CARDINALITY[g]).alias("cardinality"),
-            _lit_list(BASE_COMPONENTS[g]).alias("_fl_base"),
-            (F.array().cast("array<string>") if bare else extra).alias("_fl_extra"))
-        rows = p if rows is None else rows.unionByName(p)
+        groups.append(F.struct(F.lit(g).alias("g"), F.lit(GROUP_CARDINALITY[g]).alias("card"),
+                               _lit_list(BASE_COMPONENTS[g]).alias("base"),
+                               extras.alias("extras")))
+    per_group = keyed.select(cluster, "_fl_key", "_fl_bundle",
+                             F.explode(F.array(*groups)).alias("_fl_grp"))
+    extra = F.element_at(F.col("_fl_grp.extras"), F.col("_fl_bundle").cast("int") + 1)
+    rows = per_group.select(
+        cluster, "_fl_key", F.col("_fl_grp.g").alias("host_group"),
+        F.col("_fl_grp.card").alias("cardinality"), F.col("_fl_grp.base").alias("_fl_base"),
+        (F.array().cast("array<string>") if bare else extra).alias("_fl_extra"))
     drop_when = (F.col("host_group") == DROP_GROUP) & \
         (F.col("_fl_key") <= version_literal(DROP_AT_OR_BELOW))
     return op.expand_bundles(rows, [cluster, "host_group", "cardinality"], "_fl_base",
