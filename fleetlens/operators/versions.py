@@ -108,6 +108,7 @@ def expand_bundles(groups: DataFrame, key: str | Sequence[str], base: str | Colu
         arr = F.concat(arr, as_col(extra))
     if drop is not None:
         cond = drop_when if drop_when is not None else F.lit(True)
-        arr = F.filter(arr, lambda x: ~(F.coalesce(cond, F.lit(False)) & (x == F.lit(drop))))
+        arr = F.filter(arr, lambda x: ~(F.coalesce(cond, F.lit(False))
+                                        & F.coalesce(x == F.lit(drop), F.lit(False))))
     return groups.select(*key, F.posexplode(arr).alias(pos, item)).withColumn(
         pos, F.col(pos).cast("long"))

@@ -224,6 +224,10 @@ def test_w11_bag_union_and_drop(spark):
     out = op.expand_bundles(groups, "grp", "base", "extra", drop="APP_TIMELINE_SERVER",
                             drop_when=F.col("old"))
     assert rows(out, "pos", "component") == [(0, "NAMENODE"), (1, "PIG"), (2, "PIG")]
+    withnull = spark.createDataFrame([("g", ["A", None, "B"], True)],
+                                     "grp string, base array<string>, old boolean")
+    kept = op.expand_bundles(withnull, "grp", "base", drop="B", drop_when=F.col("old"))
+    assert [r.component for r in kept.orderBy("pos").collect()] == ["A", None]
 
 
 # W12 ---------------------------------------------------------------------
