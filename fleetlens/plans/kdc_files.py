@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions import falsy_default
 from fleetlens.operators.text import literal_replacement, rewrite_expr
 
 # ---------------------------------------------------------------------------
@@ -46,7 +47,7 @@ def rules_for(kind: str, network: Column, kdc_host: Column, primary_host: Column
                 (r"example.com", _lit(network)),
                 (r"EXAMPLE.COM", _lit(realm))]
     if kind == KDC_CONF:
-        max_life = F.coalesce(F.nullif(lifetime, F.lit("")), F.lit(DEFAULT_MAX_LIFE))
+        max_life = falsy_default(lifetime, DEFAULT_MAX_LIFE)
         head = F.concat(F.lit(f"[kdcdefaults]\n max_renewablelife = {MAX_RENEWABLE_LIFE}\n max_life = "),
                         _lit(max_life))
         return [(r"\[kdcdefaults\]", head), (r"EXAMPLE.COM", _lit(realm))]

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions import falsy_default
+
 # ---------------------------------------------------------------------------
 # The bags the source writes. "{kdc_realm}", "{kdc_host}" and
 # "{ticket_lifetime}" are filled per cluster; "{{...}}" and "{%...%}" belong
@@ -78,8 +80,7 @@ def kerberos_bags(clusters: DataFrame, network: str = "network", kdc_host: str =
     src = clusters if enabled is None else clusters.filter(enabled)
     rows = src.select(
         "cluster_id", F.upper(F.col(network)).alias("_fl_realm"), F.col(kdc_host).alias("_fl_kdc"),
-        F.coalesce(F.nullif(F.col(lifetime).cast("string"), F.lit("")),
-                   F.lit(DEFAULT_TICKET_LIFETIME)).alias("_fl_life"),
+        falsy_default(F.col(lifetime).cast("string"), DEFAULT_TICKET_LIFETIME).alias("_fl_life"),
         F.explode(entries).alias("_fl_e"))
     v = F.col("_fl_e.value")
     for token, col in (("{kdc_realm}", "_fl_realm"), ("{kdc_host}", "_fl_kdc"),

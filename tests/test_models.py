@@ -168,6 +168,10 @@ def test_templates(spark):
                   principal(F.lit("admin/admin"), realm("net")).alias("p")).first()
     assert (r.e, r.u, r.q, r.p) == ("n1.net:9092", "http://n1.net:21000", "a:2181,b:2181",
                                     "admin/admin@NET")
+    from fleetlens.functions import falsy_default
+    vals = spark.createDataFrame([("x",), ("",), (None,)], "v string")
+    got = [r.o for r in vals.select(falsy_default("v", "d").alias("o")).collect()]
+    assert got == ["x", "d", "d"]
 
 
 def test_bracket_large_ladder_model(spark):
