@@ -255,3 +255,13 @@ def test_kerberos_bags(spark):
     assert ("c1", "kerberos-env", "old_key") not in out
     assert ("c1", "hdfs-site", "a") in out and ("c3", "kerberos-env", "old_key") in out
     assert ("c1", "kerberos-env", "realm") in out
+
+
+def test_principal_users(spark):
+    from fleetlens.plans.principals import principal_users
+    pr = spark.createDataFrame([("c1", 0, "alice"), ("c1", 1, "bob"), ("c1", 2, "alice"),
+                                ("c2", 0, "svc")], "cluster_id string, ord int, name string")
+    cl = spark.createDataFrame([("c1", "net1"), ("c2", "lab")], "cluster_id string, network string")
+    got = sorted(tuple(r) for r in principal_users(pr, cl).collect())
+    assert got == [("c1", 0, "alice", 1000, "alice@NET1"), ("c1", 1, "bob", 1001, "bob@NET1"),
+                   ("c1", 2, "alice", 1002, "alice@NET1"), ("c2", 0, "svc", 1000, "svc@LAB")]
