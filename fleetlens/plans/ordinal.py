@@ -11,7 +11,9 @@ third of the data. This plan keeps the same result but spreads a group:
    of rows of g in earlier partitions;
 4. join back on (g, partition): position = offset + local position.
 
-The tagged data is read twice. When the session names a reliable checkpoint
+Costs at scale: the range exchange first samples its input (one extra read
+of the rows being numbered), then shuffles them once; the count table is
+tiny. The tagged data is read twice. When the session names a reliable checkpoint
 folder it is checkpointed once, so both reads see the same rows even if an
 executor is lost. Without one, both branches reuse the same deterministic
 range exchange; ties in the order key are then broken arbitrarily, as they are
@@ -30,8 +32,11 @@ from fleetlens.functions.columns import cols
 
 def _checkpoint_dir(df: DataFrame) -> str | None:
     spark = df.sparkSession
-    sc = spark.sparkContext
-    return sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        current = spark.sparkContext.getCheckpointDir()
+    except Exception:  # no SparkContext on the client (Spark Connect)
+        current = None
+    return current or spark.conf.get("spark.checkpoint.dir", None)
 
 
 def position_within(df: DataFrame, group: str | Sequence[str],
