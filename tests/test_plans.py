@@ -57,3 +57,17 @@ def test_aggregates_are_partial(spark):
         p = plan(spark, name)
         assert "partial_" in p, (name, p)
         assert "SortAggregate" not in p, (name, p)
+
+
+def test_join_kinds(spark):
+    """Expected join kind per operator."""
+    p = plan(spark, "w02_having_member")
+    assert "LeftSemi" in p, p
+    p = plan(spark, "w14_rename_keys")
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p, p
+    p = re.sub(r"#\d+L?", "", plan(spark, "w09_select_rules_join"))
+    assert "BroadcastHashJoin [p_type]" in p and "BroadcastNestedLoopJoin" in p, p
+    p = plan(spark, "w08_overlay_join")
+    assert "FullOuter" in p, p
+    p = plan(spark, "w03_reconcile")
+    assert "Join" not in p, p
