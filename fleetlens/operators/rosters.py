@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from fleetlens.functions.columns import cols
 from fleetlens.operators.configs import first_by
 from fleetlens.plans.ordinal import position_within
-from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small, within_rows
+from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
 
 
 def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequence[str],
                        host: str, ord: str | Column, item: str,
                        items_host: str | None = None, items_cluster: bool = False,
                        distinct_items: bool = True, hosts_per_salt: int = 100_000,
-                       spread: int = 256, max_hot: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                       spread: int = 256) -> DataFrame:
     """W12. Per cluster, the first host by ``ord`` is the template; its items
     are planned for every later host. Returns (cluster..., host, item).
     A cluster with a single host yields no rows. Pass only the hosts that
@@ -30,35 +30,35 @@ def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequen
     cluster (map-side combined), a cluster with more than ``hosts_per_salt``
     targets gets ``ceil(n / hosts_per_salt)`` salts (at most ``spread``), its
     targets are spread over them by host hash and its template items copied
-    once per salt. The table of hot clusters is small and is broadcast after
-    a row count (``max_hot``); all other clusters join unsalted, so nothing
-    is copied for them.
+    once per salt. All other clusters join unsalted, so nothing is copied for
+    them. The cluster sizes come from the same aggregate that picks the
+    template, so salting costs no extra pass or join.
     """
     cl = cols(cluster)
     ih = items_host or host
-    tmpl = hosts.groupBy(*cl).agg(first_by(host, ord).alias("_fl_t"))
+    # One aggregate gives the template and the cluster's size; the salt count
+    # rides along with the template, so salting needs no pass of its own.
+    n_targets = F.count(F.lit(1)) - 1
+    tmpl = hosts.groupBy(*cl).agg(first_by(host, ord).alias("_fl_t"),
+                                  n_targets.alias("_fl_n"))
+    tmpl = tmpl.withColumn("_fl_k", F.when(
+        F.col("_fl_n") > hosts_per_salt,
+        F.least(F.lit(spread).cast("long"), F.ceil(F.col("_fl_n") / F.lit(hosts_per_salt))),
+    ).otherwise(F.lit(1).cast("long")))
     targets = (hosts.join(tmpl, cl, "inner")
                .filter(~F.col(host).eqNullSafe(F.col("_fl_t")))
-               .select(*cl, host))
+               .select(*cl, host, F.pmod(F.xxhash64(F.col(host)), F.col("_fl_k")).alias("_fl_s")))
     icond = items[ih] == tmpl["_fl_t"]
     if items_cluster:
         for c in cl:
             icond = icond & (items[c] == tmpl[c])
-    titems = items.join(tmpl, icond, "inner").select(*[tmpl[c] for c in cl], items[item])
+    titems = items.join(tmpl, icond, "inner").select(*[tmpl[c] for c in cl], items[item],
+                                                     tmpl["_fl_k"])
     if distinct_items:
         titems = titems.distinct()
-
-    hot = (targets.groupBy(*cl).agg(F.count(F.lit(1)).alias("_fl_n"))
-           .filter(F.col("_fl_n") > hosts_per_salt)
-           .select(*cl, F.least(F.lit(spread).cast("long"),
-                                F.ceil(F.col("_fl_n") / F.lit(hosts_per_salt))).alias("_fl_k")))
-    hot = broadcast_if_small(hot, max_hot)
-    k = F.coalesce(F.col("_fl_k"), F.lit(1).cast("long"))
-    salted_targets = targets.join(hot, cl, "left").select(
-        *cl, host, F.pmod(F.xxhash64(F.col(host)), k).alias("_fl_s"))
-    salted_items = titems.join(hot, cl, "left").select(
-        *cl, item, F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("_fl_s"))
-    return salted_targets.join(salted_items, cl + ["_fl_s"], "inner").select(*cl, host, item)
+    salted_items = titems.select(*cl, item, F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("_fl_k") - 1)).alias("_fl_s"))
+    return targets.join(salted_items, cl + ["_fl_s"], "inner").select(*cl, host, item)
 
 
 def assign_ids(df: DataFrame, cluster: str | Sequence[str], ord: str | Sequence[str],

@@ -79,6 +79,14 @@ def w04_all_healthy(spark, sf_dir):
     return op.all_healthy(o, "o_custkey", F.col("o_orderstatus") != "P")
 
 
+def w04_all_healthy_listed(spark, sf_dir):
+    # Reported for every customer; one without orders has no hosts: not ready.
+    t = _t(spark, sf_dir)
+    clusters = t.customer.select(F.col("c_custkey").alias("o_custkey"))
+    return op.all_healthy(t.orders, "o_custkey", F.col("o_orderstatus") != "P",
+                          clusters=clusters)
+
+
 def w05_blockers_labels(spark, sf_dir):
     t = _t(spark, sf_dir)
     return op.blockers(t.documents, t.labels, "doc_id", F.col("toxic") == 1)
@@ -171,6 +179,25 @@ def w09_select_rules_join(spark, sf_dir):
     return op.select_rules(part, "p_size", rules, type_col="p_type")
 
 
+def w09_select_rules_shuffled(spark, sf_dir):
+    # The same rules with a bound of one rule: typed rules are shuffle-joined
+    # on type and untyped rules run as broadcast pieces of one -- the exact
+    # plans used beyond the broadcast bound.
+    part = _t(spark, sf_dir).part.select("p_partkey", "p_type", "p_size")
+    rules = spark.createDataFrame(
+        [(r.type, r.lo, r.hi, r.payload["tier"]) for r in W09_RULES],
+        "type string, lo int, hi int, tier string")
+    return op.select_rules(part, "p_size", rules, type_col="p_type", max_rules=1)
+
+
+def w10_bracket_lookup_bucketed(spark, sf_dir):
+    # The ladder as a table with a bound of two bounds: the exact bucketed
+    # plan used for ladders too large for one literal.
+    part = _t(spark, sf_dir).part.select("p_partkey", "p_size")
+    ladder = spark.createDataFrame(W10_LADDER, "bound int, label string")
+    return op.bracket_lookup(part, "p_size", ladder, "default", max_bounds=2)
+
+
 def w10_bracket_lookup(spark, sf_dir):
     part = _t(spark, sf_dir).part.select("p_partkey", "p_size")
     return op.bracket_lookup(part, "p_size", W10_LADDER, "default")
@@ -204,6 +231,15 @@ def w14_rename_keys(spark, sf_dir):
     return op.rename_keys(j, "n_name", W14_RENAMES)
 
 
+def w14_rename_keys_table(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    j = t.customer.select("c_custkey", "c_nationkey").join(
+        t.nation.select("n_nationkey", "n_name"),
+        F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    mapping = spark.createDataFrame(list(W14_RENAMES.items()), "old string, new string")
+    return op.rename_keys(j, "n_name", mapping)
+
+
 def w15_carry_property(spark, sf_dir):
     ev = _t(spark, sf_dir).events
     dst = ev.filter(F.col("event_type") == "purchase").select("event_id", "user_id")
@@ -255,10 +291,11 @@ def w20_time_to_ready(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in [
     w01_exclude, w01_include, w02_having_member, w03_reconcile, w03_summary,
-    w04_all_healthy, w05_blockers_labels, w05_blockers_returns, w06_state_summary,
-    w07_resolve_current, w08_overlay, w08_overlay_join, w08_overlay_bags, w09_select_rules,
-    w09_select_rules_join, w10_bracket_lookup, w11_expand_bundles,
-    w12_replicate_template, w13_assign_ids, w14_rename_keys, w15_carry_property,
+    w04_all_healthy, w04_all_healthy_listed, w05_blockers_labels, w05_blockers_returns,
+    w06_state_summary, w07_resolve_current, w08_overlay, w08_overlay_join, w08_overlay_bags,
+    w09_select_rules, w09_select_rules_join, w09_select_rules_shuffled, w10_bracket_lookup,
+    w10_bracket_lookup_bucketed, w11_expand_bundles, w12_replicate_template, w13_assign_ids,
+    w14_rename_keys, w14_rename_keys_table, w15_carry_property,
     w16_rewrite_text, w17_extract_first, w18_append_missing, w19_roster,
     w19_check_cardinality, w20_time_to_ready,
 ]}
@@ -451,3 +488,14 @@ FROM v""",
 }
 ORACLE_SQL["w08_overlay_bags"] = ORACLE_SQL["w08_overlay"]
 ORACLE_SQL["w08_overlay_join"] = ORACLE_SQL["w08_overlay"]
+ORACLE_SQL["w09_select_rules_shuffled"] = ORACLE_SQL["w09_select_rules"]
+ORACLE_SQL["w10_bracket_lookup_bucketed"] = ORACLE_SQL["w10_bracket_lookup"]
+ORACLE_SQL["w14_rename_keys_table"] = ORACLE_SQL["w14_rename_keys"]
+ORACLE_SQL["w04_all_healthy_listed"] = """
+WITH a AS (SELECT o_custkey, count(*) AS n,
+                  count(*) FILTER (WHERE coalesce(o_orderstatus <> 'P', false)) AS h
+           FROM orders GROUP BY o_custkey)
+SELECT c.o_custkey, coalesce(a.n, 0) AS n_hosts, coalesce(a.h, 0) AS n_healthy,
+       coalesce(a.n, 0) > 0 AND coalesce(a.h, 0) = coalesce(a.n, 0) AS ready
+FROM (SELECT DISTINCT c_custkey AS o_custkey FROM customer) c
+LEFT JOIN a ON a.o_custkey = c.o_custkey"""
