@@ -19,7 +19,7 @@ def con01():
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_query_matches_oracle_sf001(spark, con01, name):
+def test_query_matches_oracle_sf0_01(spark, con01, name):
     df = entry_mod.queries()[name](spark, SF01)
     ok, msg = compare(df, con01, entry_mod.oracle_sql()[name])
     assert ok, msg
