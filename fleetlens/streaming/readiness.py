@@ -3,10 +3,11 @@ ready or runs out of polls.
 
 The reference polls a condition until it holds and keeps no history. Here
 poll records (cluster, poll time, ok per host) arrive as a stream. A poll is
-complete once the event-time watermark has passed it (later rows for it are
-dropped as late); completed polls are taken in time order per cluster by a
-stateful operator (``applyInPandasWithState``), whose state per cluster is a
-poll counter, a done flag and the polls still open -- never the history.
+complete once the event-time watermark has passed it; rows that arrive for it
+later are late and ignored by the state function. Completed polls are taken
+in time order per cluster by a stateful operator (``applyInPandasWithState``),
+whose state per cluster is a poll counter, a done flag and the polls still
+open -- never the history.
 
 Rows of one cluster within one micro-batch meet in one task; their number is
 bounded by the batch size (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``).
@@ -33,15 +34,18 @@ def _advance(max_polls: int | None):
             pending = dict(zip(list(open_ts), list(open_ok)))
         else:
             polls, done, pending = 0, False, {}
+        watermark_us = state.getCurrentWatermarkMs() * 1000
         if not state.hasTimedOut:
             for pdf in batches:
                 if done or pdf.empty:
                     continue
                 ts = pd.to_datetime(pdf["poll_ts"]).astype("int64") // 1000  # microseconds
                 ok = pdf["ok"].fillna(False).astype(bool)
-                for t, v in ok.groupby(ts.values).all().items():
+                # A row older than the watermark belongs to a poll that is
+                # already complete: late, ignored.
+                fresh = ts >= watermark_us
+                for t, v in ok[fresh].groupby(ts[fresh].values).all().items():
                     pending[int(t)] = bool(pending.get(int(t), True) and v)
-        watermark_us = state.getCurrentWatermarkMs() * 1000
         out = []
         if not done:
             for t in sorted(t for t in pending if t < watermark_us):

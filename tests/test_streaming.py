@@ -2,6 +2,7 @@
 driver's events table, fed as a sequence of files."""
 
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ def test_stream_matches_batch(spark):
         hi = F.lit(f"2024-01-{6 + 5 * k:02d}").cast("timestamp") if k < 5 else F.lit("2024-02-01").cast("timestamp")
         polls.filter((F.col("poll_ts") >= lo) & (F.col("poll_ts") < hi)).coalesce(1) \
             .write.mode("append").parquet(src)
+        time.sleep(1.2)  # files are taken in modification-time order
     stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = stream_time_to_ready(stream, "cluster", "poll_ts", F.col("ok"), max_polls=2)
     ckpt = tempfile.mkdtemp(prefix="fleetlens-stream-ckpt-")
@@ -38,3 +40,31 @@ def test_stream_matches_batch(spark):
     for c, v in got.items():
         assert want[c] == v, (c, v, want[c])
     assert len(set(got)) == len(got)
+
+
+def test_stream_drops_late_rows(spark):
+    import datetime as dt
+    day = lambda d: dt.datetime(2024, 1, d)
+    schema = "cluster string, poll_ts timestamp, ok boolean"
+    f1 = [("A", day(1), False), ("A", day(2), True), ("A", day(3), True),
+          ("B", day(1), True), ("C", day(1), True), ("C", day(2), True)]
+    late = [("C", day(1), False)]  # arrives after the watermark passed day 1
+    f3 = [("D", day(4), True), ("D", day(5), True)]
+    src = tempfile.mkdtemp(prefix="fleetlens-late-")
+    for rows in (f1, late, f3):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.2)  # files are taken in modification-time order
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = stream_time_to_ready(stream, "cluster", "poll_ts", F.col("ok"), max_polls=3)
+    ckpt = tempfile.mkdtemp(prefix="fleetlens-late-ckpt-")
+    q = (out.writeStream.format("memory").queryName("late_stream").outputMode("append")
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {r.cluster: (r.polls, r.ready_at, r.timed_out)
+           for r in spark.sql("SELECT * FROM late_stream").collect()}
+    batch = op.time_to_ready(spark.createDataFrame(f1 + f3, schema), "cluster", "poll_ts",
+                             F.col("ok"), max_polls=3)
+    want = {r.cluster: (r.polls, r.ready_at, r.timed_out) for r in batch.collect()}
+    for c in ("A", "B", "C"):
+        assert got[c] == want[c], (c, got.get(c), want[c])
+    assert got["C"] == (1, day(1), False)
