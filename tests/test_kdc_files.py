@@ -3,8 +3,6 @@ ordered rules, the way the source rewrites them."""
 
 import re
 
-from pyspark.sql import functions as F
-
 from fleetlens.plans.kdc_files import rewrite_cluster_files
 
 KRB5 = """[libdefaults]
