@@ -92,17 +92,21 @@ def overlay_bags(base: DataFrame, updates: DataFrame, on: str | Sequence[str],
                  bag: str = "properties") -> DataFrame:
     """W08, map form: one bag per (cluster..., type) on each side.
 
-    ``map_concat`` refuses duplicate keys, so base keys that the update
-    carries are filtered out first. A bag missing on either side counts as
-    empty, so an update creates the bag when none exists."""
+    The two bags are merged key-wise in one pass (``map_zip_with``). Update
+    values are wrapped in a struct first, so a key the update carries wins
+    even when its value is NULL; only a key absent from the update keeps the
+    base value. A bag missing on either side counts as empty, so an update
+    creates the bag when none exists."""
     on = cols(on)
     b = base.select(*on, F.col(bag).alias("_fl_b"))
     u = updates.select(*on, F.col(bag).alias("_fl_u"))
     j = b.join(u, on, "full_outer")
     empty = F.create_map().cast(T.MapType(T.StringType(), T.StringType()))
     bb, uu = F.coalesce("_fl_b", empty), F.coalesce("_fl_u", empty)
-    kept = F.map_filter(bb, lambda k, v: ~F.array_contains(F.map_keys(uu), k))
-    return j.select(*on, F.map_concat(kept, uu).alias(bag))
+    boxed = F.transform_values(uu, lambda k, v: F.struct(v.alias("v")))
+    merged = F.map_zip_with(bb, boxed, lambda k, old, new: F.when(new.isNull(), old)
+                            .otherwise(new["v"]))
+    return j.select(*on, merged.alias(bag))
 
 
 @dataclass(frozen=True)

@@ -161,6 +161,9 @@ def test_w08_overlay_bags(spark):
     want = {"c1": {"a": "1", "b": "20", "c": "30"}, "c2": {"z": "9"}, "c3": {"n": "1"}}
     assert {r.cluster_id: r.properties for r in once.collect()} == want
     assert {r.cluster_id: r.properties for r in twice.collect()} == want
+    nul = spark.createDataFrame([("c1", {"a": None})], "cluster_id string, properties map<string,string>")
+    got = op.overlay_bags(base, nul, "cluster_id").filter("cluster_id = 'c1'").first().properties
+    assert got == {"a": None, "b": "2"}
 
 
 # E1, W09, W10 ------------------------------------------------------------
