@@ -69,20 +69,33 @@ def assign_ids(df: DataFrame, cluster: str | Sequence[str], ord: str | Sequence[
     return position_within(df, cluster, ord, name=name, start=start)
 
 
+# Dict mappings up to this size become a literal map; larger ones a join.
+LITERAL_MAP_ENTRIES = 1000
+
+
 def rename_keys(df: DataFrame, key: str, mapping: Mapping[str, str] | DataFrame,
                 cluster: str | Sequence[str] | None = None, old: str = "old",
                 new: str = "new", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """W14. Replace ``key`` by its mapped value; unmapped keys stay.
 
-    A dict becomes a literal map lookup (map-only). A mapping DataFrame
+    A dict of up to ``LITERAL_MAP_ENTRIES`` entries becomes a literal map
+    lookup (map-only); a larger one is joined like a mapping DataFrame. A
+    mapping DataFrame
     (``old``, ``new``, plus ``cluster`` columns when given) is left-joined;
     it is broadcast only after its row count is checked."""
     k = F.col(key)
     if not isinstance(mapping, DataFrame):
         if not mapping:
             return df
-        m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-        return df.withColumn(key, F.coalesce(F.element_at(m, k), k))
+        if len(mapping) <= LITERAL_MAP_ENTRIES and cluster is None:
+            m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+            return df.withColumn(key, F.coalesce(F.element_at(m, k), k))
+        if cluster is not None:
+            raise ValueError("a per-cluster mapping must be a DataFrame")
+        # A map lookup scans its keys; a large mapping is joined instead.
+        mapping = df.sparkSession.createDataFrame(
+            list(mapping.items()), "old string, new string")
+        old, new = "old", "new"
     cl = cols(cluster) if cluster is not None else []
     mp = mapping.select(*[F.col(c).alias(f"_fl_c{i}") for i, c in enumerate(cl)],
                         F.col(old).alias("_fl_old"), F.col(new).alias("_fl_new"))

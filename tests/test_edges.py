@@ -275,6 +275,11 @@ def test_w14_rename(spark):
     out2 = op.rename_keys(df, "host", mp, cluster="cluster_id", old="old_host", new="new_host")
     assert rows(out2, "cluster_id", "host") == [
         ("c1", "a.c1"), ("c1", "other"), ("c2", "node-1.cluster")]
+    big = {f"h{i}": f"n{i}" for i in range(1500)}
+    big["other"] = "renamed"
+    out3 = op.rename_keys(df, "host", big)
+    assert rows(out3, "cluster_id", "host") == [
+        ("c1", "node-1.cluster"), ("c1", "renamed"), ("c2", "node-1.cluster")]
 
 
 # W15 ---------------------------------------------------------------------
