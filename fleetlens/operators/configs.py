@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols, regex_quote
 from fleetlens.plans.ordinal import position_within
-from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS
+from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, DEFAULT_LITERAL_ROWS
 
 
 def first_by(value: Column | str, ord: Column | str) -> Column:
@@ -132,7 +132,8 @@ def select_rules(df: DataFrame, value: str | Column, rules: Sequence[Rule] | Dat
     version keys; arrays compare lexicographically).
 
     Rules as a Python list become one literal array filtered per row and
-    exploded: map-only, no join. Rules as a DataFrame (payload = all other
+    exploded: map-only, no join (a list longer than the literal bound is
+    turned into a table first; its payload values then become text). Rules as a DataFrame (payload = all other
     columns) are joined: typed rules by a hash join on type with the interval
     as residual; untyped rules only after their count is checked, as a
     broadcast nested-loop join against bounded pieces (more untyped rules
@@ -146,6 +147,19 @@ def select_rules(df: DataFrame, value: str | Column, rules: Sequence[Rule] | Dat
     if not rules:
         raise ValueError("no rules")
     dtype = df.select(v).schema.fields[0].dataType
+    if len(rules) > DEFAULT_LITERAL_ROWS:
+        # Too many for one literal: the same rules as a table, joined.
+        ttype = df.schema[type_col].dataType if type_col else T.StringType()
+        names = list(rules[0].payload)
+        schema = T.StructType(
+            [T.StructField(rule_type, ttype), T.StructField(rule_lo, dtype),
+             T.StructField(rule_hi, dtype)]
+            + [T.StructField(n, T.StringType()) for n in names])
+        table = df.sparkSession.createDataFrame(
+            [(r.type, r.lo, r.hi, *[None if r.payload[n] is None else str(r.payload[n])
+                                    for n in names]) for r in rules], schema)
+        return _select_rules_join(df, v, table, type_col, rule_type, rule_lo, rule_hi,
+                                  max_rules)
     ttype = df.schema[type_col].dataType if type_col else T.StringType()
     names = list(rules[0].payload)
     structs = []

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols
 from fleetlens.plans.ordinal import position_within
@@ -41,6 +42,14 @@ def bracket_lookup(df: DataFrame, value: str | Column,
         ladder = [(r[0], r[1]) for r in rows]
     if not ladder:
         raise ValueError("empty ladder")
+    if len(ladder) > max_bounds:
+        # Too many bounds for one literal: the bucketed plan over a table.
+        lad = df.sparkSession.createDataFrame(
+            [(list(b) if isinstance(b, tuple) else b, lab) for b, lab in ladder],
+            T.StructType([T.StructField("_fl_b", vtype),
+                          T.StructField("_fl_l", T.StringType())]))
+        lad = lad.groupBy("_fl_b").agg(F.min("_fl_l").alias("_fl_l"))
+        return _bracket_bucketed(df, v, vtype, lad, default, name, max_bounds)
     steps = sorted(ladder, key=lambda p: _sort_key(p[0]))
     arr = F.array(*[
         F.struct(_as_lit(b, vtype).alias("b"), F.lit(lab).alias("l")) for b, lab in steps])
@@ -71,8 +80,11 @@ def _bracket_bucketed(df, v, vtype, lad, default, name, max_bounds):
                      for i, p in enumerate(pivots)])
 
     def bucket(x):
-        return F.coalesce(F.get(F.filter(parr, lambda p: p["b"] >= x), 0)["i"],
-                          F.lit(len(pivots)))
+        # ``x`` is also referenced outside the lambda (NULL value, no bucket):
+        # constraint inference then keeps this expression on the side that
+        # holds ``x`` instead of copying it across the join.
+        return F.when(x.isNull(), F.lit(None)).otherwise(F.coalesce(
+            F.get(F.filter(parr, lambda p: p["b"] >= x), 0)["i"], F.lit(len(pivots))))
 
     per_bucket = lad.groupBy(bucket(F.col("_fl_b")).alias("_fl_j")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_fl_b").alias("b"),

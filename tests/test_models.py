@@ -268,3 +268,28 @@ def test_rewrite_matches_python_re(spark):
         for p, r in rules:
             want = re.sub(p, r, want)  # both dialects: ^ is the start of the text
         assert got[i] == want, (t, got[i], want)
+
+
+def test_long_python_lists_take_the_table_plans(spark):
+    """Lists above the literal bound give the same answers through the
+    table plans."""
+    rnd = random.Random(13)
+    bounds = sorted(rnd.sample(range(0, 5000), 60))
+    vals = [(i, rnd.randint(-10, 5100)) for i in range(400)]
+    df = spark.createDataFrame(vals, "id int, v int")
+    got = {r.id: r.bracket for r in
+           op.bracket_lookup(df, "v", [(b, f"L{b}") for b in bounds], "none", max_bounds=7).collect()}
+    for i, v in vals:
+        j = bisect.bisect_left(bounds, v)
+        assert got[i] == (f"L{bounds[j]}" if j < len(bounds) else "none")
+    import fleetlens.operators.configs as C
+    rules = [op.Rule(None, rnd.randint(0, 50), None, {"rid": str(k)}) for k in range(30)]
+    old = C.DEFAULT_LITERAL_ROWS
+    C.DEFAULT_LITERAL_ROWS = 10
+    try:
+        out = op.select_rules(df, "v", rules, max_rules=8)
+    finally:
+        C.DEFAULT_LITERAL_ROWS = old
+    got2 = sorted((r.id, r.rid) for r in out.collect())
+    want = sorted((i, r.payload["rid"]) for i, v in vals for r in rules if v >= r.lo)
+    assert got2 == want
