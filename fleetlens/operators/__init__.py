@@ -2,8 +2,8 @@
 action, except where a parameter table is size-checked before a broadcast."""
 
 from fleetlens.operators.configs import (
-    Rule, append_missing, carry_property, first_by, json_prop, overlay, overlay_bags,
-    overlay_tagged,
+    Rule, append_missing, carry_between_types, carry_property, first_by, json_prop, overlay,
+    overlay_bags, overlay_tagged,
     resolve_current, select_rules,
 )
 from fleetlens.operators.filters import having_member, keep_listed
@@ -21,7 +21,8 @@ from fleetlens.operators.versions import bracket_lookup, expand_bundles
 
 __all__ = [
     "Rule", "all_healthy", "append_missing", "assemble_roster", "assign_ids",
-    "blocker_rows", "blockers", "bracket_lookup", "carry_property", "check_cardinality",
+    "blocker_rows", "blockers", "bracket_lookup", "carry_between_types", "carry_property",
+    "check_cardinality",
     "expand_bundles", "extract_first", "first_by", "having_member", "json_prop",
     "keep_listed", "literal_replacement", "overlay", "overlay_bags", "overlay_tagged", "reconcile",
     "reconcile_summary",

@@ -273,6 +273,24 @@ def carry_property(dst: DataFrame, src: DataFrame, on: str | Sequence[str],
     return j.select(*[dst[c] for c in dst.columns], res.alias(name))
 
 
+def carry_between_types(configs: DataFrame, src_type: str, src_key: str, dst_type: str,
+                        dst_key: str, default: Any = None, cast: str | None = None,
+                        cluster: str | Sequence[str] = "cluster_id", type_col: str = "config_type",
+                        key: str = "key", value: str = "value") -> DataFrame:
+    """W15 over long configuration rows: for every cluster in ``configs``,
+    the value of (``src_type``, ``src_key``) as a new row (``dst_type``,
+    ``dst_key``), cast with ``try_cast`` when asked. A cluster without the
+    source value gets ``default``, or no row when the default is None."""
+    cl = cols(cluster)
+    src = configs.filter((F.col(type_col) == src_type) & (F.col(key) == src_key))
+    dst = configs.select(*cl).distinct()
+    out = carry_property(dst, src, cl, value, name="_fl_v", cast=cast, default=default)
+    if default is None:
+        out = out.filter(F.col("_fl_v").isNotNull())
+    return out.select(*cl, F.lit(dst_type).alias(type_col), F.lit(dst_key).alias(key),
+                      F.col("_fl_v").cast("string").alias(value))
+
+
 def append_missing(df: DataFrame, text: str, items: Sequence[str] | Column,
                    sep: str = ",", name: str | None = None) -> DataFrame:
     """W18. Add items to a delimited list value unless already present, in

@@ -371,3 +371,20 @@ def test_w20_time_to_ready(spark):
         ("c1", 2, t(1), False), ("c2", 2, None, True), ("c3", 1, None, True)]
     unbounded = op.time_to_ready(polls, "cluster_id", "poll_ts", F.col("ok"))
     assert rows(unbounded, "cluster_id", "polls", "timed_out")[1] == ("c2", 3, False)
+
+
+def test_w15_between_types(spark):
+    rows = spark.createDataFrame(
+        [("c1", "zoo.cfg", "clientPort", "2181"), ("c1", "hive-site", "x", "1"),
+         ("c2", "zoo.cfg", "clientPort", "bad"), ("c3", "hive-site", "x", "2")],
+        "cluster_id string, config_type string, key string, value string")
+    out = op.carry_between_types(rows, "zoo.cfg", "clientPort", "application-properties",
+                                 "zk.port", cast="int")
+    assert rows_of(out) == [("c1", "application-properties", "zk.port", "2181")]
+    out2 = op.carry_between_types(rows, "zoo.cfg", "clientPort", "app", "zk", default="0")
+    assert rows_of(out2) == [("c1", "app", "zk", "2181"), ("c2", "app", "zk", "bad"),
+                             ("c3", "app", "zk", "0")]
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
