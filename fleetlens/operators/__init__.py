@@ -2,7 +2,7 @@
 action, except where a parameter table is size-checked before a broadcast."""
 
 from fleetlens.operators.configs import (
-    Rule, append_missing, carry_between_types, carry_property, first_by, json_prop, overlay,
+    Rule, append_missing, append_missing_by_key, carry_between_types, carry_property, first_by, json_prop, overlay,
     overlay_bags, overlay_tagged,
     resolve_current, select_rules,
 )
@@ -20,7 +20,7 @@ from fleetlens.operators.text import (
 from fleetlens.operators.versions import bracket_lookup, expand_bundles
 
 __all__ = [
-    "Rule", "all_healthy", "append_missing", "assemble_roster", "assign_ids",
+    "Rule", "all_healthy", "append_missing", "append_missing_by_key", "assemble_roster", "assign_ids",
     "blocker_rows", "blockers", "bracket_lookup", "carry_between_types", "carry_property",
     "check_cardinality",
     "expand_bundles", "extract_first", "first_by", "having_member", "json_prop",

@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols, regex_quote
 from fleetlens.plans.ordinal import position_within
-from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, DEFAULT_LITERAL_ROWS
+from fleetlens.plans.sizing import (
+    DEFAULT_BROADCAST_ROWS, DEFAULT_LITERAL_ROWS, broadcast_if_small,
+)
 
 
 def first_by(value: Column | str, ord: Column | str) -> Column:
@@ -303,3 +305,30 @@ def append_missing(df: DataFrame, text: str, items: Sequence[str] | Column,
     add = items if isinstance(items, Column) else F.array(*[F.lit(i) for i in items])
     res = F.array_join(F.concat(cur, F.array_except(add, cur)), sep)
     return df.withColumn(name or text, res)
+
+
+def append_missing_by_key(configs: DataFrame, rules: DataFrame, sep: str = ",",
+                          cluster: str | Sequence[str] = "cluster_id",
+                          type_col: str = "config_type", key: str = "key",
+                          value: str = "value") -> DataFrame:
+    """W18 over long configuration rows: ``rules`` (config_type, key, ord,
+    item) list items to add to a delimited value. Every (cluster, type) in
+    ``configs`` gets each rule key of its type; a key it lacks counts as
+    empty. Returns the new rows (cluster..., type, key, value) for the rule
+    keys. Items of one key are gathered per key on the rule side (a small
+    table) and joined on the type; the current values come from a join on
+    (cluster, type, key)."""
+    cl = cols(cluster)
+    per_key = rules.groupBy(F.col(type_col).alias("_fl_t"), F.col(key).alias("_fl_k")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))),
+                    lambda x: x["item"]).alias("_fl_items"))
+    # Few distinct types: a shuffle on type would put all clusters of a type
+    # in one task, so the (small, counted) rule side is broadcast.
+    per_key = broadcast_if_small(per_key, DEFAULT_BROADCAST_ROWS)
+    pairs = configs.select(*cl, type_col).distinct()
+    wanted = pairs.join(per_key, pairs[type_col] == F.col("_fl_t")).select(
+        *cl, type_col, F.col("_fl_k").alias(key), "_fl_items")
+    cur = configs.select(*cl, type_col, key, value)
+    j = wanted.join(cur, [*cl, type_col, key], "left")
+    out = append_missing(j, value, F.col("_fl_items"), sep=sep)
+    return out.select(*cl, type_col, key, value)

@@ -388,3 +388,18 @@ def test_w15_between_types(spark):
 
 def rows_of(df):
     return sorted(tuple(r) for r in df.collect())
+
+
+def test_w18_by_key(spark):
+    configs = spark.createDataFrame(
+        [("c1", "mapred-site", "mapred.local.dir", "/hadoop/mapred"), ("c1", "mapred-site", "x", "1"),
+         ("c2", "mapred-site", "other", "2"), ("c3", "hdfs-site", "a", "b")],
+        "cluster_id string, config_type string, key string, value string")
+    rules = spark.createDataFrame(
+        [("mapred-site", "mapred.local.dir", 2, "/run/hadoop/mapred"),
+         ("mapred-site", "mapred.local.dir", 1, "/hadoop/mapred")],
+        "config_type string, key string, ord int, item string")
+    out = op.append_missing_by_key(configs, rules)
+    assert rows_of(out) == [
+        ("c1", "mapred-site", "mapred.local.dir", "/hadoop/mapred,/run/hadoop/mapred"),
+        ("c2", "mapred-site", "mapred.local.dir", "/hadoop/mapred,/run/hadoop/mapred")]
