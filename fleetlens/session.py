@@ -85,4 +85,6 @@ CLUSTER_SETTINGS: dict[str, str] = {
     "spark.storage.decommission.shuffleBlocks.enabled": "true",
     "spark.task.maxFailures": "8",
     "spark.stage.maxConsecutiveAttempts": "8",
+    # W13's reliable checkpoints are removed once no plan refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
