@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols, regex_quote
 from fleetlens.plans.ordinal import position_within
+from fleetlens.plans.skew import join_one_per_key
 from fleetlens.plans.sizing import (
     DEFAULT_BROADCAST_ROWS, DEFAULT_LITERAL_ROWS, broadcast_if_small,
 )
@@ -256,23 +257,22 @@ def carry_property(dst: DataFrame, src: DataFrame, on: str | Sequence[str],
     """W15. Copy a value from a source row of the same cluster onto every
     destination row, optionally cast (``try_cast``: bad text gives NULL).
     Several source rows: the first by ``ord``. The source is reduced to one
-    row per cluster before the join (partial aggregate)."""
+    row per cluster before the join (partial aggregate), and the join splits
+    hot clusters of the destination over tasks (:mod:`fleetlens.plans.skew`)."""
     on = cols(on)
     son = cols(src_on) if src_on is not None else on
     v = as_col(value)
     if cast:
         v = v.try_cast(cast)
     agg = first_by(v, ord) if ord is not None else F.min(v)
-    per = src.groupBy(*[F.col(c).alias(f"_fl_k{i}") for i, c in enumerate(son)]).agg(
+    per = src.groupBy(*[F.col(s_).alias(d_) for s_, d_ in zip(son, on)]).agg(
         agg.alias("_fl_v"))
-    cond = None
-    for i, c in enumerate(on):
-        e = dst[c] == F.col(f"_fl_k{i}")
-        cond = e if cond is None else cond & e
-    j = dst.join(per, cond, "left")
+    # One source row per cluster meets many destination rows: hot clusters
+    # are split over tasks.
+    j = join_one_per_key(dst, per, on, "left")
     d = default if isinstance(default, Column) else F.lit(default)
     res = F.coalesce(F.col("_fl_v"), d.cast(cast) if cast else d)
-    return j.select(*[dst[c] for c in dst.columns], res.alias(name))
+    return j.select(*[F.col(c) for c in dst.columns], res.alias(name))
 
 
 def carry_between_types(configs: DataFrame, src_type: str, src_key: str, dst_type: str,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.columns import cols
 from fleetlens.operators.configs import first_by
 from fleetlens.plans.ordinal import position_within
+from fleetlens.plans.skew import join_one_per_key
 from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
 
 
@@ -45,15 +46,19 @@ def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequen
         F.col("_fl_n") > hosts_per_salt,
         F.least(F.lit(spread).cast("long"), F.ceil(F.col("_fl_n") / F.lit(hosts_per_salt))),
     ).otherwise(F.lit(1).cast("long")))
-    targets = (hosts.join(tmpl, cl, "inner")
+    # Hosts meet their cluster's single template row; items meet their
+    # host's template row: both joins split hot keys over tasks.
+    targets = (join_one_per_key(hosts, tmpl, cl, "inner")
                .filter(~F.col(host).eqNullSafe(F.col("_fl_t")))
                .select(*cl, host, F.pmod(F.xxhash64(F.col(host)), F.col("_fl_k")).alias("_fl_s")))
-    icond = items[ih] == tmpl["_fl_t"]
-    if items_cluster:
-        for c in cl:
-            icond = icond & (items[c] == tmpl[c])
-    titems = items.join(tmpl, icond, "inner").select(*[tmpl[c] for c in cl], items[item],
-                                                     tmpl["_fl_k"])
+    key = [ih] + (cl if items_cluster else [])
+    by_host = tmpl.select(F.col("_fl_t").alias(ih), *([] if items_cluster else
+                                                        [F.col(c).alias(f"_fl_c{i}")
+                                                         for i, c in enumerate(cl)]),
+                          *(cl if items_cluster else []), "_fl_k")
+    titems = join_one_per_key(items.select(*key, item), by_host, key, "inner").select(
+        *[F.col(c if items_cluster else f"_fl_c{i}").alias(c) for i, c in enumerate(cl)],
+        item, "_fl_k")
     if distinct_items:
         titems = titems.distinct()
     salted_items = titems.select(*cl, item, F.explode(

@@ -89,3 +89,17 @@ def test_w08_idempotent_on_driver_data(spark):
     once = op.overlay(base, upd, "user_id")
     twice = op.overlay(once, upd, "user_id")
     assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
+
+
+def test_join_one_per_key_splits_hot_keys(spark):
+    from fleetlens.plans.skew import join_one_per_key
+    big = spark.range(5000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id") % 40).alias("k"),
+        F.col("id").alias("x"))
+    small = spark.range(0, 30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    plain = big.join(small, "k", "left")
+    split = join_one_per_key(big, small, "k", "left", rows_per_task=100, spread=16)
+    assert split.count() == plain.count() == 5000
+    assert split.exceptAll(plain.select(*split.columns)).count() == 0
+    inner = join_one_per_key(big, small, "k", "inner", rows_per_task=100, spread=16)
+    assert inner.count() == big.join(small, "k").count()
