@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import cols, upper_list
+from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
+from fleetlens.plans.skew import join_one_per_key
 
 
 def keep_listed(df: DataFrame, key: str, include: str | Iterable[str] | DataFrame | None = None,
@@ -31,8 +33,18 @@ def keep_listed(df: DataFrame, key: str, include: str | Iterable[str] | DataFram
         lst = include if isinstance(include, DataFrame) else exclude
         name = lst.columns[0]
         lst = lst.select(F.upper(F.col(name)).alias("_fl_name")).distinct()
-        how = "left_semi" if isinstance(include, DataFrame) else "left_anti"
-        return df.join(lst, k == F.col("_fl_name"), how)
+        keep = isinstance(include, DataFrame)
+        if within_rows(lst, DEFAULT_BROADCAST_ROWS):
+            return df.join(F.broadcast(lst), k == F.col("_fl_name"),
+                           "left_semi" if keep else "left_anti")
+        # A large list: each key matches at most one list row, so a join
+        # with hot keys split over tasks does the semi / anti join.
+        keyed = df.withColumn("_fl_key", k)
+        lst = lst.select(F.col("_fl_name").alias("_fl_key"), F.lit(True).alias("_fl_hit"))
+        j = join_one_per_key(keyed, lst, "_fl_key", "inner" if keep else "left")
+        if not keep:
+            j = j.filter(F.col("_fl_hit").isNull())
+        return j.select(*df.columns)
     inc, exc = upper_list(include), upper_list(exclude)
     if inc:
         return df.filter(k.isin(inc))

@@ -106,12 +106,18 @@ def rename_keys(df: DataFrame, key: str, mapping: Mapping[str, str] | DataFrame,
                         F.col(old).alias("_fl_old"), F.col(new).alias("_fl_new"))
     mp = mp.dropDuplicates([*[f"_fl_c{i}" for i in range(len(cl))], "_fl_old"])
     if within_rows(mp, max_rows):
-        mp = F.broadcast(mp)
-    cond = df[key] == F.col("_fl_old")
-    for i, c in enumerate(cl):
-        cond = cond & (df[c] == F.col(f"_fl_c{i}"))
-    j = df.join(mp, cond, "left")
-    return j.select(*[F.coalesce(F.col("_fl_new"), df[c]).alias(c) if c == key else df[c]
+        cond = df[key] == F.col("_fl_old")
+        for i, c in enumerate(cl):
+            cond = cond & (df[c] == F.col(f"_fl_c{i}"))
+        j = df.join(F.broadcast(mp), cond, "left")
+        return j.select(*[F.coalesce(F.col("_fl_new"), df[c]).alias(c) if c == key else df[c]
+                          for c in df.columns])
+    # A large mapping: one row per (cluster, old key), joined with hot keys
+    # of ``df`` split over tasks.
+    mp = mp.select(*[F.col(f"_fl_c{i}").alias(c) for i, c in enumerate(cl)],
+                   F.col("_fl_old").alias(key), "_fl_new")
+    j = join_one_per_key(df, mp, [*cl, key], "left")
+    return j.select(*[F.coalesce(F.col("_fl_new"), F.col(c)).alias(c) if c == key else F.col(c)
                       for c in df.columns])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols
 from fleetlens.plans.ordinal import position_within
+from fleetlens.plans.skew import join_one_per_key
 from fleetlens.plans.sizing import DEFAULT_LITERAL_ROWS
 
 
@@ -90,7 +91,8 @@ def _bracket_bucketed(df, v, vtype, lad, default, name, max_bounds):
         F.array_sort(F.collect_list(F.struct(F.col("_fl_b").alias("b"),
                                              F.col("_fl_l").alias("l")))).alias("_fl_arr"))
     vals = df.withColumn("_fl_j", bucket(v))
-    j = vals.join(per_bucket, "_fl_j", "left")
+    # One row per bucket; a bucket holding many values is split over tasks.
+    j = join_one_per_key(vals, per_bucket, "_fl_j", "left")
     hit = F.get(F.filter(F.col("_fl_arr"), lambda s: s["b"] >= v), 0)["l"]
     res = F.when(v.isNull(), F.lit(None)).otherwise(F.coalesce(hit, F.lit(default)))
     return j.select(*[df[c_] for c_ in df.columns], res.alias(name))

@@ -403,3 +403,21 @@ def test_w18_by_key(spark):
     assert rows_of(out) == [
         ("c1", "mapred-site", "mapred.local.dir", "/hadoop/mapred,/run/hadoop/mapred"),
         ("c2", "mapred-site", "mapred.local.dir", "/hadoop/mapred,/run/hadoop/mapred")]
+
+
+def test_large_list_and_mapping_paths(spark, monkeypatch):
+    """Lists and mappings above the broadcast bound: joins with hot keys
+    split over tasks give the same rows."""
+    import fleetlens.operators.filters as filters_mod
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(["hdfs"] * 50 + ["yarn", None, "hive"])],
+                               "id int, k string")
+    lst = spark.createDataFrame([("HDFS",), ("hive",), ("pig",)], "name string")
+    monkeypatch.setattr(filters_mod, "DEFAULT_BROADCAST_ROWS", 1)
+    inc = {r.id for r in op.keep_listed(df, "k", include=lst).collect()}
+    exc = {r.id for r in op.keep_listed(df, "k", exclude=lst).collect()}
+    assert inc == set(range(50)) | {52}
+    assert exc == {50, 51}
+    mp = spark.createDataFrame([("hdfs", "HDFS2"), ("hive", "HIVE2")], "old string, new string")
+    out = op.rename_keys(df, "k", mp, max_rows=1)
+    got = sorted((r.id, r.k) for r in out.collect())
+    assert got == [(i, "HDFS2") for i in range(50)] + [(50, "yarn"), (51, None), (52, "HIVE2")]
