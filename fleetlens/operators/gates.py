@@ -201,7 +201,7 @@ def time_to_ready(polls: DataFrame, cluster: str | Sequence[str], poll: str | Co
         F.count(F.lit(1)).alias("_fl_total"))
     # Both branches read the same (cluster, poll, ok) gates, so the gate
     # aggregate and its exchange are computed once and reused.
-    upto = (join_one_per_key(gates, first, cl, "inner")
+    upto = (join_one_per_key(gates, first, cl, "inner", size_col="_fl_total")
             .groupBy(*cl, "_fl_first", "_fl_total")
             .agg(F.count_if(F.col(poll_name) <= F.col("_fl_first")).alias("_fl_upto"),
                  F.count_if(F.col("_fl_ok")).alias("ok_polls")))

@@ -48,7 +48,8 @@ def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequen
     ).otherwise(F.lit(1).cast("long")))
     # Hosts meet their cluster's single template row; items meet their
     # host's template row: both joins split hot keys over tasks.
-    targets = (join_one_per_key(hosts, tmpl, cl, "inner")
+    targets = (join_one_per_key(hosts, tmpl.withColumn("_fl_hosts", F.col("_fl_n") + 1), cl,
+                                "inner", size_col="_fl_hosts")
                .filter(~F.col(host).eqNullSafe(F.col("_fl_t")))
                .select(*cl, host, F.pmod(F.xxhash64(F.col(host)), F.col("_fl_k")).alias("_fl_s")))
     key = [ih] + (cl if items_cluster else [])

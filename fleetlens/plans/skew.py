@@ -28,14 +28,22 @@ SPREAD = 256
 
 def join_one_per_key(big: DataFrame, small: DataFrame, on: str | Sequence[str],
                      how: str = "left", rows_per_task: int = ROWS_PER_TASK,
-                     spread: int = SPREAD) -> DataFrame:
+                     spread: int = SPREAD, size_col: str | None = None) -> DataFrame:
     """``big.join(small, on, how)`` for ``small`` with at most one row per
-    key (``how`` is ``inner`` or ``left``), with hot keys split over tasks."""
+    key (``how`` is ``inner`` or ``left``), with hot keys split over tasks.
+
+    ``size_col`` names a column of ``small`` that already holds the number
+    of big rows per key (e.g. a count kept by the aggregate that built
+    ``small``); the hot keys are then read from it and the big side is not
+    counted again."""
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     on = cols(on)
-    hot = (big.groupBy(*on).agg(F.count(F.lit(1)).alias("_fl_hn"))
-           .filter(F.col("_fl_hn") > rows_per_task)
+    if size_col is not None:
+        sizes = small.select(*on, F.col(size_col).alias("_fl_hn"))
+    else:
+        sizes = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_fl_hn"))
+    hot = (sizes.filter(F.col("_fl_hn") > rows_per_task)
            .select(*on, F.least(F.lit(spread).cast("long"),
                                 F.ceil(F.col("_fl_hn") / F.lit(rows_per_task))).alias("_fl_hk")))
     hot = F.broadcast(hot)

@@ -103,3 +103,13 @@ def test_join_one_per_key_splits_hot_keys(spark):
     assert split.exceptAll(plain.select(*split.columns)).count() == 0
     inner = join_one_per_key(big, small, "k", "inner", rows_per_task=100, spread=16)
     assert inner.count() == big.join(small, "k").count()
+
+
+def test_join_one_per_key_with_known_sizes(spark):
+    from fleetlens.plans.skew import join_one_per_key
+    big = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("x"))
+    small = big.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("first"))
+    plain = big.join(small, "k", "inner")
+    split = join_one_per_key(big, small, "k", "inner", rows_per_task=100, size_col="n")
+    assert split.exceptAll(plain.select(*split.columns)).count() == 0
+    assert split.count() == 3000
