@@ -48,8 +48,11 @@ def join_one_per_key(big: DataFrame, small: DataFrame, on: str | Sequence[str],
                                 F.ceil(F.col("_fl_hn") / F.lit(rows_per_task))).alias("_fl_hk")))
     hot = F.broadcast(hot)
     k = F.coalesce(F.col("_fl_hk"), F.lit(1).cast("long"))
-    salted_big = big.join(hot, on, "left").withColumn(
-        "_fl_hs", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), k)).drop("_fl_hk")
+    # Rows of ordinary keys take salt 0 without hashing; only rows of hot
+    # keys hash their content to pick one of the key's salts.
+    salt = F.when(k > 1, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), k)) \
+        .otherwise(F.lit(0).cast("long"))
+    salted_big = big.join(hot, on, "left").withColumn("_fl_hs", salt).drop("_fl_hk")
     salted_small = small.join(hot, on, "left").withColumn(
         "_fl_hs", F.explode(F.sequence(F.lit(0).cast("long"), k - 1))).drop("_fl_hk")
     return salted_big.join(salted_small, [*on, "_fl_hs"], how).drop("_fl_hs")
