@@ -1,4 +1,4 @@
-"""Size checks in front of broadcasts and driver-side literals.
+"""Size checks in front of broadcasts and literals.
 
 A side is broadcast only after counting it against a bound; beyond the bound
 the caller's shuffle plan is used instead. Row bounds are checked with
@@ -7,7 +7,7 @@ the caller's shuffle plan is used instead. Row bounds are checked with
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rule, ladder and mapping tables above this many rows are joined by shuffle.
@@ -24,12 +24,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``
     unchanged (sort-merge or adaptive conversion decides at run time)."""
     return F.broadcast(df) if within_rows(df, max_rows) else df
-
-
-def collect_bounded(df: DataFrame, max_rows: int = DEFAULT_LITERAL_ROWS) -> list[Row]:
-    """Collect a small parameter table; refuse one that exceeds the bound."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(
-            f"parameter table has more than {max_rows} rows; use the join form")
-    return rows
