@@ -253,12 +253,15 @@ def json_prop(bag: str | Column, key: str) -> Column:
 def carry_property(dst: DataFrame, src: DataFrame, on: str | Sequence[str],
                    value: str | Column, ord: str | Column | None = None,
                    src_on: str | Sequence[str] | None = None, name: str = "value",
-                   cast: str | None = None, default: Any = None) -> DataFrame:
+                   cast: str | None = None, default: Any = None,
+                   split_hot: bool = True) -> DataFrame:
     """W15. Copy a value from a source row of the same cluster onto every
     destination row, optionally cast (``try_cast``: bad text gives NULL).
     Several source rows: the first by ``ord``. The source is reduced to one
     row per cluster before the join (partial aggregate), and the join splits
-    hot clusters of the destination over tasks (:mod:`fleetlens.plans.skew`)."""
+    hot clusters of the destination over tasks (:mod:`fleetlens.plans.skew`);
+    that costs one pass over the destination's keys, which ``split_hot=False``
+    skips when no cluster can be hot."""
     on = cols(on)
     son = cols(src_on) if src_on is not None else on
     v = as_col(value)
@@ -269,7 +272,7 @@ def carry_property(dst: DataFrame, src: DataFrame, on: str | Sequence[str],
         agg.alias("_fl_v"))
     # One source row per cluster meets many destination rows: hot clusters
     # are split over tasks.
-    j = join_one_per_key(dst, per, on, "left")
+    j = join_one_per_key(dst, per, on, "left") if split_hot else dst.join(per, on, "left")
     d = default if isinstance(default, Column) else F.lit(default)
     res = F.coalesce(F.col("_fl_v"), d.cast(cast) if cast else d)
     return j.select(*[F.col(c) for c in dst.columns], res.alias(name))

@@ -20,7 +20,7 @@ def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequen
                        host: str, ord: str | Column, item: str,
                        items_host: str | None = None, items_cluster: bool = False,
                        distinct_items: bool = True, hosts_per_salt: int = 100_000,
-                       spread: int = 256) -> DataFrame:
+                       spread: int = 256, split_hot: bool = True) -> DataFrame:
     """W12. Per cluster, the first host by ``ord`` is the template; its items
     are planned for every later host. Returns (cluster..., host, item).
     A cluster with a single host yields no rows. Pass only the hosts that
@@ -33,7 +33,9 @@ def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequen
     targets are spread over them by host hash and its template items copied
     once per salt. All other clusters join unsalted, so nothing is copied for
     them. The cluster sizes come from the same aggregate that picks the
-    template, so salting costs no extra pass or join.
+    template, so salting costs no extra pass or join. Matching items to the
+    template host splits a host with very many items the same way, at the
+    cost of one pass over the item keys (``split_hot=False`` skips it).
     """
     cl = cols(cluster)
     ih = items_host or host
@@ -57,7 +59,9 @@ def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequen
                                                         [F.col(c).alias(f"_fl_c{i}")
                                                          for i, c in enumerate(cl)]),
                           *(cl if items_cluster else []), "_fl_k")
-    titems = join_one_per_key(items.select(*key, item), by_host, key, "inner").select(
+    isel = items.select(*key, item)
+    titems = (join_one_per_key(isel, by_host, key, "inner") if split_hot
+              else isel.join(by_host, key, "inner")).select(
         *[F.col(c if items_cluster else f"_fl_c{i}").alias(c) for i, c in enumerate(cl)],
         item, "_fl_k")
     if distinct_items:

@@ -292,6 +292,9 @@ def test_w15_carry(spark):
     out = op.carry_property(dst, src, "cluster_id", op.json_prop("props", "clientPort"), ord="ord",
                             name="port", cast="int", default=-1)
     assert rows(out, "cluster_id", "port") == [("c1", 2181), ("c2", -1), ("c3", -1)]
+    plain = op.carry_property(dst, src, "cluster_id", op.json_prop("props", "clientPort"),
+                              ord="ord", name="port", cast="int", default=-1, split_hot=False)
+    assert rows(plain, "cluster_id", "port") == rows(out, "cluster_id", "port")
 
 
 # W16 ---------------------------------------------------------------------

@@ -220,11 +220,12 @@ def test_replicate_template_hot_cluster_model(spark):
         model |= {(c, h, it) for _, h, _ in hs if h != tmpl for it in comps}
     hdf = spark.createDataFrame(hosts, "cluster string, host string, o double")
     idf = spark.createDataFrame(items, "h string, comp string")
-    out = op.replicate_template(hdf, idf, "cluster", "host", "o", "comp", items_host="h",
-                                hosts_per_salt=400, spread=8)
-    got = [(r.cluster, r.host, r.comp) for r in out.collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == model
+    for split in (True, False):
+        out = op.replicate_template(hdf, idf, "cluster", "host", "o", "comp", items_host="h",
+                                    hosts_per_salt=400, spread=8, split_hot=split)
+        got = [(r.cluster, r.host, r.comp) for r in out.collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == model
 
 
 def test_fleet_table_reader(spark):
