@@ -87,4 +87,7 @@ CLUSTER_SETTINGS: dict[str, str] = {
     "spark.stage.maxConsecutiveAttempts": "8",
     # W13's reliable checkpoints are removed once no plan refers to them
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # streaming state (one entry per cluster) kept off the JVM heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
