@@ -71,3 +71,16 @@ def test_join_kinds(spark):
     assert "FullOuter" in p, p
     p = plan(spark, "w03_reconcile")
     assert "Join" not in p, p
+
+
+def test_cluster_settings_are_valid_sql_confs(spark):
+    """The SQL entries of CLUSTER_SETTINGS are settings Spark accepts (set on
+    a separate session so the shared one is untouched)."""
+    from fleetlens.session import CLUSTER_SETTINGS
+    other = spark.newSession()
+    for k, v in CLUSTER_SETTINGS.items():
+        if k.startswith("spark.sql."):
+            other.conf.set(k, v)
+            assert other.conf.get(k) == v, k
+    assert other.conf.get("spark.sql.shuffle.partitions") != spark.conf.get(
+        "spark.sql.shuffle.partitions")
