@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .chunk_recipes import exact_dedup
 from .common import table
@@ -11,8 +10,10 @@ from .cotraining import cotrained_quality
 from .decontam import contaminated
 from .line_dedup import line_dedup
 from .mixing import temperature_mix
+from .page_diff import page_diff
 from .secret_scan import secret_scan
 from .simhash import simhash_dedup
+from .warc import warc_round_trip
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff(table(spark, sf_dir, "pages"))
+
+
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temperature_mix(table(spark, sf_dir, "documents"), max_passes=MIX_PASSES)
 
@@ -51,6 +60,8 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_cotraining": op4_cotraining,
     "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc,
+    "op7_page_diff": op7_page_diff,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_simhash": op10_simhash,
 }
