@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chunk_recipes import exact_dedup
 from .common import table
@@ -13,6 +14,7 @@ from .mixing import temperature_mix
 from .page_diff import page_diff
 from .secret_scan import secret_scan
 from .simhash import simhash_dedup
+from .suffix_dedup import suffix_dedup
 from .warc import warc_round_trip
 
 
@@ -44,6 +46,14 @@ def op7_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is left; the spans and bytes themselves are the operator's."""
+    return suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temperature_mix(table(spark, sf_dir, "documents"), max_passes=MIX_PASSES)
 
@@ -62,6 +72,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
     "op7_page_diff": op7_page_diff,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_simhash": op10_simhash,
 }
