@@ -1,0 +1,76 @@
+import random
+
+from edge import DOCS, awkward, docs, rows, words
+
+from fleetlens.llm.decontam import contaminated, myers, normal, pieces
+
+ITEMS = "item_id long, text string"
+
+
+def semi_global(pattern, text):
+    """Least edit distance of the pattern to any substring, by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        last, row = row, [i] + [0] * len(text)
+        for j, t in enumerate(text, 1):
+            row[j] = min(last[j - 1] + (p != t), last[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_myers_against_the_full_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        p = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 90)))
+        t = "".join(rng.choice("abc") for _ in range(rng.randrange(120)))
+        if rng.random() < 0.5:
+            t += p[: len(p) // 2] + "x" + p[len(p) // 2 :]
+        best = semi_global(p, t)
+        assert myers(p, t, len(p))[0] == best if t else True
+        assert myers(p, t, best - 1) is None
+
+
+def test_pieces_cover_the_item():
+    for n in (1, 7, 100):
+        cut = pieces("x" * n, min(4, n - 1))
+        assert "".join(p for _, p in cut) == "x" * n and all(p for _, p in cut)
+
+
+def brute(data, items, rate, min_chars):
+    out = set()
+    for doc, text in data:
+        for item, pattern in items:
+            p = normal(pattern or "")
+            if len(p) >= min_chars:
+                d = semi_global(p, normal(text or ""))
+                if d <= int(len(p) * rate):
+                    out.add((doc, item, d))
+    return sorted(out, key=str)
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(4)
+    items = [(i, words(12, 100 + i)) for i in range(8)] + [(8, None), (9, "tiny"), (None, words(12, 300)), (1, words(12, 101)), (50, "Ü" * 45)]
+    data = [r for r in awkward() if len(r[1] or "") < 2000]
+    for k in range(30):
+        text = words(25, 500 + k)
+        if k % 3:
+            chars = list(items[k % 8][1].upper() if k % 2 else items[k % 8][1])
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(chars))
+                chars[at] = rng.choice(["", "z", chars[at] + "q"])
+            text = words(5, k) + " \n" + "".join(chars) + " " + words(5, k + 9)
+        data.append((100 + k, text))
+    data += [(200, items[0][1]), (201, items[0][1][:-1]), (202, "ü" * 46), (203, items[2][1].replace(" ", " \t "))]
+    bench = spark.createDataFrame(items, ITEMS)
+    for blocks in (10**6, 100):
+        got = rows(contaminated(docs(spark, data), bench, block_chars=blocks), "doc_id", "item_id", "distance")
+        assert got == brute(data, items, 0.05, 40)
+
+
+def test_long_text_and_empty_tables(spark):
+    item = words(20, 1)
+    bench = spark.createDataFrame([(1, item)], ITEMS)
+    long = docs(spark, [(1, words(40_000, 2) + " " + item), (2, words(40_000, 2))])
+    assert rows(contaminated(long, bench), "doc_id", "item_id", "distance") == [(1, 1, 0)]
+    assert rows(contaminated(spark.createDataFrame([], DOCS), bench), "doc_id") == []
+    assert rows(contaminated(long, spark.createDataFrame([], ITEMS)), "doc_id") == []
