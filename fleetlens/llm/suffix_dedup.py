@@ -50,6 +50,8 @@ def _mail(chunks, kind: int, buckets, parts) -> pa.Table:
 
 def _bucket_slices(words: np.ndarray, bits: int, bucket_bits: int):
     """(bucket, slice) of sorted words of ``bits`` bits by their leading ``bucket_bits``."""
+    if not len(words):
+        return
     bucket = (words >> np.uint64(bits - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(words), np.int64)
     first = np.flatnonzero(starts_of(bucket)).tolist()
     for a, b in zip(first, [*first[1:], len(words)], strict=True):
