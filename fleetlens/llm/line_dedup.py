@@ -34,13 +34,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``min_words``: lines with fewer words take no part (a bare "Yes." is no copy).
     A null id ranks after all others. One digest may hold a third of all
     lines: the first place is found by partial aggregation, and only digests that repeat are
-    joined back, one row per digest on that side, which adaptive skew
-    splitting can divide.
+    joined back from a written table, one row per digest on that side, which
+    adaptive skew splitting can divide.
     """
-    units = line_units(docs, id_col, text_col, min_words)
+    units = saved(line_units(docs, id_col, text_col, min_words), "units")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "line")
     first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    hits = units.join(first.select("digest", "first"), "digest")
+    hits = units.join(saved(first.select("digest", "first"), "first-lines"), "digest")
     later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")))
     return hits.where(later).select(
         "id", "line", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line")
@@ -65,7 +65,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "lines",
     )
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    joined = base.join(per_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "text", "gone")
+    # texts are joined by one plan at every size: the removals grow with the corpus
+    joined = base.join(per_doc.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "text", "gone")
     id_type = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(_cut_lines, _SCHEMA.format(id=id_type))
 
