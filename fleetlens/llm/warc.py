@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, saved
@@ -99,16 +99,19 @@ def candidates(pieces: DataFrame) -> DataFrame:
     """
     head = F.substring_index("value", END, 1)
     field = lambda name, value: F.regexp_extract("head", rf"(?im)^{name}: *{value} *\r?$", 1)
+    number = lambda name, value: F.expr(rf"try_cast(nullif(regexp_extract(head, '(?im)^{name}: *{value}', 1), '') as bigint)")
     parsed = pieces.select(
-        "file", "split", "seq", F.octet_length("value").cast("long").alias("size"), head.alias("head"),
+        "file", "split", "seq", "value", F.octet_length("value").cast("long").alias("size"), head.alias("head"),
     ).select(
-        "file", "split", "seq", "size", (F.octet_length("head") + len(END)).cast("long").alias("head_size"),
-        F.expr(r"try_cast(nullif(regexp_extract(head, '(?im)^Content-Length: *([0-9]+) *\\r?$', 1), '') as bigint)").alias("length"),
+        "*", (F.octet_length("head") + len(END)).cast("long").alias("head_size"),
+        number("Content-Length", r"([0-9]+) *\\r?$").alias("length"),
         field("WARC-Type", r"([^\r\n]+?)").alias("type"),
-        F.expr(rf"try_cast(nullif(regexp_extract(head, '(?im)^WARC-Record-ID: *<{ID_PREFIX}(-?[0-9]+)>', 1), '') as bigint)").alias("page_id"),
-        F.expr(rf"try_cast(nullif(regexp_extract(head, '(?im)^WARC-Refers-To: *<{ID_PREFIX}(-?[0-9]+)>', 1), '') as bigint)").alias("refers_to"),
+        number("WARC-Record-ID", rf"<{ID_PREFIX}(-?[0-9]+)>").alias("page_id"),
+        number("WARC-Refers-To", rf"<{ID_PREFIX}(-?[0-9]+)>").alias("refers_to"),
         field("WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("digest_field"),
     )
+    whole = F.col("size") >= F.col("head_size") + F.col("length")
+    parsed = _with_payload(parsed.withColumn("whole", F.coalesce(whole, F.lit(False))), F.col("whole")).drop("value", "head")
     parsed = saved(parsed, "warc-heads")
     step = F.col("size") + len(MAGIC)
     in_split = Window.partitionBy("file", "split").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -206,12 +209,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     pieces = segments(spark, path)
     found = candidates(pieces)
     marks = verified(found)
-    records = marks.where("is_record").join(found.drop("split", "at"), ["file", "seq"]).select(
-        "file", "at", "seq", "page_id", "type", "refers_to", "digest_field", "head_size", "length", "size"
-    )
-    whole = F.col("size") >= F.col("head_size") + F.col("length")
-    body = saved(_payloads(pieces.join(records.where(whole), ["file", "seq"])).unionByName(
-        _payloads(_put_together(pieces, marks, records.where(~whole)))
+    records = saved(marks.where("is_record").select("file", "seq").join(found, ["file", "seq"]), "warc-reached")
+    body = saved(records.where("whole").select(_FIELDS).unionByName(
+        _with_payload(_put_together(pieces, marks, records.where("not whole")), F.lit(True)).select(_FIELDS)
     ), "warc-records")
     responses = body.where("type = 'response'")
     answers = responses.select(
@@ -226,23 +226,25 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _payloads(rows: DataFrame) -> DataFrame:
-    """Digest and size of the body behind the inner HTTP header, from a record's text ``value``."""
+_FIELDS = ["page_id", "type", "refers_to", "digest_field", "payload_bytes", "payload_digest"]
+
+
+def _with_payload(rows: DataFrame, whole: Column) -> DataFrame:
+    """Size and digest of a response's body, behind the inner HTTP header of the record text ``value``."""
     block = F.substr(F.col("value").cast("binary"), (F.col("head_size") + 1).cast("int"), F.col("length").cast("int"))
-    rows = rows.withColumn("block", block)
+    rows = rows.withColumn("block", F.when(whole & (F.col("type") == "response"), block))
     inner = F.octet_length(F.substring_index(F.col("block").cast("string"), END, 1)) + len(END)
     payload = F.substr(F.col("block"), (inner + 1).cast("int"), (F.col("length") - inner).cast("int"))
-    rows = rows.withColumn("payload", F.when(F.col("type") == "response", payload))
-    return rows.select(
-        "page_id", "type", "refers_to", "digest_field",
-        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"),
-    )
+    rows = rows.withColumn("payload", payload)
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn(
+        "payload_digest", F.sha1("payload")
+    ).drop("block", "payload")
 
 
 def _put_together(pieces: DataFrame, marks: DataFrame, records: DataFrame) -> DataFrame:
     """Texts of records that span pieces, with the magic lines between them."""
     wanted = records.select("file", F.col("at").alias("owner"), "page_id", "type", "refers_to", "digest_field", "head_size", "length")
-    parts = marks.join(wanted.select("file", "owner"), ["file", "owner"]).select("file", "seq", "at", "owner")
+    parts = saved(marks.join(wanted.select("file", "owner"), ["file", "owner"]).select("file", "seq", "at", "owner"), "warc-parts")
     texts = parts.join(pieces.select("file", "seq", "value"), ["file", "seq"]).groupBy("file", "owner").agg(
         F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts")
     )
