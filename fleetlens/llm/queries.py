@@ -12,7 +12,7 @@ from .decontam import contaminated
 from .line_dedup import line_dedup
 from .mixing import temperature_mix
 from .page_diff import page_diff
-from .secret_scan import secret_scan
+from .secret_scan import BASE, MORE, secret_scan
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
 from .warc import warc_round_trip
@@ -110,3 +110,45 @@ select doc_id, min(doc_id) over (partition by norm) as keep_id, count(*) over (p
 from t
 """,
 }
+
+
+def _spans_sql() -> str:
+    """Spans as in the operator: lengths of the pieces between matches and of the matches, added up."""
+    def one(order: int, rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        return f"""
+    select doc_id, {order} as ord, '{rule.kind}' as kind, {rule.min_chars} as least,
+        regexp_extract_all(text, '{pattern}', 0) as whole, regexp_extract_all(text, '{pattern}', {rule.group}) as part,
+        regexp_split_to_array(text, '{pattern}') as gap
+    from t"""
+
+    found = "\n    union all".join(one(i, r) for i, r in enumerate((*BASE, *MORE)))
+    counts = ",\n    ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in BASE)
+    spans = "string_agg(kind || ':' || a || ':' || b, ',' order by a, ord)"
+    return f"""
+with t as (select doc_id, coalesce(text, '') as text from documents), m as ({found}
+), e as (select *, unnest(range(1, len(whole) + 1)) as i from m where len(whole) > 0
+), p as (
+    select doc_id, ord, kind, length(part[i]) as n, least, length(whole[i]) as size,
+        list_sum(list_transform(gap[1:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) as start
+    from e
+), h as (select doc_id, ord, kind, start::bigint as a, (start + size)::bigint as b from p where n >= least)
+select doc_id, {counts},
+    sha256(coalesce({spans} filter (ord < {len(BASE)}), '')) as base_sha256, coalesce({spans}, '') as spans
+from t left join h using (doc_id) group by doc_id
+"""
+
+
+ORACLE_SQL["op3_secret_scan"] = _spans_sql()
+ORACLE_SQL["op6_warc"] = """
+with p as (
+    select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as n,
+        max(page_id) over (partition by coalesce(html, '')) as last
+    from pages
+)
+select page_id, n::bigint as payload_bytes, sha1(body) as payload_digest,
+    case when n >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+    case when n >= 1000 and page_id <> last then last end as refers_to
+from p
+"""
