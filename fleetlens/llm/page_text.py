@@ -74,7 +74,9 @@ class PageLines(HTMLParser):
             self.open = []
         zone, skipped = self._state()
         given = {k: v or "" for k, v in attrs}
-        names = set(_WORDS.findall(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower()))
+        named = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower()
+        # an article's own classes often speak of its comments or share buttons: whole names only
+        names = set(named.split() if tag in ("article", "main") else _WORDS.findall(named))
         reason = ""
         if tag in SKIPPED:
             reason = tag
