@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import cols, upper_list
-from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
+from fleetlens.plans.sizing import DEFAULT_BROADCAST_BYTES, DEFAULT_BROADCAST_ROWS, rows_and_bytes
 from fleetlens.plans.skew import join_one_per_key
 
 
@@ -17,8 +17,8 @@ def keep_listed(df: DataFrame, key: str, include: str | Iterable[str] | DataFram
                 upper_key: bool = True) -> DataFrame:
     """W01. Keep rows whose key is in ``include``, or drop rows whose key is
     in ``exclude``. Lists and key are compared upper-cased; comma lists are
-    split without trimming. Giving both lists is an error; an empty include
-    list means no filter. A NULL key survives ``exclude`` and never matches
+    split without trimming. Giving both lists is an error; an empty list, also
+    one given as a table, means no filter. A NULL key survives ``exclude`` and never matches
     ``include``.
 
     A Python list becomes ``IN (...)``, map-only. With ``upper_key=False``
@@ -26,6 +26,8 @@ def keep_listed(df: DataFrame, key: str, include: str | Iterable[str] | DataFram
     pushed ``In`` filter. A list given as a DataFrame (first column) is a
     left-semi / left-anti join.
     """
+    # Lists are taken once: an iterator would be empty at the second look.
+    include, exclude = _listed(include), _listed(exclude)
     if _given(include) and _given(exclude):
         raise ValueError("give either include or exclude, not both")
     k = F.upper(F.col(key)) if upper_key else F.col(key)
@@ -34,11 +36,14 @@ def keep_listed(df: DataFrame, key: str, include: str | Iterable[str] | DataFram
         name = lst.columns[0]
         lst = lst.select(F.upper(F.col(name)).alias("_fl_name")).distinct()
         keep = isinstance(include, DataFrame)
-        if within_rows(lst, DEFAULT_BROADCAST_ROWS):
+        n, size = rows_and_bytes(lst)
+        if not n:
+            return df
+        if n <= DEFAULT_BROADCAST_ROWS and size <= DEFAULT_BROADCAST_BYTES:
             return df.join(F.broadcast(lst), k == F.col("_fl_name"),
                            "left_semi" if keep else "left_anti")
         # A large list: each key matches at most one list row, so a join
-        # with hot keys split over tasks does the semi / anti join.
+        # that keeps hot keys in place does the semi / anti join.
         keyed = df.withColumn("_fl_key", k)
         lst = lst.select(F.col("_fl_name").alias("_fl_key"), F.lit(True).alias("_fl_hit"))
         j = join_one_per_key(keyed, lst, "_fl_key", "inner" if keep else "left")
@@ -53,6 +58,10 @@ def keep_listed(df: DataFrame, key: str, include: str | Iterable[str] | DataFram
     return df
 
 
+def _listed(v):
+    return v if v is None or isinstance(v, (str, DataFrame)) else list(v)
+
+
 def _given(v) -> bool:
     if v is None:
         return False

@@ -8,62 +8,44 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions.columns import cols
 from fleetlens.operators.configs import first_by
 from fleetlens.plans.ordinal import position_within
 from fleetlens.plans.skew import join_one_per_key
-from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
+from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, literal_type, within_rows
 
 
 def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequence[str],
                        host: str, ord: str | Column, item: str,
                        items_host: str | None = None, items_cluster: bool = False,
-                       distinct_items: bool = True, hosts_per_salt: int = 100_000,
-                       spread: int = 256, split_hot: bool = True) -> DataFrame:
+                       distinct_items: bool = True, hosts_per_salt: int = 1000) -> DataFrame:
     """W12. Per cluster, the first host by ``ord`` is the template; its items
     are planned for every later host. Returns (cluster..., host, item).
     A cluster with a single host yields no rows. Pass only the hosts that
     take part (e.g. secondaries); the caller filters roles.
 
     The output is hosts x template items per cluster by design; the join is
-    on the cluster. Only hot clusters are split: target hosts are counted per
-    cluster (map-side combined), a cluster with more than ``hosts_per_salt``
-    targets gets ``ceil(n / hosts_per_salt)`` salts (at most ``spread``), its
-    targets are spread over them by host hash and its template items copied
-    once per salt. All other clusters join unsalted, so nothing is copied for
-    them. The cluster sizes come from the same aggregate that picks the
-    template, so salting costs no extra pass or join. Matching items to the
-    template host splits a host with very many items the same way, at the
-    cost of one pass over the item keys (``split_hot=False`` skips it).
+    on the cluster and a salt. A cluster's targets are dealt to one salt per
+    ``hosts_per_salt`` of them by host hash and its template items are copied once
+    per salt, which is 1 / ``hosts_per_salt`` of the rows the join makes. So a
+    task's share is bounded by ``hosts_per_salt`` times one template, however many hosts a
+    cluster or items a template has. The cluster sizes come from the same aggregate that picks the
+    template. Items meet their host's template row with hot hosts kept in place.
     """
     cl = cols(cluster)
     ih = items_host or host
-    # One aggregate gives the template and the cluster's size; the salt count
-    # rides along with the template, so salting needs no pass of its own.
-    n_targets = F.count(F.lit(1)) - 1
-    tmpl = hosts.groupBy(*cl).agg(first_by(host, ord).alias("_fl_t"),
-                                  n_targets.alias("_fl_n"))
-    tmpl = tmpl.withColumn("_fl_k", F.when(
-        F.col("_fl_n") > hosts_per_salt,
-        F.least(F.lit(spread).cast("long"), F.ceil(F.col("_fl_n") / F.lit(hosts_per_salt))),
-    ).otherwise(F.lit(1).cast("long")))
-    # Hosts meet their cluster's single template row; items meet their
-    # host's template row: both joins split hot keys over tasks.
-    targets = (join_one_per_key(hosts, tmpl.withColumn("_fl_hosts", F.col("_fl_n") + 1), cl,
-                                "inner", size_col="_fl_hosts")
+    tmpl = hosts.groupBy(*cl).agg(first_by(host, ord).alias("_fl_t"), F.count(F.lit(1)).alias("_fl_hosts"))
+    tmpl = tmpl.withColumn("_fl_k", F.ceil(F.col("_fl_hosts") / F.lit(hosts_per_salt)))
+    targets = (join_one_per_key(hosts, tmpl, cl, "inner", size_col="_fl_hosts")
                .filter(~F.col(host).eqNullSafe(F.col("_fl_t")))
                .select(*cl, host, F.pmod(F.xxhash64(F.col(host)), F.col("_fl_k")).alias("_fl_s")))
     key = [ih] + (cl if items_cluster else [])
-    by_host = tmpl.select(F.col("_fl_t").alias(ih), *([] if items_cluster else
-                                                        [F.col(c).alias(f"_fl_c{i}")
-                                                         for i, c in enumerate(cl)]),
-                          *(cl if items_cluster else []), "_fl_k")
-    isel = items.select(*key, item)
-    titems = (join_one_per_key(isel, by_host, key, "inner") if split_hot
-              else isel.join(by_host, key, "inner")).select(
-        *[F.col(c if items_cluster else f"_fl_c{i}").alias(c) for i, c in enumerate(cl)],
-        item, "_fl_k")
+    names = {c: c if items_cluster else f"_fl_c{i}" for i, c in enumerate(cl)}
+    by_host = tmpl.select(F.col("_fl_t").alias(ih), *[F.col(c).alias(n) for c, n in names.items()], "_fl_k")
+    titems = join_one_per_key(items.select(*key, item), by_host, key, "inner").select(
+        *[F.col(n).alias(c) for c, n in names.items()], item, "_fl_k")
     if distinct_items:
         titems = titems.distinct()
     salted_items = titems.select(*cl, item, F.explode(
@@ -74,8 +56,8 @@ def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequen
 def assign_ids(df: DataFrame, cluster: str | Sequence[str], ord: str | Sequence[str],
                start: int = 1000, name: str = "id") -> DataFrame:
     """W13. Consecutive ids from list position within a cluster, starting at
-    ``start``; equal names get distinct ids. Uses the range-partitioned
-    position plan, so one huge cluster is numbered by many tasks."""
+    ``start``; equal names get distinct ids. A huge cluster is numbered by many
+    tasks (:mod:`fleetlens.plans.ordinal`)."""
     return position_within(df, cluster, ord, name=name, start=start)
 
 
@@ -89,27 +71,32 @@ def rename_keys(df: DataFrame, key: str, mapping: Mapping[str, str] | DataFrame,
     """W14. Replace ``key`` by its mapped value; unmapped keys stay.
 
     A dict of up to ``LITERAL_MAP_ENTRIES`` entries becomes a literal map
-    lookup (map-only); a larger one is joined like a mapping DataFrame. A
-    mapping DataFrame
-    (``old``, ``new``, plus ``cluster`` columns when given) is left-joined;
-    it is broadcast only after its row count is checked."""
+    lookup (map-only); a larger one is joined like a mapping DataFrame, with
+    the same types and rows. A mapping DataFrame (``old``, ``new``, plus ``cluster``
+    columns when given) is left-joined; of several new values for one
+    old key the least counts. It is broadcast only after its size is checked."""
     k = F.col(key)
     if not isinstance(mapping, DataFrame):
         if not mapping:
             return df
-        if len(mapping) <= LITERAL_MAP_ENTRIES and cluster is None:
-            m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-            return df.withColumn(key, F.coalesce(F.element_at(m, k), k))
         if cluster is not None:
             raise ValueError("a per-cluster mapping must be a DataFrame")
+        ktype = df.schema[key].dataType
+        vtype = literal_type(df.sparkSession, mapping.values())
+        if len(mapping) <= LITERAL_MAP_ENTRIES:
+            m = F.map_from_arrays(F.array(*[F.lit(o).cast(ktype) for o in mapping]),
+                                  F.array(*[F.lit(v).cast(vtype) for v in mapping.values()]))
+            return df.withColumn(key, F.coalesce(F.element_at(m, k), k))
         # A map lookup scans its keys; a large mapping is joined instead.
+        otype = literal_type(df.sparkSession, mapping)
         mapping = df.sparkSession.createDataFrame(
-            list(mapping.items()), "old string, new string")
+            [(o, v) for o, v in mapping.items()],
+            T.StructType([T.StructField("old", otype), T.StructField("new", vtype)])
+        ).withColumn("old", F.col("old").cast(ktype))
         old, new = "old", "new"
     cl = cols(cluster) if cluster is not None else []
-    mp = mapping.select(*[F.col(c).alias(f"_fl_c{i}") for i, c in enumerate(cl)],
-                        F.col(old).alias("_fl_old"), F.col(new).alias("_fl_new"))
-    mp = mp.dropDuplicates([*[f"_fl_c{i}" for i in range(len(cl))], "_fl_old"])
+    mp = mapping.groupBy(*[F.col(c).alias(f"_fl_c{i}") for i, c in enumerate(cl)],
+                         F.col(old).alias("_fl_old")).agg(F.min(new).alias("_fl_new"))
     if within_rows(mp, max_rows):
         cond = df[key] == F.col("_fl_old")
         for i, c in enumerate(cl):
@@ -117,10 +104,9 @@ def rename_keys(df: DataFrame, key: str, mapping: Mapping[str, str] | DataFrame,
         j = df.join(F.broadcast(mp), cond, "left")
         return j.select(*[F.coalesce(F.col("_fl_new"), df[c]).alias(c) if c == key else df[c]
                           for c in df.columns])
-    # A large mapping: one row per (cluster, old key), joined with hot keys
-    # of ``df`` split over tasks.
+    # A large mapping: one row per (cluster, old key).
     mp = mp.select(*[F.col(f"_fl_c{i}").alias(c) for i, c in enumerate(cl)],
-                   F.col("_fl_old").alias(key), "_fl_new")
+                   F.col("_fl_old").cast(df.schema[key].dataType).alias(key), "_fl_new")
     j = join_one_per_key(df, mp, [*cl, key], "left")
     return j.select(*[F.coalesce(F.col("_fl_new"), F.col(c)).alias(c) if c == key else F.col(c)
                       for c in df.columns])

@@ -2,22 +2,21 @@
 
 ``row_number() OVER (PARTITION BY g ORDER BY o)`` sends every row of a group
 to one task. When one cluster holds a third of all rows that task holds a
-third of the data. This plan keeps the same result but spreads a group:
+third of the data. This plan keeps the same result but cuts a hot group into
+ranges of its order key:
 
-1. range-partition on (g, o) so a hot group spans many partitions, sort
-   within partitions and tag rows with partition id and a running id;
-2. count rows per (g, partition) -- at most partitions + groups rows;
-3. a window over that small count table gives each (g, partition) the number
-   of rows of g in earlier partitions;
-4. join back on (g, partition): position = offset + local position.
+1. rows are counted per group; a group above ``rows_per_range`` rows and above
+   a fixed share of all rows is hot, so there are at most 500 of them;
+2. the range bounds of a hot group are order keys picked by a hash of the key,
+   about ``total / 10,000`` rows apart: at most some 10,000 keys in all, which bounds the
+   broadcast;
+3. a row's range is the number of bounds below its key, a function of the row
+   alone, so every branch and every retried task agrees on it;
+4. position = rows of earlier ranges + ``row_number`` within (group, range).
 
-Costs at scale: the range exchange first samples its input (one extra read
-of the rows being numbered), then shuffles them once; the count table is
-tiny. The tagged data is read twice. When the session names a reliable checkpoint
-folder it is checkpointed once, so both reads see the same rows even if an
-executor is lost. Without one, both branches reuse the same deterministic
-range exchange; ties in the order key are then broken arbitrarily, as they are
-by ``row_number``.
+Nothing runs while the plan is built and no folder is needed. Rows with equal
+order keys share a range and are numbered arbitrarily among themselves, as
+``row_number`` does. The key columns are read three times, whole rows once.
 """
 
 from __future__ import annotations
@@ -28,54 +27,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import cols
+from fleetlens.plans.skew import ROWS_PER_TASK, hot_keys
 
-
-def _checkpoint_dir(df: DataFrame) -> str | None:
-    spark = df.sparkSession
-    try:
-        current = spark.sparkContext.getCheckpointDir()
-    except Exception:  # no SparkContext on the client (Spark Connect)
-        current = None
-    return current or spark.conf.get("spark.checkpoint.dir", None)
+RANGES = 10_000
 
 
 def position_within(df: DataFrame, group: str | Sequence[str],
                     order: str | Sequence[str | Column], name: str = "pos",
-                    start: int = 1, num_partitions: int | None = None,
-                    checkpoint: bool | None = None) -> DataFrame:
-    """Add ``name`` = ``start`` + 0-based position of the row in its group."""
+                    start: int = 1, rows_per_range: int = ROWS_PER_TASK) -> DataFrame:
+    """Add ``name`` = ``start`` + 0-based position of the row in its group, by
+    ascending ``order`` (columns or expressions, NULL first)."""
     group = cols(group)
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    key = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"k{i}") for i, o in enumerate(order)])
+    ids = [f"_fl_g{i}" for i in range(len(group))]
+    # NULL is a group like any other: groups meet as (is null, value).
+    rows = df.select("*", *[F.struct(F.col(g).isNull().alias("n"), F.col(g).alias("v")).alias(i) for g, i in zip(group, ids)],
+                     key.alias("_fl_key"))
+    keys = rows.select(*ids, "_fl_key")
+    match = lambda a, b: [F.col(f"{a}.{i}").eqNullSafe(F.col(f"{b}.{i}")) for i in ids]
+
+    sizes = keys.groupBy(*ids).agg(F.count(F.lit(1)).alias("_fl_n"))
+    total = sizes.agg(F.sum("_fl_n")).scalar()
+    every = F.greatest(F.lit(1).cast("long"), F.ceil(total / RANGES), F.lit(rows_per_range // 100).cast("long"))
+    hot = hot_keys(sizes, ids, "_fl_n", rows_per_range).select(*ids, every.alias("_fl_every"))
+    picked = keys.alias("r").join(F.broadcast(hot).alias("h"), match("r", "h")).filter(
+        F.pmod(F.xxhash64("r._fl_key"), F.col("h._fl_every")) == 0)
+    bounds = picked.groupBy(*[F.col(f"r.{i}").alias(i) for i in ids]).agg(
+        F.sort_array(F.collect_set("r._fl_key")).alias("_fl_bounds"))
 
-    tagged = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_fl_pid", F.spark_partition_id())
-        .withColumn("_fl_mid", F.monotonically_increasing_id())
-    )
-    if checkpoint is None:
-        checkpoint = _checkpoint_dir(df) is not None
-    if checkpoint:
-        tagged = tagged.checkpoint(eager=True)
+    def ranged(frame: DataFrame) -> DataFrame:
+        j = frame.alias("r").join(F.broadcast(bounds).alias("h"), match("r", "h"), "left")
+        part = F.coalesce(F.size(F.filter(F.col("h._fl_bounds"), lambda b: b < F.col("r._fl_key"))), F.lit(0))
+        return j.select("r.*", F.when(F.col("h._fl_bounds").isNull(), 0).otherwise(part).alias("_fl_part"))
 
-    counts = tagged.groupBy(*group, "_fl_pid").agg(
-        F.count(F.lit(1)).alias("_fl_n"), F.min("_fl_mid").alias("_fl_m0"))
-    earlier = Window.partitionBy(*group).orderBy("_fl_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(g).alias(f"_fl_g{i}") for i, g in enumerate(group)],
-        F.col("_fl_pid").alias("_fl_opid"),
-        F.col("_fl_m0"),
-        F.coalesce(F.sum("_fl_n").over(earlier), F.lit(0)).alias("_fl_off"),
-    )
-    cond = F.col("_fl_pid") == F.col("_fl_opid")
-    for i, g in enumerate(group):
-        cond = cond & tagged[g].eqNullSafe(F.col(f"_fl_g{i}"))
-    joined = tagged.join(offsets, cond, "inner")
-    pos = F.col("_fl_off") + (F.col("_fl_mid") - F.col("_fl_m0")) + F.lit(start)
-    return joined.withColumn(name, pos.cast("long")).drop(
-        "_fl_pid", "_fl_mid", "_fl_opid", "_fl_m0", "_fl_off",
-        *[f"_fl_g{i}" for i in range(len(group))])
+    earlier = Window.partitionBy(*ids).orderBy("_fl_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged(keys.join(F.broadcast(bounds.select(*ids)), ids, "left_semi")).groupBy(*ids, "_fl_part").agg(
+        F.count(F.lit(1)).alias("_fl_c"))
+    offsets = counts.select(*ids, "_fl_part", F.coalesce(F.sum("_fl_c").over(earlier), F.lit(0)).alias("_fl_off"))
+    local = F.row_number().over(Window.partitionBy(*ids, "_fl_part").orderBy("_fl_key")) - 1
+    numbered = ranged(rows).withColumn("_fl_local", local)
+    joined = numbered.join(F.broadcast(offsets), [*ids, "_fl_part"], "left")
+    pos = F.coalesce(F.col("_fl_off"), F.lit(0)) + F.col("_fl_local") + F.lit(start)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], pos.cast("long").alias(name))

@@ -1,16 +1,15 @@
 """Joining many rows to a table with at most one row per key, when one key
 may hold a third of the many rows.
 
-A sort-merge join sends every row of a key to one task. Here the big side is
-counted per key first (map-side combined, only the key column is read);
-keys with more than ``rows_per_task`` rows get ``ceil(n / rows_per_task)``
-salts (at most ``spread``). Big rows of such a key pick a salt by a hash of
-the row; the key's single row on the small side is copied once per salt. All
-other keys join unsalted, so nothing is copied for them.
-
-The table of hot keys has at most ``count(big) / rows_per_task`` rows (with
-``rows_per_task`` = 1,000,000 that is 1,000 rows per 10^9 big rows) and is
-broadcast on that bound.
+A sort-merge join sends every row of a key to one task. Here keys that hold
+more than a fixed share of the big side (``HOT_SHARE``) are hot; there are at
+most ``1 / HOT_SHARE`` of them whatever the size of the data, so their rows of the
+small side -- one each -- are broadcast, and only the other rows are shuffled.
+Rows with a NULL key match nothing and are passed by the join. Nothing is
+salted, copied or hashed by content.
+
+The big side is read once for the counts (key columns only, combined in each
+task), once for hot and NULL keys and once for the rest.
 """
 
 from __future__ import annotations
@@ -22,20 +21,28 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import cols
 
+# Keys below this number of rows are left to a plain join.
 ROWS_PER_TASK = 1_000_000
-SPREAD = 256
+HOT_SHARE = 1 / 500
+
+
+def hot_keys(sizes: DataFrame, on: Sequence[str], n: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys of ``sizes`` (one row per key, ``n`` its rows) above ``rows_per_task``
+    rows and above ``HOT_SHARE`` of all rows: at most 500 rows."""
+    total = sizes.agg(F.sum(n)).scalar()  # a subquery: one partial sum per task
+    least = F.greatest(F.lit(float(rows_per_task)), total * F.lit(HOT_SHARE))
+    return sizes.dropna(subset=list(on)).filter(F.col(n) > least).select(*on)
 
 
 def join_one_per_key(big: DataFrame, small: DataFrame, on: str | Sequence[str],
                      how: str = "left", rows_per_task: int = ROWS_PER_TASK,
-                     spread: int = SPREAD, size_col: str | None = None) -> DataFrame:
+                     size_col: str | None = None) -> DataFrame:
     """``big.join(small, on, how)`` for ``small`` with at most one row per
-    key (``how`` is ``inner`` or ``left``), with hot keys split over tasks.
+    key (``how`` is ``inner`` or ``left``), with hot keys kept in place.
 
     ``size_col`` names a column of ``small`` that already holds the number
     of big rows per key (e.g. a count kept by the aggregate that built
-    ``small``); the hot keys are then read from it and the big side is not
-    counted again."""
+    ``small``); the big side is then not counted again."""
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     on = cols(on)
@@ -43,16 +50,18 @@ def join_one_per_key(big: DataFrame, small: DataFrame, on: str | Sequence[str],
         sizes = small.select(*on, F.col(size_col).alias("_fl_hn"))
     else:
         sizes = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_fl_hn"))
-    hot = (sizes.filter(F.col("_fl_hn") > rows_per_task)
-           .select(*on, F.least(F.lit(spread).cast("long"),
-                                F.ceil(F.col("_fl_hn") / F.lit(rows_per_task))).alias("_fl_hk")))
-    hot = F.broadcast(hot)
-    k = F.coalesce(F.col("_fl_hk"), F.lit(1).cast("long"))
-    # Rows of ordinary keys take salt 0 without hashing; only rows of hot
-    # keys hash their content to pick one of the key's salts.
-    salt = F.when(k > 1, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), k)) \
-        .otherwise(F.lit(0).cast("long"))
-    salted_big = big.join(hot, on, "left").withColumn("_fl_hs", salt).drop("_fl_hk")
-    salted_small = small.join(hot, on, "left").withColumn(
-        "_fl_hs", F.explode(F.sequence(F.lit(0).cast("long"), k - 1))).drop("_fl_hk")
-    return salted_big.join(salted_small, [*on, "_fl_hs"], how).drop("_fl_hs")
+    hot = hot_keys(sizes, on, "_fl_hn", rows_per_task)
+    no_key = F.lit(False)
+    for c in on:
+        no_key = no_key | F.col(c).isNull()
+    cold = big.filter(~no_key).join(F.broadcast(hot), on, "left_anti").join(small, on, how)
+    out = cold.columns
+    parts = [cold, big.join(F.broadcast(hot.join(small, on, how)), on, "inner").select(out)]
+    if how == "left":
+        own = {f.name: f.dataType for f in small.schema if f.name not in on}
+        parts.append(big.filter(no_key).select(
+            *[F.lit(None).cast(own[c]).alias(c) if c in own else F.col(c) for c in out]))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result

@@ -43,8 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's reliable checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests, a laptop) is a private scratch
-    folder created.
+    is. Only a local session without it (tests, a laptop) gets a private scratch
+    folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="fleetlens-ckpt-")
     sc.setCheckpointDir(path)
     return path
@@ -85,7 +87,7 @@ CLUSTER_SETTINGS: dict[str, str] = {
     "spark.storage.decommission.shuffleBlocks.enabled": "true",
     "spark.task.maxFailures": "8",
     "spark.stage.maxConsecutiveAttempts": "8",
-    # W13's reliable checkpoints are removed once no plan refers to them
+    # reliable checkpoints are removed once no plan refers to them
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # streaming state (one entry per cluster) kept off the JVM heap
     "spark.sql.streaming.stateStore.providerClass":
