@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols, regex_quote
-from fleetlens.plans.ordinal import position_within
 from fleetlens.plans.skew import join_one_per_key
 from fleetlens.plans.sizing import (
-    DEFAULT_BROADCAST_ROWS, DEFAULT_LITERAL_ROWS, broadcast_if_small,
+    DEFAULT_BROADCAST_ROWS, DEFAULT_LITERAL_ROWS, broadcast_if_small, literal_type,
 )
 
 
@@ -66,11 +65,13 @@ def overlay(base: DataFrame, updates: DataFrame, on: str | Sequence[str],
     """W08, long form. Upsert: an update wins on a shared key, base keys
     without update are kept, new keys are added, nothing is deleted.
     Idempotent: applying the same updates twice gives the same bag.
+    A key repeated on one side counts once, with its greatest value, as in
+    :func:`overlay_tagged`.
     Full outer join on (cluster..., key): a cluster's keys spread over
     partitions, so wide bags and hot clusters do not meet in one task."""
     keys = cols(on) + [key]
-    b = base.select(*keys, F.col(value).alias("_fl_b"))
-    u = updates.select(*keys, F.col(value).alias("_fl_u"), F.lit(True).alias("_fl_up"))
+    b = base.groupBy(*keys).agg(F.max(value).alias("_fl_b"))
+    u = updates.groupBy(*keys).agg(F.max(value).alias("_fl_u"), F.lit(True).alias("_fl_up"))
     j = b.join(u, keys, "full_outer")
     out = [*keys, F.when(F.col("_fl_up"), F.col("_fl_u")).otherwise(F.col("_fl_b")).alias(value)]
     if source:
@@ -134,15 +135,15 @@ def select_rules(df: DataFrame, value: str | Column, rules: Sequence[Rule] | Dat
     optional type match and a half-open interval on ``value`` (numbers or
     version keys; arrays compare lexicographically).
 
-    Rules as a Python list become one literal array filtered per row and
-    exploded: map-only, no join (a list longer than the literal bound is
-    turned into a table first; its payload values then become text). Rules as a DataFrame (payload = all other
-    columns) are joined: typed rules by a hash join on type with the interval
-    as residual; untyped rules only after their count is checked, as a
-    broadcast nested-loop join against bounded pieces (more untyped rules
-    than the bound are split into several such pieces, each row checked
-    against each piece). A typed rule table above the bound is
-    shuffle-joined on type.
+    A short Python list becomes one literal array filtered per row and
+    exploded: map-only, no join. A longer list becomes a table of the same
+    types. Rules as a DataFrame (payload = all other columns) are joined on a
+    range bucket: some 64 of the rules' own bounds cut the value's domain, a rule
+    stands in every bucket its interval touches, typed rules are keyed by
+    (type, bucket) and untyped ones by bucket, and a row looks up both in one
+    join, with the interval as residual. So a type spreads over tasks, the rows
+    are read once, and no row is compared with all rules. The rule side is broadcast
+    only after its size is checked.
     """
     v = as_col(value)
     if isinstance(rules, DataFrame):
@@ -150,30 +151,29 @@ def select_rules(df: DataFrame, value: str | Column, rules: Sequence[Rule] | Dat
     if not rules:
         raise ValueError("no rules")
     dtype = df.select(v).schema.fields[0].dataType
+    ttype = df.schema[type_col].dataType if type_col else T.StringType()
+    names = list(rules[0].payload)
+    if any(list(r.payload) != names for r in rules):
+        raise ValueError("every rule needs the same payload fields")
+    ptypes = {n: literal_type(df.sparkSession, (r.payload[n] for r in rules)) for n in names}
     if len(rules) > DEFAULT_LITERAL_ROWS:
         # Too many for one literal: the same rules as a table, joined.
-        ttype = df.schema[type_col].dataType if type_col else T.StringType()
-        names = list(rules[0].payload)
         schema = T.StructType(
             [T.StructField(rule_type, ttype), T.StructField(rule_lo, dtype),
              T.StructField(rule_hi, dtype)]
-            + [T.StructField(n, T.StringType()) for n in names])
+            + [T.StructField(n, ptypes[n]) for n in names])
         table = df.sparkSession.createDataFrame(
-            [(r.type, r.lo, r.hi, *[None if r.payload[n] is None else str(r.payload[n])
-                                    for n in names]) for r in rules], schema)
+            [(r.type, _plain(r.lo), _plain(r.hi), *[r.payload[n] for n in names]) for r in rules],
+            schema, verifySchema=False)
         return _select_rules_join(df, v, table, type_col, rule_type, rule_lo, rule_hi,
                                   max_rules)
-    ttype = df.schema[type_col].dataType if type_col else T.StringType()
-    names = list(rules[0].payload)
     structs = []
     for r in rules:
-        if list(r.payload) != names:
-            raise ValueError("every rule needs the same payload fields")
         structs.append(F.struct(
             F.lit(r.type).cast(ttype).alias("t"),
             _lit_of(r.lo, dtype).alias("lo"),
             _lit_of(r.hi, dtype).alias("hi"),
-            *[F.lit(r.payload[n]).alias(n) for n in names]))
+            *[F.lit(r.payload[n]).cast(ptypes[n]).alias(n) for n in names]))
     arr = F.array(*structs)
     t = F.col(type_col) if type_col else None
 
@@ -187,6 +187,10 @@ def select_rules(df: DataFrame, value: str | Column, rules: Sequence[Rule] | Dat
     return hits.select(*df.columns, *[F.col("_fl_rule")[n].alias(n) for n in names])
 
 
+def _plain(x: Any) -> Any:
+    return list(x) if isinstance(x, tuple) else x
+
+
 def _lit_of(x: Any, dtype: T.DataType) -> Column:
     if x is None:
         return F.lit(None).cast(dtype)
@@ -201,48 +205,45 @@ def _select_rules_join(df, v, rules, type_col, rule_type, rule_lo, rule_hi, max_
         if type_col is not None:
             raise ValueError(f"rules have no {rule_type!r} column to match {type_col!r}")
         rules = rules.withColumn(rule_type, F.lit(None).cast("string"))
-    r = rules.select(*[F.col(c).alias(f"_fl_r_{c}") for c in rules.columns])
-    lo, hi, rt = F.col(f"_fl_r_{rule_lo}"), F.col(f"_fl_r_{rule_hi}"), F.col(f"_fl_r_{rule_type}")
-    out_cols = [*[df[c] for c in df.columns], *[F.col(f"_fl_r_{c}").alias(c) for c in payload]]
-    # One small job sizes both kinds of rule.
-    n_typed, n_untyped = r.select(F.count_if(rt.isNotNull()), F.count_if(rt.isNull())).first()
-    if type_col is None:
-        n_untyped, n_typed = n_typed + n_untyped, 0
-    parts = []
-    if n_typed:
-        typed = r.filter(rt.isNotNull())
-        typed = F.broadcast(typed) if n_typed <= max_rules else typed
-        parts.append(df.join(typed, (df[type_col] == rt) & _range_ok(v, lo, hi), "inner")
-                     .select(*out_cols))
-    if n_untyped:
-        untyped = r if type_col is None else r.filter(rt.isNull())
-        for chunk in _chunks(untyped, n_untyped, max_rules):
-            parts.append(df.join(F.broadcast(chunk), _range_ok(v, lo, hi), "inner")
-                         .select(*out_cols))
-    if not parts:
-        return df.join(r, F.lit(False), "inner").select(*out_cols)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _chunks(rules: DataFrame, n: int, max_rules: int) -> list[DataFrame]:
-    """Split a rule table into pieces of at most ``max_rules`` rows, each
-    safe to broadcast. Rules are numbered by the skew-safe position plan over
-    a total order of all their columns (maps as sorted entries), so only
-    identical rules can trade places between recomputations."""
-    if n <= max_rules:
-        return [rules]
-    order = []
-    for f in rules.schema.fields:
-        col = F.col(f.name)
-        order.append(F.array_sort(F.map_entries(col)) if isinstance(f.dataType, T.MapType) else col)
-    ranked = position_within(rules.withColumn("_fl_g", F.lit(0)), "_fl_g", order,
-                             name="_fl_rank", start=0)
-    k = -(-n // max_rules)
-    return [ranked.filter(F.floor(F.col("_fl_rank") / max_rules) == i).drop("_fl_g", "_fl_rank")
-            for i in range(k)]
+    dtype = df.select(v).schema.fields[0].dataType
+    ttype = df.schema[type_col].dataType if type_col else T.StringType()
+    kind = F.col(f"`{rule_type}`").cast(ttype) if type_col else F.lit(None).cast(ttype)
+    r = rules.select(kind.alias("_fl_t"), F.col(f"`{rule_lo}`").cast(dtype).alias("_fl_lo"),
+                     F.col(f"`{rule_hi}`").cast(dtype).alias("_fl_hi"),
+                     *[F.col(f"`{c}`").alias(f"_fl_p_{c}") for c in payload])
+    pivots = _pivots(r)
+
+    def bucket(x: Column) -> Column:
+        return F.size(F.filter(F.col("_fl_pivots"), lambda p: p <= x))
+
+    last = F.size("_fl_pivots")
+    span = F.sequence(F.when(F.col("_fl_lo").isNull(), 0).otherwise(bucket(F.col("_fl_lo"))),
+                      F.when(F.col("_fl_hi").isNull(), last).otherwise(bucket(F.col("_fl_hi"))))
+    open_or_some = F.col("_fl_lo").isNull() | F.col("_fl_hi").isNull() | (F.col("_fl_lo") < F.col("_fl_hi"))
+    r = r.filter(open_or_some).withColumn("_fl_pivots", pivots).withColumn("_fl_b", F.explode(span)).drop("_fl_pivots")
+    r = broadcast_if_small(r, max_rules)
+    # A row asks for its type's rules and for the untyped ones of its bucket.
+    own = [F.lit(None).cast(ttype)] + ([F.col(f"`{type_col}`")] if type_col else [])
+    asks = F.array_distinct(F.array(*own)) if type_col else F.array(*own)
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], v.alias("_fl_v"), pivots.alias("_fl_pivots")).withColumn(
+        "_fl_rb", F.when(F.col("_fl_v").isNull(), 0).otherwise(bucket(F.col("_fl_v"))))
+    rows = rows.withColumn("_fl_rt", F.explode(asks))
+    hit = F.col("_fl_rt").eqNullSafe(F.col("_fl_t")) & (F.col("_fl_rb") == F.col("_fl_b"))
+    return rows.join(r, hit & _range_ok(F.col("_fl_v"), F.col("_fl_lo"), F.col("_fl_hi")), "inner").select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_fl_p_{c}").alias(c) for c in payload])
+
+
+PIVOTS = 64
+
+
+def _pivots(rules: DataFrame) -> Column:
+    """About ``PIVOTS`` of the bounds that occur in the rules, in order, chosen by
+    a hash of the bound: a scalar subquery, evaluated when the query runs."""
+    bounds = rules.select(F.explode(F.array("_fl_lo", "_fl_hi")).alias("b")).filter("b is not null").distinct()
+    n = bounds.agg(F.count(F.lit(1))).scalar()
+    every = F.greatest(F.lit(1).cast("long"), F.floor(n / PIVOTS))
+    picked = bounds.filter(F.pmod(F.xxhash64("b"), every) == 0)
+    return picked.agg(F.sort_array(F.collect_list("b"))).scalar()
 
 
 def json_prop(bag: str | Column, key: str) -> Column:
@@ -253,15 +254,12 @@ def json_prop(bag: str | Column, key: str) -> Column:
 def carry_property(dst: DataFrame, src: DataFrame, on: str | Sequence[str],
                    value: str | Column, ord: str | Column | None = None,
                    src_on: str | Sequence[str] | None = None, name: str = "value",
-                   cast: str | None = None, default: Any = None,
-                   split_hot: bool = True) -> DataFrame:
+                   cast: str | None = None, default: Any = None) -> DataFrame:
     """W15. Copy a value from a source row of the same cluster onto every
     destination row, optionally cast (``try_cast``: bad text gives NULL).
     Several source rows: the first by ``ord``. The source is reduced to one
-    row per cluster before the join (partial aggregate), and the join splits
-    hot clusters of the destination over tasks (:mod:`fleetlens.plans.skew`);
-    that costs one pass over the destination's keys, which ``split_hot=False``
-    skips when no cluster can be hot."""
+    row per cluster before the join (partial aggregate), and the join keeps
+    hot clusters of the destination in place (:mod:`fleetlens.plans.skew`)."""
     on = cols(on)
     son = cols(src_on) if src_on is not None else on
     v = as_col(value)
@@ -270,9 +268,7 @@ def carry_property(dst: DataFrame, src: DataFrame, on: str | Sequence[str],
     agg = first_by(v, ord) if ord is not None else F.min(v)
     per = src.groupBy(*[F.col(s_).alias(d_) for s_, d_ in zip(son, on)]).agg(
         agg.alias("_fl_v"))
-    # One source row per cluster meets many destination rows: hot clusters
-    # are split over tasks.
-    j = join_one_per_key(dst, per, on, "left") if split_hot else dst.join(per, on, "left")
+    j = join_one_per_key(dst, per, on, "left")
     d = default if isinstance(default, Column) else F.lit(default)
     res = F.coalesce(F.col("_fl_v"), d.cast(cast) if cast else d)
     return j.select(*[F.col(c) for c in dst.columns], res.alias(name))
@@ -318,19 +314,19 @@ def append_missing_by_key(configs: DataFrame, rules: DataFrame, sep: str = ",",
     item) list items to add to a delimited value. Every (cluster, type) in
     ``configs`` gets each rule key of its type; a key it lacks counts as
     empty. Returns the new rows (cluster..., type, key, value) for the rule
-    keys. Items of one key are gathered per key on the rule side (a small
-    table) and joined on the type; the current values come from a join on
-    (cluster, type, key)."""
+    keys. The rules become one row per type, so types, of which there are
+    few and which hold very many rows each, stay in place in the join; the
+    current values come from a join on (cluster, type, key)."""
     cl = cols(cluster)
     per_key = rules.groupBy(F.col(type_col).alias("_fl_t"), F.col(key).alias("_fl_k")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))),
                     lambda x: x["item"]).alias("_fl_items"))
-    # Few distinct types: a shuffle on type would put all clusters of a type
-    # in one task, so the (small, counted) rule side is broadcast.
-    per_key = broadcast_if_small(per_key, DEFAULT_BROADCAST_ROWS)
+    per_type = per_key.groupBy(F.col("_fl_t").alias(type_col)).agg(
+        F.collect_list(F.struct("_fl_k", "_fl_items")).alias("_fl_rules"))
     pairs = configs.select(*cl, type_col).distinct()
-    wanted = pairs.join(per_key, pairs[type_col] == F.col("_fl_t")).select(
-        *cl, type_col, F.col("_fl_k").alias(key), "_fl_items")
+    wanted = join_one_per_key(pairs, per_type, type_col, "inner").select(
+        *cl, type_col, F.explode("_fl_rules").alias("_fl_r")).select(
+        *cl, type_col, F.col("_fl_r._fl_k").alias(key), F.col("_fl_r._fl_items").alias("_fl_items"))
     cur = configs.select(*cl, type_col, key, value)
     j = wanted.join(cur, [*cl, type_col, key], "left")
     out = append_missing(j, value, F.col("_fl_items"), sep=sep)

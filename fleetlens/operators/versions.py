@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols
-from fleetlens.plans.ordinal import position_within
 from fleetlens.plans.skew import join_one_per_key
-from fleetlens.plans.sizing import DEFAULT_LITERAL_ROWS
+from fleetlens.plans.sizing import DEFAULT_LITERAL_ROWS, literal_type
 
 
 def bracket_lookup(df: DataFrame, value: str | Column,
@@ -25,77 +24,67 @@ def bracket_lookup(df: DataFrame, value: str | Column,
     Not a floor / as-of-backward lookup: 2.6.0.3 takes the 2.6.4.0 entry.
     Bounds may be numbers or version keys (int arrays compare as tuples).
 
-    The ladder becomes one sorted literal array; each row filters it and
-    takes the first hit, a single Project with no join or shuffle. A ladder
-    given as a DataFrame is counted: up to ``max_bounds`` bounds it becomes
-    that literal; above, the exact bucketed plan of :func:`_bracket_bucketed`
-    runs (bounds should be unique; a repeated bound keeps its least label).
+    A ladder of up to ``max_bounds`` bounds given as a list becomes one
+    sorted literal array; each row filters it and takes the first hit, a
+    single Project with no join or shuffle. A longer list becomes a table of
+    the same types. A table, of any size, goes through :func:`_bracket_table`.
+    Of several labels for one bound the least counts; NULL bounds are ignored.
     """
     v = as_col(value)
     vtype = df.select(v).schema.fields[0].dataType
     if isinstance(ladder, DataFrame):
         lad = ladder.select(F.col(bound).cast(vtype).alias("_fl_b"), F.col(label).alias("_fl_l"))
-        lad = lad.filter(F.col("_fl_b").isNotNull()).groupBy("_fl_b").agg(
-            F.min("_fl_l").alias("_fl_l"))
-        rows = lad.limit(max_bounds + 1).collect()
-        if len(rows) > max_bounds:
-            return _bracket_bucketed(df, v, vtype, lad, default, name, max_bounds)
-        ladder = [(r[0], r[1]) for r in rows]
-    if not ladder:
+        return _bracket_table(df, v, lad, default, name)
+    steps: dict = {}
+    for b, lab in ladder:
+        if b is not None:
+            b = tuple(b) if isinstance(b, (list, tuple)) else b
+            steps[b] = lab if b not in steps or steps[b] is None else steps[b] if lab is None else min(steps[b], lab)
+    if not steps:
         raise ValueError("empty ladder")
-    if len(ladder) > max_bounds:
-        # Too many bounds for one literal: the bucketed plan over a table.
+    ltype = literal_type(df.sparkSession, steps.values())
+    if len(steps) > max_bounds:
         lad = df.sparkSession.createDataFrame(
-            [(list(b) if isinstance(b, tuple) else b, lab) for b, lab in ladder],
-            T.StructType([T.StructField("_fl_b", vtype),
-                          T.StructField("_fl_l", T.StringType())]))
-        lad = lad.groupBy("_fl_b").agg(F.min("_fl_l").alias("_fl_l"))
-        return _bracket_bucketed(df, v, vtype, lad, default, name, max_bounds)
-    steps = sorted(ladder, key=lambda p: _sort_key(p[0]))
+            [(list(b) if isinstance(b, tuple) else b, lab) for b, lab in steps.items()],
+            T.StructType([T.StructField("_fl_b", vtype), T.StructField("_fl_l", ltype)]), verifySchema=False)
+        return _bracket_table(df, v, lad, default, name)
     arr = F.array(*[
-        F.struct(_as_lit(b, vtype).alias("b"), F.lit(lab).alias("l")) for b, lab in steps])
+        F.struct(_as_lit(b, vtype).alias("b"), F.lit(steps[b]).cast(ltype).alias("l"))
+        for b in sorted(steps, key=_sort_key)])
     hit = F.get(F.filter(arr, lambda s: s["b"] >= v), 0)["l"]
     res = F.when(v.isNull(), F.lit(None)).otherwise(F.coalesce(hit, F.lit(default)))
     return df.withColumn(name, res)
 
 
-def _bracket_bucketed(df, v, vtype, lad, default, name, max_bounds):
-    """Exact ceiling lookup against a ladder too large for one literal.
+PIVOTS = 256
 
-    Every ``c``-th bound (by rank, from the skew-safe position plan) is a
-    pivot, with at most ``max_bounds`` pivots collected. A bound or a value
-    falls in bucket ``j`` when it lies in (pivot[j-1], pivot[j]]; the answer
-    for a value is then the smallest bound >= value inside its own bucket
-    (pivot[j] itself qualifies), and bucket ``j`` holds fewer than ``c``
-    bounds besides. So the bounds are gathered per bucket into short sorted
-    arrays, joined to the values on the bucket id (one row per bucket, so a
-    hot bucket only repeats that row), and looked up as in the literal path.
+
+def _bracket_table(df, v, lad, default, name):
+    """Exact ceiling lookup against a ladder of any size, without a driver step.
+
+    Only distinct values are looked up. They and the bounds are dealt to
+    ranges by about ``PIVOTS`` of the bounds (picked by a hash, as a scalar
+    subquery): range ``j`` is (pivot[j-1], pivot[j]], so the bound a value wants, if there
+    is one, is in its own range. There bounds and values are sorted together and
+    every value takes the label of the next bound. The labels go back to the rows
+    with hot values kept in place.
     """
-    n = lad.count()
-    c = -(-n // max_bounds)
-    ranked = position_within(lad.withColumn("_fl_g", F.lit(0)), "_fl_g", "_fl_b",
-                             name="_fl_r", start=1)
-    pivots = [r[0] for r in ranked.filter(F.col("_fl_r") % c == 0)
-              .select("_fl_b").orderBy("_fl_b").collect()]
-    parr = F.array(*[F.struct(_as_lit(p, vtype).alias("b"), F.lit(i).alias("i"))
-                     for i, p in enumerate(pivots)])
-
-    def bucket(x):
-        # ``x`` is also referenced outside the lambda (NULL value, no bucket):
-        # constraint inference then keeps this expression on the side that
-        # holds ``x`` instead of copying it across the join.
-        return F.when(x.isNull(), F.lit(None)).otherwise(F.coalesce(
-            F.get(F.filter(parr, lambda p: p["b"] >= x), 0)["i"], F.lit(len(pivots))))
-
-    per_bucket = lad.groupBy(bucket(F.col("_fl_b")).alias("_fl_j")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_fl_b").alias("b"),
-                                             F.col("_fl_l").alias("l")))).alias("_fl_arr"))
-    vals = df.withColumn("_fl_j", bucket(v))
-    # One row per bucket; a bucket holding many values is split over tasks.
-    j = join_one_per_key(vals, per_bucket, "_fl_j", "left")
-    hit = F.get(F.filter(F.col("_fl_arr"), lambda s: s["b"] >= v), 0)["l"]
-    res = F.when(v.isNull(), F.lit(None)).otherwise(F.coalesce(hit, F.lit(default)))
-    return j.select(*[df[c_] for c_ in df.columns], res.alias(name))
+    lad = lad.filter(F.col("_fl_b").isNotNull()).groupBy("_fl_b").agg(F.min("_fl_l").alias("_fl_l"))
+    n = lad.agg(F.count(F.lit(1))).scalar()
+    every = F.greatest(F.lit(1).cast("long"), F.floor(n / PIVOTS))
+    pivots = lad.select("_fl_b").filter(
+        F.pmod(F.xxhash64("_fl_b"), every) == 0).agg(F.sort_array(F.collect_list("_fl_b"))).scalar()
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], v.alias("_fl_v"))
+    both = rows.filter(F.col("_fl_v").isNotNull()).select(F.col("_fl_v").alias("_fl_b")).distinct().select(
+        "_fl_b", F.lit(None).alias("_fl_hit"), F.lit(False).alias("_fl_is")).unionByName(
+        lad.select("_fl_b", F.struct(F.col("_fl_l").alias("l")).alias("_fl_hit"), F.lit(True).alias("_fl_is")))
+    both = both.withColumn("_fl_pivots", pivots).withColumn(
+        "_fl_j", F.size(F.filter(F.col("_fl_pivots"), lambda p: p < F.col("_fl_b")))).drop("_fl_pivots")
+    onward = Window.partitionBy("_fl_j").orderBy("_fl_b", "_fl_is").rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("_fl_hit", F.first("_fl_hit", ignorenulls=True).over(onward)).filter("not _fl_is")
+    j = join_one_per_key(rows, found.select(F.col("_fl_b").alias("_fl_v"), "_fl_hit"), "_fl_v", "left")
+    res = F.when(F.col("_fl_v").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_fl_hit.l"), F.lit(default)))
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], res.alias(name))
 
 
 def _sort_key(b):
