@@ -156,13 +156,14 @@ def state_summary(items: DataFrame, cluster: str | Sequence[str], state: str,
                   any_of: Sequence[str], states: str = "states",
                   hit: str = "any_hit") -> DataFrame:
     """W06. Distinct states per cluster (sorted array) and whether any of
-    ``any_of`` occurs. The set per cluster is bounded by the state domain and
-    is built map-side (collect_set is partially aggregated); for a state
-    column with an open domain use :func:`state_rows`."""
+    ``any_of`` occurs. Distinct (cluster, state) pairs come first, as a hash
+    aggregate combined in each task; only the pairs that are left, at most the state
+    domain per cluster, are gathered. For a state column with an open domain
+    use :func:`state_rows`."""
     cl = cols(cluster)
     s = F.col(state)
-    return items.groupBy(*cl).agg(
-        F.sort_array(F.collect_set(s)).alias(states),
+    return items.select(*cl, state).distinct().groupBy(*cl).agg(
+        F.sort_array(F.collect_list(s)).alias(states),
         F.coalesce(F.bool_or(s.isin(list(any_of))), F.lit(False)).alias(hit),
     )
 
@@ -185,8 +186,10 @@ def time_to_ready(polls: DataFrame, cluster: str | Sequence[str], poll: str | Co
     A poll of a cluster is the set of rows sharing (cluster, poll); the gate
     holds when ``ok`` is true on all of them. Returns per cluster: number of
     polls taken (``polls``; capped at ``max_polls`` when it times out),
-    ``ready_at`` (poll value, NULL if never ready within ``max_polls``),
-    ``timed_out`` and ``ok_polls`` (polls at which the gate held).
+    ``ready_at`` (poll value, NULL if not ready within ``max_polls``),
+    ``timed_out`` (not ready, and all ``max_polls`` polls taken; without a limit or
+    before it is reached a cluster is just not ready yet) and ``ok_polls`` (polls at
+    which the gate held).
 
     No window: the poll index of the first good poll is the number of polls
     at or before it, computed by aggregates that combine map-side, so a
@@ -209,12 +212,14 @@ def time_to_ready(polls: DataFrame, cluster: str | Sequence[str], poll: str | Co
     if max_polls is not None:
         ready = ready & (F.col("_fl_upto") <= F.lit(max_polls))
     taken = F.when(ready, F.col("_fl_upto")).otherwise(F.col("_fl_total"))
+    over = F.lit(False)
     if max_polls is not None:
         taken = F.least(taken, F.lit(max_polls).cast("long"))
+        over = ~ready & (F.col("_fl_total") >= F.lit(max_polls))
     return upto.select(
         *cl,
         taken.cast("long").alias("polls"),
         F.when(ready, F.col("_fl_first")).alias("ready_at"),
-        (~ready).alias("timed_out"),
+        over.alias("timed_out"),
         F.col("ok_polls"),
     )
