@@ -21,7 +21,8 @@ Inputs (canonical fleet tables, ``sources.tables.FLEET_SCHEMAS``):
 * ``list_rules``: config_type, key, ord, item, and optional lo, hi
 * ``carry_rules``: config_type, key, src_type, src_key, template -- the value
   of (src_type, src_key) in the current bags, put into ``template`` at ``{}``
-  (NULL template = the value as is)
+  (NULL template = the value as is); optional ``cast`` = ``int`` takes the value as
+  an integer (a port), and a value that is none carries nothing
 
 Update precedence on one key: carried, then list, then rule constants.
 """
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 from fleetlens import operators as op
 from fleetlens.functions import version_key, version_prefix
-from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS
+from fleetlens.plans.skew import join_one_per_key
 
 KEYS = ["cluster_id", "config_type", "key"]
 
@@ -43,6 +45,9 @@ KEYS = ["cluster_id", "config_type", "key"]
 def current_bags(targets: DataFrame, desired: DataFrame, versions: DataFrame) -> DataFrame:
     """W07 for the target clusters, exploded to long rows."""
     d = desired.join(targets.select("cluster_id"), "cluster_id", "left_semi")
+    # Only versions that a target points at are worth aggregating.
+    wanted = d.select("cluster_id", "config_type", "tag").distinct()
+    versions = versions.join(wanted, ["cluster_id", "config_type", "tag"], "left_semi")
     empty = F.create_map().cast("map<string,string>")
     cur = op.resolve_current(d, versions, ["cluster_id", "config_type"], "tag", "tag", "ord",
                              "properties", default=empty, name="properties", found=None)
@@ -78,15 +83,22 @@ def _list_updates(targets, cur, list_rules, max_rules):
     return out.select(*KEYS, "value", F.lit(2).alias("prio"))
 
 
-def _carried(cur, carry_rules, max_rules):
+def _carried(cur, carry_rules):
     cr = carry_rules.select(
         F.col("config_type").alias("_fl_dt"), F.col("key").alias("_fl_dk"),
         F.col("src_type").alias("_fl_st"), F.col("src_key").alias("_fl_sk"),
-        F.col("template").alias("_fl_tpl"))
-    cr = broadcast_if_small(cr, max_rules)
-    j = cur.join(cr, (cur["config_type"] == F.col("_fl_st")) & (cur["key"] == F.col("_fl_sk")))
-    val = F.when(F.col("_fl_tpl").isNull(), F.col("value")).otherwise(
-        F.replace(F.col("_fl_tpl"), F.lit("{}"), F.col("value")))
+        F.col("template").alias("_fl_tpl"),
+        (F.col("cast") if "cast" in carry_rules.columns else F.lit(None).cast("string")).alias("_fl_cast"))
+    # One row per source key, so a key that every cluster has stays in place.
+    cr = cr.groupBy(F.col("_fl_st").alias("config_type"), F.col("_fl_sk").alias("key")).agg(
+        F.collect_list(F.struct("_fl_dt", "_fl_dk", "_fl_tpl", "_fl_cast")).alias("_fl_r"))
+    j = join_one_per_key(cur, cr, ["config_type", "key"], "inner").select(
+        "cluster_id", "value", F.explode("_fl_r").alias("_fl_r")).select("cluster_id", "value", "_fl_r.*")
+    number = F.trim("value").try_cast("bigint")
+    raw = F.when(F.col("_fl_cast") == "int", number.cast("string")).otherwise(F.col("value"))
+    val = F.when(F.col("_fl_tpl").isNull(), raw).otherwise(
+        F.replace(F.col("_fl_tpl"), F.lit("{}"), raw))
+    j = j.filter(raw.isNotNull())
     return j.select("cluster_id", F.col("_fl_dt").alias("config_type"),
                     F.col("_fl_dk").alias("key"), val.alias("value"), F.lit(1).alias("prio"))
 
@@ -112,7 +124,7 @@ def configure_fleet(spec: DataFrame, services: DataFrame, desired: DataFrame,
     if list_rules is not None:
         parts.append(_list_updates(targets, cur, list_rules, max_rules))
     if carry_rules is not None:
-        parts.append(_carried(cur, carry_rules, max_rules))
+        parts.append(_carried(cur, carry_rules))
     upd = parts[0]
     for p in parts[1:]:
         upd = upd.unionByName(p)

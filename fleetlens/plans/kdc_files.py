@@ -6,7 +6,7 @@ clusters at once.
 :func:`fleetlens.sources.read_text_files`; ``clusters`` holds one row per
 cluster with the values the rewrites put in. Files are matched by the end of
 their path. The cluster values are joined in once (one row per cluster) and
-each file is rewritten by a chain of ``regexp_replace``, map-only.
+each file is rewritten by a chain of ``regexp_replace``.
 """
 
 from __future__ import annotations
@@ -15,63 +15,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import falsy_default
-from fleetlens.operators.text import literal_replacement, rewrite_expr
+from fleetlens.operators.text import literal_replacement
+from fleetlens.plans.skew import join_one_per_key
 
 # ---------------------------------------------------------------------------
 # The files and patterns the source rewrites, in the order it
-# applies them (the innermost substitution first).
+# applies them (the innermost substitution first). A replacement names a cluster
+# value in braces; ``$1`` is the pattern's first group.
 # ---------------------------------------------------------------------------
-KRB5_CONF = "krb5.conf"
-KDC_CONF = "kdc.conf"
-KADM5_ACL = "kadm5.acl"
-AGENT_INI = "agent.ini"
 DEFAULT_MAX_LIFE = "1d"
-MAX_RENEWABLE_LIFE = "7d"
+RULES = [
+    ("krb5.conf", r"kerberos.example.com", "{kdc_host}"),
+    ("krb5.conf", r"ticket_lifetime = ((.)*)", "ticket_lifetime = {lifetime_or_group}"),
+    ("krb5.conf", r"example.com", "{network}"),
+    ("krb5.conf", r"EXAMPLE.COM", "{realm}"),
+    ("kdc.conf", r"\[kdcdefaults\]", "[kdcdefaults]\n max_renewablelife = 7d\n max_life = {max_life}"),
+    ("kdc.conf", r"EXAMPLE.COM", "{realm}"),
+    ("kadm5.acl", r"EXAMPLE.COM", "{realm}"),
+    ("agent.ini", r"(hostname)=.*", "$1={primary_host}"),
+]
 # ---------------------------------------------------------------------------
 
 
-def _lit(c: Column) -> Column:
-    return literal_replacement(c)
-
-
-def rules_for(kind: str, network: Column, kdc_host: Column, primary_host: Column,
-              lifetime: Column) -> list[tuple[str, Column]]:
-    """The ordered (pattern, replacement) rules of one file kind; the
-    replacements are columns of the joined cluster values."""
-    realm = F.upper(network)
-    if kind == KRB5_CONF:
-        keep_or_set = F.when(lifetime.isNull() | (lifetime == ""), F.lit("ticket_lifetime = $1")) \
-            .otherwise(F.concat(F.lit("ticket_lifetime = "), _lit(lifetime)))
-        return [(r"kerberos.example.com", _lit(kdc_host)),
-                (r"ticket_lifetime = ((.)*)", keep_or_set),
-                (r"example.com", _lit(network)),
-                (r"EXAMPLE.COM", _lit(realm))]
-    if kind == KDC_CONF:
-        max_life = falsy_default(lifetime, DEFAULT_MAX_LIFE)
-        head = F.concat(F.lit(f"[kdcdefaults]\n max_renewablelife = {MAX_RENEWABLE_LIFE}\n max_life = "),
-                        _lit(max_life))
-        return [(r"\[kdcdefaults\]", head), (r"EXAMPLE.COM", _lit(realm))]
-    if kind == KADM5_ACL:
-        return [(r"EXAMPLE.COM", _lit(realm))]
-    if kind == AGENT_INI:
-        return [(r"(hostname)=.*", F.concat(F.lit("$1="), _lit(primary_host)))]
-    raise ValueError(kind)
+def _replacement(template: str, values: dict[str, Column]) -> Column:
+    """The template with its cluster value put in; NULL where the value is."""
+    before, _, rest = template.partition("{")
+    name, _, after = rest.partition("}")
+    return F.concat(F.lit(before), values[name], F.lit(after))
 
 
 def rewrite_cluster_files(files: DataFrame, clusters: DataFrame, network: str = "network",
                           kdc_host: str = "kdc_host", primary_host: str = "primary_host",
-                          lifetime: str = "ticket_lifetime") -> DataFrame:
+                          lifetime: str = "ticket_lifetime", status: str | None = "status") -> DataFrame:
     """Rewritten ``content`` for every file whose path ends in one of the
-    known names; other files pass unchanged."""
-    vals = clusters.select(
-        F.col("cluster_id").alias("_fl_c"), F.col(network).alias("_fl_net"),
-        F.col(kdc_host).alias("_fl_kdc"), F.col(primary_host).alias("_fl_pri"),
-        F.col(lifetime).cast("string").alias("_fl_life"))
-    j = files.join(vals, files["cluster_id"] == F.col("_fl_c"), "left")
-    cols = [F.col(c) for c in ("_fl_net", "_fl_kdc", "_fl_pri", "_fl_life")]
-    content = F.col("content")
-    out = content
-    for kind in (KRB5_CONF, KDC_CONF, KADM5_ACL, AGENT_INI):
-        out = F.when(F.col("path").endswith(kind), rewrite_expr(content, rules_for(kind, *cols))) \
-            .otherwise(out)
-    return j.select(*[out.alias(c) if c == "content" else files[c] for c in files.columns])
+    known names; other files pass unchanged.
+
+    A rule whose cluster value is NULL leaves the text as it is. ``status``
+    says what happened: ``other`` (no known name), ``no cluster`` (the file's cluster is
+    not listed), ``value missing`` (at least one rule left out), ``done``.
+    ``clusters`` holds one row per cluster; a cluster with very many files keeps them in
+    place in the join."""
+    life = F.col(lifetime).cast("string")
+    text = lambda c: literal_replacement(F.col(c))
+    vals = clusters.select("cluster_id", F.struct(
+        text(network).alias("network"), literal_replacement(F.upper(F.col(network))).alias("realm"),
+        text(kdc_host).alias("kdc_host"), text(primary_host).alias("primary_host"),
+        F.when(life.isNull() | (life == ""), F.lit("$1")).otherwise(literal_replacement(life)).alias("lifetime_or_group"),
+        literal_replacement(falsy_default(life, DEFAULT_MAX_LIFE)).alias("max_life")).alias("_fl_vals"))
+    j = join_one_per_key(files, vals, "cluster_id", "left")
+    names = ("network", "realm", "kdc_host", "primary_host", "lifetime_or_group", "max_life")
+    values = {n: F.col(f"_fl_vals.{n}") for n in names}
+    out, done = F.col("content"), F.lit("other")
+    for kind in dict.fromkeys(k for k, _, _ in RULES):
+        new, missing = F.col("content"), F.lit(False)
+        for k, pattern, template in RULES:
+            if k == kind:
+                r = _replacement(template, values)
+                new = F.when(r.isNull(), new).otherwise(F.regexp_replace(new, F.lit(pattern), r))
+                missing = missing | r.isNull()
+        known = F.col("path").endswith(kind)
+        out = F.when(known, new).otherwise(out)
+        done = F.when(known, F.when(F.col("_fl_vals").isNull(), F.lit("no cluster"))
+                      .when(missing, F.lit("value missing")).otherwise(F.lit("done"))).otherwise(done)
+    picked = [out.alias(c) if c == "content" else F.col(f"`{c}`") for c in files.columns]
+    return j.select(*picked, *([done.alias(status)] if status else []))

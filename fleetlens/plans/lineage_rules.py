@@ -7,10 +7,9 @@ None = open. ``{server}`` stands for the lineage server's host and is filled
 per cluster from a column of the cluster spec; ``{}`` in a carry template is
 the carried value.
 
-One update of the source is left out: the timeline plug-in classpath under
-yarn-site below (3,0), whose value is an install path of the distribution.
-Add it as a rule row with the path of the target installation. From (3,0)
-the source builds the new log-dirs value from the local-dirs value; here the
+The classpath of the timeline plug-in under yarn-site below (3,0) is an
+install path of the distribution and so a parameter of :func:`rule_tables`.
+From (3,0) the source builds the new log-dirs value from the local-dirs value; here the
 log-dirs value is extended with its own item instead.
 """
 
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 # ---------------------------------------------------------------------------
 GATE_SERVICE = "ATLAS"
 SPLIT = [3, 0]
+TIMELINE_CLASSPATH_KEY = "yarn.timeline-service.entity-group-fs-store.group-id-plugin-classpath"
 
 # (config_type, lo, hi, key, value)
 UPDATE_ROWS = [
@@ -97,24 +97,30 @@ LIST_ROWS = [
     ("mapred-site", "mapred.local.dir", 2, "/run/hadoop/mapred", None, None),
 ]
 
-# (config_type, key, src_type, src_key, template)
+# (config_type, key, src_type, src_key, template, cast)
 CARRY_ROWS = [
-    ("hive-interactive-site", "hive.metastore.uris", "hive-site", "hive.metastore.uris", None),
+    ("hive-interactive-site", "hive.metastore.uris", "hive-site", "hive.metastore.uris", None, None),
     ("application-properties", "atlas.graph.index.search.solr.zookeeper-url", "zoo.cfg",
-     "clientPort", "{server}:{}/infra-solr"),
+     "clientPort", "{server}:{}/infra-solr", "int"),
     ("application-properties", "atlas.kafka.bootstrap.servers", "kafka-broker", "port",
-     "{server}:{}"),
+     "{server}:{}", "int"),
     ("application-properties", "atlas.kafka.zookeeper.connect", "zoo.cfg", "clientPort",
-     "{server}:{}"),
+     "{server}:{}", "int"),
 ]
 # ---------------------------------------------------------------------------
 
 
-def rule_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rule_tables(spark: SparkSession,
+                timeline_classpath: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(config_rules, list_rules, carry_rules) as DataFrames for
-    :func:`configure_fleet`; constants of one (type, interval) form one bag."""
+    :func:`configure_fleet`; constants of one (type, interval) form one bag.
+    ``timeline_classpath`` is the value of ``TIMELINE_CLASSPATH_KEY`` in the target
+    installation; without it that one update is not made."""
+    rows = list(UPDATE_ROWS)
+    if timeline_classpath is not None:
+        rows.append(("yarn-site", None, SPLIT, TIMELINE_CLASSPATH_KEY, timeline_classpath))
     bags: OrderedDict = OrderedDict()
-    for t, lo, hi, k, v in UPDATE_ROWS:
+    for t, lo, hi, k, v in rows:
         key = (t, tuple(lo) if lo else None, tuple(hi) if hi else None)
         bags.setdefault(key, {})[k] = v
     config_rules = spark.createDataFrame(
@@ -127,5 +133,5 @@ def rule_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
                    "lo array<int>, hi array<int>")
     carry_rules = spark.createDataFrame(
         CARRY_ROWS, "config_type string, key string, src_type string, src_key string, "
-                    "template string")
+                    "template string, cast string")
     return config_rules, list_rules, carry_rules
