@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import operators as op
+from fleetlens.functions import version_key, version_prefix
 from fleetlens.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,7 +290,107 @@ def w20_time_to_ready(spark, sf_dir):
                             F.col("event_type") != "error", max_polls=W20_MAX_POLLS)
 
 
+# Dotted version texts made from the given tables; bounds as version keys.
+W09_VERSION_RULES = [
+    op.Rule("SMALL", None, (2, 10), {"track": "old"}),
+    op.Rule("SMALL", (2, 10), None, {"track": "new"}),
+    op.Rule(None, (3, 0), (4, 2), {"track": "middle"}),
+]
+W10_VERSION_LADDER = [((1, 10), "first"), ((2, 9), "second"), ((3, 0, 1), "third")]
+W16_TEXT_RULES = [(r"([.]) ([A-Z])", "$1 <$2>"), (r"\n", " / "), (r"tion[ ,]", "TION;")]
+
+
+def w01_include_table(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    listed = t.customer.filter("c_acctbal < 0").select(F.lower("c_mktsegment").alias("s")).distinct()
+    return op.keep_listed(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", include=listed)
+
+
+def w01_exclude_table(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    listed = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("k")).distinct()
+    cust = t.customer.select("c_custkey", F.col("c_custkey").cast("string").alias("name"))
+    return op.keep_listed(cust, "name", exclude=listed)
+
+
+def w03_two_tables(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    expected = t.customer.select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 97).alias("host"))
+    observed = t.supplier.select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 97).alias("host"))
+    return op.reconcile(expected, observed, "nation", "host")
+
+
+def w05_blocker_rows(spark, sf_dir):
+    items = _t(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
+    return op.blocker_rows(items, op.state_is("l_returnflag", "r"))
+
+
+def w06_state_rows(spark, sf_dir):
+    return op.state_rows(_t(spark, sf_dir).lineitem, "l_suppkey", "l_returnflag", ["R"])
+
+
+def _versioned(t: Tables) -> DataFrame:
+    text = F.concat_ws(".", (F.col("p_size") % 5).cast("string"), (F.col("p_partkey") % 13).cast("string"), F.lit("1"))
+    return t.part.select("p_partkey", "p_type", text.alias("version"))
+
+
+def w09_select_rules_versions(spark, sf_dir):
+    parts = _versioned(_t(spark, sf_dir)).withColumn("stack", version_prefix(version_key("version")))
+    return op.select_rules(parts, "stack", W09_VERSION_RULES, type_col="p_type").drop("stack")
+
+
+def w10_bracket_lookup_versions(spark, sf_dir):
+    parts = _versioned(_t(spark, sf_dir)).withColumn("key", version_key("version"))
+    return op.bracket_lookup(parts, "key", W10_VERSION_LADDER, "latest").drop("key", "p_type")
+
+
+def w13_assign_ids_wide(spark, sf_dir):
+    cust = _t(spark, sf_dir).customer.select("c_custkey", "c_nationkey", "c_name", "c_acctbal")
+    return op.assign_ids(cust, "c_nationkey", "c_custkey", start=1000)
+
+
+def w14_rename_keys_by_cluster(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    mapping = t.supplier.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(
+        F.min(F.lit("BUILDING")).alias("old"), F.concat(F.lit("B"), F.min("s_suppkey").cast("string")).alias("new"))
+    cust = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    return op.rename_keys(cust, "c_mktsegment", mapping, cluster="c_nationkey")
+
+
+def _user_bags(t: Tables) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    return t.events.groupBy(F.col("user_id").alias("cluster_id"), F.col("event_type").alias("config_type")).agg(
+        F.min(k).alias("value")).select("cluster_id", "config_type", F.lit("k").alias("key"), "value")
+
+
+def w15_carry_between_types(spark, sf_dir):
+    return op.carry_between_types(_user_bags(_t(spark, sf_dir)), "signup", "k", "purchase", "signup_k", cast="int")
+
+
+def w16_rewrite_documents(spark, sf_dir):
+    docs = _t(spark, sf_dir).documents.select("doc_id", "text")
+    return op.rewrite_text(docs, "text", W16_TEXT_RULES)
+
+
+def w17_extract_from_documents(spark, sf_dir):
+    docs = _t(spark, sf_dir).documents.select("doc_id", "text")
+    return op.extract_first(docs, "text", r"[\n.]", "version", kv_sep="version ", name="number").drop("text")
+
+
+def w18_append_missing_by_key(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    rules = t.region.join(t.nation, F.col("r_regionkey") == F.col("n_regionkey")).filter("n_nationkey < 12").select(
+        F.element_at(F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"])), F.col("r_regionkey") + 1).alias("config_type"),
+        F.when(F.col("n_nationkey") % 2 == 0, "k").otherwise("extra").alias("key"),
+        F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("string").alias("item"))
+    return op.append_missing_by_key(_user_bags(t), rules)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in [
+    w01_include_table, w01_exclude_table, w03_two_tables, w05_blocker_rows, w06_state_rows,
+    w09_select_rules_versions, w10_bracket_lookup_versions, w13_assign_ids_wide,
+    w14_rename_keys_by_cluster, w15_carry_between_types, w16_rewrite_documents,
+    w17_extract_from_documents, w18_append_missing_by_key,
     w01_exclude, w01_include, w02_having_member, w03_reconcile, w03_summary,
     w04_all_healthy, w04_all_healthy_listed, w05_blockers_labels, w05_blockers_returns,
     w06_state_summary, w07_resolve_current, w08_overlay, w08_overlay_join, w08_overlay_bags,
@@ -483,9 +584,83 @@ WITH g AS (SELECT user_id, date_trunc('day', ts) AS poll,
 SELECT user_id,
        CAST(least(CASE WHEN ok THEN upto ELSE total END, 2) AS BIGINT) AS polls,
        CASE WHEN ok THEN first END AS ready_at,
-       NOT ok AS timed_out, ok_polls
+       NOT ok AND total >= 2 AS timed_out, ok_polls
 FROM v""",
 }
+_VERSIONED = """
+  v AS (SELECT p_partkey, p_type, (p_size % 5) || '.' || (p_partkey % 13) || '.1' AS version,
+               [p_size % 5, p_partkey % 13] AS stack, [p_size % 5, p_partkey % 13, 1] AS key FROM part)
+"""
+_USER_BAGS = """
+  b AS (SELECT user_id AS cluster_id, event_type AS config_type, 'k' AS key,
+               min(json_extract_string(props, '$.k')) AS value FROM events GROUP BY 1, 2)
+"""
+ORACLE_SQL |= {
+    "w01_include_table": """
+SELECT c_custkey, c_mktsegment FROM customer
+WHERE upper(c_mktsegment) IN (SELECT upper(c_mktsegment) FROM customer WHERE c_acctbal < 0)""",
+    "w01_exclude_table": """
+SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS name FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""",
+    "w03_two_tables": """
+WITH e AS (SELECT DISTINCT c_nationkey AS nation, c_custkey % 97 AS host FROM customer),
+     o AS (SELECT DISTINCT s_nationkey AS nation, s_suppkey % 97 AS host FROM supplier)
+SELECT coalesce(e.nation, o.nation) AS nation, coalesce(e.host, o.host) AS host,
+       CASE WHEN e.host IS NOT NULL AND o.host IS NOT NULL THEN 'both'
+            WHEN e.host IS NOT NULL THEN 'missing' ELSE 'unexpected' END AS status
+FROM e FULL OUTER JOIN o ON e.nation = o.nation AND e.host = o.host""",
+    "w05_blocker_rows": """
+SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE upper(l_returnflag) = 'R'""",
+    "w06_state_rows": """
+SELECT DISTINCT l_suppkey, l_returnflag, coalesce(l_returnflag = 'R', false) AS any_hit FROM lineitem""",
+    "w09_select_rules_versions": "WITH" + _VERSIONED + """,
+  n AS (SELECT *, stack[1] * 100 + stack[2] AS num FROM v)
+SELECT p_partkey, p_type, version, 'old' AS track FROM n WHERE p_type = 'SMALL' AND num < 210
+UNION ALL SELECT p_partkey, p_type, version, 'new' FROM n WHERE p_type = 'SMALL' AND num >= 210
+UNION ALL SELECT p_partkey, p_type, version, 'middle' FROM n WHERE num >= 300 AND num < 402""",
+    "w10_bracket_lookup_versions": "WITH" + _VERSIONED + """
+SELECT p_partkey, version,
+       CASE WHEN key <= [1, 10] THEN 'first' WHEN key <= [2, 9] THEN 'second'
+            WHEN key <= [3, 0, 1] THEN 'third' ELSE 'latest' END AS bracket FROM v""",
+    "w13_assign_ids_wide": """
+SELECT c_custkey, c_nationkey, c_name, c_acctbal,
+       CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 999 AS BIGINT) AS id
+FROM customer""",
+    "w14_rename_keys_by_cluster": """
+WITH m AS (SELECT s_nationkey, 'B' || min(s_suppkey) AS new FROM supplier GROUP BY 1)
+SELECT c_custkey, c_nationkey,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN coalesce(m.new, c_mktsegment) ELSE c_mktsegment END AS c_mktsegment
+FROM customer LEFT JOIN m ON m.s_nationkey = c_nationkey""",
+    "w15_carry_between_types": "WITH" + _USER_BAGS + """
+SELECT DISTINCT b.cluster_id, 'purchase' AS config_type, 'signup_k' AS key,
+       CAST(TRY_CAST(s.value AS INTEGER) AS VARCHAR) AS value
+FROM b JOIN b AS s ON s.cluster_id = b.cluster_id AND s.config_type = 'signup'
+WHERE TRY_CAST(s.value AS INTEGER) IS NOT NULL""",
+    "w16_rewrite_documents": r"""
+SELECT doc_id,
+       regexp_replace(regexp_replace(regexp_replace(text, '([.]) ([A-Z])', '\1 <\2>', 'g'), '\n', ' / ', 'g'),
+                      'tion[ ,]', 'TION;', 'g') AS text
+FROM documents""",
+    "w17_extract_from_documents": """
+WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\n.]'), lambda p: contains(p, 'version'))[1] AS piece FROM documents),
+     w AS (SELECT doc_id, piece, trim(split_part(piece, 'version ', 2)) AS raw FROM x),
+     y AS (SELECT doc_id, piece, CASE WHEN regexp_full_match(raw, '[0-9]+') THEN TRY_CAST(raw AS INTEGER) END AS num FROM w)
+SELECT doc_id, CASE WHEN num <> 0 THEN num END AS number,
+       CASE WHEN piece IS NULL THEN 'absent' WHEN num IS NULL THEN 'invalid'
+            WHEN num = 0 THEN 'zero' ELSE 'found' END AS status
+FROM y""",
+    "w18_append_missing_by_key": "WITH" + _USER_BAGS + """,
+  r AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'][n_regionkey + 1] AS config_type,
+               CASE WHEN n_nationkey % 2 = 0 THEN 'k' ELSE 'extra' END AS key,
+               n_nationkey AS ord, CAST(n_nationkey AS VARCHAR) AS item FROM nation WHERE n_nationkey < 12),
+  k AS (SELECT config_type, key, list(item ORDER BY ord) AS items FROM r GROUP BY 1, 2),
+  j AS (SELECT b.cluster_id, b.config_type, k.key, k.items,
+               CASE WHEN k.key = 'k' AND b.value <> '' THEN string_split(b.value, ',') ELSE [] END AS cur
+        FROM b JOIN k ON k.config_type = b.config_type)
+SELECT cluster_id, config_type, key,
+       array_to_string(list_concat(cur, list_filter(items, lambda i: NOT list_contains(cur, i))), ',') AS value
+FROM j""",
+}
 ORACLE_SQL["w08_overlay_bags"] = ORACLE_SQL["w08_overlay"]
 ORACLE_SQL["w08_overlay_join"] = ORACLE_SQL["w08_overlay"]
 ORACLE_SQL["w09_select_rules_shuffled"] = ORACLE_SQL["w09_select_rules"]

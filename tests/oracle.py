@@ -62,3 +62,9 @@ def compare(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> tuple[bool, s
         if a != b:
             return False, f"first differing row: spark {a} vs duckdb {b}"
     return True, f"{len(s)} rows match"
+
+
+def only_partial_sums_meet(plan: str) -> bool:
+    """Every single-partition exchange of a plan gets one partial aggregate per task, never rows."""
+    lines = plan.splitlines()
+    return all("partial_" in lines[i + 1] for i, line in enumerate(lines) if "Exchange SinglePartition" in line)

@@ -51,8 +51,8 @@ def _hot(spark):
 def test_position_within_hot_group(spark):
     df = _hot(spark)
     want = df.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")))
-    for ck in (True, False):
-        got = position_within(df, "g", ["o", "id"], num_partitions=16, checkpoint=ck)
+    for size in (100, 1_000_000):
+        got = position_within(df, "g", ["o", "id"], rows_per_range=size)
         diff = got.select("g", "o", "id", "pos").exceptAll(want.select("g", "o", "id", "pos"))
         assert diff.count() == 0
         assert got.count() == df.count()
@@ -98,10 +98,10 @@ def test_join_one_per_key_splits_hot_keys(spark):
         F.col("id").alias("x"))
     small = spark.range(0, 30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     plain = big.join(small, "k", "left")
-    split = join_one_per_key(big, small, "k", "left", rows_per_task=100, spread=16)
+    split = join_one_per_key(big, small, "k", "left", rows_per_task=100)
     assert split.count() == plain.count() == 5000
     assert split.exceptAll(plain.select(*split.columns)).count() == 0
-    inner = join_one_per_key(big, small, "k", "inner", rows_per_task=100, spread=16)
+    inner = join_one_per_key(big, small, "k", "inner", rows_per_task=100)
     assert inner.count() == big.join(small, "k").count()
 
 

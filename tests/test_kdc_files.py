@@ -63,3 +63,19 @@ def test_rewrite_cluster_files(spark):
     assert "max_life = 1d" in out[("c2", "/var/kerberos/krb5kdc/kdc.conf")]
     assert "ticket_lifetime = 24h" in out[("c2", "/etc/krb5.conf")]
     assert "default_realm = NET-ONE" in out[("c1", "/etc/krb5.conf")]
+
+
+def test_missing_values_keep_the_text(spark):
+    """A rule without its value leaves the text alone, and the status says so."""
+    files = spark.createDataFrame(
+        [("c1", "h", "/etc/krb5.conf", "kdc = kerberos.example.com EXAMPLE.COM"), ("c1", "h", "/etc/agent.ini", "hostname=old"),
+         ("gone", "h", "/etc/krb5.conf", "EXAMPLE.COM"), (None, "h", "/etc/kdc.conf", "EXAMPLE.COM"), ("c1", "h", "/x", "example.com")],
+        "cluster_id string, host string, path string, content string")
+    clusters = spark.createDataFrame([("c1", "net.one", None, None, None)],
+                                     "cluster_id string, network string, kdc_host string, primary_host string, ticket_lifetime string")
+    got = {(r.cluster_id, r.path): (r.content, r.status) for r in rewrite_cluster_files(files, clusters).collect()}
+    assert got == {
+        ("c1", "/etc/krb5.conf"): ("kdc = kerberos.net.one NET.ONE", "value missing"), ("c1", "/etc/agent.ini"): ("hostname=old", "value missing"),
+        ("gone", "/etc/krb5.conf"): ("EXAMPLE.COM", "no cluster"), (None, "/etc/kdc.conf"): ("EXAMPLE.COM", "no cluster"),
+        ("c1", "/x"): ("example.com", "other"),
+    }

@@ -117,7 +117,7 @@ def test_time_to_ready_model(spark):
         if first is not None and first <= 3:
             model[c] = (first, t0 + dt.timedelta(minutes=gates[first - 1][0]), False)
         else:
-            model[c] = (min(len(gates), 3), None, True)
+            model[c] = (min(len(gates), 3), None, len(gates) >= 3)
     df = spark.createDataFrame(rows, "cluster int, ts timestamp_ntz, ok boolean")
     got = op.time_to_ready(df, "cluster", "ts", F.col("ok"), max_polls=3)
     assert {r.cluster: (r.polls, r.ready_at, r.timed_out) for r in got.collect()} == model
@@ -220,9 +220,9 @@ def test_replicate_template_hot_cluster_model(spark):
         model |= {(c, h, it) for _, h, _ in hs if h != tmpl for it in comps}
     hdf = spark.createDataFrame(hosts, "cluster string, host string, o double")
     idf = spark.createDataFrame(items, "h string, comp string")
-    for split in (True, False):
+    for per_salt in (400, 10):
         out = op.replicate_template(hdf, idf, "cluster", "host", "o", "comp", items_host="h",
-                                    hosts_per_salt=400, spread=8, split_hot=split)
+                                    hosts_per_salt=per_salt)
         got = [(r.cluster, r.host, r.comp) for r in out.collect()]
         assert len(got) == len(set(got))
         assert set(got) == model

@@ -1,0 +1,139 @@
+"""No size switch changes a result: each operator on both sides of its bounds gives equal rows and types."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from fleetlens import operators as op
+from fleetlens.operators import rosters
+from fleetlens.plans import skew
+from fleetlens.plans.ordinal import position_within
+from fleetlens.plans.principals import principal_users
+from fleetlens.plans.skew import join_one_per_key
+
+
+def same(a, b):
+    assert [(f.name, f.dataType) for f in a.schema] == [(f.name, f.dataType) for f in b.schema]
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_rules_as_literals_and_as_a_table(spark):
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(60)])) for i in range(300)],
+                               "id int, t string, v int")
+    few = [op.Rule(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(60)]), rng.choice([None, rng.randrange(60)]),
+                   {"n": i, "x": i / 2, "s": f"r{i}"}) for i in range(90)]
+    apart = [op.Rule("none", 1000 + i, 1001 + i, {"n": 1, "x": 0.5, "s": "z"}) for i in range(200)]
+    literal = op.select_rules(df, "v", few, type_col="t")
+    for bound in (100_000, 1):
+        same(literal, op.select_rules(df, "v", few + apart, type_col="t", max_rules=bound))
+    plan = op.select_rules(df, "v", few + apart, type_col="t")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    untyped = [op.Rule(None, r.lo, r.hi, r.payload) for r in few]
+    same(op.select_rules(df, "v", untyped), op.select_rules(df, "v", untyped + apart[:0] + [op.Rule(None, 5000 + i, 5001 + i, r.payload) for i, r in enumerate(few)]))
+
+
+def test_a_type_spreads_over_range_buckets(spark):
+    rules = spark.createDataFrame([("a", i, i + 1, i) for i in range(500)], "type string, lo int, hi int, tier int")
+    df = spark.range(5000).select(F.lit("a").alias("t"), (F.col("id") % 500).cast("int").alias("v"))
+    out = op.select_rules(df, "v", rules, type_col="t", max_rules=1)
+    assert out.where("v = tier").count() == out.count() == 5000
+
+
+def test_ladder_as_literal_list_and_table(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, rng.choice([None, rng.randrange(-5, 400)])) for i in range(500)], "id int, v int")
+    ladder = [(i * 3, i) for i in range(90)] + [(30, 5), (30, 12)]
+    literal = op.bracket_lookup(df, "v", ladder, -1)
+    same(literal, op.bracket_lookup(df, "v", ladder, -1, max_bounds=10))
+    same(literal, op.bracket_lookup(df, "v", spark.createDataFrame(ladder + [(None, 3)], "bound int, label int"), -1))
+    assert literal.where("v = 30").select("bracket").distinct().count() <= 1
+
+
+def test_ladder_of_a_million_bounds(spark):
+    ladder = spark.range(1_000_000).select((F.col("id") * 10).cast("int").alias("bound"), F.col("id").alias("label"))
+    df = spark.range(2000).select((F.col("id") * 5003 - 7).cast("int").alias("v"))
+    got = {r.v: r.bracket for r in op.bracket_lookup(df, "v", ladder, -1).collect()}
+    assert got == {v: max(0, -(-v // 10)) if v <= 9_999_990 else -1 for v in got} and len(got) == 2000
+
+
+def test_renames_as_literals_and_as_a_table(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 50) for i in range(200)] + [(999, None)], "id int, k int")
+    mapping = {i: i + 100 for i in range(0, 50, 2)}
+    literal = op.rename_keys(df, "k", mapping)
+    monkeypatch.setattr(rosters, "LITERAL_MAP_ENTRIES", 3)
+    for bound in (100, 1):
+        same(literal, op.rename_keys(df, "k", mapping, max_rows=bound))
+    twice = spark.createDataFrame([(1, 7), (1, 6)], "old int, new int")
+    assert op.rename_keys(df, "k", twice).where("id = 1").first().k == 6
+
+
+def test_lists_as_iterators_and_tables(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    table = spark.createDataFrame([("A",)], "x string")
+    assert [r.k for r in op.keep_listed(df, "k", include=(c for c in ["a"])).collect()] == ["a"]
+    assert {r.k for r in op.keep_listed(df, "k", exclude=iter(["a"])).collect()} == {"b", None}
+    assert op.keep_listed(df, "k", include=table.where("false")).count() == op.keep_listed(df, "k", include=[]).count() == 3
+    assert {r.k for r in op.keep_listed(df, "k", exclude=table).collect()} == {"b", None}
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_hot_keys_null_keys_maps_and_repeats(spark, how, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_SHARE", 0.05)
+    big = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id") % 40).alias("k"),
+        F.create_map(F.lit("a"), F.lit("b")).alias("bag"))
+    small = spark.range(3, 30).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    want = big.join(small, "k", how).groupBy("k", "v").count()
+    got = join_one_per_key(big, small, "k", how, rows_per_task=50)
+    same(want, got.groupBy("k", "v").count())
+    assert got.where("bag['a'] = 'b'").count() == got.count()
+
+
+def test_positions_with_further_columns_and_no_folder(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 6, F.lit("hot")).otherwise((F.col("id") % 40).cast("string")).alias("g"),
+        (F.col("id") * 7919 % 20_011).alias("o"), F.concat(F.lit("name"), F.col("id")).alias("name"), F.rand(3).alias("x"))
+    want = df.withColumn("id", F.row_number().over(Window.partitionBy("g").orderBy("o")) + 999).select("g", "o", "name", "id")
+    got = position_within(df, "g", "o", name="id", start=1000, rows_per_range=500)
+    assert got.columns == ["g", "o", "name", "x", "id"]
+    assert got.select("g", "o", "name", "id").exceptAll(want).count() == 0 and got.count() == 20_000
+    assert "Exchange rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_principals_get_distinct_ids(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 2 == 0, "c").otherwise("d").alias("cluster_id"), F.col("id").cast("int").alias("ord"),
+                                    F.lit("same").alias("name"))
+    out = principal_users(rows, spark.createDataFrame([("c", "net"), ("d", "net")], "cluster_id string, network string"))
+    assert out.select("cluster_id", "uid").distinct().count() == 5000
+    assert out.agg(F.min("uid"), F.max("uid")).first()[:] == (1000, 3499)
+
+
+def test_one_template_of_many_items_and_a_hot_cluster(spark):
+    hosts = spark.range(6000).select(F.lit("c").alias("c"), F.col("id").alias("h"))
+    items = spark.range(500).select(F.lit(0).cast("long").alias("h"), F.col("id").alias("item"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = op.replicate_template(hosts, items, "c", "h", "h", "item")
+        per_task = out.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in per_task) == 5999 * 500
+    assert len(per_task) > 2 and max(r["count"] for r in per_task) < 0.6 * 5999 * 500
+
+
+def test_time_out_only_at_the_limit(spark):
+    df = spark.createDataFrame([("a", 1, False), ("b", 1, False), ("b", 2, False), ("c", 1, False), ("c", 2, True)], "c string, p int, ok boolean")
+    flags = lambda n: {r.c: r.timed_out for r in op.time_to_ready(df, "c", "p", F.col("ok"), max_polls=n).collect()}
+    assert flags(2) == {"a": False, "b": True, "c": False}
+    assert flags(None) == {"a": False, "b": False, "c": False}
+
+
+def test_overlay_of_repeated_keys(spark):
+    base = spark.createDataFrame([("c", "k", "1"), ("c", "k", "2"), ("c", "j", "0")], "cluster string, key string, value string")
+    upd = spark.createDataFrame([("c", "j", "5"), ("c", "j", "4")], "cluster string, key string, value string")
+    got = sorted((r.key, r.value) for r in op.overlay(base, upd, "cluster").collect())
+    both = base.withColumn("u", F.lit(False)).unionByName(upd.withColumn("u", F.lit(True)))
+    assert got == sorted((r.key, r.value) for r in op.overlay_tagged(both, "cluster", F.col("u")).collect()) == [("j", "5"), ("k", "2")]

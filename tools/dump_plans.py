@@ -14,7 +14,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry_mod  # noqa: E402
+from fleetlens.plans.catalog import QUERIES  # noqa: E402
 from fleetlens.session import local_session  # noqa: E402
 
 
@@ -34,7 +34,7 @@ def main() -> None:
           "(`local[8]`, 8 shuffle partitions), produced by `tools/dump_plans.py`. "
           "At this size the planner broadcasts small sides it measured; at scale the "
           "same joins run as sort-merge joins unless a side stays under the threshold.\n")
-    for name, fn in entry_mod.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
