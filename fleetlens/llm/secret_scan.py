@@ -127,7 +127,7 @@ def secret_scan(
     queries = {r.kind: q for r in rules if (q := query(r.pattern))}
     grams = sorted({g for q in queries.values() for condition in q for clause in condition for g in clause})
     may = candidates(saved(trigram_index(texts, grams), "trigrams"), grams, queries)
-    joined = texts.join(may, F.col("id").eqNullSafe(F.col("may_id")), "left")
+    joined = texts.join(may.hint("merge"), F.col("id").eqNullSafe(F.col("may_id")), "left")
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
     per_rule = [
         (F.when(F.col(f"may_{r.kind}"), spans(F.col("text"), r, i)).otherwise(none) if r.kind in queries else spans(F.col("text"), r, i)).alias(f"s_{r.kind}")
