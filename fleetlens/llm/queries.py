@@ -19,7 +19,9 @@ from .warc import warc_round_trip
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "removed", "n_chars")
+    """``removed`` as text: line:start:end:first_doc:first_line, comma-joined."""
+    spans = F.transform("removed", lambda g: F.concat_ws(":", g["line"], g["start"], g["end"], g["first_doc"], g["first_line"]))
+    return line_dedup(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join(spans, ","))
 
 
 def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +100,8 @@ ORACLE_SQL = {
     "op1_line_dedup": _LINES + r"""
 select doc_id, coalesce(string_agg(raw, chr(10) order by line) filter (not gone), '') as text, count(*) as n_lines,
     count(*) filter (gone) as n_removed,
-    coalesce(list({'line': line::bigint, 'start': start::bigint, 'end': (start + length(raw))::bigint, 'first_doc': first_doc,
-        'first_line': first_line::bigint} order by line) filter (gone), []) as removed,
+    coalesce(string_agg(line || ':' || start || ':' || (start + length(raw)) || ':' || first_doc || ':' || first_line, ',' order by line)
+        filter (gone), '') as removed,
     length(coalesce(string_agg(raw, chr(10) order by line) filter (not gone), ''))::bigint as n_chars
 from ranked group by doc_id
 """,
