@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,10 +51,13 @@ def free_shuffles(spark: SparkSession) -> None:
 
     Spark's cleaner does so once the driver's JVM has collected the plans that
     own them, which may be long after; a collection between large steps keeps the disk at
-    the need of one step.
+    the need of one step. Python hands its references over from a background thread, so the first
+    collection may come too early for some of them.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -206,6 +206,7 @@ def suffix_dedup(
     bits = min(62, max(bucket_bits, samples.bit_length() + 12))
 
     first = digests.where(F.col("n") >= length).groupBy("sha").agg(F.min("rank").alias("low"), F.count("*").alias("c")).where("c > 1")
+    first = saved(first, "suffix-firsts")
     later = digests.join(first, "sha").where("rank > low").select("row_key").distinct()
     chunk = lambda: F.pmod(F.col("row_key"), F.lit(chunks)).alias("chunk")
     copies = saved(
@@ -218,12 +219,12 @@ def suffix_dedup(
         return texts.groupBy("chunk").cogroup(mail.groupBy("chunk")).applyInArrow(function, schema)
 
     def answers(function, sent: DataFrame, name: str) -> DataFrame:
-        out = saved(sent.groupBy("bucket").applyInArrow(function, _MAIL), name)
-        free_shuffles(spark)
-        return out
+        return saved(sent.groupBy("bucket").applyInArrow(function, _MAIL), name)
 
     ranks = answers(_rank_bucket(hot_chunks), step(_send_keys(length, bits, bucket_bits), copies, _MAIL), "suffix-ranks")
+    free_shuffles(spark)
     known = copies.unionByName(ranks)
     ties = answers(_sort_bucket, step(_send_entries(length, bits, bucket_bits), known, _MAIL), "suffix-ties")
+    free_shuffles(spark)
     out = "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
     return step(_cut(length, bits), known.unionByName(ties), out)
