@@ -20,8 +20,11 @@ SKIPPED_WORDS = frozenset(
     " nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav rail widget widgets masthead topbar toolbar footer"
     " comment comments commentlist disqus respond replies reply notice notices cookie cookies consent gdpr popup modal overlay"
     " newsletter subscribe subscription signup login social share sharing related recommended recommendations pagination pager"
-    " search searchbox form contentinfo complementary alert dialog skip copyright".split()
+    " search searchbox form contentinfo complementary alert dialog skip copyright aside side discussion adbox adslot leaderboard"
+    " topnav subnav mainnav dropdown offcanvas toast popover".split()
 )
+SKIPPED_STEMS = tuple("sidebar comment cookie advert newsletter navbar breadcrumb footer masthead sponsor disqus".split())
+NO_STEM = frozenset({"commentary", "commentator"})
 HEADER_WORDS = frozenset("header head heading banner".split())
 MAIN_WORDS = frozenset("article articlebody content main post entry story body text".split())
 CLOSES_P = frozenset(
@@ -34,6 +37,13 @@ _WORDS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _is_skipped(name: str) -> bool:
+    """Whether a class, id or role word names something that is no article text."""
+    if name in SKIPPED_WORDS:
+        return True
+    return name not in NO_STEM and not name.startswith("has-") and any(stem in name for stem in SKIPPED_STEMS)
+
+
 class PageLines(HTMLParser):
     """``lines`` of (text, zone): one line per block, white space runs as one blank.
 
@@ -80,7 +90,7 @@ class PageLines(HTMLParser):
         reason = ""
         if tag in SKIPPED:
             reason = tag
-        elif names & SKIPPED_WORDS and tag not in ("html", "body"):
+        elif tag not in ("html", "body") and any(_is_skipped(n) for n in names):
             reason = "marked"
         elif "hidden" in given or _HIDDEN.search(given.get("style", "")):
             reason = "hidden"

@@ -51,6 +51,7 @@ def test_broken_markup():
     assert text('<div class="post-content"><p>c</p></div><div>x</div>') == "c"
     assert text("<p>" * 5000 + "deep" + "<div>" * 3000 + "er") == "deep\ner"
     assert text("a < b <p>c") == "a < b\nc"
+    assert text('<div class="siteSidebarLeft">s</div><p class="commentary">kept</p><div id="userComments"><p>c</p></div>') == "kept"
     assert text('<article class="post has-comments"><p>kept</p><article class="comment">x</article></article>') == "kept"
 
 
