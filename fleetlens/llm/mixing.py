@@ -25,13 +25,13 @@ def n_tokens(text_col: str) -> Column:
     return F.regexp_count(text_or_empty(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _statistics(sizes: DataFrame, exponents: DataFrame, budget: int) -> DataFrame:
+def _statistics(sizes: DataFrame, exponents: list[float], budget: int) -> DataFrame:
     """For each exponent: entropy of the weights and the largest number of passes over a source.
 
     Two aggregations over one row per source; powers are taken relative to
     the largest source so that they neither overflow nor vanish together.
     """
-    grid = sizes.crossJoin(F.broadcast(exponents)).withColumn("p", F.pow(F.col("tokens") / F.col("largest"), F.col("x")))
+    grid = sizes.withColumn("x", F.explode(F.array(*map(F.lit, exponents)))).withColumn("p", F.pow(F.col("tokens") / F.col("largest"), F.col("x")))
     sums = grid.groupBy("x").agg(
         F.sum("p").alias("total"), F.sum(F.col("p") * F.log("p")).alias("plogp"), F.max(F.col("p") / F.col("tokens")).alias("top")
     )
@@ -52,7 +52,6 @@ def find_exponent(
     exponent grows, so the interval can be narrowed; each job tries 64 exponents at once.
     A target out of reach gives the nearest end of [0, 1]; with both, the larger exponent.
     """
-    spark = sizes.sparkSession
     largest = sizes.agg(F.max("tokens")).first()[0]
     if not largest:
         return 1.0
@@ -62,8 +61,7 @@ def find_exponent(
         low, high = 0.0, 1.0
         while high - low > tolerance:
             xs = [low + (high - low) * i / _STEPS for i in range(_STEPS + 1)]
-            table = spark.createDataFrame([(x,) for x in xs], "x double")
-            below = [r["x"] for r in _statistics(sizes, table, budget).collect() if fits_below(r)]
+            below = [r["x"] for r in _statistics(sizes, xs, budget).collect() if fits_below(r)]
             if not below:
                 return low
             if len(below) == len(xs):
@@ -115,7 +113,7 @@ def temperature_mix(
     budget = total if budget is None else budget
     if entropy_share is not None and sources:
         own = _statistics(
-            sizes.withColumn("largest", F.lit(float(total))), docs.sparkSession.createDataFrame([(1.0,)], "x double"), budget
+            sizes.withColumn("largest", F.lit(float(total))), [1.0], budget
         ).first()["entropy"]
         target_entropy = own + entropy_share * (math.log(sources) - own)
     x = find_exponent(sizes, budget, target_entropy, max_passes)
