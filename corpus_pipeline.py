@@ -41,8 +41,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: one row per document and pass (``temperature_mix``)."""
-    return temperature_mix(docs, max_passes=MAX_PASSES)
+    """The mixture: one row per document and pass (``temperature_mix``); every document at least once."""
+    return temperature_mix(docs, budget="cover", max_passes=MAX_PASSES)
 
 
 STAGES = [

@@ -25,24 +25,25 @@ def n_tokens(text_col: str) -> Column:
     return F.regexp_count(text_or_empty(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def _statistics(sizes: DataFrame, exponents: list[float], budget: int) -> DataFrame:
+def _statistics(sizes: DataFrame, exponents: list[float], budget: int | None) -> DataFrame:
     """For each exponent: entropy of the weights and the largest number of passes over a source.
 
     Two aggregations over one row per source; powers are taken relative to
-    the largest source so that they neither overflow nor vanish together.
+    the largest source so that they neither overflow nor vanish together. Without a budget
+    the largest source is read once.
     """
     grid = sizes.withColumn("x", F.explode(F.array(*map(F.lit, exponents)))).withColumn("p", F.pow(F.col("tokens") / F.col("largest"), F.col("x")))
     sums = grid.groupBy("x").agg(
-        F.sum("p").alias("total"), F.sum(F.col("p") * F.log("p")).alias("plogp"), F.max(F.col("p") / F.col("tokens")).alias("top")
+        F.sum("p").alias("total"), F.sum(F.col("p") * F.log("p")).alias("plogp"), F.max(F.col("p") / F.col("tokens")).alias("top"), F.max("largest").alias("largest"),
     )
     return sums.select(
         "x", (F.log("total") - F.col("plogp") / F.col("total")).alias("entropy"),
-        (F.col("top") / F.col("total") * budget).alias("passes"),
+        (F.col("top") * (F.col("largest") if budget is None else F.lit(budget) / F.col("total"))).alias("passes"),
     )
 
 
 def find_exponent(
-    sizes: DataFrame, budget: int, target_entropy: float | None = None, max_passes: float | None = None, tolerance: float = 1e-9
+    sizes: DataFrame, budget: int | None, target_entropy: float | None = None, max_passes: float | None = None, tolerance: float = 1e-9
 ) -> float:
     """The exponent in [0, 1] for ``sizes(source, tokens)`` (tokens > 0).
 
@@ -81,7 +82,7 @@ def find_exponent(
 
 def temperature_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    budget: int | None = None, target_entropy: float | None = None, max_passes: float | None = 4.0,
+    budget: int | str | None = None, target_entropy: float | None = None, max_passes: float | None = 4.0,
     entropy_share: float | None = None, block_tokens: int = 1_000_000, seed: int = 42,
 ) -> DataFrame:
     """The mixture: one row per document and pass it is read in.
@@ -89,7 +90,9 @@ def temperature_mix(
     Returns ``doc_id, source, n_tokens, pass`` (from 0), ``block`` (rank of its
     block in that pass of the source), ``slot`` (place in the block), and ``weight`` of its source.
 
-    ``budget``: tokens to deal out, by default the corpus's own. ``entropy_share``: the
+    ``budget``: tokens to deal out, by default the corpus's own; ``"cover"`` for as many as
+    read the largest source once, so that every document is read at least once and
+    smaller sources up to ``max_passes`` times. ``entropy_share``: the
     target entropy as a share of the way from the sources' own entropy (0)
     to the uniform one (1), instead of ``target_entropy``. A source's budget is
     its weight times ``budget``, rounded; its last document is the one that
@@ -110,7 +113,8 @@ def temperature_mix(
     sizes = saved(rows.groupBy("key").agg(F.sum("n_tokens").alias("tokens")), "mix-sizes")
     total, sources = sizes.agg(F.sum("tokens"), F.count("*")).first()
     total = total or 0
-    budget = total if budget is None else budget
+    cover = budget == "cover"
+    budget = None if cover else total if budget is None else budget
     if entropy_share is not None and sources:
         own = _statistics(
             sizes.withColumn("largest", F.lit(float(total))), [1.0], budget
@@ -119,10 +123,14 @@ def temperature_mix(
     x = find_exponent(sizes, budget, target_entropy, max_passes)
     power = F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(x))
     scale = sizes.agg(F.sum(power)).first()[0] or 1.0
+    if cover:
+        largest = sizes.agg(F.max("tokens")).first()[0] or 0
+        budget = largest * scale / ((largest / (total or 1)) ** x or 1.0)
+    least = F.col("tokens") if cover else F.lit(0)
     quota = sizes.select(
         "key", "tokens", (power / scale).alias("weight"),
         F.ceil(F.col("tokens") / block_tokens).alias("blocks"),
-    ).withColumn("quota", F.round(F.col("weight") * budget).cast("long"))
+    ).withColumn("quota", F.greatest(least, F.round(F.col("weight") * F.lit(float(budget))).cast("long")))
     quota = saved(quota.select("*", F.expr("quota div tokens").alias("full"), F.expr("quota % tokens").alias("rest")), "mix-quota")
 
     dealt = rows.join(quota, "key").withColumn(

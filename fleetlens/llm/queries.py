@@ -57,7 +57,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temperature_mix(table(spark, sf_dir, "documents"), max_passes=MIX_PASSES)
+    return temperature_mix(table(spark, sf_dir, "documents"), budget="cover", max_passes=MIX_PASSES)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,17 @@ def test_blocks_realise_the_weights(spark, block_tokens):
         assert sum(w.values()) == pytest.approx(1, abs=0.01)
 
 
+def test_cover_reads_every_document(spark):
+    data = [(i, words(5 + i % 9, i), "big" if i % 10 else f"small{i % 3}") for i in range(200)] + [(900, "x y", "tiny")]
+    out = temperature_mix(docs(spark, data), budget="cover", max_passes=2.5, block_tokens=100).collect()
+    assert sorted(r.doc_id for r in out if r["pass"] == 0) == sorted(d[0] for d in data)
+    tokens = {s: sum(len(t.split()) for _, t, x in data if x == s) for s in {d[2] for d in data}}
+    x = bisected(lambda a: max((n / max(tokens.values())) ** (a - 1) for n in tokens.values()) > 2.5)
+    budget = max(tokens.values()) / max(weights(list(tokens.values()), x))
+    check(out, data, budget, 2.5)
+    assert {r.source for r in out if r["pass"] > 0} == set(tokens) - {"big"}
+
+
 def test_entropy_share_and_repeatable(spark):
     data = [(i, words(20, i), "big" if i % 10 else "small") for i in range(200)]
     run = lambda: rows(temperature_mix(docs(spark, data), entropy_share=1.0, max_passes=None, block_tokens=300), "source", "doc_id", "pass", "block", "slot", "weight")
