@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import time
 import uuid
@@ -26,13 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="fleetlens-llm-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+_written: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/fleetlens-{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/fleetlens-{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete every table this process has written to the shared folder.
+
+    For a job's end, when its results are stored elsewhere: results still to be read need them.
+    """
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -75,8 +92,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     on an edge to another node. Every round moves each edge towards the
     smallest neighbour, so a star of any size settles in two rounds and a chain in a
     logarithmic number. Each round's edges are written to the shared folder; the driver sees two
-    numbers per round. Joins on a node with many edges are left to adaptive
-    skew splitting, which one row per node on the other side allows.
+    numbers per round. The smallest neighbours are written as well: with a table of one row per
+    node on that side, adaptive execution can split the join at a node with very many edges.
     """
     current = saved(
         edges.where("a is not null and b is not null and a <> b")
@@ -86,9 +103,9 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     mark = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = saved(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), name)
         now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

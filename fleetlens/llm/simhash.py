@@ -131,11 +131,19 @@ def _by_neighbours(points: DataFrame, max_bits: int) -> DataFrame:
     star of true links that joins all pairs that meet there.
     """
     far, near = -(-max_bits // 2), max_bits // 2
-    flips = [_signed(sum(1 << b for b in pick)) for n in range(far + 1) for pick in combinations(range(64), n)]
-    is_near = [n <= near for n in range(far + 1) for _ in combinations(range(64), n)]
-    spark = points.sparkSession
-    steps = F.broadcast(spark.createDataFrame(list(zip(flips, is_near, strict=True)), "flip long, near boolean"))
-    visits = points.crossJoin(steps).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("z"), "fp", "near")
+    picks = [pick for n in range(far + 1) for pick in combinations(range(64), n)]
+    flips = np.array([sum(1 << b for b in pick) for pick in picks], np.uint64).view(np.int64)
+    is_near = np.array([len(pick) <= near for pick in picks])
+
+    def run(batches):
+        for batch in batches:
+            for part in np.array_split(batch.column(0).to_numpy(), -(-batch.num_rows // 1000) or 1):
+                z = np.bitwise_xor.outer(part, flips).ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(z), pa.array(np.repeat(part, len(flips))), pa.array(np.tile(is_near, len(part)))], ["z", "fp", "near"]
+                )
+
+    visits = points.mapInArrow(run, "z long, fp long, near boolean")
     centre = visits.where("near").groupBy("z").agg(F.min("fp").alias("a"))
     return visits.join(centre, "z").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
@@ -150,10 +158,11 @@ def links(points: DataFrame, max_bits: int = 3, cell_limit: int = 4096) -> DataF
     cells = saved(cells.where("n > 1"), "cells")
     close = lambda f: F.bit_count(f(F.col("a")).bitwiseXOR(f(F.col("b")))) <= max_bits
     pairs = cells.where("n = 2").where(close(_embedding)).where(close(lambda c: c)).select("a", "b")
+    # one plan at every size: the shared cells grow with the corpus
     keys = ["grid", "cell"]
-    small = entries.join(cells.where(f"n > 2 and n <= {cell_limit}").select(keys), keys)
+    small = entries.join(cells.where(f"n > 2 and n <= {cell_limit}").select(keys).hint("merge"), keys)
     stars = small.groupBy(keys).applyInArrow(_stars(max_bits), "a long, b long")
-    large = entries.join(cells.where(f"n > {cell_limit}").select(keys), keys).select("fp").distinct()
+    large = entries.join(cells.where(f"n > {cell_limit}").select(keys).hint("merge"), keys).select("fp").distinct()
     return pairs.unionByName(stars).unionByName(_by_neighbours(large, max_bits))
 
 
@@ -172,11 +181,11 @@ def simhash_dedup(
     fps = saved(fingerprints(docs, id_col, text_col, words), "simhash")
     points = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")
     roots = components(links(points.select("fp"), max_bits, cell_limit), "simhash-cc")
-    labelled = points.join(roots, points["fp"] == roots["node"], "left").select(
+    labelled = points.join(roots.hint("merge"), points["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")
     )
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
     by_point = labelled.join(lowest, "root").select("fp", "component_id")
-    return fps.join(by_point, "fp").select(
+    return fps.join(by_point.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
