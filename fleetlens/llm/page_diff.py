@@ -3,8 +3,9 @@
 Pages of a host are ordered by URL path; a page is paired with whichever of
 its two neighbours has the longer common path prefix. The text lines of a
 pair are aligned by longest common subsequence, and lines the two share are
-deleted as boilerplate. Text that the markup itself names as the article is
-kept; what the markup names as something else never becomes a line (``page_text.py``).
+deleted as boilerplate, also inside a main element or an element whose class says
+that it holds the content. Only the text of an article element is
+kept whole; what the markup names as something else never becomes a line (``page_text.py``).
 
 Lines are compared as 64-bit hashes, so pairing moves a few numbers per
 page; the html itself is moved once, when the deletions are applied.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, text_or_empty
-from .page_text import OTHER, page_lines
+from .page_text import ARTICLE, page_lines
 
 _MOST_BITS = 1 << 27
 
@@ -169,20 +170,32 @@ def _deletions(copy_share: float):
     return run
 
 
-def main_text(html: str, gone: list[int]) -> str:
-    """The article: lines of the page's best zone, or, where no markup names one, the lines not shared."""
+def main_text(html: str, gone: list[int], copy_share: float = 0.8) -> str:
+    """The article: lines of the page's best zone without the shared ones; an article element keeps those too.
+
+    A zone that is shared by ``copy_share`` of its text is a copy inside another frame and keeps its lines.
+    """
     lines, best = page_lines(html)
-    drop = set(gone)
-    return "\n".join(t for i, (t, zone) in enumerate(lines) if (zone >= best if best > OTHER else i not in drop))
+    inside = [i for i, (_, zone) in enumerate(lines) if zone >= best]
+    drop = set(gone).intersection(inside) if best < ARTICLE else set()
+    if sum(len(lines[i][0]) for i in drop) >= copy_share * sum(len(lines[i][0]) for i in inside):
+        drop = set()
+    return "\n".join(lines[i][0] for i in inside if i not in drop)
 
 
-def _texts(batches):
-    for batch in batches:
-        texts = [main_text(h, g or []) for h, g in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-            ["page_id", "url", "text", "n_chars"],
-        )
+def _texts(copy_share: float):
+    def run(batches):
+        for batch in batches:
+            texts = [
+                main_text(h, g or [], copy_share)
+                for h, g in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"],
+            )
+
+    return run
 
 
 def page_diff(
@@ -191,7 +204,8 @@ def page_diff(
     """One row per page: ``page_id, url, text, n_chars`` (code points).
 
     ``copy_share``: two neighbours that share this much of a page's text are copies
-    of one page, not two pages with one frame, and keep their lines. Null html is an empty page with an empty
+    of one page, not two pages with one frame, and keep their lines; the same holds for the zone
+    that is taken. Null html is an empty page with an empty
     text; a null or relative url stands for a host and path of its own
     (both empty). Rows that repeat a page id, or a whole row, are pages of
     their own and get the text of their own html; equal rows get the same text.
@@ -213,4 +227,4 @@ def page_diff(
     gone = saved(aligned.mapInArrow(_deletions(copy_share), "me string, gone array<int>").where("size(gone) > 0"), "page-gone")
     joined = rows.join(gone, F.col("row") == F.col("me"), "left").select("page_id", "url", "html", "gone")
     id_type = pages.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_texts, f"page_id {id_type}, url string, text string, n_chars long")
+    return joined.mapInArrow(_texts(copy_share), f"page_id {id_type}, url string, text string, n_chars long")

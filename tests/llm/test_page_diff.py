@@ -68,6 +68,22 @@ def test_shared_lines_go_where_no_markup_names_the_article(spark):
     assert out[20].startswith("Our site\nCall us\nstory 3") and out[20].endswith("gold")
 
 
+def test_shared_lines_go_inside_main_and_marked_elements(spark):
+    body = lambda i: "".join(f"<p>story {i} part {k} with some words of its own</p>" for k in range(6))
+    shapes = {
+        "m": "<main><p>Call us</p>{}<p>All prices in gold</p></main>", "d": '<div class="content"><p>Call us</p>{}<p>All prices in gold</p></div>',
+        "a": "<article><p>Call us</p>{}<p>All prices in gold</p></article>",
+    }
+    rows = [(f"{k}{i}", f"http://{k}/news/{i}", shape.format(body(i))) for k, shape in shapes.items() for i in range(3)]
+    frames = ["".join(f"<p>frame {i} line {k} unlike any other page</p>" for k in range(9)) for i in range(2)]
+    rows += [(f"c{i}", f"http://c/{i}", f"<main>{body(7)}</main>{frames[i]}") for i in range(2)]
+    out = {r.page_id: r.text for r in page_diff(spark.createDataFrame(rows, PAGES.replace("long", "string"))).collect()}
+    for i in range(3):
+        own = "\n".join(f"story {i} part {k} with some words of its own" for k in range(6))
+        assert out[f"m{i}"] == out[f"d{i}"] == own and out[f"a{i}"] == f"Call us\n{own}\nAll prices in gold"
+    assert out["c0"] == out["c1"] == "\n".join(f"story 7 part {k} with some words of its own" for k in range(6))
+
+
 def test_pairs_against_brute_force(spark):
     rng = random.Random(3)
     keys = [(f"r{i:03}", rng.choice("ab"), "/" + "/".join(rng.choice(["x", "yy", "z"]) for _ in range(rng.randrange(1, 4)))) for i in range(150)]
