@@ -4,8 +4,8 @@ Pages of a host are ordered by URL path; a page is paired with whichever of
 its two neighbours has the longer common path prefix. The text lines of a
 pair are aligned by longest common subsequence, and lines the two share are
 deleted as boilerplate, also inside a main element or an element whose class says
-that it holds the content. Only the text of an article element is
-kept whole; what the markup names as something else never becomes a line (``page_text.py``).
+that it holds the content. Of these zones the one with enough of the page's unshared text is taken.
+Only the text of an article element is kept whole; what the markup names as something else never becomes a line (``page_text.py``).
 
 Lines are compared as 64-bit hashes, so pairing moves a few numbers per
 page; the html itself is moved once, when the deletions are applied.
@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, text_or_empty
-from .page_text import ARTICLE, page_lines
+from .page_text import ARTICLE, INSIDE, MAIN, MARKED, OTHER, page_lines
 
 _MOST_BITS = 1 << 27
+_OF_ZONE, _OF_PAGE = 0.5, 0.25
 
 
 def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -171,16 +172,37 @@ def _deletions(copy_share: float):
 
 
 def main_text(html: str, gone: list[int], copy_share: float = 0.8) -> str:
-    """The article: lines of the page's best zone without the shared ones; an article element keeps those too.
+    """The article: lines of one zone without the shared ones; an article element keeps those too.
 
+    The zone is the highest that holds enough of the page's unshared text: a half of what any
+    zone around it holds, or a quarter of the whole page for article and main elements. So a teaser
+    or a line whose class says text does not stand for the article beside it. Articles in
+    wrappers named as something else are taken if they hold more than a page without article and main.
     A zone that is shared by ``copy_share`` of its text is a copy inside another frame and keeps its lines.
     """
     lines, best = page_lines(html)
-    inside = [i for i, (_, zone) in enumerate(lines) if zone >= best]
-    drop = set(gone).intersection(inside) if best < ARTICLE else set()
-    if sum(len(lines[i][0]) for i in drop) >= copy_share * sum(len(lines[i][0]) for i in inside):
-        drop = set()
-    return "\n".join(lines[i][0] for i in inside if i not in drop)
+    drop = set(gone)
+
+    def chars(part):
+        return sum(len(lines[i][0]) for i in part)
+
+    def unshared(part):
+        left = [i for i in part if i not in drop]
+        return part if chars(part) - chars(left) >= copy_share * chars(part) else left
+
+    zones = [z for z in (ARTICLE, MAIN, MARKED, OTHER) if z <= best]
+    parts = {z: [i for i, line in enumerate(lines) if line[1] >= z] for z in zones}
+    parts[INSIDE] = [i for i, line in enumerate(lines) if line[1] == INSIDE]
+    kept = {z: unshared(part) for z, part in parts.items()}
+    size = {z: chars(part) for z, part in kept.items()}
+
+    def enough(z, around):
+        return size[z] >= (_OF_PAGE if around == OTHER and z >= MAIN else _OF_ZONE) * size[around]
+
+    zone = next(z for z in zones if all(enough(z, around) for around in zones if around < z))
+    if zone < MAIN and size[INSIDE] > size[OTHER]:
+        zone = INSIDE
+    return "\n".join(lines[i][0] for i in (parts if zone in (ARTICLE, INSIDE) else kept)[zone])
 
 
 def _texts(copy_share: float):

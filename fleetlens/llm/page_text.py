@@ -32,8 +32,9 @@ CLOSES_P = frozenset(
     " menu nav ol p pre section table ul".split()
 )
 
-ARTICLE, MAIN, MARKED, OTHER = 3, 2, 1, 0
+ARTICLE, MAIN, MARKED, OTHER, INSIDE = 3, 2, 1, 0, -1
 _WORDS = re.compile(r"[a-z0-9]+")
+_HAS = re.compile(r"(?<!\S)(?:has|no|with|without)-\S+")  # says what stands beside the element, not what it is
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -50,7 +51,9 @@ class PageLines(HTMLParser):
     Text in elements that are no article text (menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, comments) gives no line. The zone is the
     innermost of: an article element, a main element, an element whose class or id
-    says that it holds the content, anything else. ``best`` is the highest zone opened.
+    says that it holds the content, anything else. An article or main element in an
+    element that only its class, id or role names as no article text is a zone of its own, ``INSIDE``:
+    a wrapper's name may speak of one part of it. ``best`` is the highest zone opened.
     """
 
     def __init__(self):
@@ -86,7 +89,7 @@ class PageLines(HTMLParser):
         given = {k: v or "" for k, v in attrs}
         named = f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower()
         # an article's own classes often speak of its comments or share buttons: whole names only
-        names = set(named.split() if tag in ("article", "main") else _WORDS.findall(named))
+        names = set(named.split() if tag in ("article", "main") else _WORDS.findall(_HAS.sub(" ", named)))
         reason = ""
         if tag in SKIPPED:
             reason = tag
@@ -99,12 +102,16 @@ class PageLines(HTMLParser):
         if tag in ("article", "main") and not reason:
             if skipped in ("nav", "header", "menu", "head"):  # left open by mistake
                 skipped = ""
-            if not skipped:
+            if skipped == "marked" and zone < ARTICLE:
+                zone, skipped = INSIDE, ""
+            elif not skipped and zone != INSIDE:
                 zone = max(zone, ARTICLE if tag == "article" else MAIN)
         elif not reason and not skipped and zone == OTHER and tag in ("div", "section", "td") and names & MAIN_WORDS:
             zone = MARKED
         if not (reason or skipped):
             self.best = max(self.best, zone)
+        if skipped == "marked" and (reason == "hidden" or reason in SKIPPED - {"nav", "menu"}):
+            skipped = reason
         self.open.append((tag, zone, skipped or reason))
 
     def _close(self, tag: str) -> None:

@@ -55,6 +55,40 @@ def test_broken_markup():
     assert text('<article class="post has-comments"><p>kept</p><article class="comment">x</article></article>') == "kept"
 
 
+STORY = "a story of many words that nobody would want to lose"
+
+
+def test_articles_in_wrappers_named_for_one_of_their_parts():
+    article = f"<article><p>{STORY}</p></article>"
+    for wrapper in ('class="layout has-sidebar"', 'id="search-results"', 'class="page-with-sidebar"', 'class="widget-area"'):
+        assert text(f"<div {wrapper}>{article}</div>") == STORY
+        assert text(f"<p>Our site</p><div {wrapper}><div>{article}</div><p>more</p></div>") == STORY
+        assert text(f'<div class="post-meta">By me</div><div {wrapper}><main><p>{STORY}</p></main></div>') == STORY
+    assert text(f'<div class="layout has-sidebar"><p>{STORY}</p><div class="sidebar">x</div></div>') == STORY
+    # teasers and comments do not come back beside the article
+    teaser = "<article><p>teaser</p></article>"
+    assert text(f'<div class="sidebar">{teaser}</div>{article}<div class="related-posts">{teaser * 9}</div>') == STORY
+    assert text(f'<p>{STORY}</p><section class="comments">{teaser}</section>') == STORY
+    assert text(f'<article><p>{STORY}</p><section class="comments">{teaser}</section></article>') == STORY
+    assert text(f'<div class="sidebar"><aside>{article}</aside></div><p>x</p>') == "x"
+    assert text(f'<div class="sidebar"><div hidden>{article}</div></div><p>x</p>') == "x"
+
+
+def test_a_small_part_whose_class_says_text_is_not_the_article():
+    for name in ("text-muted", "post-meta"):
+        small = f'<div class="{name}">By me</div>'
+        assert text(f"<div>{small}<div><p>{STORY}</p><p>{STORY}</p></div></div>") == f"By me\n{STORY}\n{STORY}"
+        assert main_text(f"{small}<div><p>Call us</p><p>{STORY}</p></div>", [0, 1]) == STORY
+
+
+def test_a_teaser_is_not_the_article_beside_it():
+    teaser = "<article><p>teaser</p></article>"
+    assert text(f"<main><p>{STORY}</p></main>{teaser}<p>out</p>") == f"{STORY}\nteaser"
+    assert text(f"<main><p>{STORY}</p>{teaser}</main><p>out</p>") == f"{STORY}\nteaser"
+    assert text(f"<div><p>{STORY}</p></div>{teaser}") == f"{STORY}\nteaser"
+    assert text(f"<main><p>lead</p><article><p>{STORY}</p></article></main><p>out</p>") == STORY
+
+
 def test_shared_lines_go_where_no_markup_names_the_article(spark):
     frame = "<p>Our site</p><p>Call us</p>{}<p>All prices in gold</p>"
     body = lambda i: "".join(f"<p>story {i} part {k} with some words of its own</p>" for k in range(6))
