@@ -21,6 +21,7 @@ from .common import text_or_empty
 
 ERROR_RATE = 0.05
 BLOCK_CHARS = 1_000_000
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -35,6 +36,14 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def at_boundaries(text: str, a: int, b: int) -> bool:
+    """Whether ``text[a:b]`` cuts no word at its ends; scripts written without blanks have boundaries everywhere."""
+    def joined(c):
+        return c.isalnum() and not _UNSPACED.match(c)
+
+    return all(not 0 < i < len(text) or not (joined(text[i - 1]) and joined(text[i])) for i in (a, b))
+
+
 def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
     """Least edit distance of the pattern to a substring of the text, and its end; None above the budget.
 
@@ -64,13 +73,13 @@ def myers(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
 class _Block:
     """The automaton over the pieces of one block of items."""
 
-    def __init__(self, items: list[tuple], rate: float):
+    def __init__(self, items: list[tuple], rate: float, min_chars: int):
         self.items, owners = [], {}
         for item_id, text in items:
             budget = int(len(text) * rate)
             for offset, piece in pieces(text, budget):
                 owners.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, text, budget))
+            self.items.append((item_id, text, budget, budget == 0 and len(text) < min_chars))
         self.automaton = ahocorasick.Automaton()
         for piece, where in owners.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -81,8 +90,10 @@ class _Block:
         found: dict[int, list[list[int]]] = {}
         for last, (length, where) in self.automaton.iter(text):
             for k, offset in where:
-                _, item, budget = self.items[k]
+                _, item, budget, whole = self.items[k]
                 start = last + 1 - length - offset - budget
+                if whole and (k in found or not at_boundaries(text, start, last + 1)):
+                    continue
                 found.setdefault(k, []).append([max(0, start), start + len(item) + 2 * budget])
         for k, spans in found.items():
             spans.sort()
@@ -99,7 +110,7 @@ class _Block:
         """(item id, distance, end, item length) of the best occurrence of each item in the text."""
         text = normal(text)
         for k, spans in self.windows(text).items():
-            item_id, item, budget = self.items[k]
+            item_id, item, budget, _ = self.items[k]
             best = None
             for a, b in spans:
                 hit = myers(item, text[a:b], budget)
@@ -119,15 +130,15 @@ def contaminated(
     Both sides are compared in lower case with white space runs as one blank. The
     budget of an item of n characters is ``int(n * error_rate)`` edits; ``end`` is
     the code point where the best occurrence ends in the normalised text and
-    ``n_chars`` the item's length. Items shorter than ``min_chars`` (null and empty
-    ones too) name no passage and match nothing. Rows that repeat a document or an item give their
+    ``n_chars`` the item's length. Items shorter than ``min_chars`` whose budget is 0
+    must stand at word boundaries ("art" is not in "start"). Null and empty items match nothing. Rows that repeat a document or an item give their
     pairs once. The items go to the tasks in blocks of about ``block_chars``
     characters, one pass over the documents for each block, so that what is sent at once is
     bounded however large the benchmark is.
     """
     item_type, doc_type = benchmark.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     tidy = F.lower(F.trim(F.regexp_replace(text_or_empty(item_text_col), r"[\x20\x09-\x0D]+", " ")))
-    items = benchmark.select(F.col(item_col).alias("item_id"), tidy.alias("item")).where(F.length("item") >= min_chars).distinct()
+    items = benchmark.select(F.col(item_col).alias("item_id"), tidy.alias("item")).where("item <> ''").distinct()
     total = items.agg(F.sum(F.length("item"))).first()[0] or 0
     blocks = -(-total // block_chars)
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -136,15 +147,15 @@ def contaminated(
     types = [to_arrow_type(f.dataType) for f in out.schema]
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b).collect()
-        out = out.unionByName(picked.mapInArrow(_scan([(r[0], normal(r[1])) for r in rows], error_rate, types), schema))
+        out = out.unionByName(picked.mapInArrow(_scan([(r[0], normal(r[1])) for r in rows], error_rate, min_chars, types), schema))
     return out.groupBy("doc_id", "item_id").agg(
         F.min(F.struct("distance", "end", "n_chars")).alias("best")
     ).select("doc_id", "item_id", "best.distance", "best.end", "best.n_chars")
 
 
-def _scan(items: list[tuple], rate: float, types: list[pa.DataType]):
+def _scan(items: list[tuple], rate: float, min_chars: int, types: list[pa.DataType]):
     def run(batches):
-        block = _Block(items, rate)
+        block = _Block(items, rate, min_chars)
         for batch in batches:
             found: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -67,6 +67,16 @@ def test_against_brute_force(spark):
         assert got == brute(data, items, 0.05, 40)
 
 
+def test_short_items_match_whole(spark):
+    items = [(1, "Who wrote  Faust?"), (2, "art"), (3, "what is the capital of upper austria"), (4, "首都はどこですか"), (5, " "), (6, None), (7, "a a")]
+    data = [
+        (1, "q: who wrote faust? a: goethe"), (2, "they start, the party"), (3, "Art! start"), (4, "start-art"),
+        (5, "x what is the capital of uper austria"), (6, "日本の首都はどこですかと"), (7, "ba a a ab"), (8, "ba a ab"), (9, ""), (10, None),
+    ]
+    got = rows(contaminated(docs(spark, data), spark.createDataFrame(items, ITEMS)), "doc_id", "item_id", "distance", "end")
+    assert got == sorted([(1, 1, 0, 19), (3, 2, 0, 3), (4, 2, 0, 9), (5, 3, 1, 37), (6, 4, 0, 11), (7, 7, 0, 6)], key=str)
+
+
 def test_long_text_and_empty_tables(spark):
     item = words(20, 1)
     bench = spark.createDataFrame([(1, item)], ITEMS)
