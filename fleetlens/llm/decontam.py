@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_or_empty
+from .common import fresh_path, text_or_empty
 
 ERROR_RATE = 0.05
 BLOCK_CHARS = 1_000_000
@@ -133,8 +133,8 @@ def contaminated(
     ``n_chars`` the item's length. Items shorter than ``min_chars`` whose budget is 0
     must stand at word boundaries ("art" is not in "start"). Null and empty items match nothing. Rows that repeat a document or an item give their
     pairs once. The items go to the tasks in blocks of about ``block_chars``
-    characters, one pass over the documents for each block, so that what is sent at once is
-    bounded however large the benchmark is.
+    characters, one pass over the documents for each block, whose matches are written before the
+    next block is read: driver and tasks hold one block at a time, however large the benchmark is.
     """
     item_type, doc_type = benchmark.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     tidy = F.lower(F.trim(F.regexp_replace(text_or_empty(item_text_col), r"[\x20\x09-\x0D]+", " ")))
@@ -143,11 +143,16 @@ def contaminated(
     blocks = -(-total // block_chars)
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     schema = f"doc_id {doc_type}, item_id {item_type}, distance long, end long, n_chars long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    types = [to_arrow_type(f.dataType) for f in out.schema]
+    spark = docs.sparkSession
+    out = spark.createDataFrame([], schema)
+    types, path = [to_arrow_type(f.dataType) for f in out.schema], fresh_path(spark, "hits")
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b).collect()
-        out = out.unionByName(picked.mapInArrow(_scan([(r[0], normal(r[1])) for r in rows], error_rate, min_chars, types), schema))
+        scan = _scan([(r[0], normal(r[1])) for r in rows], error_rate, min_chars, types)
+        if rows:
+            picked.mapInArrow(scan, schema).write.mode("append").parquet(path)
+    if blocks:
+        out = spark.read.schema(schema).parquet(path)
     return out.groupBy("doc_id", "item_id").agg(
         F.min(F.struct("distance", "end", "n_chars")).alias("best")
     ).select("doc_id", "item_id", "best.distance", "best.end", "best.n_chars")

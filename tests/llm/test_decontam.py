@@ -2,6 +2,7 @@ import random
 
 from edge import DOCS, awkward, docs, rows, words
 
+from fleetlens.llm import decontam as module
 from fleetlens.llm.decontam import contaminated, myers, normal, pieces
 
 ITEMS = "item_id long, text string"
@@ -77,6 +78,22 @@ def test_short_items_match_whole(spark):
     assert got == sorted([(1, 1, 0, 19), (3, 2, 0, 3), (4, 2, 0, 9), (5, 3, 1, 37), (6, 4, 0, 11), (7, 7, 0, 6)], key=str)
 
 
+def test_one_block_of_items_at_a_time(spark, monkeypatch):
+    """Each block's matches are written before the next block is made, and no block stays in the plan."""
+    from pyspark.sql import DataFrameWriter
+
+    steps, scan, write = [], module._scan, DataFrameWriter.parquet
+    monkeypatch.setattr(module, "_scan", lambda items, *rest: steps.append(len(items)) or scan(items, *rest))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: steps.append("written") or write(self, path, *a, **k))
+    items = [(i, words(12, 100 + i)) for i in range(20)]
+    data = [(i, words(5, i) + " " + items[i][1]) for i in range(20)]
+    found = contaminated(docs(spark, data), spark.createDataFrame(items, ITEMS), block_chars=200)
+    sizes = steps[::2]
+    assert len(sizes) > 3 and sum(sizes) == 20 and steps[1::2] == ["written"] * len(sizes)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert rows(found, "doc_id", "item_id", "distance") == sorted(((i, i, 0) for i in range(20)), key=str)
+
+
 def test_long_text_and_empty_tables(spark):
     item = words(20, 1)
     bench = spark.createDataFrame([(1, item)], ITEMS)
