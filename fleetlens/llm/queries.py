@@ -9,6 +9,7 @@ from .chunk_recipes import exact_dedup
 from .common import table
 from .cotraining import cotrained_quality
 from .decontam import contaminated
+from .lexical import lexical_search
 from .line_dedup import line_dedup
 from .mixing import temperature_mix
 from .page_diff import page_diff
@@ -64,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 MIX_PASSES = 2.0
 
 QUERIES = {
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_simhash": op10_simhash,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 _LINES = r"""
@@ -154,3 +160,28 @@ select page_id, n::bigint as payload_bytes, sha1(body) as payload_digest,
     case when n >= 1000 and page_id <> last then last end as refers_to
 from p
 """
+
+ORACLE_SQL["op11_lexical_search"] = r"""
+with words as (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from documents
+), cells as (select doc_id, term, count(*) as tf from words group by doc_id, term
+), docs as (select doc_id, sum(tf)::bigint as n from cells group by doc_id
+), total as (select count(*) as docs, sum(n)::bigint as terms from docs
+), asked as (
+    select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark
+), weights as (
+    select term, floor(1000 * ln((2 * max(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w
+    from cells cross join total where term in (select term from asked) group by term
+), scored as (
+    select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * total.docs) // total.terms))))::bigint as score
+    from asked join weights using (term) join cells using (term) join docs using (doc_id) cross join total
+    group by item_id, doc_id
+), ranked as (
+    select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
+"""
