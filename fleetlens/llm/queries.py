@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunk_recipes import exact_dedup
-from .common import table
+from .common import table, text_or_empty
 from .cotraining import cotrained_quality
 from .decontam import contaminated
 from .lexical import lexical_search
 from .line_dedup import line_dedup
 from .mixing import temperature_mix
 from .page_diff import page_diff
+from .periodic import collapse_runs
 from .secret_scan import BASE, MORE, secret_scan
 from .simhash import simhash_dedup
 from .suffix_dedup import suffix_dedup
@@ -69,6 +70,39 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with the periodic tails of the query's contract: one document in ten repeats its words from ``a`` on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    found = F.regexp_extract_all(text_or_empty("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    picked = docs.select("doc_id", "text", F.when(h % 10 == 0, found).alias("found"), F.floor(h / 10).alias("g"))
+    n = F.size("found")
+    tail = picked.select("*", F.when(n > 0, F.col("g") % n).alias("a")).select(
+        "*", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).alias("p")
+    )
+    moved = F.transform("found", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("found", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    ))
+    return tail.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def run_digests(collapsed: DataFrame) -> DataFrame:
+    """The greatest run (ties: smallest start, then period) and digests of all runs and of the text that is left."""
+    best = F.reduce("runs", F.lit(None).cast("struct<start: long, period: long, length: long>"), lambda b, r: F.when(
+        b.isNull() | (r["length"] > b["length"]), r).otherwise(b))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return collapsed.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.array_join(F.transform("runs", line), "").alias("listed"), "text",
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(collapse_runs(planted_runs(table(spark, sf_dir, "documents"))))
+
+
 MIX_PASSES = 2.0
 
 QUERIES = {
@@ -83,6 +117,7 @@ QUERIES = {
     "op9_temperature_mix": op9_temperature_mix,
     "op10_simhash": op10_simhash,
     "op11_lexical_search": op11_lexical_search,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 _LINES = r"""
