@@ -7,16 +7,16 @@ ranges of its order key:
 
 1. rows are counted per group; a group above ``rows_per_range`` rows and above
    a fixed share of all rows is hot, so there are at most 500 of them;
-2. the range bounds of a hot group are order keys picked by a hash of the key,
-   about ``total / 10,000`` rows apart: at most some 10,000 keys in all, which bounds the
-   broadcast;
-3. a row's range is the number of bounds below its key, a function of the row
-   alone, so every branch and every retried task agrees on it;
+2. the rows of hot groups get cut points of (group, order key, hash of the row), some
+   10,000 in all (:mod:`fleetlens.plans.ranges`); the hash divides rows of one equal key;
+3. a row's range is the number of cut points below it, a function of the row alone, so
+   every branch and every retried task agrees on it;
 4. position = rows of earlier ranges + ``row_number`` within (group, range).
 
-Nothing runs while the plan is built and no folder is needed. Rows with equal
-order keys share a range and are numbered arbitrarily among themselves, as
-``row_number`` does. The key columns are read three times, whole rows once.
+Nothing runs while the plan is built and no folder is needed. Rows with equal order keys are
+numbered by the hash of their other columns, rows equal in all columns arbitrarily among
+themselves, as ``row_number`` does; only the latter share a range whatever their number. The key
+columns are read four times, whole rows once.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions.columns import cols
+from fleetlens.plans.ranges import Cuts
 from fleetlens.plans.skew import ROWS_PER_TASK, hot_keys
 
 RANGES = 10_000
@@ -41,32 +43,35 @@ def position_within(df: DataFrame, group: str | Sequence[str],
     order = [order] if isinstance(order, (str, Column)) else list(order)
     key = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"k{i}") for i, o in enumerate(order)])
     ids = [f"_fl_g{i}" for i in range(len(group))]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not _has_map(f.dataType)]
     # NULL is a group like any other: groups meet as (is null, value).
     rows = df.select("*", *[F.struct(F.col(g).isNull().alias("n"), F.col(g).alias("v")).alias(i) for g, i in zip(group, ids)],
-                     key.alias("_fl_key"))
-    keys = rows.select(*ids, "_fl_key")
-    match = lambda a, b: [F.col(f"{a}.{i}").eqNullSafe(F.col(f"{b}.{i}")) for i in ids]
+                     key.alias("_fl_key"), (F.xxhash64(*hashed) if hashed else F.lit(0).cast("long")).alias("_fl_tie"))
+    keys = rows.select(*ids, "_fl_key", "_fl_tie")
+    place = F.struct(*[F.col(f"{i}.{x}").alias(f"{i}{x}") for i in ids for x in "nv"],
+                     *[F.col(f"_fl_key.k{i}") for i in range(len(order))], "_fl_tie")
 
     sizes = keys.groupBy(*ids).agg(F.count(F.lit(1)).alias("_fl_n"))
-    total = sizes.agg(F.sum("_fl_n")).scalar()
-    every = F.greatest(F.lit(1).cast("long"), F.ceil(total / RANGES), F.lit(rows_per_range // 100).cast("long"))
-    hot = hot_keys(sizes, ids, "_fl_n", rows_per_range).select(*ids, every.alias("_fl_every"))
-    picked = keys.alias("r").join(F.broadcast(hot).alias("h"), match("r", "h")).filter(
-        F.pmod(F.xxhash64("r._fl_key"), F.col("h._fl_every")) == 0)
-    bounds = picked.groupBy(*[F.col(f"r.{i}").alias(i) for i in ids]).agg(
-        F.sort_array(F.collect_set("r._fl_key")).alias("_fl_bounds"))
+    hot = hot_keys(sizes, ids, "_fl_n", rows_per_range).select(*ids, F.lit(True).alias("_fl_hot"))
+    hot_rows = keys.join(F.broadcast(hot), ids, "left_semi")
+    cuts = Cuts(hot_rows, place, max(1, rows_per_range // 100), RANGES)
 
     def ranged(frame: DataFrame) -> DataFrame:
-        j = frame.alias("r").join(F.broadcast(bounds).alias("h"), match("r", "h"), "left")
-        part = F.coalesce(F.size(F.filter(F.col("h._fl_bounds"), lambda b: b < F.col("r._fl_key"))), F.lit(0))
-        return j.select("r.*", F.when(F.col("h._fl_bounds").isNull(), 0).otherwise(part).alias("_fl_part"))
+        known = frame.join(F.broadcast(hot), ids, "left")
+        marked = cuts.mark(known, place, "_fl_part", only=F.col("_fl_hot"))
+        return marked.withColumn("_fl_part", F.col("_fl_part.no")).drop("_fl_hot")
 
     earlier = Window.partitionBy(*ids).orderBy("_fl_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged(keys.join(F.broadcast(bounds.select(*ids)), ids, "left_semi")).groupBy(*ids, "_fl_part").agg(
-        F.count(F.lit(1)).alias("_fl_c"))
+    counts = ranged(hot_rows).groupBy(*ids, "_fl_part").agg(F.count(F.lit(1)).alias("_fl_c"))
     offsets = counts.select(*ids, "_fl_part", F.coalesce(F.sum("_fl_c").over(earlier), F.lit(0)).alias("_fl_off"))
-    local = F.row_number().over(Window.partitionBy(*ids, "_fl_part").orderBy("_fl_key")) - 1
+    local = F.row_number().over(Window.partitionBy(*ids, "_fl_part").orderBy("_fl_key", "_fl_tie")) - 1
     numbered = ranged(rows).withColumn("_fl_local", local)
     joined = numbered.join(F.broadcast(offsets), [*ids, "_fl_part"], "left")
     pos = F.coalesce(F.col("_fl_off"), F.lit(0)) + F.col("_fl_local") + F.lit(start)
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], pos.cast("long").alias(name))
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return _has_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.MapType)
