@@ -37,21 +37,24 @@ class Cuts:
         self.coarse = self.points.where("coarse").agg(F.sort_array(F.collect_list("k"))).scalar()
 
     def mark(self, rows: DataFrame, key: Column, name: str, only: Column | None = None) -> DataFrame:
-        """Add ``name``: struct of ``no`` (ascending with the key; range ``(below, above]``) and the cut points
-        ``below`` (less than the key) and ``above`` (the key or greater); NULL where there is none. Rows for
-        which ``only`` does not hold get 0 and NULLs without a search."""
+        """Add ``name``: struct of ``no`` (ascending with the key, not without gaps; range ``(below, above]``), the
+        cut points ``below`` (less than the key) and ``above`` (the key or greater), NULL where there is none, and
+        ``next``, the range after ``above``. Rows for which ``only`` does not hold get 0, 1 and NULLs without a search."""
         coarse = self.coarse if only is None else F.when(only, self.coarse)
         own = [F.col(f"`{c}`") for c in rows.columns]
         held = rows.select("*", coarse.alias("_fl_coarse"), key.alias("_fl_at"))
         outer = held.select("*", _below("_fl_at", "_fl_coarse").alias("_fl_outer")).select(
-            *own, "_fl_at", "_fl_outer", F.get("_fl_coarse", F.col("_fl_outer") - 1).alias("_fl_under"))
+            *own, "_fl_at", "_fl_outer", F.get("_fl_coarse", F.col("_fl_outer") - 1).alias("_fl_under"),
+            F.get("_fl_coarse", F.col("_fl_outer")).alias("_fl_over"))
         listed = self.points.select("k", self.coarse.alias("_fl_coarse")).groupBy(
             _below("k", "_fl_coarse").alias("_fl_outer")).agg(F.sort_array(F.collect_list("k")).alias("_fl_fine"))
         inner = outer.join(F.broadcast(listed), "_fl_outer", "left").select("*", _below("_fl_at", "_fl_fine").alias("_fl_inner"))
+        outer_no, above = F.coalesce("_fl_outer", F.lit(0)).cast("long"), F.get("_fl_fine", F.col("_fl_inner"))
+        no = F.shiftleft(outer_no, _BITS) + F.coalesce("_fl_inner", F.lit(0))
         return inner.select(*own, F.struct(
-            (F.shiftleft(F.coalesce("_fl_outer", F.lit(0)).cast("long"), _BITS) + F.coalesce("_fl_inner", F.lit(0))).alias("no"),
-            F.coalesce(F.get("_fl_fine", F.col("_fl_inner") - 1), "_fl_under").alias("below"),
-            F.get("_fl_fine", F.col("_fl_inner")).alias("above"),
+            no.alias("no"),
+            F.coalesce(F.get("_fl_fine", F.col("_fl_inner") - 1), "_fl_under").alias("below"), above.alias("above"),
+            F.when(above == F.col("_fl_over"), F.shiftleft(outer_no + 1, _BITS)).otherwise(no + 1).alias("next"),
         ).alias(name))
 
 
