@@ -11,6 +11,7 @@ from .cotraining import cotrained_quality
 from .decontam import contaminated
 from .lexical import lexical_search
 from .line_dedup import line_dedup
+from .merkle import LEAF, PARAGRAPH, SECTION, SENTENCE, neighbour_fingerprints
 from .mixing import temperature_mix
 from .page_diff import page_diff
 from .periodic import collapse_runs
@@ -103,6 +104,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(collapse_runs(planted_runs(table(spark, sf_dir, "documents"))))
 
 
+def op13_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 MIX_PASSES = 2.0
 
 QUERIES = {
@@ -118,6 +125,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_lexical_search": op11_lexical_search,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_fingerprints": op13_merkle_fingerprints,
 }
 
 _LINES = r"""
@@ -220,3 +228,39 @@ with words as (
 )
 select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
 """
+
+ORACLE_SQL["op13_merkle_fingerprints"] = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents
+), n as (
+    select doc_id, text, coalesce(lead(text) over (order by doc_id desc), first_value(text) over (order by doc_id desc)) as following from d
+), e as (
+    select doc_id, text, left(text, length(text) - length(text) // 2) || left(following, length(text) // 2) as edited from n
+), t as (select doc_id, 'own' as kind, text as body from e union all select doc_id, 'edited', edited from e
+), trees as (
+    select doc_id, kind, list_transform(regexp_extract_all(body, '{SECTION}'), lambda s: list_transform(regexp_extract_all(s, '{PARAGRAPH}'),
+        lambda p: array_to_string(list_transform(regexp_extract_all(p, '{SENTENCE}'), lambda x: sha256(x) || '-' || length(x)), ','))) as tree
+    from t
+), digests as (
+    select *, list_transform(tree, lambda s: sha256(array_to_string(list_transform(s, lambda p: sha256(p)), ''))) as sums from trees
+), prints as (
+    select doc_id, kind, sha256(array_to_string(sums, '')) || ':' || coalesce(array_to_string(list_transform(list_zip(sums, tree), lambda z: z[1][1:12] || '=' ||
+        regexp_replace(array_to_string(z[2], '/'), '([0-9a-f]{{8}})[0-9a-f]{{56}}', '\\1', 'g')), ';'), '') as print
+    from digests
+), sets as (select *, list_distinct(regexp_extract_all(print, '{LEAF}')) as leaves from prints
+), own as (
+    select doc_id, print, leaves, coalesce(lead(print) over (order by doc_id desc), first_value(print) over (order by doc_id desc)) as next_print
+    from sets where kind = 'own'
+), other as (
+    select o.doc_id, o.print, o.leaves, s.print as edited_print, s.leaves as edited_leaves, o.next_print,
+        list_distinct(regexp_extract_all(o.next_print, '{LEAF}')) as next_leaves
+    from own o join sets s on s.doc_id = o.doc_id and s.kind = 'edited'
+), near as (
+    select *, list_transform([edited_leaves, next_leaves], lambda x: coalesce(list_sum(list_transform(list_intersect(leaves, x), lambda y: split_part(y, '-', 2)::bigint)), 0)) as common,
+        list_transform([leaves, edited_leaves, next_leaves], lambda x: coalesce(list_sum(list_transform(x, lambda y: split_part(y, '-', 2)::bigint)), 0)) as sizes
+    from other
+)
+select e.doc_id, length(e.text)::bigint as n_chars, sha256(e.edited) as edited_sha256, print as fingerprint, edited_print as edited_fingerprint,
+    case when split_part(print, ':', 1) = split_part(edited_print, ':', 1) then 1.0 else 2.0 * common[1]::double / (sizes[1] + sizes[2]) end as near_edited,
+    case when split_part(print, ':', 1) = split_part(next_print, ':', 1) then 1.0 else 2.0 * common[2]::double / (sizes[1] + sizes[3]) end as near_next
+from e join near using (doc_id)
+"""

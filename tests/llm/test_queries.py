@@ -19,6 +19,8 @@ def test_columns_of_the_contract(spark, name):
     want = {
         "op2": "doc_id keep_id group_size kept text_sha256", "op3": "doc_id n_assign n_access n_hex base_sha256 spans",
         "op6": "page_id payload_bytes payload_digest record_type refers_to", "op7": "page_id url text n_chars",
+        "op12": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+        "op13": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
         "op8": "doc_id n_bytes n_removed n_spans kept_sha256", "op10": "doc_id fingerprint component_id",
     }.get(name.split("_")[0])
     if want:
