@@ -1,13 +1,16 @@
-"""Operator 1: substring dedup by line hashing.
+"""Operator 1: substring dedup by hashing the sentences of lines.
 
-Lines are normalised (white space runs to one blank, trimmed, lower case) and
-hashed; digests are grouped over all documents; of equal lines the one that
-comes first by (document id, line number) stays and the others are removed,
-with their offsets in the original text.
+A text is cut into lines and a line after its sentence ends, so that a passage spliced into a line or into an
+unbroken text shares whole units with its other copies. Units are normalised (white space runs to one blank, trimmed,
+lower case) and hashed; digests are grouped over all documents; of equal units the
+one that comes first by (document id, place) stays and the others are removed, with
+their offsets in the original text.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,89 +22,106 @@ def _norm(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, WHITE, " ")))
 
 
-def line_units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """One row per line that takes part: id, line number, digest (128 bits)."""
-    lines = docs.select(
-        F.col(id_col).alias("id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("line", "raw")
-    ).select("id", "line", _norm("raw").alias("norm"))
-    lines = lines.where(F.size(F.split("norm", " ", -1)) >= min_words).where("norm <> ''")
-    return lines.select("id", "line", F.unhex(F.md5("norm")).alias("digest"))
+# A sentence with its end marks, end marks alone, or a newline: together they are the whole text.
+UNIT = r"[^.!?。！？\n]+[.!?。！？]*|[.!?。！？]+|\n"
+MIN_CHARS = 20
+
+
+def line_units(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """One row per unit that takes part: id, number of the unit in its text, digest (128 bits)."""
+    units = docs.select(
+        F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text_or_empty(text_col), F.lit(UNIT), F.lit(0))).alias("unit", "raw")
+    ).where(F.length("raw") >= min_chars).select("id", "unit", _norm("raw").alias("norm"))
+    return units.where(F.length("norm") >= max(min_chars, 1)).select("id", "unit", F.unhex(F.md5("norm")).alias("digest"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """Lines to remove: ``id, line, first_id, first_line``.
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """Units to remove: ``id, unit, first_id, first_unit``.
 
-    ``min_words``: lines with fewer words take no part (a bare "Yes." is no copy).
+    ``min_chars``: units with fewer characters after normalising take no part (a bare "Yes." is no copy); the length of a
+    word plays no part, so scripts written without blanks are treated alike.
     A null id ranks after all others. One digest may hold a third of all
-    lines: the first place is found by partial aggregation, and only digests that repeat are
+    units: the first place is found by partial aggregation, and only digests that repeat are
     joined back from a written table, one row per digest on that side, which
     adaptive skew splitting can divide.
     """
-    units = saved(line_units(docs, id_col, text_col, min_words), "units")
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "line")
+    units = saved(line_units(docs, id_col, text_col, min_chars), "units")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "unit")
     first = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    hits = units.join(saved(first.select("digest", "first"), "first-lines"), "digest")
-    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")))
+    hits = units.join(saved(first.select("digest", "first"), "first-units"), "digest")
+    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("unit") == F.col("first.unit")))
     return hits.where(later).select(
-        "id", "line", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line")
+        "id", "unit", F.col("first.id").alias("first_id"), F.col("first.unit").alias("first_unit")
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """One row per document with its repeated lines cut out.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per document with its repeated units cut out.
 
-    Returns ``doc_id, text`` (kept lines, joined by newlines), ``n_lines``,
-    ``n_removed``, ``removed`` (array of structs ``line, start, end, first_doc,
-    first_line``; offsets are code points of the original text, end
-    exclusive, the newline not included), ``n_chars``. Null text counts as empty; it
-    is one empty line, which stays. Lines repeated inside a document count as copies as well.
-    Rows that repeat a document id are treated as the same document: a line is
+    Returns ``doc_id, text`` (what is left), ``n_units`` (newlines not counted),
+    ``n_removed``, ``removed`` (array of structs ``unit, start, end, first_doc,
+    first_unit``; offsets are code points of the original text, end
+    exclusive), ``n_chars``. A line of which nothing is left goes with its newline; lines that were empty
+    stay. Null text counts as empty, and an empty table gives no row. A very long text is cut as a whole, in time and memory
+    in proportion to its length. Units repeated inside a document count as copies as well.
+    Rows that repeat a document id are treated as the same document: a unit is
     removed from each of them alike. Columns of ``docs`` other than the two
     named are ignored, so clashing names do no harm.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words)
+    gone = repeated_lines(docs, id_col, text_col, min_chars)
     per_doc = saved(
-        gone.distinct().groupBy(F.col("id").alias("gone_id")).agg(F.sort_array(F.collect_list(F.struct("line", "first_id", "first_line"))).alias("gone")),
-        "lines",
+        gone.distinct().groupBy(F.col("id").alias("gone_id")).agg(F.sort_array(F.collect_list(F.struct("unit", "first_id", "first_unit"))).alias("gone")),
+        "gone-units",
     )
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     # texts are joined by one plan at every size: the removals grow with the corpus
     joined = base.join(per_doc.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "text", "gone")
     id_type = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_cut_lines, _SCHEMA.format(id=id_type))
+    return joined.mapInArrow(_cut_units, _SCHEMA.format(id=id_type))
 
 
 _SCHEMA = (
-    "doc_id {id}, text string, n_lines long, n_removed long, removed array<struct<line: long, start: long,"
-    " end: long, first_doc: {id}, first_line: long>>, n_chars long"
+    "doc_id {id}, text string, n_units long, n_removed long, removed array<struct<unit: long, start: long,"
+    " end: long, first_doc: {id}, first_unit: long>>, n_chars long"
 )
 
 
-def _cut_lines(batches):
+def _cut(text: str, gone: dict) -> tuple[str, int, list[dict]]:
+    """What is left of a text, the number of its units, and the spans removed."""
+    removed, lines, line, start, count, touched = [], [], [], 0, 0, False
+    for i, unit in enumerate(re.findall(UNIT, text)):
+        end = start + len(unit)
+        if unit == "\n":
+            if line or not touched:
+                lines.append("".join(line))
+            line, touched = [], False
+        else:
+            count += 1
+            if i in gone:
+                touched = True
+                removed.append({"unit": i, "start": start, "end": end, "first_doc": gone[i]["first_id"], "first_unit": gone[i]["first_unit"]})
+            else:
+                line.append(unit)
+        start = end
+    if line or not touched:
+        lines.append("".join(line))
+    return "\n".join(lines), count, removed
+
+
+def _cut_units(batches):
     for batch in batches:
         rows = []
         for doc, text, gone in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "gone")), strict=True):
-            lines, drop = text.split("\n"), {g["line"]: g for g in gone or ()}
-            removed, kept, start = [], [], 0
-            for i, line in enumerate(lines):
-                if i in drop:
-                    removed.append({
-                        "line": i, "start": start, "end": start + len(line),
-                        "first_doc": drop[i]["first_id"], "first_line": drop[i]["first_line"],
-                    })
-                else:
-                    kept.append(line)
-                start += len(line) + 1
-            left = "\n".join(kept)
-            rows.append((doc, left, len(lines), len(removed), removed, len(left)))
+            left, count, removed = _cut(text, {g["unit"]: g for g in gone or ()})
+            rows.append((doc, left, count, len(removed), removed, len(left)))
         id_type = batch.schema.field("id").type
         types = [
             id_type, pa.string(), pa.int64(), pa.int64(),
             pa.list_(pa.struct([
-                ("line", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
-                ("first_doc", id_type), ("first_line", pa.int64()),
+                ("unit", pa.int64()), ("start", pa.int64()), ("end", pa.int64()),
+                ("first_doc", id_type), ("first_unit", pa.int64()),
             ])), pa.int64(),
         ]
-        names = ["doc_id", "text", "n_lines", "n_removed", "removed", "n_chars"]
+        names = ["doc_id", "text", "n_units", "n_removed", "removed", "n_chars"]
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)

@@ -10,7 +10,7 @@ from .common import table, text_or_empty
 from .cotraining import cotrained_quality
 from .decontam import contaminated
 from .lexical import lexical_search
-from .line_dedup import line_dedup
+from .line_dedup import MIN_CHARS, UNIT, line_dedup
 from .merkle import LEAF, PARAGRAPH, SECTION, SENTENCE, neighbour_fingerprints
 from .mixing import temperature_mix
 from .page_diff import page_diff
@@ -22,8 +22,8 @@ from .warc import warc_round_trip
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``removed`` as text: line:start:end:first_doc:first_line, comma-joined."""
-    spans = F.transform("removed", lambda g: F.concat_ws(":", g["line"], g["start"], g["end"], g["first_doc"], g["first_line"]))
+    """``removed`` as text: unit:start:end:first_doc:first_unit, comma-joined."""
+    spans = F.transform("removed", lambda g: F.concat_ws(":", g["unit"], g["start"], g["end"], g["first_doc"], g["first_unit"]))
     return line_dedup(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join(spans, ","))
 
 
@@ -128,31 +128,37 @@ QUERIES = {
     "op13_merkle_fingerprints": op13_merkle_fingerprints,
 }
 
-_LINES = r"""
-with lines as (
-    select doc_id, generate_subscripts(parts, 1) - 1 as line, unnest(parts) as raw
-    from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)
+_UNITS = rf"""
+with units as (
+    select doc_id, generate_subscripts(parts, 1) - 1 as unit, unnest(parts) as raw
+    from (select doc_id, regexp_extract_all(coalesce(text, ''), '{UNIT}') as parts from documents)
 ), normed as (
     select *, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) as norm,
-        coalesce(sum(length(raw) + 1) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0) as start
-    from lines
-), part as (
-    select *, norm <> '' and len(string_split(norm, ' ')) >= 5 as takes_part from normed
+        coalesce(sum(length(raw)) over before, 0) as start, coalesce(sum((raw = chr(10))::int) over before, 0) as line
+    from units window before as (partition by doc_id order by unit rows between unbounded preceding and 1 preceding)
+), part as (select *, length(norm) >= {MIN_CHARS} as takes_part from normed
 ), ranked as (
-    select *, first_value(doc_id) over w as first_doc, first_value(line) over w as first_line,
+    select *, first_value(doc_id) over w as first_doc, first_value(unit) over w as first_unit,
         takes_part and row_number() over w > 1 as gone
-    from part window w as (partition by norm, takes_part order by doc_id, line)
+    from part window w as (partition by norm, takes_part order by doc_id, unit)
+), lines as (
+    select doc_id, line, string_agg(raw, '' order by unit) filter (not gone and raw <> chr(10)) as left_over, bool_or(gone) as touched,
+        count(*) filter (raw <> chr(10)) as n, count(*) filter (gone) as n_gone,
+        string_agg(unit || ':' || start || ':' || (start + length(raw)) || ':' || first_doc || ':' || first_unit, ',' order by unit) filter (gone) as spans
+    from ranked group by doc_id, line
+), ends as (select doc_id, 1 + max(line) as line from ranked group by doc_id having max_by(raw, unit) = chr(10)
+), texts as (
+    select doc_id, coalesce(string_agg(coalesce(left_over, ''), chr(10) order by line) filter (left_over is not null or not touched), '') as text,
+        sum(n) as n, sum(n_gone) as n_gone, string_agg(spans, ',' order by line) as spans
+    from (select * from lines union all select doc_id, line, null, false, 0, 0, null from ends) group by doc_id
 )
 """
 
 ORACLE_SQL = {
-    "op1_line_dedup": _LINES + r"""
-select doc_id, coalesce(string_agg(raw, chr(10) order by line) filter (not gone), '') as text, count(*) as n_lines,
-    count(*) filter (gone) as n_removed,
-    coalesce(string_agg(line || ':' || start || ':' || (start + length(raw)) || ':' || first_doc || ':' || first_line, ',' order by line)
-        filter (gone), '') as removed,
-    length(coalesce(string_agg(raw, chr(10) order by line) filter (not gone), ''))::bigint as n_chars
-from ranked group by doc_id
+    "op1_line_dedup": _UNITS + """
+select doc_id, coalesce(t.text, '') as text, coalesce(n, 0)::bigint as n_units, coalesce(n_gone, 0)::bigint as n_removed,
+    coalesce(spans, '') as removed, coalesce(length(t.text), 0)::bigint as n_chars
+from documents left join texts t using (doc_id)
 """,
     "op2_chunk_recipes": r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
