@@ -83,30 +83,52 @@ def candidates(index: DataFrame, grams: list[str], queries: dict[str, list]) ->
     return found.select(F.col("id").alias("may_id"), *flags)
 
 
+# Matches per step of the running sums: appending to an array copies it, so arrays are kept this short.
+_STEP = 256
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(lengths: Column) -> Column:
+    """Sums of the entries before each entry of an array of numbers shorter than some ten thousand."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(
+        lengths, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of ``start, order, end, kind`` (code points) of a rule's matches in a text.
 
     The pieces between the matches and the matches themselves make up the text, so the
-    offsets are running sums of their lengths.
+    offsets are running sums of their lengths. They are summed in steps of some hundred matches, then within
+    each step, so the time grows in proportion to the matches.
     """
-    pattern = F.lit(rule.pattern)
+    pattern, long = F.lit(rule.pattern), lambda c: F.length(c).cast("long")
     whole, part = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
-    zipped = F.arrays_zip(
-        F.transform(between, lambda p: F.length(p).cast("long")).alias("gap"),
-        F.transform(whole, lambda m: F.length(m).cast("long")).alias("len"),
-        (F.transform(part, lambda m: F.length(m).cast("long")) if rule.min_chars else F.transform(whole, lambda m: F.length(m).cast("long"))).alias("part"),
-    )
+    zipped = F.filter(F.arrays_zip(
+        F.transform(F.split(text, rule.pattern, -1), long).alias("gap"), F.transform(whole, long).alias("len"),
+        F.transform(part if rule.min_chars else whole, long).alias("part"),
+    ), lambda x: x["len"].isNotNull())
+
+    def steps(found):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _STEP).cast("int")), lambda i: F.slice(found, i * _STEP + 1, F.lit(_STEP)))
+
+    def within(step, at):
+        starts = _running(F.transform(step, lambda x: x["gap"] + x["len"]))
+        hits = F.transform(F.arrays_zip(step.alias("x"), starts.alias("before")), lambda z: F.struct(
+            (at + z["before"] + z["x"]["gap"]).alias("start"), F.lit(order).alias("order"),
+            (at + z["before"] + z["x"]["gap"] + z["x"]["len"]).alias("end"), F.lit(rule.kind).alias("kind"), z["x"]["part"].alias("part")))
+        return F.transform(F.filter(hits, lambda h: h["part"] >= rule.min_chars), lambda h: h.dropFields("part"))
 
-    def step(state, x):
-        start = state["at"] + x["gap"]
-        hit = F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["len"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        out = F.when(x["part"] >= rule.min_chars, F.array_append(state["out"], hit)).otherwise(state["out"])
-        return F.struct((start + F.coalesce(x["len"], F.lit(0).cast("long"))).alias("at"), out.alias("out"))
+    def placed(parts):
+        at = _running(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + x["len"])))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("step"), at.alias("at")), lambda z: within(z["step"], z["at"])))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    return F.when(F.regexp_like(text, pattern), F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(none)
+    return F.when(F.regexp_like(text, pattern), _let(_let(zipped, steps), placed)).otherwise(none)
 
 
 def secret_scan(
@@ -120,7 +142,8 @@ def secret_scan(
     that text for the base rules alone. Null text counts as empty. Rows that
     repeat a document id are each searched on their own text (the index may let through
     one for the other's sake, which changes no result); null ids are one
-    posting.
+    posting. An empty table gives no row, a very long text takes time in proportion to its length and matches, and
+    other columns of ``docs`` are ignored, whatever their names.
     """
     rules = (*base, *more)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
