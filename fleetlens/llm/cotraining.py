@@ -64,18 +64,19 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(x, pa.list_(pa.float64()))], [*names, "x"])
 
 
-def features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: list[str], label_col: str, label_id_col: str) -> DataFrame:
-    """``id, meta`` (bucket numbers), ``x``, ``y`` (0, 1, null) and ``held`` (calibration row) per document."""
+def features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: list[str], label_col: str, label_id_col: str, row_col: str | None = None) -> DataFrame:
+    """``id, row, meta`` (bucket numbers), ``x``, ``y`` (0, 1, null) and ``held`` (calibration row) per document."""
     size = F.floor(F.log2(F.octet_length(text_or_empty(text_col)) + 1)).cast("string")
     values = [*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in meta_cols), size]
     buckets = [F.lit(i * BUCKETS) + F.pmod(F.xxhash64(v), F.lit(BUCKETS)) for i, v in enumerate(values)]
-    rows = docs.select(F.col(id_col).alias("id"), F.array(*buckets).alias("meta"), text_or_empty(text_col).alias("text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, meta array<long>, x array<double>"
+    row = F.col(row_col) if row_col else F.lit(0)
+    rows = docs.select(F.col(id_col).alias("id"), row.cast("long").alias("row"), F.array(*buckets).alias("meta"), text_or_empty(text_col).alias("text"))
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, row long, meta array<long>, x array<double>"
     votes = labels.groupBy(F.col(label_id_col).alias("label_id")).agg(F.avg(label_col).alias("vote"))
     y = F.when(F.col("vote") > 0.5, 1).when(F.col("vote") < 0.5, 0)
     votes = votes.where("label_id is not null").select("label_id", y.alias("y"))
     joined = rows.mapInArrow(_features, schema).join(votes, F.col("id") == F.col("label_id"), "left")
-    return joined.select("id", "meta", "x", "y", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("held"))
+    return joined.select("id", "row", "meta", "x", "y", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("held"))
 
 
 @dataclass
@@ -194,13 +195,14 @@ def _calibrate(rows: DataFrame, views: Views) -> Views:
 def cotrained_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meta_cols: tuple[str, ...] = ("lang", "source"), label_col: str = "quality", label_id_col: str = "doc_id",
-    rounds: int = 3, sure: float = 0.99, keep_from: float = 0.5,
+    rounds: int = 3, sure: float = 0.99, keep_from: float = 0.5, row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id, p_text, p_meta, quality, keep``.
 
     ``p_text`` and ``p_meta`` are the calibrated probabilities of the good class,
     ``quality`` the combined one (log odds added, the prior counted once), ``keep``
-    is ``quality >= keep_from``. ``sure``: calibrated probability from which a
+    is ``quality >= keep_from``. ``row_col`` names a whole number per row that is returned as well, to tell rows
+    that repeat an id apart (each is scored on its own text). ``sure``: calibrated probability from which a
     view labels a document for the other. Every fifth labelled document, by
     hash of its id, is held out for calibration.
 
@@ -209,7 +211,7 @@ def cotrained_quality(
     be learned: every probability is 0.5 and every document stays.
     """
     width = len(meta_cols) + 1
-    rows = saved(features(docs, labels, id_col, text_col, list(meta_cols), label_col, label_id_col), "cotrain")
+    rows = saved(features(docs, labels, id_col, text_col, list(meta_cols), label_col, label_id_col, row_col), "cotrain")
     views, least = Views(), float(np.log(sure / (1 - sure)))
     for _ in range(rounds):
         fitted = _fit(rows, width, views, least)
@@ -225,8 +227,10 @@ def cotrained_quality(
             both = np.array([z[0], z[1], z[0] + z[1] - (prior if views.text is not None else 0.0)])
             p = 1 / (1 + np.exp(-np.clip(both, -500, 500)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *map(pa.array, p), pa.array(p[2] >= keep_from)], ["doc_id", "p_text", "p_meta", "quality", "keep"]
+                [batch.column("id"), *map(pa.array, p), pa.array(p[2] >= keep_from), batch.column("row")],
+                ["doc_id", "p_text", "p_meta", "quality", "keep", "row"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc_id {kind}, p_text double, p_meta double, quality double, keep boolean")
+    scored = rows.mapInArrow(score, f"doc_id {kind}, p_text double, p_meta double, quality double, keep boolean, row long")
+    return scored.withColumnRenamed("row", row_col) if row_col else scored.drop("row")
