@@ -49,7 +49,7 @@ def test_stages_keep_columns_and_awkward_rows(spark, tmp_path):
         ("benchmark", [(1, words(20, 900)), (2, None)], "item_id long, text string"),
     ):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    data = [r for r in awkward() if r[0] is not None] + [(300, "%% $$ ## " * 40), (301, "&& ** !! " * 40), (302, words(20, 900))]
+    data = awkward() + [(300, "%% $$ ## " * 40), (301, "&& ** !! " * 40), (302, words(20, 900))]
     for source in (docs(spark, data), spark.createDataFrame([], DOCS)):
         frame = source
         for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -60,6 +60,19 @@ def test_stages_keep_columns_and_awkward_rows(spark, tmp_path):
         assert 302 not in {r.doc_id for r in out.collect()}
 
 
+def test_rows_with_one_id_are_told_apart(spark, tmp_path):
+    """Repeated and null ids, and rows equal in every column: one row of each text stays, and no text is lost."""
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    item = words(20, 900)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c, d = (words(50, 40 + s) for s in range(4))
+    data = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (6, d), (6, d), (6, f"{b} {item} {c}"), (None, f"{c} {item}"), (7, d)]
+    frame = docs(spark, data)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in frame.collect()), key=str) == sorted([(1, a), (5, b), (None, c), (6, d)], key=str)
+
+
 def test_stage_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "exact dedup", "SimHash near-dedup", "benchmark decontamination", "mixing sources to target weights"]
