@@ -3,11 +3,17 @@
 ``run(spark, sf_dir)`` applies the stages in order. Each stage's rows are
 written to the shared folder and read again, so a lost executor never
 repeats an earlier stage.
+
+A document is a row, whatever its id: each of the first four stages writes its input with a row number and removes rows by that
+number, so two texts under one id, null ids and rows equal in every column are told apart. Where the smallest id of
+a group stays, null ids come last and rows of one id in the order of their numbers. All stages take null and empty
+texts (as empty), texts of any length, empty tables and further columns of any name, which they pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.llm.chunk_recipes import exact_dedup
 from fleetlens.llm.common import saved, table
@@ -19,25 +25,31 @@ from fleetlens.llm.simhash import simhash_dedup
 MAX_PASSES = 2.0
 
 
+ROW, RANK = "_pipeline_row", "_pipeline_rank"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
-    verdict = cotrained_quality(docs, table(spark, sf_dir, "labels")).where("not keep").select("doc_id")
-    return _without(docs, verdict)
+    """Documents that the co-trained classifier keeps; without labels of both classes, all. A label counts for every row of its id."""
+    rows = _numbered(docs)
+    return _without(rows, cotrained_quality(rows, table(spark, sf_dir, "labels"), row_col=ROW).where("not keep"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _without(docs, exact_dedup(docs).where("not kept").select("doc_id"))
+    """One document of each group of equal texts; empty and null texts are one group."""
+    rows = _numbered(docs)
+    return _without(rows, exact_dedup(_ranked(rows), id_col=RANK).where("not kept").select(f"doc_id.{ROW}"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id."""
-    return _without(docs, simhash_dedup(docs).where("doc_id <> component_id").select("doc_id"))
+    """One document of each SimHash component: the one with the smallest id; texts without words have fingerprint zero."""
+    rows = _numbered(docs)
+    return _without(rows, simhash_dedup(_ranked(rows), id_col=RANK).where("doc_id <> component_id").select(f"doc_id.{ROW}"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    """Documents that hold no benchmark item; an empty benchmark removes none."""
+    rows = _numbered(docs)
+    return _without(rows, contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +69,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the ids of ``gone``. The ids are written first, so the operator runs once; they
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as a written table with a number per row."""
+    return saved(docs.select("*", F.monotonically_increasing_id().alias(ROW)), "rows")
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """An id per row whose order is that of the document ids, null last."""
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW).alias(RANK)
+    return rows.select(rank, "text")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` less the numbers in ``gone``. These are written first, so the operator runs once; they
     grow with the corpus, so the join has one plan at every size."""
-    return docs.join(saved(gone, "gone").hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return rows.join(saved(gone.select(ROW), "gone").hint("merge"), ROW, "left_anti").drop(ROW)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
