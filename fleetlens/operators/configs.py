@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,15 +39,26 @@ def resolve_current(desired: DataFrame, versions: DataFrame, on: str | Sequence[
     version with that tag. This is a pointer lookup, not "latest": later
     versions are ignored unless pointed at. No match gives ``default``.
 
-    Versions are reduced to one row per (cluster, tag) first (partial
-    aggregate), so the join sees at most one match per pointer however many
-    versions a hot cluster lists.
+    Versions are reduced to the first ``ord`` per (cluster, tag) (partial, hash aggregate), so the join sees at most
+    one match per pointer however many versions a hot cluster lists. A value of
+    fixed width rides along as ``min_by``. Text, bags and other wide values stay out of the aggregate: only the versions that
+    a pointer wants are fetched, by (cluster, tag, ord), so a bag is moved once and unwanted bags drop out
+    of the first join. Of several versions with one ``ord`` any one is taken.
     """
     on = cols(on)
     von = cols(version_on) if version_on is not None else on
-    firsts = versions.groupBy(*[F.col(v).alias(f"_fl_k{i}") for i, v in enumerate(von)],
-                              F.col(version_tag).alias("_fl_tag")).agg(
-        first_by(value, ord).alias("_fl_v"), F.lit(True).alias("_fl_hit"))
+    keys = [f"_fl_k{i}" for i in range(len(on))] + ["_fl_tag"]
+    listed = versions.select(*[F.col(v).alias(k) for k, v in zip(keys, von)], F.col(version_tag).alias("_fl_tag"),
+                             as_col(ord).alias("_fl_ord"), as_col(value).alias("_fl_v"))
+    if isinstance(listed.schema["_fl_v"].dataType, _FIXED_WIDTH):
+        firsts = listed.groupBy(*keys).agg(first_by("_fl_v", "_fl_ord").alias("_fl_v"))
+    else:
+        wanted = desired.select(*[F.col(c).alias(k) for k, c in zip(keys, on)], F.col(desired_tag).alias("_fl_tag")).distinct()
+        pointed = listed.groupBy(*keys).agg(F.min("_fl_ord").alias("_fl_ord")).join(wanted, keys, "left_semi")
+        fetched = listed.join(pointed, [*keys, "_fl_ord"], "left_semi")
+        tied = Window.partitionBy(*keys).orderBy("_fl_ord")
+        firsts = fetched.withColumn("_fl_n", F.row_number().over(tied)).filter("_fl_n = 1").select(*keys, "_fl_v")
+    firsts = firsts.withColumn("_fl_hit", F.lit(True))
     cond = desired[desired_tag] == F.col("_fl_tag")
     for i, c in enumerate(on):
         cond = cond & (desired[c] == F.col(f"_fl_k{i}"))
@@ -59,6 +70,10 @@ def resolve_current(desired: DataFrame, versions: DataFrame, on: str | Sequence[
     return j.select(*out)
 
 
+# Types that a hash aggregate can hold in its buffer.
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def overlay(base: DataFrame, updates: DataFrame, on: str | Sequence[str],
             key: str = "key", value: str = "value",
             source: str | None = None) -> DataFrame:

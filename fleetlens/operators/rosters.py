@@ -20,19 +20,19 @@ from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, literal_type, within_
 def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequence[str],
                        host: str, ord: str | Column, item: str,
                        items_host: str | None = None, items_cluster: bool = False,
-                       distinct_items: bool = True, hosts_per_salt: int = 1000) -> DataFrame:
+                       distinct_items: bool = True, hosts_per_salt: int = 1000,
+                       items_per_salt: int = 100_000) -> DataFrame:
     """W12. Per cluster, the first host by ``ord`` is the template; its items
     are planned for every later host. Returns (cluster..., host, item).
     A cluster with a single host yields no rows. Pass only the hosts that
     take part (e.g. secondaries); the caller filters roles.
 
-    The output is hosts x template items per cluster by design; the join is
-    on the cluster and a salt. A cluster's targets are dealt to one salt per
-    ``hosts_per_salt`` of them by host hash and its template items are copied once
-    per salt, which is 1 / ``hosts_per_salt`` of the rows the join makes. So a
-    task's share is bounded by ``hosts_per_salt`` times one template, however many hosts a
-    cluster or items a template has. The cluster sizes come from the same aggregate that picks the
-    template. Items meet their host's template row with hot hosts kept in place.
+    The output is hosts x template items per cluster by design. It is a grid: a cluster's targets are dealt to one
+    row of cells per ``hosts_per_salt`` of them by host hash, its template items to one column of cells per
+    ``items_per_salt`` by item hash. Items are copied once per row of cells and targets once per column, small
+    parts of the output, and a task's share is bounded by one cell however many hosts a
+    cluster or items a template has. Both counts come from aggregates that are needed anyway or see one row per
+    item. Items meet their host's template row with hot hosts kept in place.
     """
     cl = cols(cluster)
     ih = items_host or host
@@ -48,9 +48,13 @@ def replicate_template(hosts: DataFrame, items: DataFrame, cluster: str | Sequen
         *[F.col(n).alias(c) for c, n in names.items()], item, "_fl_k")
     if distinct_items:
         titems = titems.distinct()
-    salted_items = titems.select(*cl, item, F.explode(
-        F.sequence(F.lit(0).cast("long"), F.col("_fl_k") - 1)).alias("_fl_s"))
-    return targets.join(salted_items, cl + ["_fl_s"], "inner").select(*cl, host, item)
+    columns = F.ceil(F.col("_fl_items") / F.lit(items_per_salt))
+    sizes = titems.groupBy(*cl).agg(F.count(F.lit(1)).alias("_fl_items")).select(*cl, columns.alias("_fl_m"))
+    cells = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    titems = join_one_per_key(titems, sizes, cl, "inner").select(
+        *cl, item, cells(F.col("_fl_k")).alias("_fl_s"), F.pmod(F.xxhash64(item), F.col("_fl_m")).alias("_fl_c"))
+    targets = join_one_per_key(targets, sizes, cl, "inner").select(*cl, host, "_fl_s", cells(F.col("_fl_m")).alias("_fl_c"))
+    return targets.join(titems, cl + ["_fl_s", "_fl_c"], "inner").select(*cl, host, item)
 
 
 def assign_ids(df: DataFrame, cluster: str | Sequence[str], ord: str | Sequence[str],

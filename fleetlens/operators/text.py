@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import as_col
+from fleetlens.functions.columns import as_col, cols
+from fleetlens.plans.skew import join_table
 
 
 def rewrite_text(df: DataFrame, text: str,
@@ -31,6 +32,28 @@ def rewrite_expr(text: Column, rules: Sequence[tuple[str, str | Column]]) -> Col
     return out
 
 
+def rewrite_by_rules(df: DataFrame, text: str, rules: DataFrame, on: str | Sequence[str], ord: str = "ord",
+                     pattern: str = "pattern", replacement: str = "replacement", name: str | None = None) -> DataFrame:
+    """W16 with the rules as a table: each row's text goes through the rules of its key ``on``, by ascending
+    ``ord``, each seeing the output of the one before (equal ``ord``: by pattern). Patterns and replacements are
+    as in :func:`rewrite_text`; values from data are quoted with :func:`literal_replacement`. A rule with a NULL
+    pattern or replacement leaves the text as it is, and so does a key without rules.
+
+    The rules become one row per key, broadcast after their size is checked; beyond that texts meet the row with hot
+    keys kept in place. So no text is copied per rule, and a key that holds a third of the texts is not shuffled to one task.
+    """
+    on = cols(on)
+    rule = F.struct(F.col(ord).alias("o"), F.col(pattern).alias("p"), F.col(replacement).alias("r"))
+    per_key = rules.filter(F.col(pattern).isNotNull() & F.col(replacement).isNotNull()).groupBy(*on).agg(
+        F.sort_array(F.collect_list(rule)).alias("_fl_rules"))
+    j = join_table(df, per_key, on)
+    folded = F.aggregate("_fl_rules", F.col(text), lambda t, r: F.regexp_replace(t, r["p"], r["r"]))
+    new = F.when(F.col("_fl_rules").isNull(), F.col(text)).otherwise(folded)
+    target = name or text
+    return j.select(*[F.col(f"`{c}`") for c in df.columns if c != target], new.alias(target)).select(
+        *[F.col(f"`{c}`") for c in df.columns], *([] if target in df.columns else [F.col(target)]))
+
+
 def literal_replacement(value: Column) -> Column:
     """Escape ``\\`` and ``$`` in a column so it is inserted verbatim as a
     regex replacement (host names, realms and lifetimes come from data)."""

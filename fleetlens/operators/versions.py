@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols
-from fleetlens.plans.skew import join_one_per_key
+from fleetlens.plans.ranges import Cuts
+from fleetlens.plans.skew import join_one_per_key, join_table
 from fleetlens.plans.sizing import DEFAULT_LITERAL_ROWS, literal_type
 
 
@@ -56,32 +57,35 @@ def bracket_lookup(df: DataFrame, value: str | Column,
     return df.withColumn(name, res)
 
 
-PIVOTS = 256
+# Distinct values and bounds per range; a range is one task's sort.
+VALUES_PER_RANGE = 100_000
 
 
-def _bracket_table(df, v, lad, default, name):
+def _bracket_table(df, v, lad, default, name, per_range=None):
     """Exact ceiling lookup against a ladder of any size, without a driver step.
 
-    Only distinct values are looked up. They and the bounds are dealt to
-    ranges by about ``PIVOTS`` of the bounds (picked by a hash, as a scalar
-    subquery): range ``j`` is (pivot[j-1], pivot[j]], so the bound a value wants, if there
-    is one, is in its own range. There bounds and values are sorted together and
-    every value takes the label of the next bound. The labels go back to the rows
-    with hot values kept in place.
+    Only distinct values are looked up. They and the bounds together are dealt to ranges cut at their own
+    quantiles (:mod:`fleetlens.plans.ranges`), so no task sorts more than a few ranges' share even when all values
+    lie above the last bound. In a range every value takes the label of the next bound; where none follows, that of
+    the first bound of a later range, from one row per range. The labels go back to the rows with hot values kept in place.
     """
     lad = lad.filter(F.col("_fl_b").isNotNull()).groupBy("_fl_b").agg(F.min("_fl_l").alias("_fl_l"))
-    n = lad.agg(F.count(F.lit(1))).scalar()
-    every = F.greatest(F.lit(1).cast("long"), F.floor(n / PIVOTS))
-    pivots = lad.select("_fl_b").filter(
-        F.pmod(F.xxhash64("_fl_b"), every) == 0).agg(F.sort_array(F.collect_list("_fl_b"))).scalar()
     rows = df.select(*[F.col(f"`{c}`") for c in df.columns], v.alias("_fl_v"))
+    hit = F.struct(F.col("_fl_l").alias("l"))
     both = rows.filter(F.col("_fl_v").isNotNull()).select(F.col("_fl_v").alias("_fl_b")).distinct().select(
         "_fl_b", F.lit(None).alias("_fl_hit"), F.lit(False).alias("_fl_is")).unionByName(
-        lad.select("_fl_b", F.struct(F.col("_fl_l").alias("l")).alias("_fl_hit"), F.lit(True).alias("_fl_is")))
-    both = both.withColumn("_fl_pivots", pivots).withColumn(
-        "_fl_j", F.size(F.filter(F.col("_fl_pivots"), lambda p: p < F.col("_fl_b")))).drop("_fl_pivots")
+        lad.select("_fl_b", hit.alias("_fl_hit"), F.lit(True).alias("_fl_is")))
+    cuts = Cuts(both, F.col("_fl_b"), per_range or VALUES_PER_RANGE)
+    # A cut point is a value or a bound, so a value and an equal bound share a range: (below, above].
+    both = cuts.mark(both, F.col("_fl_b"), "_fl_r").withColumn("_fl_j", F.col("_fl_r.no")).drop("_fl_r")
+    bounds = cuts.mark(lad, F.col("_fl_b"), "_fl_r")
+    firsts = bounds.groupBy(F.col("_fl_r.no").alias("no")).agg(F.min_by(hit, "_fl_b").alias("hit"))
+    later = firsts.agg(F.sort_array(F.collect_list(F.struct("no", "hit")))).scalar()
     onward = Window.partitionBy("_fl_j").orderBy("_fl_b", "_fl_is").rowsBetween(0, Window.unboundedFollowing)
     found = both.withColumn("_fl_hit", F.first("_fl_hit", ignorenulls=True).over(onward)).filter("not _fl_is")
+    after = found.filter("_fl_hit is null").select("_fl_j").distinct().select("_fl_j", later.alias("_fl_later")).select(
+        "_fl_j", F.get(F.filter("_fl_later", lambda x: x["no"] > F.col("_fl_j")), 0)["hit"].alias("_fl_after"))
+    found = found.join(F.broadcast(after), "_fl_j", "left").withColumn("_fl_hit", F.coalesce("_fl_hit", "_fl_after"))
     j = join_one_per_key(rows, found.select(F.col("_fl_b").alias("_fl_v"), "_fl_hit"), "_fl_v", "left")
     res = F.when(F.col("_fl_v").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("_fl_hit.l"), F.lit(default)))
     return j.select(*[F.col(f"`{c}`") for c in df.columns], res.alias(name))
@@ -115,3 +119,21 @@ def expand_bundles(groups: DataFrame, key: str | Sequence[str], base: str | Colu
                                         & F.coalesce(x == F.lit(drop), F.lit(False))))
     return groups.select(*key, F.posexplode(arr).alias(pos, item)).withColumn(
         pos, F.col(pos).cast("long"))
+
+
+def expand_bundle_table(groups: DataFrame, key: str | Sequence[str], base: str | Column, bundle: str, bundles: DataFrame,
+                        ord: str = "ord", item: str = "item", drop: str | None = None, drop_when: Column | None = None,
+                        pos: str = "pos", component: str = "component") -> DataFrame:
+    """W11 with the bundles as a table (``bundle, ord, item``): per group the base list, then the items of its
+    bundle by ``ord``, minus ``drop`` where ``drop_when`` holds, one row per remaining item with its 0-based
+    position. A group whose bundle is NULL or not in the table gets the base list alone.
+
+    The table becomes one row per bundle, broadcast after its size is checked; beyond that groups meet it with hot
+    bundles kept in place: most of a fleet may run one release."""
+    per_bundle = bundles.groupBy(F.col(bundle)).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col(ord).alias("o"), F.col(item).alias("i")))), lambda x: x["i"]).alias("_fl_extra"))
+    own = groups.select(*[F.col(f"`{c}`") for c in groups.columns], as_col(base).alias("_fl_base"))
+    j = join_table(own, per_bundle, bundle)
+    kind = bundles.schema[item].dataType.simpleString()
+    extra = F.coalesce("_fl_extra", F.array().cast(f"array<{kind}>"))
+    return expand_bundles(j, key, "_fl_base", extra, drop=drop, drop_when=drop_when, pos=pos, item=component)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import operators as op
 from fleetlens.functions import version_key, version_prefix
+from fleetlens.plans import catalog_configs
 from fleetlens.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -674,3 +675,5 @@ SELECT c.o_custkey, coalesce(a.n, 0) AS n_hosts, coalesce(a.h, 0) AS n_healthy,
        coalesce(a.n, 0) > 0 AND coalesce(a.h, 0) = coalesce(a.n, 0) AS ready
 FROM (SELECT DISTINCT c_custkey AS o_custkey FROM customer) c
 LEFT JOIN a ON a.o_custkey = c.o_custkey"""
+QUERIES |= catalog_configs.QUERIES
+ORACLE_SQL |= catalog_configs.ORACLE_SQL

@@ -31,10 +31,12 @@ class Cuts:
         every = F.greatest(F.lit(max(rows_per_range, 1)).cast("long"), F.ceil(total / F.lit(ranges)))
         hashed = keys.where(total > F.lit(rows_per_range)).select("k", F.xxhash64("k").alias("h"))
         point = F.col("k") if whole else _short(F.col("k"), keys.schema["k"].dataType)
-        self.points = hashed.where(F.pmod("h", every) == 0).select(
-            point.alias("k"), (F.pmod("h", every * _GROUP) == 0).alias("coarse")
-        ).groupBy("k").agg(F.bool_or("coarse").alias("coarse"))
-        self.coarse = self.points.where("coarse").agg(F.sort_array(F.collect_list("k"))).scalar()
+        picked = hashed.where(F.pmod("h", every) == 0).select(point.alias("k"), (F.pmod("h", every * _GROUP) == 0).alias("coarse"))
+        # All points come back once, as one row; what is derived from that row costs no scan.
+        points = picked.agg(F.sort_array(F.collect_set(F.struct("k", "coarse")))).scalar()
+        self.points = rows.sparkSession.range(1).select(points.alias("s"))
+        self.coarse = self.points.select(F.array_distinct(
+            F.transform(F.filter("s", lambda p: p["coarse"]), lambda p: p["k"]))).scalar()
 
     def mark(self, rows: DataFrame, key: Column, name: str, only: Column | None = None) -> DataFrame:
         """Add ``name``: struct of ``no`` (ascending with the key, not without gaps; range ``(below, above]``), the
@@ -46,7 +48,8 @@ class Cuts:
         outer = held.select("*", _below("_fl_at", "_fl_coarse").alias("_fl_outer")).select(
             *own, "_fl_at", "_fl_outer", F.get("_fl_coarse", F.col("_fl_outer") - 1).alias("_fl_under"),
             F.get("_fl_coarse", F.col("_fl_outer")).alias("_fl_over"))
-        listed = self.points.select("k", self.coarse.alias("_fl_coarse")).groupBy(
+        every = F.array_distinct(F.transform("s", lambda p: p["k"]))
+        listed = self.points.select(self.coarse.alias("_fl_coarse"), F.explode(every).alias("k")).groupBy(
             _below("k", "_fl_coarse").alias("_fl_outer")).agg(F.sort_array(F.collect_list("k")).alias("_fl_fine"))
         inner = outer.join(F.broadcast(listed), "_fl_outer", "left").select("*", _below("_fl_at", "_fl_fine").alias("_fl_inner"))
         outer_no, above = F.coalesce("_fl_outer", F.lit(0)).cast("long"), F.get("_fl_fine", F.col("_fl_inner"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.columns import cols
+from fleetlens.plans.sizing import DEFAULT_BROADCAST_ROWS, within_rows
 
 # Keys below this number of rows are left to a plain join.
 ROWS_PER_TASK = 1_000_000
@@ -34,6 +35,14 @@ def hot_keys(sizes: DataFrame, on: Sequence[str], n: str, rows_per_task: int = R
     return sizes.dropna(subset=list(on)).filter(F.col(n) > least).select(*on)
 
 
+def join_table(big: DataFrame, table: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+    """``join_one_per_key`` for a parameter table: broadcast when its measured rows and bytes are small."""
+    on = cols(on)
+    if within_rows(table, DEFAULT_BROADCAST_ROWS):
+        return big.join(F.broadcast(table), on, how)
+    return join_one_per_key(big, table, on, how)
+
+
 def join_one_per_key(big: DataFrame, small: DataFrame, on: str | Sequence[str],
                      how: str = "left", rows_per_task: int = ROWS_PER_TASK,
                      size_col: str | None = None) -> DataFrame:
