@@ -2,9 +2,11 @@
 
 Two views of a document: its text (character-class shares, compressibility, word
 repetition; linear discriminant) and its metadata (language, source, length;
-naive Bayes over hashed values). Each round, either view labels the
-documents it is sure of for the other one; both are fitted anew and
-calibrated on labelled rows that neither was fitted on. The calibrated views are combined to score
+naive Bayes over hashed values). Each round, either view hands the other one the unlabelled
+documents that it ranks furthest to either side, a share that grows with the rounds, split between the classes as the
+labels are. They count with the view's calibrated probabilities, and all together at most ``GAIN`` times the labelled rows
+times what the view is found to know of held-out labels, so a view that knows little misleads little. Both views are
+fitted anew and calibrated on labelled rows that neither was fitted on. The calibrated views are combined to score
 every document.
 
 Both models are functions of sums over rows (counts, first and second
@@ -16,7 +18,7 @@ solves for the model.
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ BUCKETS = 1024
 BINS = 601
 _LIMIT = 30.0
 _KINDS = 9
+GAIN = 0.5
 
 
 def _byte_kinds() -> np.ndarray:
@@ -65,7 +68,7 @@ def _features(batches):
 
 
 def features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: list[str], label_col: str, label_id_col: str, row_col: str | None = None) -> DataFrame:
-    """``id, row, meta`` (bucket numbers), ``x``, ``y`` (0, 1, null) and ``held`` (calibration row) per document."""
+    """``id, row, meta`` (bucket numbers), ``x``, ``y`` (0, 1, null), ``held`` (calibration row) and ``u`` (hash of the id in [0, 1)) per document."""
     size = F.floor(F.log2(F.octet_length(text_or_empty(text_col)) + 1)).cast("string")
     values = [*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in meta_cols), size]
     buckets = [F.lit(i * BUCKETS) + F.pmod(F.xxhash64(v), F.lit(BUCKETS)) for i, v in enumerate(values)]
@@ -76,7 +79,8 @@ def features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, met
     y = F.when(F.col("vote") > 0.5, 1).when(F.col("vote") < 0.5, 0)
     votes = votes.where("label_id is not null").select("label_id", y.alias("y"))
     joined = rows.mapInArrow(_features, schema).join(votes, F.col("id") == F.col("label_id"), "left")
-    return joined.select("id", "row", "meta", "x", "y", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("held"))
+    u = F.pmod(F.xxhash64("id", F.lit("u")), F.lit(10_007)) / 10_007
+    return joined.select("id", "row", "meta", "x", "y", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("held"), u.alias("u"))
 
 
 @dataclass
@@ -88,6 +92,8 @@ class Views:
     prior: float = 0.0
     held_prior: float | None = None
     scale: tuple = ((1.0, 0.0), (1.0, 0.0))
+    trust: tuple = (0.0, 0.0)  # share of the held-out labels' entropy that each view explains
+    handed: list = field(default_factory=list)  # per round: documents handed to the text view, to the metadata view
 
     def raw(self, x: np.ndarray, meta: np.ndarray) -> np.ndarray:
         """Log odds per view, shape (2, n)."""
@@ -104,11 +110,61 @@ def _columns(batch):
     n = batch.num_rows
     flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
     y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
-    return flat("x").reshape(n, -1), flat("meta").reshape(n, -1), y, batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+    held, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("held", "u"))
+    return flat("x").reshape(n, -1), flat("meta").reshape(n, -1), y, held.astype(bool), u
+
+
+def _bin(z: np.ndarray) -> np.ndarray:
+    return np.rint((np.clip(z, -_LIMIT, _LIMIT) + _LIMIT) / (2 * _LIMIT) * (BINS - 1)).astype(int)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def _furthest(rows: DataFrame, views: Views, share: float) -> list[tuple] | None:
+    """Per view, what it hands over: the bin of scores it starts from and the part of that bin, below and above its prior.
+
+    ``share`` of the unlabelled rows, by rank and split between the classes as the labelled rows are; a view gives fewer
+    where it has fewer scores on that side of its prior.
+    """
+    if views.text is None or share <= 0:
+        return None
+
+    def count(x, meta, y, held, u):
+        return np.concatenate([np.bincount(_bin(z[np.isnan(y)]), minlength=BINS) for z in views.calibrated(x, meta)])
+
+    good = float(_sigmoid(np.array(views.prior)))
+    middle = int(_bin(np.array(views.prior if views.held_prior is None else views.held_prior)))
+    out = []
+    for counts in _summed(rows.where("y is null"), count, 2 * BINS).reshape(2, BINS):
+        sides = []
+        for order, part in ((range(middle), 1 - good), (range(BINS - 1, middle, -1), good)):
+            left, at, some = share * part * counts.sum(), None, 0.0
+            for b in order:
+                if left <= 0:
+                    break
+                if counts[b]:
+                    at, some = b, min(1.0, left / counts[b])
+                    left -= counts[b]
+            sides.append((at, some))
+        out.append(tuple(sides))
+    return out
+
+
+def _handed(z: np.ndarray, u: np.ndarray, sides: tuple) -> np.ndarray:
+    """Which rows a view hands over; within the last bin, those of smallest hash."""
+    at, out = _bin(z), np.zeros(len(z), dtype=bool)
+    (low, low_part), (high, high_part) = sides
+    if low is not None:
+        out |= (at < low) | ((at == low) & (u < low_part))
+    if high is not None:
+        out |= (at > high) | ((at == high) & (u < high_part))
+    return out
 
 
 def _summed(rows: DataFrame, count, size: int) -> np.ndarray:
-    """Sum over all rows of ``count(x, meta, y, held)``, a vector of ``size`` numbers per batch."""
+    """Sum over all rows of ``count(x, meta, y, held, u)``, a vector of ``size`` numbers per batch."""
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
@@ -123,37 +179,48 @@ def _summed(rows: DataFrame, count, size: int) -> np.ndarray:
     return out
 
 
-def _fit(rows: DataFrame, n_meta: int, views: Views, sure: float) -> Views | None:
-    """New models from labelled rows and from what the other view is sure of."""
+def _fit(rows: DataFrame, n_meta: int, views: Views, share: float) -> Views | None:
+    """New models from labelled rows and from what the other view hands over."""
     d, width = N_TEXT, n_meta * BUCKETS
-    per_class = 1 + d + d * d + width + 1
+    per_class = 1 + d + d * d + width + 2
+    furthest = _furthest(rows, views, share)
 
-    def count(x, meta, y, held):
-        z = views.calibrated(x, meta)
-        out = np.zeros((2, per_class))
-        known = ~np.isnan(y)
+    def count(x, meta, y, held, u):
+        z, known = views.calibrated(x, meta), ~np.isnan(y)
+        out = np.zeros((2, 2, per_class))  # labelled or handed over, class
+        weights = np.zeros((2, 2, 2, len(y)))  # labelled or handed over, target view, class, row
         for c in (0, 1):
-            side = 1 if c else -1
-            own = known & ~held & (y == c)
-            for_text = own | (~known & (z[1] * side >= sure))
-            for_meta = own | (~known & (z[0] * side >= sure))
-            a = x[for_text]
-            out[c, 0], out[c, 1 : 1 + d], out[c, 1 + d : 1 + d + d * d] = len(a), a.sum(0), (a.T @ a).ravel()
-            out[c, -width - 1 : -1] = np.bincount(meta[for_meta].ravel(), minlength=width)
-            out[c, -1] = for_meta.sum()
+            weights[0, :, c, known & ~held & (y == c)] = 1
+        if furthest is not None:
+            for target, source in ((0, 1), (1, 0)):
+                given, p = ~known & _handed(z[source], u, furthest[source]), _sigmoid(z[source])
+                weights[1, target, 1, given], weights[1, target, 0, given] = p[given], 1 - p[given]
+                out[1, target, -1] = given.sum()
+        for kind, c in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            for_text, for_meta = weights[kind, :, c]
+            a, into = x * for_text[:, None], out[kind, c]
+            into[0], into[1 : 1 + d], into[1 + d : 1 + d + d * d] = for_text.sum(), a.sum(0), (a.T @ x).ravel()
+            into[-width - 2 : -2] = np.bincount(meta.ravel(), np.repeat(for_meta, n_meta), minlength=width)
+            into[-2] = for_meta.sum()
         return out.ravel()
 
-    sums = _summed(rows, count, 2 * per_class).reshape(2, per_class)
-    if not sums[:, 0].all() or not sums[:, -1].all():
+    own, handed = _summed(rows, count, 4 * per_class).reshape(2, 2, per_class)
+    split, sums = 1 + d + d * d, own.copy()
+    for c in (0, 1):  # both targets: the text view's sums stand first, then the metadata view's
+        for part, total, source in ((slice(0, split), 0, 1), (slice(split, -1), -2, 0)):
+            most = GAIN * views.trust[source] * own[c, total]
+            sums[c, part] += handed[c, part] * min(1.0, most / max(1e-9, handed[c, total]))
+    if not sums[:, 0].all() or not sums[:, -2].all():
         return None
     n, mean = sums[:, 0], sums[:, 1 : 1 + d] / sums[:, :1]
     spread = sums[:, 1 + d : 1 + d + d * d].reshape(2, d, d).sum(0) - sum(n[c] * np.outer(mean[c], mean[c]) for c in (0, 1))
     spread = spread / max(1.0, n.sum() - 2)
     spread += np.diag(1e-4 * np.diag(spread) + 1e-6)
     weights = np.linalg.solve(spread, mean[1] - mean[0])
-    share = np.log((sums[:, -width - 1 : -1] + 1) / (sums[:, -1:] + BUCKETS))
+    evidence = np.log((sums[:, -width - 2 : -2] + 1) / (sums[:, -2:-1] + BUCKETS))
     return Views(
-        (weights, float(-weights @ mean.sum(0) / 2 + np.log(n[1] / n[0]))), share[1] - share[0], float(np.log(sums[1, -1] / sums[0, -1]))
+        (weights, float(-weights @ mean.sum(0) / 2 + np.log(n[1] / n[0]))), evidence[1] - evidence[0], float(np.log(sums[1, -2] / sums[0, -2])),
+        handed=[*views.handed, tuple(int(x) for x in handed[:, -1])],
     )
 
 
@@ -176,10 +243,10 @@ def _platt(zero: np.ndarray, one: np.ndarray) -> tuple[float, float]:
 
 
 def _calibrate(rows: DataFrame, views: Views) -> Views:
-    def count(x, meta, y, held):
+    def count(x, meta, y, held, u):
         out = np.zeros((2, 2, BINS))
         for v, z in enumerate(views.raw(x, meta)):
-            at = np.rint((z + _LIMIT) / (2 * _LIMIT) * (BINS - 1)).astype(int)
+            at = _bin(z)
             for c in (0, 1):
                 out[v, c] = np.bincount(at[held & (y == c)], minlength=BINS)
         return out.ravel()
@@ -189,43 +256,55 @@ def _calibrate(rows: DataFrame, views: Views) -> Views:
         return views
     views.scale = tuple(_platt(*sums[v]) for v in (0, 1))
     views.held_prior = float(np.log(sums[0, 1].sum() / sums[0, 0].sum()))
+    centre, share = np.linspace(-_LIMIT, _LIMIT, BINS), float(_sigmoid(np.array(views.held_prior)))
+    known = []
+    for (zero, one), (a, b) in zip(sums, views.scale, strict=True):
+        p = np.clip(_sigmoid(a * centre + b), 1e-6, 1 - 1e-6)
+        loss = -(one * np.log(p) + zero * np.log(1 - p)).sum() / (one + zero).sum()
+        known.append(max(0.0, 1 - loss / -(share * np.log(share) + (1 - share) * np.log(1 - share))))
+    views.trust = tuple(known)
+    return views
+
+
+def cotrain(rows: DataFrame, n_meta: int, rounds: int = 3, share: float = 0.1) -> Views:
+    """Views fitted on written ``features``; ``handed`` tells how many documents changed hands in each round."""
+    views = Views()
+    for r in range(rounds):
+        fitted = _fit(rows, n_meta, views, share * r)
+        if fitted is None:
+            break
+        views = _calibrate(rows, fitted)
     return views
 
 
 def cotrained_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meta_cols: tuple[str, ...] = ("lang", "source"), label_col: str = "quality", label_id_col: str = "doc_id",
-    rounds: int = 3, sure: float = 0.99, keep_from: float = 0.5, row_col: str | None = None,
+    rounds: int = 4, share: float = 0.1, keep_from: float = 0.5, row_col: str | None = None,
 ) -> DataFrame:
     """One row per document: ``doc_id, p_text, p_meta, quality, keep``.
 
     ``p_text`` and ``p_meta`` are the calibrated probabilities of the good class,
     ``quality`` the combined one (log odds added, the prior counted once), ``keep``
     is ``quality >= keep_from``. ``row_col`` names a whole number per row that is returned as well, to tell rows
-    that repeat an id apart (each is scored on its own text). ``sure``: calibrated probability from which a
-    view labels a document for the other. Every fifth labelled document, by
-    hash of its id, is held out for calibration.
+    that repeat an id apart (each is scored on its own text). ``share``: the part of the unlabelled documents that each
+    view hands to the other in the second round; twice that in the third, and so on (the first round has labels
+    alone). Every fifth labelled document, by hash of its id, is held out for calibration.
 
-    Null text counts as empty, null metadata is a value of its own. Several labels of a
-    document are averaged; an even vote is none. Without labelled rows of both classes nothing can
-    be learned: every probability is 0.5 and every document stays.
+    Null text counts as empty, null metadata is a value of its own, an empty table gives no row. Several labels of a
+    document are averaged; an even vote is none. Very long texts are read whole. Without labelled rows of both classes nothing can
+    be learned: every probability is 0.5 and every document stays. Columns of ``docs`` that are not named are ignored.
     """
-    width = len(meta_cols) + 1
     rows = saved(features(docs, labels, id_col, text_col, list(meta_cols), label_col, label_id_col, row_col), "cotrain")
-    views, least = Views(), float(np.log(sure / (1 - sure)))
-    for _ in range(rounds):
-        fitted = _fit(rows, width, views, least)
-        if fitted is None:
-            break
-        views = _calibrate(rows, fitted)
+    views = cotrain(rows, len(meta_cols) + 1, rounds, share)
     prior = views.prior if views.held_prior is None else views.held_prior
 
     def score(batches):
         for batch in batches:
-            x, meta, _, _ = _columns(batch)
+            x, meta, _, _, _ = _columns(batch)
             z = views.calibrated(x, meta) if batch.num_rows else np.zeros((2, 0))
             both = np.array([z[0], z[1], z[0] + z[1] - (prior if views.text is not None else 0.0)])
-            p = 1 / (1 + np.exp(-np.clip(both, -500, 500)))
+            p = _sigmoid(both)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *map(pa.array, p), pa.array(p[2] >= keep_from), batch.column("row")],
                 ["doc_id", "p_text", "p_meta", "quality", "keep", "row"],

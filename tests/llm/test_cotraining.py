@@ -2,7 +2,8 @@ from edge import DOCS, awkward, docs, rows
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm.cotraining import cotrained_quality
+from fleetlens.llm.cotraining import cotrain, cotrained_quality, features
+from fleetlens.llm.common import saved
 
 from conftest import SF01
 
@@ -38,3 +39,19 @@ def test_without_labels_every_document_stays(spark):
     one = spark.createDataFrame([(1, 1, 0)], LABELS)
     assert rows(cotrained_quality(docs(spark, [(1, "a")]), one), "keep") == [(True,)]
     assert rows(cotrained_quality(spark.createDataFrame([], DOCS), one), "keep") == []
+
+
+def test_both_views_hand_over_in_every_round(spark):
+    documents, labels = spark.read.parquet(f"{SF01}/documents.parquet"), spark.read.parquet(f"{SF01}/labels.parquet")
+    given, truth = labels.where("doc_id % 5 = 0"), labels.where("doc_id % 5 > 0").select("doc_id", F.col("quality").alias("truth"))
+    rows = saved(features(documents, given, "doc_id", "text", ["lang", "source"], "quality", "doc_id"), "test")
+    views = cotrain(rows, 3, rounds=4)
+    unlabelled = rows.where("y is null").count()
+    assert views.handed[0] == (0, 0) and all(n > 0.02 * unlabelled for pair in views.handed[1:] for n in pair)
+    assert views.handed[1] < views.handed[2] < views.handed[3]
+    loss = {}
+    for n in (1, 4):
+        held = cotrained_quality(documents, given, rounds=n).join(truth, "doc_id").select("quality", "truth").collect()
+        loss[n] = sum((r[0] - r[1]) ** 2 for r in held) / len(held)
+    print(views.handed, loss)
+    assert loss[1] != loss[4] and loss[4] <= loss[1] + 0.002
