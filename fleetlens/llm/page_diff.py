@@ -5,10 +5,11 @@ its two neighbours has the longer common path prefix. The text lines of a
 pair are aligned by longest common subsequence, and lines the two share are
 deleted as boilerplate, also inside a main element or an element whose class says
 that it holds the content. Of these zones the one with enough of the page's unshared text is taken.
-Only the text of an article element is kept whole; what the markup names as something else never becomes a line (``page_text.py``).
+Differencing sees every line of a page, those of menus, headers and footers too; the markup decides about lines
+that no neighbour shares (``page_text.py``). Only the text of an article element is kept whole.
 
-Lines are compared as 64-bit hashes, so pairing moves a few numbers per
-page; the html itself is moved once, when the deletions are applied.
+A page is parsed once, into lines that are written; they are compared as 64-bit hashes, so pairing moves a few numbers per
+page, and the lines are moved once, when the deletions are applied.
 """
 
 from __future__ import annotations
@@ -103,17 +104,26 @@ def shared_lines(own: list[int], other: list[int], sizes: list[int], copy_share:
     return shared
 
 
-def _hashes(batches):
+_PARSED = "texts array<string>, zones array<int>, lines array<long>, best int"
+
+
+def _parse(batches):
+    """Lines of every page with their zones and hashes; the html goes no further."""
     for batch in batches:
-        hashes, sizes = [], []
+        texts, zones, hashes, best = [], [], [], []
         for html in batch.column("html").to_pylist():
-            lines, _ = page_lines(html)
+            lines, top = page_lines(html)
+            texts.append([t for t, _ in lines])
+            zones.append([z for _, z in lines])
             hashes.append([xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t, _ in lines])
-            sizes.append([len(t) for t, _ in lines])
+            best.append(top)
         names = [f.name for f in batch.schema if f.name != "html"]
         yield pa.RecordBatch.from_arrays(
-            [*map(batch.column, names), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
-            [*names, "lines", "sizes"],
+            [
+                *map(batch.column, names), pa.array(texts, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32())),
+                pa.array(hashes, pa.list_(pa.int64())), pa.array(best, pa.int32()),
+            ],
+            [*names, "texts", "zones", "lines", "best"],
         )
 
 
@@ -172,6 +182,12 @@ def _deletions(copy_share: float):
 
 
 def main_text(html: str, gone: list[int], copy_share: float = 0.8) -> str:
+    """:func:`zone_text` of a page's html."""
+    lines, best = page_lines(html)
+    return zone_text(lines, best, gone, copy_share)
+
+
+def zone_text(lines: list[tuple[str, int]], best: int, gone: list[int], copy_share: float = 0.8) -> str:
     """The article: lines of one zone without the shared ones; an article element keeps those too.
 
     The zone is the highest that holds enough of the page's unshared text: a half of what any
@@ -180,7 +196,6 @@ def main_text(html: str, gone: list[int], copy_share: float = 0.8) -> str:
     wrappers named as something else are taken if they hold more than a page without article and main.
     A zone that is shared by ``copy_share`` of its text is a copy inside another frame and keeps its lines.
     """
-    lines, best = page_lines(html)
     drop = set(gone)
 
     def chars(part):
@@ -208,10 +223,8 @@ def main_text(html: str, gone: list[int], copy_share: float = 0.8) -> str:
 def _texts(copy_share: float):
     def run(batches):
         for batch in batches:
-            texts = [
-                main_text(h, g or [], copy_share)
-                for h, g in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True)
-            ]
+            columns = (batch.column(c).to_pylist() for c in ("texts", "zones", "best", "gone"))
+            texts = [zone_text(list(zip(t, z, strict=True)), best, g or [], copy_share) for t, z, best, g in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
@@ -230,7 +243,8 @@ def page_diff(
     that is taken. Null html is an empty page with an empty
     text; a null or relative url stands for a host and path of its own
     (both empty). Rows that repeat a page id, or a whole row, are pages of
-    their own and get the text of their own html; equal rows get the same text.
+    their own and get the text of their own html; equal rows get the same text. An empty table gives no row,
+    a very long page is parsed as a whole, and other columns of ``pages`` are ignored, whatever their names.
     """
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     rows = pages.select(
@@ -238,15 +252,14 @@ def page_diff(
         F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1).alias("host"),
         F.regexp_extract(url, r"(?i)^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
     ).withColumn("row", F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.md5(F.coalesce("url", F.lit("-"))), F.md5("html"))))
-    keys = rows.select("row", "host", "path", "html").mapInArrow(
-        _hashes, "row string, host string, path string, lines array<long>, sizes array<int>"
-    )
-    keys = saved(keys.dropDuplicates(["row"]), "page-lines")
+    id_type = pages.schema[id_col].dataType.simpleString()
+    parsed = saved(rows.mapInArrow(_parse, f"page_id {id_type}, url string, host string, path string, row string, {_PARSED}"), "page-lines")
+    sizes = F.transform("texts", lambda t: F.length(t)).alias("sizes")
+    keys = parsed.select("row", "host", "path", "lines", sizes).dropDuplicates(["row"])
     pairs = saved(pair_by_url(keys), "page-pairs")
     mine = keys.select(F.col("row").alias("me"), "lines", "sizes")
     theirs = keys.select(F.col("row").alias("other"), F.col("lines").alias("others"))
-    aligned = pairs.join(mine, "me").join(theirs, "other").select("me", "lines", "others", "sizes")
+    aligned = pairs.hint("merge").join(mine, "me").join(theirs.hint("merge"), "other").select("me", "lines", "others", "sizes")
     gone = saved(aligned.mapInArrow(_deletions(copy_share), "me string, gone array<int>").where("size(gone) > 0"), "page-gone")
-    joined = rows.join(gone, F.col("row") == F.col("me"), "left").select("page_id", "url", "html", "gone")
-    id_type = pages.schema[id_col].dataType.simpleString()
+    joined = parsed.join(gone.hint("merge"), F.col("row") == F.col("me"), "left").select("page_id", "url", "texts", "zones", "best", "gone")
     return joined.mapInArrow(_texts(copy_share), f"page_id {id_type}, url string, text string, n_chars long")

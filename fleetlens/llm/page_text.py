@@ -9,10 +9,10 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var wbr".split()
+    " span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub mfrac msqrt mroot semantics".split()
 )
 SKIPPED = frozenset(
-    "script style noscript template iframe object applet canvas svg math audio video title form button input select option"
+    "script style noscript template iframe object applet canvas svg audio video title form button input select option"
     " textarea fieldset datalist dialog nav menu footer aside".split()
 )
 SKIPPED_WORDS = frozenset(
@@ -24,6 +24,14 @@ SKIPPED_WORDS = frozenset(
     " topnav subnav mainnav dropdown offcanvas toast popover".split()
 )
 SKIPPED_STEMS = tuple("sidebar comment cookie advert newsletter navbar breadcrumb footer masthead sponsor disqus".split())
+# Inside an open article only these count, as whole class, id or role names: adverts on any element, the others on containers.
+ADVERTS = frozenset("ad ads advert advertisement adsbygoogle sponsored".split())
+SKIPPED_IN_ARTICLE = frozenset(
+    "comments comment-list commentlist comments-area comment-respond respond disqus_thread newsletter newsletter-signup subscribe"
+    " related related-posts related-articles share share-buttons sharing social social-share cookie-notice sidebar".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("div section ul ol table td figure center".split())
 NO_STEM = frozenset({"commentary", "commentator"})
 HEADER_WORDS = frozenset("header head heading banner".split())
 MAIN_WORDS = frozenset("article articlebody content main post entry story body text".split())
@@ -32,7 +40,9 @@ CLOSES_P = frozenset(
     " menu nav ol p pre section table ul".split()
 )
 
-ARTICLE, MAIN, MARKED, OTHER, INSIDE = 3, 2, 1, 0, -1
+ARTICLE, MAIN, MARKED, OTHER, INSIDE, FRAME = 3, 2, 1, 0, -1, -2
+# Elements without lines of their own: nothing in them is text of the page.
+NO_LINES = SKIPPED - frozenset("nav menu footer aside form fieldset dialog".split())
 _WORDS = re.compile(r"[a-z0-9]+")
 _HAS = re.compile(r"(?<!\S)(?:has|no|with|without)-\S+")  # says what stands beside the element, not what it is
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -48,8 +58,9 @@ def _is_skipped(name: str) -> bool:
 class PageLines(HTMLParser):
     """``lines`` of (text, zone): one line per block, white space runs as one blank.
 
-    Text in elements that are no article text (menus, headers, footers,
-    sidebars, notices, adverts, forms, scripts, comments) gives no line. The zone is the
+    Text in elements that the markup names as no article text (menus, headers, footers,
+    sidebars, notices, adverts, forms, comments) is a line of zone ``FRAME``; scripts, styles and controls give none. Names of
+    classes and ids do not count on headings, and in an open article only whole names of adverts, reader comments and their like do. The zone is the
     innermost of: an article element, a main element, an element whose class or id
     says that it holds the content, anything else. An article or main element in an
     element that only its class, id or role names as no article text is a zone of its own, ``INSIDE``:
@@ -61,6 +72,7 @@ class PageLines(HTMLParser):
         self.open: list[tuple[str, int, str]] = []  # tag, zone, reason why it is skipped
         self.lines: list[tuple[str, int]] = []
         self.words: list[str] = []
+        self.frame: list[str] = []
         self.zone_of_line, self.best = OTHER, OTHER
 
     def _state(self) -> tuple[int, str]:
@@ -70,7 +82,10 @@ class PageLines(HTMLParser):
         text = " ".join("".join(self.words).split())
         if text:
             self.lines.append((text, self.zone_of_line))
-        self.words = []
+        beside = " ".join("".join(self.frame).split())
+        if beside:
+            self.lines.append((beside, FRAME))
+        self.words, self.frame = [], []
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -93,11 +108,15 @@ class PageLines(HTMLParser):
         reason = ""
         if tag in SKIPPED:
             reason = tag
-        elif tag not in ("html", "body") and any(_is_skipped(n) for n in names):
+        elif zone in (ARTICLE, MAIN, INSIDE) and tag not in ("article", "main"):
+            whole = set(named.split())
+            if whole & ADVERTS or tag in CONTAINERS and whole & SKIPPED_IN_ARTICLE:
+                reason = "marked"
+        elif tag not in ("html", "body") and tag not in HEADINGS and any(_is_skipped(n) for n in names):
             reason = "marked"
-        elif "hidden" in given or _HIDDEN.search(given.get("style", "")):
+        if not reason and ("hidden" in given or _HIDDEN.search(given.get("style", ""))):
             reason = "hidden"
-        elif (tag == "header" or names & HEADER_WORDS and tag in ("div", "section")) and zone == OTHER:
+        elif not reason and (tag == "header" or names & HEADER_WORDS and tag in ("div", "section")) and zone == OTHER:
             reason = "header"
         if tag in ("article", "main") and not reason:
             if skipped in ("nav", "header", "menu", "head"):  # left open by mistake
@@ -145,6 +164,8 @@ class PageLines(HTMLParser):
     def handle_data(self, data):
         zone, skipped = self._state()
         if skipped:
+            if skipped not in NO_LINES:
+                self.frame.append(data)
             return
         if not self.words:
             self.zone_of_line = zone

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import page_diff as module
 from fleetlens.llm.page_diff import common_lines, main_text, page_diff, pair_by_url
-from fleetlens.llm.page_text import page_lines
+from fleetlens.llm.page_text import ARTICLE, FRAME, page_lines
 
 PAGES = "page_id long, url string, html string"
 
@@ -55,6 +55,18 @@ def test_broken_markup():
     assert text('<article class="post has-comments"><p>kept</p><article class="comment">x</article></article>') == "kept"
 
 
+def test_names_inside_an_article_are_whole():
+    page = """<article><h1>T</h1><section id="discussion"><p>We discuss.</p></section><h2 id="related-work">Related work</h2>
+    <p id="search-for-gold">The search</p><p class="share-price">The price</p><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>
+    <div class="share-buttons">Tweet</div><p class="ad">Buy</p><section class="comments">First!</section></article>"""
+    assert text(page) == "T\nWe discuss.\nRelated work\nThe search\nThe price\nSo x=1 holds"
+
+
+def test_differencing_sees_menus_and_footers():
+    lines, _ = page_lines("<nav><ul><li>Home</ul></nav><article><p>a <span class=ad>Buy</span> b</p></article><footer>Foot</footer><script>x</script>")
+    assert lines == [("Home", FRAME), ("a b", ARTICLE), ("Buy", FRAME), ("Foot", FRAME)]
+
+
 STORY = "a story of many words that nobody would want to lose"
 
 
