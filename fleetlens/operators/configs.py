@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.columns import as_col, cols, regex_quote
+from fleetlens.plans.ranges import Cuts
 from fleetlens.plans.skew import join_one_per_key
 from fleetlens.plans.sizing import (
     DEFAULT_BROADCAST_ROWS, DEFAULT_LITERAL_ROWS, broadcast_if_small, literal_type,
@@ -152,12 +153,12 @@ def select_rules(df: DataFrame, value: str | Column, rules: Sequence[Rule] | Dat
 
     A short Python list becomes one literal array filtered per row and
     exploded: map-only, no join. A longer list becomes a table of the same
-    types. Rules as a DataFrame (payload = all other columns) are joined on a
-    range bucket: some 64 of the rules' own bounds cut the value's domain, a rule
-    stands in every bucket its interval touches, typed rules are keyed by
-    (type, bucket) and untyped ones by bucket, and a row looks up both in one
-    join, with the interval as residual. So a type spreads over tasks, the rows
-    are read once, and no row is compared with all rules. The rule side is broadcast
+    types. Rules as a DataFrame (payload = all other columns) are joined on nodes of
+    a dyadic interval index: the rules' own bounds (some 10,000 of them, if there are more) cut the
+    value's domain into numbered ranges, and a rule stands in the one or two blocks of ``2**k`` ranges that cover its
+    interval, ``k`` being the least that does. A row asks, by equality on (type, k, block), for its block at each level
+    that some rule uses, with the interval as residual. So a rule is copied at most once however long its interval, a row meets
+    rules of its own neighbourhood only, and blocks and types spread over tasks. The rule side is broadcast
     only after its size is checked.
     """
     v = as_col(value)
@@ -226,41 +227,33 @@ def _select_rules_join(df, v, rules, type_col, rule_type, rule_lo, rule_hi, max_
     r = rules.select(kind.alias("_fl_t"), F.col(f"`{rule_lo}`").cast(dtype).alias("_fl_lo"),
                      F.col(f"`{rule_hi}`").cast(dtype).alias("_fl_hi"),
                      *[F.col(f"`{c}`").alias(f"_fl_p_{c}") for c in payload])
-    pivots = _pivots(r)
-
-    def bucket(x: Column) -> Column:
-        return F.size(F.filter(F.col("_fl_pivots"), lambda p: p <= x))
-
-    last = F.size("_fl_pivots")
-    span = F.sequence(F.when(F.col("_fl_lo").isNull(), 0).otherwise(bucket(F.col("_fl_lo"))),
-                      F.when(F.col("_fl_hi").isNull(), last).otherwise(bucket(F.col("_fl_hi"))))
+    bounds = r.select(F.explode(F.array("_fl_lo", "_fl_hi")).alias("b")).filter("b is not null").distinct()
+    cuts = Cuts(bounds, F.col("b"), 1, now=True)
     open_or_some = F.col("_fl_lo").isNull() | F.col("_fl_hi").isNull() | (F.col("_fl_lo") < F.col("_fl_hi"))
-    r = r.filter(open_or_some).withColumn("_fl_pivots", pivots).withColumn("_fl_b", F.explode(span)).drop("_fl_pivots")
-    r = broadcast_if_small(r, max_rules)
-    # A row asks for its type's rules and for the untyped ones of its bucket.
-    own = [F.lit(None).cast(ttype)] + ([F.col(f"`{type_col}`")] if type_col else [])
-    asks = F.array_distinct(F.array(*own)) if type_col else F.array(*own)
-    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], v.alias("_fl_v"), pivots.alias("_fl_pivots")).withColumn(
-        "_fl_rb", F.when(F.col("_fl_v").isNull(), 0).otherwise(bucket(F.col("_fl_v"))))
-    rows = rows.withColumn("_fl_rt", F.explode(asks))
-    hit = F.col("_fl_rt").eqNullSafe(F.col("_fl_t")) & (F.col("_fl_rb") == F.col("_fl_b"))
+    r = cuts.mark(cuts.mark(r.filter(open_or_some), F.col("_fl_lo"), "_fl_a"), F.col("_fl_hi"), "_fl_b")
+    first = F.when(F.col("_fl_lo").isNull(), 0).otherwise(F.col("_fl_a.no"))
+    last = F.when(F.col("_fl_hi").isNull(), cuts.count).otherwise(F.col("_fl_b.no"))
+    own = [F.col(f"`{c}`") for c in r.columns if c not in ("_fl_a", "_fl_b")]
+    r = r.select(*own, first.cast("long").alias("_fl_a"), last.cast("long").alias("_fl_b")).select(
+        "*", F.ceil(F.log2(F.col("_fl_b") - F.col("_fl_a") + 1)).cast("int").alias("_fl_k"))
+    at = lambda no, k: F.call_function("shiftright", no, k)
+    nodes = F.array_distinct(F.array(at(F.col("_fl_a"), F.col("_fl_k")), at(F.col("_fl_b"), F.col("_fl_k"))))
+    used = r.select(F.col("_fl_t").isNotNull().alias("typed"), "_fl_k").distinct().collect()  # some 30 rows at most
+    levels = F.array(*[F.struct(F.lit(x).alias("typed"), F.lit(k).alias("k")) for x, k in sorted(map(tuple, used))]).cast(
+        "array<struct<typed: boolean, k: int>>")
+    r = broadcast_if_small(r.select(*own, "_fl_k", F.explode(nodes).alias("_fl_node")), max_rules)
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns], v.alias("_fl_v"))
+    rows = cuts.mark(rows, F.col("_fl_v"), "_fl_r").withColumn("_fl_l", F.explode(levels))
+    mine = F.col(f"`{type_col}`") if type_col else F.lit(None).cast(ttype)
+    asked = F.when(F.col("_fl_v").isNull(), 0).otherwise(F.col("_fl_r.no")).cast("long")
+    rows = rows.filter(~F.col("_fl_l.typed") | mine.isNotNull()).select(
+        *[F.col(f"`{c}`") for c in df.columns], "_fl_v", F.when(F.col("_fl_l.typed"), mine).alias("_fl_rt"),
+        F.col("_fl_l.k").alias("_fl_rk"), at(asked, F.col("_fl_l.k")).alias("_fl_rn"))
+    hit = F.col("_fl_rt").eqNullSafe(F.col("_fl_t")) & (F.col("_fl_rk") == F.col("_fl_k")) & (F.col("_fl_rn") == F.col("_fl_node"))
     return rows.join(r, hit & _range_ok(F.col("_fl_v"), F.col("_fl_lo"), F.col("_fl_hi")), "inner").select(
         *[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_fl_p_{c}").alias(c) for c in payload])
 
 
-PIVOTS = 64
-
-
-def _pivots(rules: DataFrame) -> Column:
-    """About ``PIVOTS`` of the bounds that occur in the rules, in order, chosen by
-    a hash of the bound: a scalar subquery, evaluated when the query runs."""
-    bounds = rules.select(F.explode(F.array("_fl_lo", "_fl_hi")).alias("b")).filter("b is not null").distinct()
-    n = bounds.agg(F.count(F.lit(1))).scalar()
-    every = F.greatest(F.lit(1).cast("long"), F.floor(n / PIVOTS))
-    picked = bounds.filter(F.pmod(F.xxhash64("b"), every) == 0)
-    return picked.agg(F.sort_array(F.collect_list("b"))).scalar()
-
-
 def json_prop(bag: str | Column, key: str) -> Column:
     """One property of a JSON-text bag, as text."""
     return F.get_json_object(as_col(bag), "$['" + key.replace("'", "\\'") + "']")

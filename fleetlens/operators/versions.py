@@ -62,7 +62,7 @@ VALUES_PER_RANGE = 100_000
 
 
 def _bracket_table(df, v, lad, default, name, per_range=None):
-    """Exact ceiling lookup against a ladder of any size, without a driver step.
+    """Exact ceiling lookup against a ladder of any size; the cut points are found by a job of their own.
 
     Only distinct values are looked up. They and the bounds together are dealt to ranges cut at their own
     quantiles (:mod:`fleetlens.plans.ranges`), so no task sorts more than a few ranges' share even when all values
@@ -75,7 +75,7 @@ def _bracket_table(df, v, lad, default, name, per_range=None):
     both = rows.filter(F.col("_fl_v").isNotNull()).select(F.col("_fl_v").alias("_fl_b")).distinct().select(
         "_fl_b", F.lit(None).alias("_fl_hit"), F.lit(False).alias("_fl_is")).unionByName(
         lad.select("_fl_b", hit.alias("_fl_hit"), F.lit(True).alias("_fl_is")))
-    cuts = Cuts(both, F.col("_fl_b"), per_range or VALUES_PER_RANGE)
+    cuts = Cuts(both, F.col("_fl_b"), per_range or VALUES_PER_RANGE, now=True)
     # A cut point is a value or a bound, so a value and an equal bound share a range: (below, above].
     both = cuts.mark(both, F.col("_fl_b"), "_fl_r").withColumn("_fl_j", F.col("_fl_r.no")).drop("_fl_r")
     bounds = cuts.mark(lad, F.col("_fl_b"), "_fl_r")

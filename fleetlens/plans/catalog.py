@@ -182,9 +182,8 @@ def w09_select_rules_join(spark, sf_dir):
 
 
 def w09_select_rules_shuffled(spark, sf_dir):
-    # The same rules with a bound of one rule: typed rules are shuffle-joined
-    # on type and untyped rules run as broadcast pieces of one -- the exact
-    # plans used beyond the broadcast bound.
+    # The same rules with a bound of one rule: rows and rules are shuffled by
+    # (type, level, block), the plan used beyond the broadcast bound.
     part = _t(spark, sf_dir).part.select("p_partkey", "p_type", "p_size")
     rules = spark.createDataFrame(
         [(r.type, r.lo, r.hi, r.payload["tier"]) for r in W09_RULES],

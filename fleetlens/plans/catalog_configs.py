@@ -97,8 +97,8 @@ def w08_configure_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(TYPES, F.col("n_regionkey")).alias("config_type"), F.lit("list").alias("key"), F.col("n_nationkey").alias("ord"),
         F.col("n_nationkey").cast("string").alias("item"))
     carry = t.nation.where("n_nationkey in (20, 21)").select(
-        F.when(n == 20, "view").otherwise("signup").alias("config_type"), F.lit("click_k").alias("key"), F.lit("click").alias("src_type"),
-        F.lit("k").alias("src_key"), F.when(n == 20, "from-{}").alias("template"), F.when(n == 21, "int").alias("cast"))
+        F.when(n == 20, "view").otherwise("signup").alias("config_type"), F.lit("click_k").alias("key"),
+        _pick(TYPES, F.col("n_regionkey")).alias("src_type"), F.when(n == 20, "k").otherwise("list").alias("src_key"), F.when(n == 20, "from-{}").alias("template"), F.when(n == 21, "int").alias("cast"))
     return configure_fleet(spec, services, _desired(t), _versions(t), rules, lists, carry, gate_service="purchase", fill={"server": "server"})
 
 
@@ -147,7 +147,7 @@ FROM s""",
              FROM targets t CROSS JOIN items i LEFT JOIN cur c ON c.cluster_id = t.cluster_id AND c.config_type = i.config_type AND c.key = 'list'),
   carried AS (SELECT cluster_id, 'view' AS config_type, 'click_k' AS key, 'from-' || value AS value, 1 AS prio FROM cur WHERE config_type = 'click' AND key = 'k' AND value IS NOT NULL
               UNION ALL SELECT cluster_id, 'signup', 'click_k', CAST(TRY_CAST(value AS BIGINT) AS VARCHAR), 1 FROM cur
-              WHERE config_type = 'click' AND key = 'k' AND TRY_CAST(value AS BIGINT) IS NOT NULL),
+              WHERE config_type = 'error' AND key = 'list' AND TRY_CAST(value AS BIGINT) IS NOT NULL),
   updates AS (SELECT cluster_id, config_type, key, arg_min(value, prio) AS value FROM (
                 SELECT * FROM constants UNION ALL SELECT * FROM carried
                 UNION ALL SELECT cluster_id, config_type, 'list', array_to_string(list_concat(old, list_filter(items, lambda x: NOT list_contains(old, x))), ','), 2 FROM listed)
