@@ -112,10 +112,10 @@ def neighbour_fingerprints(
     ids = docs.select(F.struct(F.col(id_col).alias("id")).alias("at"))
     cuts = Cuts(ids, F.col("at"), rows_per_range, whole=True)
     greatest = ids.agg(F.max("at")).scalar()
-    marked = cuts.mark(rows, F.col("at"), "r").select("at", "text", "r.no", "r.next", (F.col("at") == F.col("r.above")).alias("cut"), greatest.alias("greatest"))
+    marked = cuts.mark(rows, F.col("at"), "r").select("at", "text", "r.no", (F.col("at") == F.col("r.above")).alias("cut"), greatest.alias("greatest"))
     seats = F.array_compact(F.array(
         F.struct("no", F.lit(0).alias("ahead")),
-        F.when(F.coalesce("cut", F.lit(False)), F.struct(F.col("next").alias("no"), F.lit(1).alias("ahead"))),
+        F.when(F.coalesce("cut", F.lit(False)), F.struct((F.col("no") + 1).alias("no"), F.lit(1).alias("ahead"))),
         F.when(F.col("at") == F.col("greatest"), F.struct(F.lit(0).cast("long").alias("no"), F.lit(2).alias("ahead"))),
     ))
     seated = marked.select("at", "text", F.explode(seats).alias("seat")).select("at", "text", "seat.*").repartition("no")
