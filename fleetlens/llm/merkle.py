@@ -93,7 +93,7 @@ def locate_edits(pairs: DataFrame, key: str, before: str, after: str) -> DataFra
 
 
 def neighbour_fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 2048,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 256,
 ) -> DataFrame:
     """Fingerprints of every text, of the next document's, and of the text edited with the next one's start.
 
