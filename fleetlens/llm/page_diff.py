@@ -8,26 +8,33 @@ that it holds the content. Of these zones the one with enough of the page's unsh
 Differencing sees every line of a page, those of menus, headers and footers too; the markup decides about lines
 that no neighbour shares (``page_text.py``). Only the text of an article element is kept whole.
 
-A page is parsed once, into lines that are written; they are compared as 64-bit hashes, so pairing moves a few numbers per
-page, and the lines are moved once, when the deletions are applied.
+Pages meet their neighbours by one shuffle: their keys alone are sorted first, to cut the order into ranges of equal
+numbers of pages; then a page is parsed once and its lines go, compressed, to its range. The first page of a range is
+also sent to the range before and the last one to the range after. A task reads its ranges in order and
+holds three pages at a time.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import chain
+
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_or_empty
-from .page_text import ARTICLE, INSIDE, MAIN, MARKED, OTHER, page_lines
+from .page_text import ARTICLE, FRAME, INSIDE, MAIN, MARKED, OTHER, page_lines
 
 _MOST_BITS = 1 << 27
 _OF_ZONE, _OF_PAGE = 0.5, 0.25
+ROWS_PER_RANGE, MOST_RANGES, MOST_CUT_BYTES = 1024, 1 << 16, 64 << 20
+_ORDER = ["host", "path", "row"]
 
 
-def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence of two lists of line hashes.
+def common_lines(a: list, b: list) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence of two lists of lines (or any values).
 
     Equal ends are taken first and lines the other side lacks are left out. The rest is
     the bit-parallel recurrence on the set of increases; above a memory
@@ -49,9 +56,9 @@ def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     ]
 
 
-def _rows(a: list[int], b: list[int], keep: bool) -> list[int]:
+def _rows(a: list, b: list, keep: bool) -> list[int]:
     """Bit vectors after each line of ``a``: a zero bit j marks an increase of the length at ``b[j]``."""
-    where: dict[int, int] = {}
+    where: dict = {}
     for j, line in enumerate(b):
         where[line] = where.get(line, 0) | 1 << j
     full = (1 << len(b)) - 1
@@ -72,7 +79,7 @@ def _lengths(v: int, m: int) -> list[int]:
     return out
 
 
-def _align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def _align(a: list, b: list) -> list[tuple[int, int]]:
     if not a or not b:
         return []
     if len(a) == 1:
@@ -96,7 +103,7 @@ def _align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def shared_lines(own: list[int], other: list[int], sizes: list[int], copy_share: float) -> list[int]:
+def shared_lines(own: list, other: list, sizes: list[int], copy_share: float) -> list[int]:
     """Indexes of ``own`` lines that the pair shares; none if the pages are copies of each other."""
     shared = [i for i, _ in common_lines(own, other)]
     if sum(sizes[i] for i in shared) >= copy_share * max(1, sum(sizes)):
@@ -104,81 +111,142 @@ def shared_lines(own: list[int], other: list[int], sizes: list[int], copy_share:
     return shared
 
 
-_PARSED = "texts array<string>, zones array<int>, lines array<long>, best int"
+_PARSED = "copies long, best int, zones binary, lines binary"
+_PLACED = "range int, guest boolean"
 
 
 def _parse(batches):
-    """Lines of every page with their zones and hashes; the html goes no further."""
+    """Compressed lines of every page with their zones; equal rows of a batch go on as one. The html goes no further."""
     for batch in batches:
-        texts, zones, hashes, best = [], [], [], []
+        copies: dict[str, int] = {}
+        at: list[int] = []
+        for i, row in enumerate(batch.column("row").to_pylist()):
+            if row not in copies:
+                at.append(i)
+            copies[row] = copies.get(row, 0) + 1
+        batch = batch.take(pa.array(at, pa.int64()))
+        best, zones, texts = [], [], []
         for html in batch.column("html").to_pylist():
             lines, top = page_lines(html)
-            texts.append([t for t, _ in lines])
-            zones.append([z for _, z in lines])
-            hashes.append([xxhash.xxh64_intdigest(t.encode()) - (1 << 63) for t, _ in lines])
             best.append(top)
+            zones.append(bytes(z - FRAME for _, z in lines))
+            texts.append(zstandard.compress("\n".join(t for t, _ in lines).encode(), 3))
         names = [f.name for f in batch.schema if f.name != "html"]
         yield pa.RecordBatch.from_arrays(
             [
-                *map(batch.column, names), pa.array(texts, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32())),
-                pa.array(hashes, pa.list_(pa.int64())), pa.array(best, pa.int32()),
+                *map(batch.column, names), pa.array(list(copies.values()), pa.int64()), pa.array(best, pa.int32()),
+                pa.array(zones, pa.binary()), pa.array(texts, pa.binary()),
             ],
-            [*names, "texts", "zones", "lines", "best"],
+            [*names, "copies", "best", "zones", "lines"],
         )
 
 
-def pair_by_url(pages: DataFrame) -> DataFrame:
-    """``me, other`` for ``pages(row, host, path, ...)``: row keys of a page and of its nearest by URL path.
+def url_ranges(keys: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> list[tuple]:
+    """First and last key of each range of the order by host, path and row, in that order.
 
-    Pages are sorted by host and path over all partitions and numbered, so the
-    neighbours at partition ends are found like any others and no task holds a host.
-    Of two neighbours the one with the longer common path prefix is the
-    nearest; on a tie the one before.
+    Ranges hold equal numbers of distinct keys: ``rows_per_range``, or more where there would be over ``MOST_RANGES``
+    ranges or keys so long that the cut points could exceed ``MOST_CUT_BYTES``. So the driver gets two keys per range and two numbers per
+    partition, whatever the size of the table.
     """
-    order = ["host", "path", "row"]
     ranked = saved(
-        pages.select(order).repartitionByRange(*order).sortWithinPartitions(*order)
+        keys.select(_ORDER).distinct().repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
         .withColumn("at", F.monotonically_increasing_id()), "url-order",
     )
+    width = F.octet_length("host") + F.octet_length("path") + F.octet_length("row")
     part = F.shiftright("at", 33)
-    ends = ranked.groupBy(part.alias("part")).agg(F.max("at").alias("last"))
-    ends = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))
-    first = ranked.where(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) == 0).select("at", part.alias("part"))
-    jumps = first.join(ends, "part").select(F.col("at").alias("here"), "last")
-    before = ranked.join(jumps, F.col("at") == F.col("here"), "left").withColumn(
-        "before", F.when(F.col("here").isNull(), F.col("at") - 1).otherwise(F.col("last"))
-    ).where("before is not null").select("row", "host", "path", "before")
-    sides = before.alias("b").join(ranked.alias("a"), F.expr("b.before = a.at and b.host = a.host")).select(
-        F.col("a.row").alias("upper"), F.col("b.row").alias("lower"), _common_prefix("a.path", "b.path").alias("near")
-    )
-    both = sides.select(F.col("lower").alias("me"), F.col("upper").alias("other"), "near", F.lit(1).alias("side")).unionByName(
-        sides.select(F.col("upper").alias("me"), F.col("lower").alias("other"), "near", F.lit(0).alias("side"))
+    parts = sorted(ranked.groupBy(part.alias("part")).agg(F.count("*"), F.max(width)).collect())
+    if not parts:
+        return []
+    rows, widest = sum(n for _, n, _ in parts), max(w for _, _, w in parts)
+    most = max(1, min(MOST_RANGES, MOST_CUT_BYTES // (2 * widest)))
+    step = max(rows_per_range, -(-rows // most))
+    ahead, offsets = 0, []
+    for no, n, _ in parts:
+        offsets.append((no, ahead))
+        ahead += n
+    offsets = keys.sparkSession.createDataFrame(offsets, "part long, ahead long")
+    place = F.col("ahead") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    cuts = ranked.join(F.broadcast(offsets), part == F.col("part")).withColumn("place", place).where(
+        (F.col("place") % step == 0) | (F.col("place") % step == step - 1) | (F.col("place") == rows - 1)
     )
-    return both.groupBy("me").agg(F.max(F.struct("near", "side", "other")).alias("best")).select("me", "best.other")
+    found = {r.place: (r.host, r.path, r.row) for r in cuts.select("place", *_ORDER).collect()}
+    return [(found[p], found[min(p + step, rows) - 1]) for p in range(0, rows, step)]
 
 
-def _common_prefix(a: str, b: str):
-    """Length of the common prefix of two paths, counted in whole segments."""
-    parts = F.arrays_zip(F.split(a, "/").alias("x"), F.split(b, "/").alias("y"))
-    return F.aggregate(
-        parts, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
-        lambda s, p: F.struct(
-            (s["n"] + F.when(s["on"] & (p["x"] == p["y"]), F.length(p["x"]) + 1).otherwise(0)).alias("n"),
-            (s["on"] & F.coalesce(p["x"] == p["y"], F.lit(False))).alias("on"),
-        ), lambda s: s["n"],
-    )
+def _placed(batches, ranges: list[tuple]):
+    """Rows with the range they belong to, and as guests in the range they border on."""
+    firsts = [first for first, _ in ranges]
+    for batch in batches:
+        at, where, guest = [], [], []
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in _ORDER), strict=True)):
+            k = bisect_right(firsts, key) - 1
+            for no, is_guest, here in (
+                (k, False, True), (k - 1, True, key == ranges[k][0] and k > 0), (k + 1, True, key == ranges[k][1] and k + 1 < len(ranges)),
+            ):
+                if here:
+                    at.append(i)
+                    where.append(no)
+                    guest.append(is_guest)
+        taken = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [*taken.columns, pa.array(where, pa.int32()), pa.array(guest, pa.bool_())], [*taken.schema.names, "range", "guest"]
+        )
+
 
+def _in_url_order(rows: DataFrame, ranges: list[tuple], prepare, schema: str) -> DataFrame:
+    """``rows`` after ``prepare``, ranges whole in a partition and sorted by key."""
+    cuts = rows.sparkSession.sparkContext.broadcast(ranges)
 
-def _deletions(copy_share: float):
     def run(batches):
-        for batch in batches:
-            gone = [
-                shared_lines(own, other, sizes, copy_share)
-                for own, other, sizes in zip(*(batch.column(c).to_pylist() for c in ("lines", "others", "sizes")), strict=True)
+        yield from _placed(prepare(batches), cuts.value)
+
+    return rows.mapInArrow(run, f"{schema}, {_PLACED}").repartition("range").sortWithinPartitions("range", *_ORDER)
+
+
+def _near(a: str, b: str) -> int:
+    """Length of the common prefix of two paths, counted in whole segments."""
+    n = 0
+    for x, y in zip(a.split("/"), b.split("/")):
+        if x != y:
+            break
+        n += len(x) + 1
+    return n
+
+
+def _nearest(batches):
+    """Each row that is no guest, in order, with its nearest by URL path on the same host, or None.
+
+    Of two neighbours the one with the longer common path prefix is the
+    nearest; on a tie the one before. Equal rows are one, with their copies added up.
+    """
+    before = here = None
+    for after in chain((row for batch in batches for row in batch.to_pylist()), [None]):
+        if here and after and (here["range"], here["row"]) == (after["range"], after["row"]):
+            here["copies"] += after["copies"]
+            continue
+        if here and not here["guest"]:
+            beside = [
+                (_near(here["path"], other["path"]), side, other) for side, other in ((1, before), (0, after))
+                if other and (other["range"], other["host"]) == (here["range"], here["host"])
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("me"), pa.array(gone, pa.list_(pa.int32()))], ["me", "gone"])
+            yield here, max(beside, key=lambda found: found[:2])[2] if beside else None
+        before, here = here, after
 
-    return run
+
+def _pairs(batches):
+    for me, other in _nearest(batches):
+        if other:
+            yield pa.RecordBatch.from_arrays([pa.array([me["row"]]), pa.array([other["row"]])], ["me", "other"])
+
+
+def pair_by_url(pages: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``me, other`` for ``pages(row, host, path)``: row keys of a page and of its nearest by URL path.
+
+    The pairs that :func:`page_diff` compares, by the same ranges and tasks.
+    """
+    keys = pages.select(*_ORDER, F.lit(1).cast("long").alias("copies"))
+    ordered = _in_url_order(keys, url_ranges(keys, rows_per_range), iter, "host string, path string, row string, copies long")
+    return ordered.mapInArrow(_pairs, "me string, other string")
 
 
 def main_text(html: str, gone: list[int], copy_share: float = 0.8) -> str:
@@ -220,21 +288,52 @@ def zone_text(lines: list[tuple[str, int]], best: int, gone: list[int], copy_sha
     return "\n".join(lines[i][0] for i in (parts if zone in (ARTICLE, INSIDE) else kept)[zone])
 
 
+def _lines(page: dict) -> list[str]:
+    """Lines of a page, unpacked once."""
+    if "texts" not in page:
+        page["texts"] = zstandard.decompress(page["lines"]).decode().split("\n") if page["zones"] else []
+    return page["texts"]
+
+
+_OUT_ROWS, _OUT_CHARS = 1000, 4 << 20
+
+
 def _texts(copy_share: float):
     def run(batches):
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("texts", "zones", "best", "gone"))
-            texts = [zone_text(list(zip(t, z, strict=True)), best, g or [], copy_share) for t, z, best, g in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+        batches = iter(batches)
+        head = next(batches, None)
+        if head is None:
+            return
+        id_type = head.schema.field("page_id").type
+
+        def packed():
+            ids, urls, texts = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
+        rows, chars = [], 0
+        for page, other in _nearest(chain([head], batches)):
+            own = _lines(page)
+            gone = shared_lines(own, _lines(other), [len(t) for t in own], copy_share) if other else []
+            zones = (z + FRAME for z in page["zones"])
+            text = zone_text(list(zip(own, zones, strict=True)), page["best"], gone, copy_share)
+            for _ in range(page["copies"]):
+                rows.append((page["page_id"], page["url"], text))
+                chars += len(text)
+                if len(rows) >= _OUT_ROWS or chars >= _OUT_CHARS:
+                    yield packed()
+                    rows, chars = [], 0
+        if rows:
+            yield packed()
+
     return run
 
 
 def page_diff(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy_share: float = 0.8
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", copy_share: float = 0.8,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars`` (code points).
 
@@ -253,13 +352,6 @@ def page_diff(
         F.regexp_extract(url, r"(?i)^(?:[a-z][a-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
     ).withColumn("row", F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.md5(F.coalesce("url", F.lit("-"))), F.md5("html"))))
     id_type = pages.schema[id_col].dataType.simpleString()
-    parsed = saved(rows.mapInArrow(_parse, f"page_id {id_type}, url string, host string, path string, row string, {_PARSED}"), "page-lines")
-    sizes = F.transform("texts", lambda t: F.length(t)).alias("sizes")
-    keys = parsed.select("row", "host", "path", "lines", sizes).dropDuplicates(["row"])
-    pairs = saved(pair_by_url(keys), "page-pairs")
-    mine = keys.select(F.col("row").alias("me"), "lines", "sizes")
-    theirs = keys.select(F.col("row").alias("other"), F.col("lines").alias("others"))
-    aligned = pairs.hint("merge").join(mine, "me").join(theirs.hint("merge"), "other").select("me", "lines", "others", "sizes")
-    gone = saved(aligned.mapInArrow(_deletions(copy_share), "me string, gone array<int>").where("size(gone) > 0"), "page-gone")
-    joined = parsed.join(gone.hint("merge"), F.col("row") == F.col("me"), "left").select("page_id", "url", "texts", "zones", "best", "gone")
-    return joined.mapInArrow(_texts(copy_share), f"page_id {id_type}, url string, text string, n_chars long")
+    ranges = url_ranges(rows, rows_per_range)
+    ordered = _in_url_order(rows, ranges, _parse, f"page_id {id_type}, url string, host string, path string, row string, {_PARSED}")
+    return ordered.mapInArrow(_texts(copy_share), f"page_id {id_type}, url string, text string, n_chars long")

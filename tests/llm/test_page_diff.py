@@ -134,7 +134,8 @@ def test_pairs_against_brute_force(spark):
     rng = random.Random(3)
     keys = [(f"r{i:03}", rng.choice("ab"), "/" + "/".join(rng.choice(["x", "yy", "z"]) for _ in range(rng.randrange(1, 4)))) for i in range(150)]
     keys += [("s1", "lonely", "/"), ("s2", "", "")]
-    got = {r.me: r.other for r in pair_by_url(spark.createDataFrame(keys, "row string, host string, path string").repartition(7)).collect()}
+    table = spark.createDataFrame(keys, "row string, host string, path string").repartition(7)
+    got = {r.me: r.other for r in pair_by_url(table).collect()}
 
     def near(a, b):
         n = 0
@@ -151,6 +152,30 @@ def test_pairs_against_brute_force(spark):
         if around:
             want[row] = max(around)[2]
     assert got == want
+    for size in (1, 2, 7, 151):  # pages at the ends of ranges find their neighbours in others
+        rows = pair_by_url(table.unionByName(table.limit(40)), size).collect()
+        assert {r.me: r.other for r in rows} == want and len(rows) == len(want)
+
+
+def test_cut_points_are_bounded_by_number_and_bytes(spark, monkeypatch):
+    keys = spark.createDataFrame([(f"r{i:03}", "h", "/" + "x" * i) for i in range(100)], "row string, host string, path string")
+    assert len(module.url_ranges(keys, 10)) == 10 and module.url_ranges(keys.limit(0), 10) == []
+    monkeypatch.setattr(module, "MOST_RANGES", 4)
+    cuts = module.url_ranges(keys, 10)
+    assert [(first[2], last[2]) for first, last in cuts] == [("r000", "r024"), ("r025", "r049"), ("r050", "r074"), ("r075", "r099")]
+    monkeypatch.setattr(module, "MOST_CUT_BYTES", 500)
+    assert len(module.url_ranges(keys, 10)) == 2
+
+
+def test_ranges_and_batches_do_not_change_texts(spark):
+    page = "<p>Our site</p><p>Call us</p>{}<p>All prices in gold</p>"
+    body = lambda i: "".join(f"<p>story {i} part {k} with some words of its own</p>" for k in range(4))
+    rows = [(i, f"http://h{i % 3}/a/{i % 7}/{i}", page.format(body(i))) for i in range(40)] + [(7, "http://h1/a/0/7", page.format(body(7)))] * 30
+    df = spark.createDataFrame(rows, PAGES).repartition(5)
+    own = {i: "\n".join(f"story {i} part {k} with some words of its own" for k in range(4)) for i in range(40)}
+    for size in (1, 3, 1024):
+        out = page_diff(df, rows_per_range=size).collect()
+        assert len(out) == len(rows) and all(r.text == own[r.page_id] for r in out)
 
 
 def test_awkward_pages(spark):
