@@ -3,6 +3,7 @@ expressions over whole texts; no UDF."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,27 @@ def literal_replacement(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), r"\$", r"\\\$")
 
 
+_ONE = re.compile(r"[^\\^$.|?*+()\[\]{}]|\\[\\^$.|?*+()\[\]{}]", re.S)
+_CLASS = re.compile(r"\[([^\\^\[\]-][^\\\[\]-]*)\]")
+
+
+def _separators(sep: str) -> set[str]:
+    """The characters that ``sep`` matches if it is one character or a plain class, else none."""
+    if _ONE.fullmatch(sep):
+        return {sep[-1]}
+    found = _CLASS.fullmatch(sep)
+    return set(found[1]) if found and "&&" not in found[1] else set()
+
+
+def _around_first(text: Column, ends: set[str], sep: str, token: str) -> Column:
+    """The piece around the first ``token``: from the last separator before it to the next one after it."""
+    at = F.locate(token, text)
+    head = F.element_at(F.split(F.substring_index(text, token, 1), sep), -1)
+    nexts = [F.call_function("locate", F.lit(c), text, at) for c in sorted(ends)]
+    stop = F.least(*[F.when(n > 0, n) for n in nexts], F.lit(2**31 - 1))
+    return F.when(at > 0, F.concat(head, F.substr(text, at, stop - at)))
+
+
 def extract_first(df: DataFrame, text: str | Column, sep: str, token: str,
                   kv_sep: str = ":", name: str = "value", status: str | None = "status",
                   cast: str = "int") -> DataFrame:
@@ -67,9 +89,17 @@ def extract_first(df: DataFrame, text: str | Column, sep: str, token: str,
     contains ``token`` (anywhere, not only at its start); its second field
     after the literal ``kv_sep``, trimmed and cast. A missing piece, bad
     number or 0 gives NULL; ``status`` says which: found / absent / invalid /
-    zero."""
-    pieces = F.split(as_col(text), sep)
-    piece = F.get(F.filter(pieces, lambda p: p.contains(token)), 0)
+    zero.
+
+    Where ``sep`` is one character or a class of listed characters of which ``token`` has none,
+    the piece is what lies around the first token: nothing behind it is split. Any other
+    ``sep`` needs all pieces of a text."""
+    at = as_col(text)
+    ends = _separators(sep)
+    if token and ends and not ends & set(token):
+        piece = _around_first(at, ends, sep, token)
+    else:
+        piece = F.get(F.filter(F.split(at, sep), lambda p: p.contains(token)), 0)
     raw = F.trim(F.split_part(piece, F.lit(kv_sep), F.lit(2)))
     num = raw.try_cast(cast)
     out = df.withColumn(name, F.when(num != 0, num))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import operators as op
 from fleetlens.plans.configure import configure_fleet
+from fleetlens.plans.readiness import readiness_report
 from fleetlens.sources.tables import Tables
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -102,8 +103,27 @@ def w08_configure_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configure_fleet(spec, services, _desired(t), _versions(t), rules, lists, carry, gate_service="purchase", fill={"server": "server"})
 
 
+def w06_readiness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All start-up gates of every customer: hosts are orders (one in 50 not registered, one in 60 not expected), unhealthy while an
+    order is pending; components and services are events of the user of the same number."""
+    t = Tables(spark, sf_dir)
+    key, user = F.col("o_orderkey"), F.col("user_id").alias("cluster_id")
+    hosts = t.orders.select(
+        F.col("o_custkey").alias("cluster_id"), F.concat(F.lit("h"), key.cast("string")).alias("host"), key.alias("no"),
+        F.when(F.col("o_orderstatus") == "P", "UNHEALTHY").otherwise("HEALTHY").alias("host_state"))
+    event = F.col("event_type")
+    components = t.events.select(
+        user, F.lit("h").alias("host"), F.upper(event).alias("component_name"),
+        F.when((event == "error") & (F.col("event_id") % 4 == 0), "unknown").otherwise("INSTALLED").alias("state"), F.col("event_id").alias("ord"))
+    services = t.events.select(
+        user, event.alias("service_name"), F.when((event == "signup") & (F.col("event_id") % 3 == 0), "STARTING").otherwise("INSTALLED").alias("state"))
+    return readiness_report(
+        t.customer.select(F.col("c_custkey").alias("cluster_id")), hosts.where("no % 60 <> 0").select("cluster_id", "host"),
+        hosts.where("no % 50 <> 0").select("cluster_id", "host", "host_state"), components, services)
+
+
 QUERIES = {f.__name__: f for f in [
-    w07_resolve_bags, w08_configure_chain, w09_select_rules_ladder, w11_expand_bundle_table, w16_rewrite_by_source]}
+    w06_readiness_report, w07_resolve_bags, w08_configure_chain, w09_select_rules_ladder, w11_expand_bundle_table, w16_rewrite_by_source]}
 
 _BAGS = """
   vers AS (SELECT user_id AS cluster_id, event_type AS config_type, 'v' || (event_id % 3) AS tag,
@@ -111,6 +131,19 @@ _BAGS = """
   desired AS (SELECT DISTINCT user_id AS cluster_id, event_type AS config_type, 'v' || (user_id % 4) AS tag FROM events)"""
 
 ORACLE_SQL = {
+    "w06_readiness_report": """
+WITH hosts AS (SELECT o_custkey AS id, o_orderkey % 60 <> 0 AS wanted, o_orderkey % 50 <> 0 AS seen, o_orderstatus = 'P' AS bad FROM orders),
+     h AS (SELECT id, count(*) FILTER (wanted AND NOT seen) AS missing, count(*) FILTER (seen AND NOT wanted) AS unexpected,
+                  count(*) FILTER (seen) > 0 AND count(*) FILTER (seen AND bad) = 0 AS healthy FROM hosts GROUP BY id),
+     e AS (SELECT user_id AS id, count(*) FILTER (event_type = 'error' AND event_id % 4 = 0) = 0 AS known,
+                  count(*) FILTER (event_type = 'signup' AND event_id % 3 = 0) > 0 AS running FROM events GROUP BY user_id),
+     g AS (SELECT c_custkey AS cluster_id, coalesce(missing, 0) AS n_missing, coalesce(unexpected, 0) AS n_unexpected,
+                  coalesce(healthy, false) AS healthy, coalesce(known, true) AS components_known, coalesce(running, false) AS running
+           FROM customer LEFT JOIN h ON h.id = c_custkey LEFT JOIN e ON e.id = c_custkey)
+SELECT cluster_id, n_missing + n_unexpected = 0 AS in_sync, n_missing, n_unexpected, healthy, components_known,
+       CASE WHEN NOT components_known THEN 'ERROR' END AS first_blocker, running,
+       n_missing + n_unexpected = 0 AND healthy AND components_known AND NOT running AS can_start
+FROM g""",
     "w07_resolve_bags": "WITH" + _BAGS + """
 SELECT d.cluster_id, d.config_type, d.tag, v.k IS NOT NULL AS resolved, p.key, CASE p.key WHEN 'k' THEN v.k WHEN 'list' THEN v.n END AS value
 FROM desired d LEFT JOIN vers v ON v.cluster_id = d.cluster_id AND v.config_type = d.config_type AND v.tag = d.tag

@@ -70,7 +70,7 @@ def test_join_kinds(spark):
     p = plan(spark, "w14_rename_keys")
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p, p
     p = re.sub(r"#\d+L?", "", plan(spark, "w09_select_rules_join"))
-    assert "BroadcastHashJoin" in p and "_fl_rb" in p and "NestedLoopJoin" not in p, p
+    assert "BroadcastHashJoin" in p and "_fl_node" in p and "NestedLoopJoin" not in p, p
     p = plan(spark, "w08_overlay_join")
     assert "FullOuter" in p, p
     p = plan(spark, "w03_reconcile")

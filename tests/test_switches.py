@@ -137,3 +137,21 @@ def test_overlay_of_repeated_keys(spark):
     got = sorted((r.key, r.value) for r in op.overlay(base, upd, "cluster").collect())
     both = base.withColumn("u", F.lit(False)).unionByName(upd.withColumn("u", F.lit(True)))
     assert got == sorted((r.key, r.value) for r in op.overlay_tagged(both, "cluster", F.col("u")).collect()) == [("j", "5"), ("k", "2")]
+
+
+def test_extract_first_around_the_token_equals_all_pieces(spark):
+    rnd = random.Random(5)
+    rows = [("".join(rnd.choice(["a", "tok=", "7", "0", "&", "?", "#", "=", "é", "\U0001F600", "\n", "|"]) for _ in range(rnd.randrange(14))),) for _ in range(600)]
+    df = spark.createDataFrame([*rows, (None,), ("",), ("tok=",), ("&tok=5",), ("tok=5&",)], "t string")
+    for one, all_pieces in (("[?&#]", "(?:[?&#])"), ("&", "(?:&)"), ("\n", "(?:\n)"), ("\\|", "(?:\\|)"), ("[=&]", "(?:[=&])"), ("[é&]", "(?:[é&])")):
+        fast, slow = (op.extract_first(df, "t", sep, "tok=", kv_sep="=") for sep in (one, all_pieces))
+        assert sorted(map(str, fast.collect())) == sorted(map(str, slow.collect()))
+    plan = op.extract_first(df, "t", "[?&#]", "tok=", kv_sep="=")._jdf.queryExecution().optimizedPlan().toString()
+    assert "locate" in plan and "filter(" not in plan
+
+
+def test_separators_that_can_be_located():
+    from fleetlens.operators.text import _separators
+    assert _separators("[?&#]") == set("?&#") and _separators("\n") == {"\n"} and _separators("\\|") == {"|"} and _separators(";") == {";"}
+    for other in ("", "ab", ".", "|", "\\n", "\\s", "[^a]", "[a-c]", "[a&&b]", "[\\s]", "a+", "[ab]+", "(?:a)"):
+        assert _separators(other) == set()
