@@ -11,6 +11,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Context managers, called with the session, that the job runner enters around each query it writes.
+AROUND_JOB: list = []
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "fleetlens") -> SparkSession:
