@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.plans.sizing import broadcast_if_small
+
 from .common import WHITE, saved, text_or_empty
 
 MIN_CHARS, MAX_CHARS = 128, 8000
@@ -52,7 +54,8 @@ def exact_dedup(
     identifiers, so that tests can make different chunks share one.
 
     An identifier that stands for two different chunk texts is found by
-    grouping (identifier, chunk text) pairs. Documents that hold such a chunk
+    grouping (identifier, chunk text) pairs; the few found are sent to the recipes after their size is
+    checked, so recipes are not shuffled by chunk and a chunk that most documents hold gathers no rows. Documents that hold such a chunk
     are compared by recipe and SHA-256 of the text, all others by recipe.
     """
     norm = F.regexp_replace(text_or_empty(text_col), WHITE, " ")
@@ -66,17 +69,20 @@ def exact_dedup(
         "recipes",
     )
     pairs = cut.select(F.explode("parts").alias("chunk")).select(_identifier(F.col("chunk"), id_bits).alias("cid"), "chunk")
-    shared = pairs.distinct().groupBy("cid").count().where("count > 1").select("cid")
-    touched = (
-        recipes.select("id", F.explode("recipe").alias("cid")).join(shared, "cid", "left_semi")
-        .select(F.col("id").alias("hit_id")).distinct().withColumn("hit", F.lit(True))
-    )
-    keyed = saved(
-        recipes.join(touched, F.col("id").eqNullSafe(F.col("hit_id")), "left").select(
-            "id", "sha", "recipe", F.when(F.col("hit"), F.col("sha")).otherwise("").alias("tie")
-        ),
-        "verified",
-    )
+    collided = saved(pairs.distinct().groupBy("cid").count().where("count > 1").select("cid"), "collided")
+    if collided.isEmpty():  # nearly always: no recipe needs a look at its texts
+        keyed = recipes.withColumn("tie", F.lit(""))
+    else:
+        touched = (
+            recipes.select("id", F.explode("recipe").alias("cid")).join(broadcast_if_small(collided), "cid", "left_semi")
+            .select(F.col("id").alias("hit_id")).distinct().withColumn("hit", F.lit(True))
+        )
+        keyed = saved(
+            recipes.join(touched, F.col("id").eqNullSafe(F.col("hit_id")), "left").select(
+                "id", "sha", "recipe", F.when(F.col("hit"), F.col("sha")).otherwise("").alias("tie")
+            ),
+            "verified",
+        )
     groups = (
         keyed.groupBy("recipe", "tie").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")

@@ -8,10 +8,13 @@ import shutil
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.session import AROUND_JOB
+
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -42,16 +45,29 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return _written[-1]
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete every table this process has written to the shared folder.
+def drop_written(spark: SparkSession, but: int = 0) -> None:
+    """Delete every table this process has written to the shared folder, ``but`` for the first ones.
 
     For a job's end, when its results are stored elsewhere: results still to be read need them.
     """
-    while _written:
+    while len(_written) > but:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def job_tables(spark: SparkSession):
+    """Deletes at its end, also after an error, the tables written to the shared folder inside it."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        drop_written(spark, before)
+
+
+AROUND_JOB.append(job_tables)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

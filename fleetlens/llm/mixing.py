@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import saved, text_or_empty
 
 _STEPS = 64
+_BAND_BITS = 16
 
 
 def n_tokens(text_col: str) -> Column:
@@ -101,7 +102,8 @@ def temperature_mix(
     document id are documents of their own.
 
     No task holds a source: tokens are counted per block (a hash range of about
-    ``block_tokens`` tokens of a source), only blocks are ordered within a source, and
+    ``block_tokens`` tokens of a source), blocks are ordered within bands of their order, whose totals are
+    added up per source and pass (at most 65,536), and
     only the block in which a budget ends is cut, in the order of its own documents.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
@@ -142,10 +144,14 @@ def temperature_mix(
         F.when(turns > 0, F.sequence(F.lit(0).cast("long"), turns - 1)).otherwise(F.array().cast("array<long>"))
     ))
     order = F.xxhash64("block_no", "pass", F.lit(seed + 1))
-    in_pass = Window.partitionBy("key", "pass").orderBy("order", "block_no")
-    blocks = blocks.withColumn("order", order).select(
-        "key", "block_no", "pass", (F.row_number().over(in_pass) - 1).cast("long").alias("block"),
-        (F.sum("size").over(in_pass) - F.col("size")).alias("before"), "size",
+    blocks = saved(blocks.withColumn("order", order).withColumn("band", F.shiftright("order", 64 - _BAND_BITS)), "mix-order")
+    lower = Window.partitionBy("key", "pass").orderBy("band")
+    bands = blocks.groupBy("key", "pass", "band").agg(F.count("*").alias("n"), F.sum("size").alias("s")).select(
+        "key", "pass", "band", (F.sum("n").over(lower) - F.col("n")).alias("n_ahead"), (F.sum("s").over(lower) - F.col("s")).alias("s_ahead"))
+    in_band = Window.partitionBy("key", "pass", "band").orderBy("order", "block_no")
+    blocks = blocks.join(bands, ["key", "pass", "band"]).select(
+        "key", "block_no", "pass", (F.col("n_ahead") + F.row_number().over(in_band) - 1).cast("long").alias("block"),
+        (F.col("s_ahead") + F.sum("size").over(in_band) - F.col("size")).alias("before"), "size",
         F.when(F.col("pass") < F.col("full"), F.col("tokens")).otherwise(F.col("rest")).alias("limit"),
     ).where("before < limit")
     placed = dealt.select("key", "block_no", "doc_id", "source", "n_tokens", "weight").join(

@@ -1,8 +1,11 @@
 import math
+import struct
 
 import pytest
+import xxhash
 from edge import DOCS, awkward, docs, rows, words
 
+from fleetlens.llm import mixing
 from fleetlens.llm.mixing import find_exponent, temperature_mix
 
 
@@ -83,6 +86,51 @@ def test_blocks_realise_the_weights(spark, block_tokens):
         assert sum(w.values()) == pytest.approx(1, abs=0.01)
 
 
+def chained(*values):
+    """The signed 64-bit hash of a row of longs (q) and ints (i)."""
+    h = 42
+    for kind, v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<" + kind, v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def dealt(data, weight, budget, block_tokens, count_kind, seed=42):
+    """The mixture by plain loops over sources, passes, blocks and documents."""
+    out = []
+    for source, w in weight.items():
+        found = [(i, len((t or "").split())) for i, t, s in data if s == source]
+        found = [(i, n) for i, n in found if n]
+        tokens = sum(n for _, n in found)
+        blocks = {}
+        for i, n in found:
+            no = chained(("q", i), (count_kind, n), ("i", seed)) % -(-tokens // block_tokens)
+            blocks.setdefault(no, []).append((i, n))
+        full, rest = divmod(round(w * budget), tokens)
+        for p in range(full + (rest > 0)):
+            ahead, limit = 0, tokens if p < full else rest
+            for rank, no in enumerate(sorted(blocks, key=lambda b: (chained(("q", b), ("q", p), ("i", seed + 1)), b))):
+                so_far = ahead
+                for slot, (i, n) in enumerate(sorted(blocks[no], key=lambda d: (chained(("q", d[0]), (count_kind, d[1]), ("q", p), ("i", seed + 2)), d))):
+                    if so_far < limit:
+                        out.append((i, source, n, p, rank, slot))
+                    so_far += n
+                ahead = so_far
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("block_tokens", "bits"), [(10**6, 16), (100, 16), (100, 2), (7, 3)])
+def test_dealing_against_brute_force(spark, monkeypatch, block_tokens, bits):
+    """Also with few bands of the block order, each of many blocks."""
+    monkeypatch.setattr(mixing, "_BAND_BITS", bits)
+    data = [(i, words(5 + i % 60, i), "abbccc"[i % 6] if i % 31 else "rare") for i in range(300)] + [(999, None, "empty"), (998, "", "a")]
+    for budget in (3000, 20_000):
+        df = temperature_mix(docs(spark, data), budget=budget, max_passes=3.0, block_tokens=block_tokens)
+        kind = "q" if dict(df.dtypes)["n_tokens"] == "bigint" else "i"
+        out = df.collect()
+        got = sorted(((r.doc_id, r.source, r.n_tokens, r["pass"], r.block, r.slot) for r in out), key=str)
+        assert got == dealt(data, {r.source: r.weight for r in out}, budget, block_tokens, kind)
+
+
 def test_cover_reads_every_document(spark):
     data = [(i, words(5 + i % 9, i), "big" if i % 10 else f"small{i % 3}") for i in range(200)] + [(900, "x y", "tiny")]
     out = temperature_mix(docs(spark, data), budget="cover", max_passes=2.5, block_tokens=100).collect()
