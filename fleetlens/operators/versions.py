@@ -81,8 +81,9 @@ def _bracket_table(df, v, lad, default, name, per_range=None):
     bounds = cuts.mark(lad, F.col("_fl_b"), "_fl_r")
     firsts = bounds.groupBy(F.col("_fl_r.no").alias("no")).agg(F.min_by(hit, "_fl_b").alias("hit"))
     later = firsts.agg(F.sort_array(F.collect_list(F.struct("no", "hit")))).scalar()
-    onward = Window.partitionBy("_fl_j").orderBy("_fl_b", "_fl_is").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_fl_hit", F.first("_fl_hit", ignorenulls=True).over(onward)).filter("not _fl_is")
+    # From the top down, so that the frame grows by a row at a time; one that shrinks is read again for every row.
+    onward = Window.partitionBy("_fl_j").orderBy(F.desc("_fl_b"), F.desc("_fl_is")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_fl_hit", F.last("_fl_hit", ignorenulls=True).over(onward)).filter("not _fl_is")
     after = found.filter("_fl_hit is null").select("_fl_j").distinct().select("_fl_j", later.alias("_fl_later")).select(
         "_fl_j", F.get(F.filter("_fl_later", lambda x: x["no"] > F.col("_fl_j")), 0)["hit"].alias("_fl_after"))
     found = found.join(F.broadcast(after), "_fl_j", "left").withColumn("_fl_hit", F.coalesce("_fl_hit", "_fl_after"))
