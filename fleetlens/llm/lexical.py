@@ -13,22 +13,22 @@ weight needs counts over all documents and is multiplied in when searching.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import fresh_path, saved
-from .treap import Treap, pack
+from .treap import POPCOUNT, Treap, pack
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-# The same runs in UTF-8: every byte of a character beyond ASCII is 0x80 or more.
-_TERM_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
+# The same runs in UTF-8, where every byte of a character beyond ASCII is 0x80 or more: A-Z
+# become a-z, all other ASCII characters but digits and a-z become a space, and spaces divide.
+_FOLD = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
 
 BLOCK_POSTINGS = 1 << 20
 BLOCK_DOCS = 1 << 16
@@ -38,7 +38,25 @@ ITEM_CHARS = 1_000_000
 def terms(text: str | bytes | None) -> list[bytes]:
     """Terms of a text in order, with repeats: only A-Z lower-cased."""
     raw = text.encode() if isinstance(text, str) else text
-    return _TERM_BYTES.findall(raw.lower()) if raw else []
+    return raw.translate(_FOLD).split() if raw else []
+
+
+def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Documents with a term and all their terms with repeats: ``docs, terms``, one row per task."""
+
+    def run(batches):
+        held = total = 0
+        for batch in batches:
+            for text in batch.column(0):
+                n = len(terms(text.as_py()))
+                held, total = held + (n > 0), total + n
+        yield pa.RecordBatch.from_pydict({"docs": [held], "terms": [total]})
+
+    return docs.select(_utf8(text_col)).mapInArrow(run, "docs long, terms long")
+
+
+def _utf8(text_col: str) -> Column:
+    return F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text")
 
 
 def build_index(
@@ -51,12 +69,11 @@ def build_index(
     ``block_docs`` documents, so its size is bounded by these and one document. Every document is indexed;
     null and empty texts have no term and no cell. Rows that repeat an id are columns of their own.
     """
-    n_terms = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(TERM))
-    n_docs, total = docs.select(n_terms.alias("n")).where("n > 0").agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
+    n_docs, total = (n or 0 for n in term_counts(docs, text_col).agg(F.sum("docs"), F.sum("terms")).first())
     id_type = docs.schema[id_col].dataType
     schema = f"ids array<{id_type.simpleString()}>, terms array<binary>, df array<int>, bits int, top long, masks binary, drops binary"
-    picked = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
-    blocks = picked.mapInArrow(_blocks(n_docs, total or 0, block_postings, block_docs, to_arrow_type(id_type)), schema)
+    picked = docs.select(F.col(id_col).alias("id"), _utf8(text_col))
+    blocks = picked.mapInArrow(_blocks(n_docs, total, block_postings, block_docs, to_arrow_type(id_type)), schema)
     return saved(blocks, "treaps"), n_docs
 
 
@@ -72,13 +89,15 @@ def _blocks(n_docs: int, total: int, most: int, most_docs: int, id_type: pa.Data
                 if not found:
                     continue
                 ids.append(doc)
-                rows.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in found), np.int64, len(found)))
-                counts.append(np.fromiter(found.values(), np.int64, len(found)))
+                rows.append(np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for t in found), np.int32, len(found)))
+                counts.append(np.fromiter(found.values(), np.int32, len(found)))
                 sizes.append(found.total())
                 held += len(found)
                 if held >= most or len(ids) >= most_docs:
-                    yield _block(n_docs, total, vocabulary, ids, rows, counts, sizes, id_type)
+                    full = _block(n_docs, total, vocabulary, ids, rows, counts, sizes, id_type)
                     vocabulary, ids, rows, counts, sizes, held = {}, [], [], [], [], 0
+                    yield full
+                    del full
         if ids:
             yield _block(n_docs, total, vocabulary, ids, rows, counts, sizes, id_type)
 
@@ -91,21 +110,34 @@ def _block(n_docs, total, vocabulary, ids, rows, counts, sizes, id_type) -> pa.R
     place = np.empty(len(ids), dtype=np.int64)
     place[order] = np.arange(len(ids))
     lengths = np.array([len(r) for r in rows])
-    row, tf = np.concatenate(rows), np.concatenate(counts)
-    scale = np.array([100 - 50 + (50 * n * n_docs) // total for n in sizes], dtype=np.int64)
-    impact = (1_000_000_000 * tf) // (1000 * tf + 20 * np.repeat(scale, lengths))
+    row = np.concatenate(rows)
+    # One document at a time: the large numbers on the way to an impact, which is a million at most, are short-lived.
+    scale = [100 - 50 + (50 * n * n_docs) // total for n in sizes]
+    impact = np.concatenate([_impact(tf, m) for tf, m in zip(counts, scale, strict=True)])
     bits = max((len(vocabulary) - 1).bit_length(), (len(ids) - 1).bit_length(), 1)
     top, masks, drops = pack(row, np.repeat(place, lengths), impact, bits)
+    df = np.bincount(row, minlength=len(vocabulary)).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([[ids[i] for i in order]], pa.list_(id_type)), pa.array([list(vocabulary)], pa.list_(pa.binary())),
-            pa.array([np.bincount(row, minlength=len(vocabulary)).tolist()], pa.list_(pa.int32())), pa.array([bits], pa.int32()),
-            pa.array([top], pa.int64()), pa.array([masks], pa.binary()), pa.array([drops], pa.binary()),
+            pa.array([df], pa.list_(pa.int32())), pa.array([bits], pa.int32()),
+            pa.array([top], pa.int64()), pa.array([masks], pa.binary()), pa.array([pa.compress(drops, "zstd", asbytes=True)], pa.binary()),
         ],
         ["ids", "terms", "df", "bits", "top", "masks", "drops"],
     )
 
 
+def _impact(tf: np.ndarray, m: int) -> np.ndarray:
+    tf = tf.astype(np.int64)
+    return ((1_000_000_000 * tf) // (1000 * tf + 20 * m)).astype(np.int32)
+
+
+def _tree(top: int, masks: bytes, drops: bytes, bits: int) -> Treap:
+    """The tree of an index row, whose ``drops`` are compressed: 4 bytes for each quarter that the masks name."""
+    size = 4 * int(POPCOUNT[np.frombuffer(masks, np.uint8)].sum(dtype=np.int64))
+    return Treap(top, masks, pa.decompress(drops, size, "zstd"), bits)
+
+
 def document_counts(index: DataFrame, wanted: list[bytes]) -> dict[bytes, int]:
     """Documents of the whole corpus that hold each of the wanted terms."""
     values = pa.array(wanted, pa.binary())
@@ -174,7 +206,7 @@ def _scan(asked: list[tuple], k: int, types: list[pa.DataType]):
                 ids = block["ids"][i].values
                 at = pc.index_in(pa.array(wanted, pa.binary()), value_set=block["terms"][i].values)
                 row_of = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                tree = Treap(block["top"][i].as_py(), block["masks"][i].as_py(), block["drops"][i].as_py(), block["bits"][i].as_py())
+                tree = _tree(block["top"][i].as_py(), block["masks"][i].as_py(), block["drops"][i].as_py(), block["bits"][i].as_py())
                 for held, (term, weight) in zip(best, queries, strict=True):
                     rows = row_of[term]
                     here = rows >= 0
@@ -185,6 +217,7 @@ def _scan(asked: list[tuple], k: int, types: list[pa.DataType]):
                     held += zip(scores.tolist(), ids.take(pa.array(columns)).to_pylist(), strict=True)
                     held.sort(key=lambda h: (-h[0], h[1] is None, h[1] if h[1] is not None else 0))
                     del held[k:]
+                del tree, at, row_of
         rows = [(item, no, doc, score) for (item, no, _), held in zip(asked, best, strict=True) for score, doc in held]
         kinds = [types[0], pa.string(), types[1], pa.int64()]
         columns = zip(*rows, strict=True) if rows else [[]] * 4

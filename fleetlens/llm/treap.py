@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-POPCOUNT = np.array([bin(i).count("1") for i in range(16)], dtype=np.int64)
+POPCOUNT = np.array([bin(i).count("1") for i in range(16)], dtype=np.uint8)
 STATES_PER_STEP = 256
 
 
@@ -30,7 +30,8 @@ def pack(rows: np.ndarray, columns: np.ndarray, impacts: np.ndarray, bits: int)
     """The tree of distinct cells: greatest impact, masks and drops of all levels from the root down."""
     codes = (_spread(rows) << np.uint64(1)) | _spread(columns)
     order = np.argsort(codes, kind="stable")
-    codes, best = codes[order], impacts[order].astype(np.int64)
+    codes, best = codes[order], impacts[order]
+    del order
     masks, drops = [], []
     for _ in range(bits):
         parents = codes >> np.uint64(2)
@@ -49,12 +50,15 @@ class Treap:
         self.bits = bits
         self.mask = np.frombuffer(masks, dtype=np.uint8)
         count = POPCOUNT[self.mask]
-        self.child = 1 + np.cumsum(count) - count
-        self.best = np.empty(1 + int(count.sum()), dtype=np.int64)
-        self.best[0] = top
         drop, node, end = np.frombuffer(drops, dtype="<u4"), 0, 1
+        # Numbers of 4 bytes where they suffice: a block has millions of nodes.
+        self.child = np.cumsum(count, dtype=np.int32 if len(drop) < 2**31 - 1 else np.int64)
+        self.child -= count
+        self.child += 1
+        self.best = np.empty(1 + len(drop), dtype=np.int32 if top < 2**31 else np.int64)
+        self.best[0] = top
         while node < len(self.mask):  # one turn per level
-            size = int(count[node:end].sum())
+            size = int(count[node:end].sum(dtype=np.int64))
             self.best[end : end + size] = np.repeat(self.best[node:end], count[node:end]) - drop[end - 1 : end - 1 + size]
             node, end = end, end + size
 
@@ -68,7 +72,7 @@ class Treap:
         """
         width = len(rows)
         nodes, level, column = np.zeros((1, width), dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-        bound = np.array([int((weights * self.best[0]).sum())])
+        bound = np.array([int((weights * int(self.best[0])).sum())])
         if bound[0] < least:
             nodes, level, column, bound = nodes[:0], level[:0], column[:0], bound[:0]
         done_at, done_score, last = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), -1
@@ -100,7 +104,7 @@ class Treap:
         """Both halves of each state's column range, without those that hold nothing."""
         there = nodes >= 0
         mask = np.where(there, self.mask[nodes], 0)
-        first = self.child[nodes]
+        first = self.child[nodes].astype(np.int64)
         row_bit = (rows[None, :] >> (self.bits - 1 - level)[:, None]) & 1
         out = []
         for half in (0, 1):

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from edge import DOCS, awkward, docs, rows, words
 
-from fleetlens.llm.lexical import TERM, build_index, lexical_search, terms
+from fleetlens.llm.lexical import TERM, build_index, lexical_search, term_counts, terms
 from fleetlens.llm.treap import Treap, pack
 
 ITEMS = "item_id long, text string, rank int, ids int"
@@ -75,11 +75,34 @@ def test_tree_against_sums():
             assert (got.tolist(), score.tolist()) == (order, full[order].tolist())
 
 
+def test_tree_numbers_are_small_where_they_can_be():
+    row, column = np.divmod(np.arange(4096), 64)
+    for impact, size in ((np.arange(4096) + 1, 4), ((np.arange(4096) + 1) << 20, 8)):
+        top, masks, drops = pack(row, column, impact, 6)
+        tree = Treap(top, masks, drops, 6)
+        assert (tree.best.itemsize, tree.child.itemsize) == (size, 4)
+        assert tree.search(np.array([63]), np.array([3]), 2)[1].tolist() == [3 * int(impact[-1]), 3 * int(impact[-2])]
+
+
 def test_terms_in_bytes_are_those_of_the_expression():
     for _, text in awkward() + [(0, "A_b-C9\x7fÀx\x00y K z")]:
         assert terms(text) == [t.encode() for t in split(text)]
 
 
+def test_every_ascii_character_divides_or_folds():
+    text = "".join(f"a{chr(i)}Z" for i in range(128)) + "\x80\x85\xa0\u2028\u3000Ａ"
+    assert terms(text) == [t.encode() for t in split(text)]
+
+
+def test_documents_and_terms_are_counted_without_a_regular_expression(spark):
+    data = awkward() + [(0, None), (0, ""), (1, " ,;"), (1, "a a A"), (None, "a")]
+    for part in (data, data[:0]):
+        counts = term_counts(docs(spark, part))
+        sizes = [len(split(t)) for _, t in part]
+        assert (sum(r.docs for r in counts.collect()), sum(r.terms for r in counts.collect())) == (sum(n > 0 for n in sizes), sum(sizes))
+        assert "regexp" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_every_row_is_indexed(spark):
     data = awkward()
     index, count = build_index(docs(spark, data), block_postings=100)
